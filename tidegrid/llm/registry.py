@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid
+from . import bpe, decontaminate, langid, neardup, secrets, topk
 
 QUERIES = {
     "op2_byte_bpe": bpe.op2_byte_bpe,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language_id": langid.op6_language_id,
+    "op7_secrets": secrets.op7_secrets,
+    "op8_topk": topk.op8_topk,
+    "op9_neardup": neardup.op9_neardup,
 }
-ORACLES = {"op5_decontaminate": decontaminate.ORACLE}
+ORACLES = {"op5_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE}
