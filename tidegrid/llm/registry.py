@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, langid, neardup, secrets, topk
+from . import bpe, chat, decontaminate, langid, neardup, secrets, topk, urls, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op2_byte_bpe": bpe.op2_byte_bpe,
+    "op3_preference": chat.op3_preference,
+    "op4_url_filter": urls.op4_url_filter,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op6_language_id": langid.op6_language_id,
     "op7_secrets": secrets.op7_secrets,
     "op8_topk": topk.op8_topk,
     "op9_neardup": neardup.op9_neardup,
 }
-ORACLES = {"op5_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op3_preference": chat.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE}
