@@ -224,12 +224,13 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select("doc_id", encode(F.col("text"), shared).alias("ids")).withColumn("decoded", decode(F.col("ids"), shared))
 
 
-def digests(tokenized: DataFrame) -> DataFrame:
+def digests(tokenized: DataFrame, *more: str) -> DataFrame:
     return tokenized.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *more,
     )
 
 

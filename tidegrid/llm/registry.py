@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, neardup, secrets, topk, urls, warc
+from . import bpe, chat, decontaminate, langid, neardup, pii, secrets, topk, urls, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_topk": topk.op8_topk,
     "op9_neardup": neardup.op9_neardup,
+    "op10_pii": pii.op10_pii,
 }
 ORACLES = {"op1_warc": warc.ORACLE, "op3_preference": chat.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE}
