@@ -111,12 +111,13 @@ def features(text: str, start: int, end: int) -> list[int]:
         len(groups) == 4 and span.count(".") == 3 and not letters and n + 3 == len(span), bool(groups) and all(len(g) <= 3 and int(g) <= 255 for g in groups),
         13 <= n <= 19 and not letters and luhn(digits), len(groups) == 1, len(groups) in (3, 4, 5), "(" in span,
         len(set(re.sub(r"[0-9A-Za-z]", "", span))) <= 1, before[-1:].isalnum(), text[end : end + 1].isalnum(),
+        any(c.isspace() for c in span), email and not any(c.isspace() for c in span), before[-1:] == ".", bool(re.match(r"\.[0-9]", text[end : end + 2])),
         *(bool(hint.search(before)) for hint in _HINTS.values()),
     )
     return [i for i, x in enumerate(tests) if x]
 
 
-N_FEATURES = 19 + len(_HINTS)
+N_FEATURES = 23 + len(_HINTS)
 
 
 def _lattice(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
