@@ -29,6 +29,11 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at the threshold misses all bands with probability (1 - 0.8**5)**25, under 0.0001.
 BANDS, ROWS = 25, 5
+#: Equal places, as a share, from which a pair of a mixed bucket is verified; a pair at the threshold falls below
+#: it with probability under 0.002, and is then still linked if it shares a class by other links.
+ESTIMATE = 0.69
+#: Texts of a tile in which mixed buckets are compared.
+TILE = 256
 #: Shingles that a worker signs at once.
 AT_ONCE = 250_000
 
@@ -109,28 +114,44 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def band_signature(word_hashes: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """Band keys ``array<bigint>`` of a document's word hashes; null without words."""
+def signature(word_hashes: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
+    """``struct<bands array<bigint>, places binary>`` of word hashes: band keys, and 32 bits of each place; null without words."""
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<bands:array<bigint>,places:binary>")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             flat, ends = batch.values.to_numpy(zero_copy_only=False).view(np.uint64), batch.offsets.to_numpy()
-            cut, out = 0, []
+            cut, keys, places = 0, [np.zeros((0, bands), np.int64)], []
             while cut < len(batch):
                 to = max(cut + 1, int(np.searchsorted(ends, ends[cut] + AT_ONCE)) - 1)
                 own = [shingles(flat[a:b]) for a, b in zip(ends[cut:to], ends[cut + 1 : to + 1])]
                 docs = np.repeat(np.arange(to - cut), [len(x) for x, _ in own])
                 first = bag_min_hash(docs, np.concatenate([x for x, _ in own]), np.concatenate([n for _, n in own]), to - cut, bands * rows)
-                out.append(band_keys(first, bands, rows))
+                keys.append(band_keys(first, bands, rows))
+                places += [row.tobytes() for row in _mix(first.view(np.uint64)).astype(np.uint32)]
                 cut = to
-            keys = np.concatenate(out) if out else np.zeros((0, bands), np.int64)
-            offsets = pa.array(np.arange(0, (len(keys) + 1) * bands, bands, dtype=np.int32))
-            yield pa.ListArray.from_arrays(offsets, pa.array(keys.reshape(-1)), mask=pa.array(np.diff(ends) == 0))
+            offsets = pa.array(np.arange(0, (len(batch) + 1) * bands, bands, dtype=np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).reshape(-1)))
+            yield pa.StructArray.from_arrays([lists, pa.array(places, pa.binary())], ["bands", "places"], mask=pa.array(np.diff(ends) == 0))
 
     return udf(word_hashes)
 
 
+def _alike_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs ``u, v`` of two tiles, of different classes, with at least ESTIMATE equal places."""
+    for batch in batches:
+        us, vs = [], []
+        for same, *sides in zip(*(column.to_pylist() for column in batch.columns)):
+            (ids, classes, places), (ids2, classes2, places2) = (
+                (np.array([x["id"] for x in side]), np.array([x["class"] for x in side]), np.array([np.frombuffer(x["places"], np.uint32) for x in side])) for side in sides
+            )
+            for i in range(len(ids)):
+                at = np.flatnonzero(((places[i] == places2).mean(axis=1) >= ESTIMATE) & (classes2 != classes[i]) & ((ids2 < ids[i]) if same else True))
+                us += [ids[i]] * len(at)
+                vs += ids2[at].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+
 _find = re.compile(WORD).findall
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -171,9 +192,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     Texts with the same words in the same order are joined first, by a digest,
     so copies cost one signature. Of each bucket every text is compared with one
-    pivot, the text that shares most buckets; then, wherever a bucket still
-    holds several classes, all pairs of texts of different classes that haven't
-    been compared are. Nothing is capped, and no pair of a bucket is lost.
+    pivot, the text that shares most buckets. Wherever a bucket then still holds
+    several classes, its texts meet in tiles: inside a task the signatures of
+    two tiles are compared whole, and only pairs of different classes whose
+    signatures agree enough become rows and are verified. Nothing is capped.
 
     Rows repeated with their id share a class. A text without words (null
     included) is a class of its own id; a null doc_id has a null class.
@@ -181,9 +203,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     named = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     split = named.select("doc_id", words(F.col("text")).alias("w"))
     split = split.select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("digest"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    signed = materialize(split.select("doc_id", "digest", band_signature(F.col("h")).alias("bands")))
+    signed = materialize(split.select("doc_id", "digest", signature(F.col("h")).alias("s")).select("doc_id", "digest", "s.bands", "s.places"))
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("bands").isNotNull())
-    reps = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.count("*").alias("n")))
+    reps = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("places").alias("places")))
 
     rows = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -199,10 +221,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     joined = components(linked)
     placed = crowded.join(joined, crowded["id"] == joined["node"], "left").select("key", "id", F.coalesce("component", "id").alias("class"))
     mixed = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    open_rows = materialize(placed.join(mixed, "key", "left_semi"))
-    other = open_rows.select("key", F.col("id").alias("id2"), F.col("class").alias("class2"))
-    rest = open_rows.join(other, "key").where((F.col("id") > F.col("id2")) & (F.col("class") != F.col("class2")))
-    rest = materialize(rest.select(F.col("id").alias("u"), F.col("id2").alias("v")).distinct().join(tested, ["u", "v"], "left_anti"))
+    held = placed.join(mixed, "key", "left_semi").join(reps.select(F.col("rep").alias("id"), "places"), "id").join(full, "key")
+    tile = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TILE)).alias("tile")
+    tiles = held.groupBy("key", tile).agg(F.collect_list(F.struct("id", "class", "places")).alias("a"))
+    others = tiles.select("key", F.col("tile").alias("tile2"), F.col("a").alias("b"))
+    met = tiles.join(others, "key").where("tile <= tile2").select((F.col("tile") == F.col("tile2")).alias("same"), "a", "b")
+    alike = met.mapInArrow(_alike_in_tiles, "u long, v long").select(*oriented(F.col("u"), F.col("v"))).distinct()
+    rest = materialize(alike.join(tested, ["u", "v"], "left_anti"))
     if not rest.isEmpty():
         more = materialize(_verified(rest, texts, similarity))
         if not more.isEmpty():
