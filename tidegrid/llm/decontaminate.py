@@ -18,7 +18,7 @@ from .common import bounded_broadcast, materialize, table, words
 #: Consecutive words of an item that make up a test phrase.
 WINDOW_WORDS = 10
 #: Rarest terms of a phrase whose postings are intersected.
-RAREST = 3
+RAREST = 2
 #: Most rows of test terms that are broadcast; beyond it Spark joins by shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -32,7 +32,7 @@ def phrases(items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     starts = F.sequence(F.lit(1), F.greatest(F.size("terms") - (size - 1), F.lit(1)))
     cut = split.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("terms", i, size))).alias("terms"))
     named = cut.groupBy("terms").agg(F.collect_set("item_id").alias("item_ids"))
-    return materialize(named.select(F.sha2(F.array_join("terms", " "), 256).alias("phrase"), "terms", "item_ids"))
+    return materialize(named.select(F.monotonically_increasing_id().alias("phrase"), "terms", "item_ids"))
 
 
 def term_counts(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
