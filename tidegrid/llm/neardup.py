@@ -33,7 +33,7 @@ BANDS, ROWS = 25, 5
 #: it with probability under 0.002, and is then still linked if it shares a class by other links.
 ESTIMATE = 0.69
 #: Texts of a tile in which mixed buckets are compared.
-TILE = 256
+TILE = 128
 #: Shingles that a worker signs at once.
 AT_ONCE = 250_000
 
@@ -137,21 +137,6 @@ def signature(word_hashes: Column, bands: int = BANDS, rows: int = ROWS) -> Colu
     return udf(word_hashes)
 
 
-def _alike_in_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs ``u, v`` of two tiles, of different classes, with at least ESTIMATE equal places."""
-    for batch in batches:
-        us, vs = [], []
-        for same, *sides in zip(*(column.to_pylist() for column in batch.columns)):
-            (ids, classes, places), (ids2, classes2, places2) = (
-                (np.array([x["id"] for x in side]), np.array([x["class"] for x in side]), np.array([np.frombuffer(x["places"], np.uint32) for x in side])) for side in sides
-            )
-            for i in range(len(ids)):
-                at = np.flatnonzero(((places[i] == places2).mean(axis=1) >= ESTIMATE) & (classes2 != classes[i]) & ((ids2 < ids[i]) if same else True))
-                us += [ids[i]] * len(at)
-                vs += ids2[at].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
-
-
 _find = re.compile(WORD).findall
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -162,15 +147,50 @@ def _bag(text: str) -> Counter:
     return Counter(zip(*(own[i:] for i in range(SHINGLE)))) if len(own) >= SHINGLE else Counter([tuple(own)] if own else [])
 
 
-def overlap(a: str, b: str) -> float:
-    """Weighted Jaccard similarity of two texts' shingle multisets; 0 if either has no words."""
-    x, y = _bag(a), _bag(b)
+def _shared(x: Counter, y: Counter) -> float:
     if len(x) > len(y):
         x, y = y, x
     shared = sum([min(n, y[s]) for s, n in x.items() if s in y])
     return shared / max(1, x.total() + y.total() - shared)
 
 
+def overlap(a: str, b: str) -> float:
+    """Weighted Jaccard similarity of two texts' shingle multisets; 0 if either has no words."""
+    return _shared(_bag(a), _bag(b))
+
+
+def _links_in_tiles(similarity: float):
+    """Links ``u, v`` between different classes of two tiles.
+
+    A pair is looked at in its first shared bucket only, if its signatures agree
+    in at least ESTIMATE of their places, and until its classes are linked; then
+    the multisets themselves decide.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            us, vs = [], []
+            for key, same, *sides in zip(*(column.to_pylist() for column in batch.columns)):
+                one, two = sides
+                places, bands = (np.array([np.frombuffer(x["places"], np.uint32) for x in two]), np.array([x["bands"] for x in two]))
+                classes, ids = np.array([x["class"] for x in two]), np.array([x["id"] for x in two])
+                bags: dict[int, Counter] = {}
+                bag = lambda x: bags.get(x["id"]) or bags.setdefault(x["id"], _bag(x["text"]))  # noqa: B023, E731
+                joined: set[tuple[int, int]] = set()
+                for x in one:
+                    shared = bands == np.array(x["bands"])
+                    first = bands[np.arange(len(two)), shared.argmax(axis=1)] == key
+                    near = (places == np.frombuffer(x["places"], np.uint32)).mean(axis=1) >= ESTIMATE
+                    for i in np.flatnonzero(first & near & (classes != x["class"]) & ((ids < x["id"]) if same else True)):
+                        if (link := (x["class"], two[i]["class"])) not in joined and _shared(bag(x), bag(two[i])) >= similarity:
+                            joined |= {link, link[::-1]}
+                            us.append(x["id"])
+                            vs.append(two[i]["id"])
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return run
+
+
 def overlaps(a: Column, b: Column) -> Column:
     @F.arrow_udf("double")
     def udf(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -194,8 +214,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     so copies cost one signature. Of each bucket every text is compared with one
     pivot, the text that shares most buckets. Wherever a bucket then still holds
     several classes, its texts meet in tiles: inside a task the signatures of
-    two tiles are compared whole, and only pairs of different classes whose
-    signatures agree enough become rows and are verified. Nothing is capped.
+    two tiles are compared whole, pairs of different classes whose signatures
+    agree enough are verified, and only links become rows. Nothing is capped.
 
     Rows repeated with their id share a class. A text without words (null
     included) is a class of its own id; a null doc_id has a null class.
@@ -221,17 +241,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     joined = components(linked)
     placed = crowded.join(joined, crowded["id"] == joined["node"], "left").select("key", "id", F.coalesce("component", "id").alias("class"))
     mixed = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    held = placed.join(mixed, "key", "left_semi").join(reps.select(F.col("rep").alias("id"), "places"), "id").join(full, "key")
+    held = placed.join(mixed, "key", "left_semi").join(reps.select(F.col("rep").alias("id"), "places", "bands"), "id").join(texts, "id").join(full, "key")
     tile = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TILE)).alias("tile")
-    tiles = held.groupBy("key", tile).agg(F.collect_list(F.struct("id", "class", "places")).alias("a"))
+    tiles = held.groupBy("key", tile).agg(F.collect_list(F.struct("id", "class", "places", "bands", "text")).alias("a"))
     others = tiles.select("key", F.col("tile").alias("tile2"), F.col("a").alias("b"))
-    met = tiles.join(others, "key").where("tile <= tile2").select((F.col("tile") == F.col("tile2")).alias("same"), "a", "b")
-    alike = met.mapInArrow(_alike_in_tiles, "u long, v long").select(*oriented(F.col("u"), F.col("v"))).distinct()
-    rest = materialize(alike.join(tested, ["u", "v"], "left_anti"))
-    if not rest.isEmpty():
-        more = materialize(_verified(rest, texts, similarity))
-        if not more.isEmpty():
-            joined = components(linked.unionAll(more))
+    met = tiles.join(others, "key").where("tile <= tile2").select("key", (F.col("tile") == F.col("tile2")).alias("same"), "a", "b")
+    more = materialize(met.mapInArrow(_links_in_tiles(similarity), "u long, v long").select(*oriented(F.col("u"), F.col("v"))).distinct())
+    if not more.isEmpty():
+        joined = components(linked.unionAll(more))
 
     classes = reps.join(joined, reps["rep"] == joined["node"], "left").select("digest", F.coalesce("component", "rep").alias("class"))
     out = signed.select("doc_id", F.when(F.col("bands").isNotNull() & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
