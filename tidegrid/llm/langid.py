@@ -23,8 +23,8 @@ from .common import table
 
 #: N-grams of a profile, and of a document's.
 PROFILE = 400
-#: Letters of the longest n-gram; word ends count as one.
-LONGEST = 3
+#: Letters of an n-gram; word ends count as one.
+LETTERS = 3
 #: Labelled documents of a language, about, that profiles are learned from.
 SAMPLE_PER_LANGUAGE = 1_500
 
@@ -38,7 +38,7 @@ def _split(text: str) -> Counter:
 @lru_cache(maxsize=200_000)
 def _grams(word: str) -> tuple[str, ...]:
     padded = f" {word} "
-    return tuple(padded[i : i + n] for n in range(1, LONGEST + 1) for i in range(len(padded) - n + 1) if padded[i : i + n] != " ")
+    return tuple([padded[i : i + LETTERS] for i in range(len(padded) - LETTERS + 1)])
 
 
 def ranked_grams(text: str, most: int = PROFILE) -> list[str]:
@@ -47,7 +47,9 @@ def ranked_grams(text: str, most: int = PROFILE) -> list[str]:
     for word, n in _split(text).items():
         for gram in _grams(word) if len(word) < 100 else _grams.__wrapped__(word):
             counts[gram] = counts.get(gram, 0) + n
-    return [gram for gram, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:most]]
+    order = sorted(counts)
+    order.sort(key=counts.__getitem__, reverse=True)
+    return order[:most]
 
 
 def learn_profiles(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, length: int = PROFILE) -> dict[str, dict[str, int]]:
