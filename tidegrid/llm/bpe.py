@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Entries of a memo's generation; the older of two is dropped, which bounds memory and never changes results.
-MEMO = 500_000
+MEMO = 100_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -186,6 +186,11 @@ def vocabulary(spark: SparkSession, path: str, pattern: str):
     return spark.sparkContext.broadcast((tuple(read_ranks(path)), pattern))
 
 
+def _as_lists(found: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
+
+
 def encode(text: Column, shared) -> Column:
     """Ids ``array<int>`` of whole texts, each match of the pattern encoded for itself; null and empty give none."""
 
@@ -193,9 +198,7 @@ def encode(text: Column, shared) -> Column:
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _worker_codec(shared)
         for batch in batches:
-            found = [codec.encode(x.as_py() or "") for x in batch]
-            offsets = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
+            yield _as_lists([codec.encode(x.as_py() or "") for x in batch])
 
     return udf(text)
 
@@ -213,6 +216,20 @@ def decode(ids: Column, shared) -> Column:
     return udf(F.coalesce(ids, F.array().cast("array<int>")))
 
 
+def _both(text: Column, shared) -> Column:
+    """``struct<ids array<int>, decoded binary>`` of whole texts in one pass: a worker then holds one codec, not one for each way."""
+
+    @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _worker_codec(shared)
+        for batch in batches:
+            found = [codec.encode(x.as_py() or "") for x in batch]
+            decoded = pa.array([codec.decode(own.tolist()) for own in found], pa.binary())
+            yield pa.StructArray.from_arrays([_as_lists(found), decoded], ["ids", "decoded"])
+
+    return udf(text)
+
+
 def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids array<int>, decoded binary`` of each row of ``documents``.
 
@@ -221,7 +238,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     shuffle, and memory is bounded by one Arrow batch and the memos.
     """
     shared = vocabulary(docs.sparkSession, path, pattern)
-    return docs.select("doc_id", encode(F.col("text"), shared).alias("ids")).withColumn("decoded", decode(F.col("ids"), shared))
+    return docs.select("doc_id", _both(F.col("text"), shared).alias("_b")).select("doc_id", "_b.ids", "_b.decoded")
 
 
 def digests(tokenized: DataFrame, *more: str) -> DataFrame:
