@@ -35,7 +35,7 @@ def _split(text: str) -> Counter:
     return Counter(_LETTERS(text.lower()))
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def _grams(word: str) -> tuple[str, ...]:
     padded = f" {word} "
     return tuple([padded[i : i + LETTERS] for i in range(len(padded) - LETTERS + 1)])
