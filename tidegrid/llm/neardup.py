@@ -170,8 +170,8 @@ def _links_in_tiles(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             us, vs = [], []
-            for key, same, *sides in zip(*(column.to_pylist() for column in batch.columns)):
-                one, two = sides
+            for row in range(batch.num_rows):  # one pair of tiles at a time becomes Python objects
+                key, same, one, two = (column[row].as_py() for column in batch.columns)
                 places, bands = (np.array([np.frombuffer(x["places"], np.uint32) for x in two]), np.array([x["bands"] for x in two]))
                 classes, ids = np.array([x["class"] for x in two]), np.array([x["id"] for x in two])
                 bags: dict[int, Counter] = {}
