@@ -29,11 +29,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at the threshold misses all bands with probability (1 - 0.8**5)**25, under 0.0001.
 BANDS, ROWS = 25, 5
-#: Equal places, as a share, from which a pair of a mixed bucket is verified; a pair at the threshold falls below
-#: it with probability under 0.002, and is then still linked if it shares a class by other links.
-ESTIMATE = 0.69
-#: Texts of a tile in which mixed buckets are compared.
-TILE = 128
+#: Words of a tile in which mixed buckets are compared, about; a longer text is a tile of its own.
+TILE = 32_768
+#: Tiles that one task takes on its right side.
+LANE = 8
+#: Columns of a tile's incidence matrix held at once.
+COLUMNS = 8_192
 #: Shingles that a worker signs at once.
 AT_ONCE = 250_000
 
@@ -115,24 +116,22 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signature(word_hashes: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
-    """``struct<bands array<bigint>, places binary>`` of word hashes: band keys, and 32 bits of each place; null without words."""
+    """Band keys ``array<bigint>`` of word hashes; null without words."""
 
-    @F.arrow_udf("struct<bands:array<bigint>,places:binary>")
+    @F.arrow_udf("array<bigint>")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             flat, ends = batch.values.to_numpy(zero_copy_only=False).view(np.uint64), batch.offsets.to_numpy()
-            cut, keys, places = 0, [np.zeros((0, bands), np.int64)], []
+            cut, keys = 0, [np.zeros((0, bands), np.int64)]
             while cut < len(batch):
                 to = max(cut + 1, int(np.searchsorted(ends, ends[cut] + AT_ONCE)) - 1)
                 own = [shingles(flat[a:b]) for a, b in zip(ends[cut:to], ends[cut + 1 : to + 1])]
                 docs = np.repeat(np.arange(to - cut), [len(x) for x, _ in own])
                 first = bag_min_hash(docs, np.concatenate([x for x, _ in own]), np.concatenate([n for _, n in own]), to - cut, bands * rows)
                 keys.append(band_keys(first, bands, rows))
-                places += [row.tobytes() for row in _mix(first.view(np.uint64)).astype(np.uint32)]
                 cut = to
             offsets = pa.array(np.arange(0, (len(batch) + 1) * bands, bands, dtype=np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).reshape(-1)))
-            yield pa.StructArray.from_arrays([lists, pa.array(places, pa.binary())], ["bands", "places"], mask=pa.array(np.diff(ends) == 0))
+            yield pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(keys).reshape(-1)), mask=pa.array(np.diff(ends) == 0))
 
     return udf(word_hashes)
 
@@ -159,38 +158,103 @@ def overlap(a: str, b: str) -> float:
     return _shared(_bag(a), _bag(b))
 
 
+def _members(tile: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tile's ids, classes and shingle counts; and of each shingle its text's place, and a name that numbers its repeats.
+
+    With repeats numbered, multisets are sets: a shingle that occurs n times in
+    one text and m times in another is min(n, m) names of both.
+    """
+    lists = tile.field("h")
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
+    bags = [shingles(flat[a:b]) for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
+    element, count = np.concatenate([x for x, _ in bags]), np.concatenate([n for _, n in bags])
+    doc = np.repeat(np.arange(len(bags)), [len(x) for x, _ in bags])
+    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    names = _mix(np.repeat(element, count) + _mix(nth.astype(np.uint64) * _STEP))
+    sizes = np.array([n.sum() for _, n in bags])
+    return tile.field("id").to_numpy(), tile.field("class").to_numpy(), sizes, np.repeat(doc, count), names
+
+
+def _shared_names(doc1: np.ndarray, names1: np.ndarray, n1: int, doc2: np.ndarray, names2: np.ndarray, n2: int) -> np.ndarray:
+    """How many names each text of one tile shares with each of another, n1 x n2."""
+    common = np.intersect1d(names1, names2)
+    shared = np.zeros((n1, n2), np.float64)
+
+    def columns(doc, names):
+        at = np.searchsorted(common, names)
+        held = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == names)
+        order = held[np.argsort(at[held], kind="stable")]
+        return doc[order], at[order]
+
+    if not len(common):
+        return shared
+    (doc1, at1), (doc2, at2) = columns(doc1, names1), columns(doc2, names2)
+    for begin in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - begin)
+        sides = []
+        for doc, at, n in ((doc1, at1, n1), (doc2, at2, n2)):
+            a, b = np.searchsorted(at, (begin, begin + width))
+            side = np.zeros((n, width), np.float32)
+            side[doc[a:b], at[a:b] - begin] = 1
+            sides.append(side)
+        shared += sides[0] @ sides[1].T
+    return shared
+
+
 def _links_in_tiles(similarity: float):
-    """Links ``u, v`` between different classes of two tiles.
+    """Links ``u, v`` between different classes of two tiles, one for each pair of classes that has any.
 
-    A pair is looked at in its first shared bucket only, if its signatures agree
-    in at least ESTIMATE of their places, and until its classes are linked; then
-    the multisets themselves decide.
+    The overlap of every pair is exact: the tiles' incidence matrices are
+    multiplied, over those shingles only that both tiles hold.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            us, vs = [], []
-            for row in range(batch.num_rows):  # one pair of tiles at a time becomes Python objects
-                key, same, one, two = (column[row].as_py() for column in batch.columns)
-                places, bands = (np.array([np.frombuffer(x["places"], np.uint32) for x in two]), np.array([x["bands"] for x in two]))
-                classes, ids = np.array([x["class"] for x in two]), np.array([x["id"] for x in two])
-                bags: dict[int, Counter] = {}
-                bag = lambda x: bags.get(x["id"]) or bags.setdefault(x["id"], _bag(x["text"]))  # noqa: B023, E731
-                joined: set[tuple[int, int]] = set()
-                for x in one:
-                    shared = bands == np.array(x["bands"])
-                    first = bands[np.arange(len(two)), shared.argmax(axis=1)] == key
-                    near = (places == np.frombuffer(x["places"], np.uint32)).mean(axis=1) >= ESTIMATE
-                    for i in np.flatnonzero(first & near & (classes != x["class"]) & ((ids < x["id"]) if same else True)):
-                        if (link := (x["class"], two[i]["class"])) not in joined and _shared(bag(x), bag(two[i])) >= similarity:
-                            joined |= {link, link[::-1]}
-                            us.append(x["id"])
-                            vs.append(two[i]["id"])
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for row in range(batch.num_rows):
+                ids1, class1, size1, doc1, names1 = _members(batch.column("a")[row].values)
+                ids2, class2, size2, doc2, names2 = _members(batch.column("b")[row].values)
+                shared = _shared_names(doc1, names1, len(ids1), doc2, names2, len(ids2))
+                near = shared / np.maximum(1, size1[:, None] + size2[None, :] - shared) >= similarity
+                i, j = np.nonzero(near & (class1[:, None] != class2[None, :]))
+                _, one = np.unique(np.stack([class1[i], class2[j]]), axis=1, return_index=True)
+                us.append(ids1[i[one]])
+                vs.append(ids2[j[one]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
     return run
 
 
+def _links_in_mixed_buckets(placed: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
+    """Links ``u, v`` between classes of a bucket, from ``key, id, n, class`` of its texts and ``id, h`` of their word hashes.
+
+    A bucket is cut into tiles of about TILE words: a large class fills tiles of
+    its own, small classes share tiles. Tiles of one and the same class never
+    meet, so a bucket costs the products between its classes only. Pairs of tiles
+    are dealt over lanes, LANE right-hand tiles each, so no bucket is one task's.
+    """
+    long = F.col("words") > TILE
+    shares = placed.groupBy("key", "class").agg(F.sum("n").alias("words"))
+    shares = shares.withColumn("tiles", F.when(long, F.ceil(F.col("words") / TILE)))
+    rest = F.ceil(F.sum(F.when(~long, F.col("words"))) / TILE)
+    mixed = shares.groupBy("key").agg(F.count("*").alias("classes"), rest.alias("rest"), F.sum("tiles").alias("solo_tiles")).where("classes > 1")
+    lanes = F.ceil((F.coalesce("rest", F.lit(0)) + F.coalesce("solo_tiles", F.lit(0))) / LANE).cast("int")
+    cut = shares.join(mixed, "key").select("key", "class", "tiles", "rest", lanes.alias("lanes"))
+    solo = F.col("tiles").isNotNull()
+    slot = F.when(solo, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(F.pmod(F.xxhash64("class"), F.col("rest")))
+    held = placed.join(cut, ["key", "class"]).select("key", "id", "class", "lanes", F.struct(solo.alias("solo"), F.when(solo, F.col("class")).otherwise(0).alias("owner"), slot.alias("slot")).alias("tile"))
+    tiles = held.join(hashes, "id").groupBy("key", "lanes", "tile").agg(F.collect_list(F.struct("id", "class", "h")).alias("a"))
+    left = tiles.select("key", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "tile", "a")
+    right = tiles.select("key", F.pmod(F.hash("tile"), F.col("lanes")).alias("lane"), F.col("tile").alias("other"), F.col("a").alias("b"))
+    one_class = F.col("tile.solo") & F.col("other.solo") & (F.col("tile.owner") == F.col("other.owner"))
+    met = left.join(right, ["key", "lane"]).where((F.col("tile") <= F.col("other")) & ~one_class).select("a", "b")
+    return met.mapInArrow(_links_in_tiles(similarity), "u long, v long")
+
+
+def hashed(split: Column) -> Column:
+    return F.transform(split, lambda w: F.xxhash64(w))
+
+
 def overlaps(a: Column, b: Column) -> Column:
     @F.arrow_udf("double")
     def udf(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -213,21 +277,21 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     Texts with the same words in the same order are joined first, by a digest,
     so copies cost one signature. Of each bucket every text is compared with one
     pivot, the text that shares most buckets. Wherever a bucket then still holds
-    several classes, its texts meet in tiles: inside a task the signatures of
-    two tiles are compared whole, pairs of different classes whose signatures
-    agree enough are verified, and only links become rows. Nothing is capped.
+    several classes, its texts meet in tiles: inside a task one matrix product
+    gives the exact overlaps of all pairs of two tiles, and only links between
+    classes become rows. Nothing is capped.
 
     Rows repeated with their id share a class. A text without words (null
     included) is a class of its own id; a null doc_id has a null class.
     """
     named = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
     split = named.select("doc_id", words(F.col("text")).alias("w"))
-    split = split.select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("digest"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
-    signed = materialize(split.select("doc_id", "digest", signature(F.col("h")).alias("s")).select("doc_id", "digest", "s.bands", "s.places"))
+    split = split.select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("digest"), hashed(F.col("w")).alias("h"))
+    signed = materialize(split.select("doc_id", "digest", F.size("h").alias("n"), signature(F.col("h")).alias("bands")))
     usable = signed.where(F.col("doc_id").isNotNull() & F.col("bands").isNotNull())
-    reps = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("places").alias("places")))
+    reps = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n").alias("n")))
 
-    rows = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
+    rows = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     crowded = materialize(rows.join(full, "key"))
     degree = crowded.groupBy("id").agg(F.sum("size").alias("degree"))
@@ -239,14 +303,11 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     linked = materialize(_verified(tested, texts, similarity))
 
     joined = components(linked)
-    placed = crowded.join(joined, crowded["id"] == joined["node"], "left").select("key", "id", F.coalesce("component", "id").alias("class"))
+    placed = materialize(crowded.join(joined, crowded["id"] == joined["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("class")))
     mixed = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    held = placed.join(mixed, "key", "left_semi").join(reps.select(F.col("rep").alias("id"), "places", "bands"), "id").join(texts, "id").join(full, "key")
-    tile = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / TILE)).alias("tile")
-    tiles = held.groupBy("key", tile).agg(F.collect_list(F.struct("id", "class", "places", "bands", "text")).alias("a"))
-    others = tiles.select("key", F.col("tile").alias("tile2"), F.col("a").alias("b"))
-    met = tiles.join(others, "key").where("tile <= tile2").select("key", (F.col("tile") == F.col("tile2")).alias("same"), "a", "b")
-    more = materialize(met.mapInArrow(_links_in_tiles(similarity), "u long, v long").select(*oriented(F.col("u"), F.col("v"))).distinct())
+    asked = placed.join(mixed, "key", "left_semi").select("id").distinct()
+    hashes = texts.join(asked, "id", "left_semi").select("id", hashed(words(F.col("text"))).alias("h"))
+    more = materialize(_links_in_mixed_buckets(placed, hashes, similarity).select(*oriented(F.col("u"), F.col("v"))).distinct())
     if not more.isEmpty():
         joined = components(linked.unionAll(more))
 
