@@ -158,21 +158,34 @@ def overlap(a: str, b: str) -> float:
     return _shared(_bag(a), _bag(b))
 
 
-def _members(tile: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A tile's ids, classes and shingle counts; and of each shingle its text's place, and a name that numbers its repeats.
+def names(word_hashes: Column) -> Column:
+    """A text's shingles ``array<bigint>`` of its word hashes, each with the number of its repeat.
 
-    With repeats numbered, multisets are sets: a shingle that occurs n times in
-    one text and m times in another is min(n, m) names of both.
+    So multisets become sets: a shingle that occurs n times in one text and m
+    times in another gives them min(n, m) names in common.
     """
-    lists = tile.field("h")
-    flat, ends = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), lists.offsets.to_numpy()
-    bags = [shingles(flat[a:b]) for a, b in zip(ends[:-1] - ends[0], ends[1:] - ends[0])]
-    element, count = np.concatenate([x for x, _ in bags]), np.concatenate([n for _, n in bags])
-    doc = np.repeat(np.arange(len(bags)), [len(x) for x, _ in bags])
-    nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    names = _mix(np.repeat(element, count) + _mix(nth.astype(np.uint64) * _STEP))
-    sizes = np.array([n.sum() for _, n in bags])
-    return tile.field("id").to_numpy(), tile.field("class").to_numpy(), sizes, np.repeat(doc, count), names
+
+    @F.arrow_udf("array<bigint>")
+    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            flat, ends = batch.values.to_numpy(zero_copy_only=False).view(np.uint64), batch.offsets.to_numpy()
+            own = [np.zeros(0, np.uint64)]
+            for a, b in zip(ends[:-1], ends[1:]):
+                element, count = shingles(flat[a:b])
+                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+                own.append(_mix(np.repeat(element, count) + _mix(nth.astype(np.uint64) * _STEP)))
+            offsets = np.cumsum([len(x) for x in own], dtype=np.int32)
+            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64)))
+
+    return udf(word_hashes)
+
+
+def _members(tile: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A tile's ids, classes and numbers of names; and its names, each with its text's place."""
+    lists = tile.field("names")
+    sizes = np.diff(lists.offsets.to_numpy())
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    return tile.field("id").to_numpy(), tile.field("class").to_numpy(), sizes, doc, lists.flatten().to_numpy(zero_copy_only=False)
 
 
 def _shared_names(doc1: np.ndarray, names1: np.ndarray, n1: int, doc2: np.ndarray, names2: np.ndarray, n2: int) -> np.ndarray:
@@ -225,8 +238,8 @@ def _links_in_tiles(similarity: float):
     return run
 
 
-def _links_in_mixed_buckets(placed: DataFrame, hashes: DataFrame, similarity: float) -> DataFrame:
-    """Links ``u, v`` between classes of a bucket, from ``key, id, n, class`` of its texts and ``id, h`` of their word hashes.
+def _links_in_mixed_buckets(placed: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
+    """Links ``u, v`` between classes of a bucket, from ``key, id, n, class`` of its texts and ``id, names`` of their shingles.
 
     A bucket is cut into tiles of about TILE words: a large class fills tiles of
     its own, small classes share tiles. Tiles of one and the same class never
@@ -243,7 +256,7 @@ def _links_in_mixed_buckets(placed: DataFrame, hashes: DataFrame, similarity: fl
     solo = F.col("tiles").isNotNull()
     slot = F.when(solo, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(F.pmod(F.xxhash64("class"), F.col("rest")))
     held = placed.join(cut, ["key", "class"]).select("key", "id", "class", "lanes", F.struct(solo.alias("solo"), F.when(solo, F.col("class")).otherwise(0).alias("owner"), slot.alias("slot")).alias("tile"))
-    tiles = held.join(hashes, "id").groupBy("key", "lanes", "tile").agg(F.collect_list(F.struct("id", "class", "h")).alias("a"))
+    tiles = held.join(named, "id").groupBy("key", "lanes", "tile").agg(F.collect_list(F.struct("id", "class", "names")).alias("a"))
     left = tiles.select("key", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "tile", "a")
     right = tiles.select("key", F.pmod(F.hash("tile"), F.col("lanes")).alias("lane"), F.col("tile").alias("other"), F.col("a").alias("b"))
     one_class = F.col("tile.solo") & F.col("other.solo") & (F.col("tile.owner") == F.col("other.owner"))
@@ -306,8 +319,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     placed = materialize(crowded.join(joined, crowded["id"] == joined["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("class")))
     mixed = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
     asked = placed.join(mixed, "key", "left_semi").select("id").distinct()
-    hashes = texts.join(asked, "id", "left_semi").select("id", hashed(words(F.col("text"))).alias("h"))
-    more = materialize(_links_in_mixed_buckets(placed, hashes, similarity).select(*oriented(F.col("u"), F.col("v"))).distinct())
+    sets = texts.join(asked, "id", "left_semi").select("id", names(hashed(words(F.col("text")))).alias("names"))
+    more = materialize(_links_in_mixed_buckets(placed, sets, similarity).select(*oriented(F.col("u"), F.col("v"))).distinct())
     if not more.isEmpty():
         joined = components(linked.unionAll(more))
 
