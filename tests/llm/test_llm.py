@@ -229,6 +229,22 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(errors)) < 0.01 and np.std(errors) < 0.03
 
 
+def test_signatures_do_not_depend_on_the_slice():
+    rng = np.random.default_rng(90)
+    own = [rng.integers(0, 2**63, n).astype(np.uint64) for n in (3, 10, 40, 400)]
+    weights = [rng.integers(1, 4, len(e)) if len(e) == 40 else np.ones(len(e), np.int64) for e in own]
+
+    def keys(others):
+        e = np.concatenate([*own, rng.integers(0, 2**63, others).astype(np.uint64)])
+        n = np.concatenate([*weights, np.ones(others, np.int64)])
+        doc = np.concatenate([np.repeat(np.arange(4), [len(x) for x in own]), 4 + np.arange(others) // 500])
+        return neardup.band_keys(neardup.bag_min_hash(doc, e, n, 4 + -(-others // 500), 125), 25, 5)[:4]
+
+    alone = keys(0)
+    for others in (1_000, 20_000, 240_000):
+        assert (keys(others) == alone).all(), others
+
+
 def test_near_duplicates_equal_brute_force(spark, texts):
     draw = random.Random(9)
     some = dict(list(texts.items())[:120])

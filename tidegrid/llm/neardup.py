@@ -86,7 +86,8 @@ def bag_min_hash(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, docs:
         ahead = min(64, max(1, 40_000 // len(doc))) if units else 1  # several points at once where few processes are left
         steps = state[:, None] + _STEP * np.arange(1, ahead + 1, dtype=np.uint64)
         drawn = _mix(steps)
-        times = time[:, None] + np.cumsum(-np.log1p(-_unit(drawn)), axis=1) / width[:, None]
+        gaps = -np.log1p(-_unit(drawn)) / width[:, None]
+        times = np.cumsum(np.column_stack([time, gaps]), axis=1)[:, 1:]  # added one by one from 0, so the last bit doesn't depend on ahead
         settled = first.reshape(docs, places).max(axis=1)
         row, col = np.nonzero(times < settled[doc][:, None])
         other = _mix(drawn[row, col] ^ _STEP)
