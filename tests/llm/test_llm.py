@@ -282,6 +282,28 @@ def test_base_spans_equal_the_patterns(texts):
         assert pii.base_spans(text) == plain_email(text) + plain_rest(text), text
 
 
+def test_regions_hold_every_candidate_whole(texts):
+    prose = "one two three four five six seven eight nine ten eleven twelve".split()
+    cut = ["call 4711 or, " + " ".join((prose * 3)[:n]) + " 020 7946 0958 tonight" for n in range(36)]
+    dense = [" ".join(["020 7946 0958"] * n) for n in (1, 9, 60)] + ["4711" + ", x" * 200 + " 020" + "-7946" * 3, "a b 1.2.3.4 ... c 12"]
+    for text in [*cut, *dense, *texts.values()]:
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        runs, own = [], []
+        for t in tokens:
+            if own and t[0] - own[-1][1] > 3:
+                runs, own = [*runs, own], []
+            own.append(t)
+        whole = set()
+        for run in [*runs, own]:
+            if run and pii._MARK.search(text, run[0][0], run[-1][1]):
+                ends = ((a, run[j][1]) for i, (a, _) in enumerate(run) for j in range(i, min(len(run), i + pii.LONGEST)))
+                whole |= {(a, b) for a, b in ends if re.search("[0-9@]", text[a:b])}
+        own = pii.regions(text)
+        got = [(r[i][0], r[j - 1][1]) for r in own for i, j, _ in pii._lattice(text, r)]
+        assert len(got) == len(set(got)) and set(got) == whole, text[:100]
+        assert all(x[-1][1] <= y[0][0] for x, y in zip(own, own[1:]))
+
+
 def test_spans_stay_and_never_overlap(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     weights = pii.train(docs)

@@ -1,8 +1,9 @@
 """Personal data by a semi-Markov conditional random field.
 
-Plain patterns give the base spans. Around digits and at-signs a text is cut
-into regions of tokens; every run of up to ``LONGEST`` tokens of a region is a
-candidate segment. Features of whole candidates (digit counts, check sums,
+Plain patterns give the base spans. Beside them, every segment of up to
+``LONGEST`` neighbouring tokens that holds a digit or an at-sign is a candidate.
+A text's regions are the stretches that such segments cover; stretches that
+overlap are one region, of any length, so none is cut. Features of whole candidates (digit counts, check sums,
 separators, what stands before) give each type a score, and a dynamic programme
 over the region chooses boundaries and types jointly. Weights are learned by
 gradient ascent on the segmentations' likelihood, with the base spans of a
@@ -12,6 +13,7 @@ bounded sample as labels. Base spans stay; the method adds what it finds beside
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import table
 
 KINDS = ("email", "ip", "card", "phone")
-#: Tokens of the longest entity, and of the longest region; longer regions are cut at a gap.
-LONGEST, REGION = 7, 24
+#: Tokens of the longest entity, and the most characters between neighbouring tokens of a run.
+LONGEST, GAP = 7, 3
 #: Documents, about, that training regions are drawn from, and regions that the model is fitted on.
 SAMPLE_DOCS, SAMPLE_REGIONS = 20_000, 240
 EPOCHS, RATE, DECAY = 25, 0.15, 0.002
@@ -37,6 +39,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[A-Za-z0-9._%+-]*[A-Za-z_%][A-Za-z0-9._%+-]*|@")
 _MARK = re.compile(r"[0-9]{2,}|@")
+_HELD = re.compile(r"[0-9]+|@")
 _HINTS = {"email": re.compile(r"mail", re.I), "ip": re.compile(r"\bip\b|host|addr", re.I), "card": re.compile(r"card|visa|iban|pay", re.I), "phone": re.compile(r"phone|tel|call|fax|mobil", re.I)}
 
 
@@ -74,27 +77,29 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def regions(text: str) -> list[list[tuple[int, int]]]:
-    """Runs of tokens no more than three characters apart that hold two digits in a row or an at-sign."""
-    found, last = [], 0
-    for mark in _MARK.finditer(text):
-        if mark.start() < last:
+    """Tokens of each region, in order.
+
+    A run is tokens no more than GAP characters apart; runs without two digits in
+    a row or an at-sign have no regions. A candidate lies whole in one region, so
+    the best segmentations of the regions are that of the whole run.
+    """
+    if not _MARK.search(text):
+        return []
+    tokens = [m.span() for m in _TOKEN.finditer(text)]
+    begins = [a for a, _ in tokens]
+    breaks = [0, *(i for i, (x, y) in enumerate(zip(tokens, tokens[1:]), 1) if y[0] - x[1] > GAP), len(tokens)]
+    marked = {bisect_right(breaks, bisect_right(begins, m.start()) - 1) for m in _MARK.finditer(text)}
+    found: list[list[int]] = []
+    for m in _HELD.finditer(text):
+        at = bisect_right(begins, m.start()) - 1
+        if (run := bisect_right(breaks, at)) not in marked:
             continue
-        left = max(last, mark.start() - 64)
-        run: list[tuple[int, int]] = []
-        for m in _TOKEN.finditer(text, left, min(len(text), mark.end() + 256)):
-            if run and m.start() - run[-1][1] > 3:
-                if run[-1][1] > mark.start():
-                    break
-                run = []
-            run.append(m.span())
-            if len(run) == REGION:
-                if run[-1][1] >= mark.end():
-                    break
-                run = run[1:]
-        if run:
-            found.append(run)
-            last = max(run[-1][1], mark.end())
-    return found
+        first, last = max(breaks[run - 1], at - LONGEST + 1), min(breaks[run], at + LONGEST)
+        if found and first < found[-1][1]:
+            found[-1][1] = last
+        else:
+            found.append([first, last])
+    return [tokens[first:last] for first, last in found]
 
 
 def features(text: str, start: int, end: int) -> list[int]:
@@ -121,7 +126,9 @@ N_FEATURES = 23 + len(_HINTS)
 
 
 def _lattice(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
-    return [(i, j, features(text, run[i][0], run[j - 1][1])) for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST) + 1)]
+    """The candidates ``first, end, features`` of a region."""
+    held = [bool(_HELD.search(text, a, b)) for a, b in run]
+    return [(i, j, features(text, run[i][0], run[j - 1][1])) for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST) + 1) if any(held[i:j])]
 
 
 def fit(sample: list[tuple[str, list[tuple[int, int]], list[tuple[str, int, int]]]]) -> np.ndarray:
