@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidegrid.functions import expressions as E
 from tidegrid.operators import cells, features, forecast, graph, trips
+from tidegrid.operators import clustering as K
 
 
 def trip_rows(spark, rows):
@@ -86,3 +87,24 @@ def test_skellam_mass_sums_to_one(spark):
     df = spark.range(-30, 31).select(F.col("id").alias("d"), F.lit(2.5).alias("a"), F.lit(4.0).alias("b"))
     lp = df.select(E.skellam_logpmf(F.col("d"), F.col("a"), F.col("b")).alias("lp"), E.skellam_cdf(F.col("d"), F.col("a"), F.col("b")).alias("c")).orderBy("c").collect()
     assert abs(sum(np.exp(r.lp) for r in lp) - 1) < 1e-9 and abs(lp[-1].c - 1) < 1e-9
+
+
+def test_silhouette_in_blocks_is_exact(spark):
+    draw = np.random.default_rng(4)
+    rows = [(i, i % 4 if i else 99, float(a), float(b)) for i, (a, b) in enumerate(draw.normal(size=(90, 2)) + np.arange(90)[:, None] % 4)]
+    points = spark.createDataFrame(rows, "station_id long, cluster_id long, lat double, lon double")
+    xy, of = np.array([r[2:] for r in rows]), np.array([r[1] for r in rows])
+    d, want = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)), {}
+    for i, c in enumerate(of):
+        means = {k: d[i, (of == k) & (np.arange(90) != i)].mean() for k in set(of) if k != c or (of == k).sum() > 1}
+        b = min(v for k, v in means.items() if k != c)
+        want[i] = (b - means[c]) / max(means[c], b) if c in means else 0.0
+    for block in (90, 20, 7):
+        got = {r.station_id: r.silhouette for r in K.silhouette(points, "lat", "lon", block).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want), block
+
+
+def test_silhouette_of_more_than_10_000_points(spark):
+    points = spark.range(10_001).select(F.col("id").alias("station_id"), (F.col("id") % 2).alias("cluster_id"), (F.col("id") % 2 * 10.0).alias("lat"), F.lit(1.0).alias("lon"))
+    got = K.silhouette(points, "lat", "lon").agg(F.count("*").alias("n"), F.min("silhouette").alias("low")).first()
+    assert (got.n, got.low) == (10_001, 1.0)

@@ -54,13 +54,27 @@ def size_histogram(sizes: DataFrame, size: str) -> DataFrame:
     return sizes.groupBy(name.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def silhouette(points: DataFrame, x: str, y: str) -> DataFrame:
-    """Exact Euclidean silhouette of each point, for dimensions of at most 10,000 points (checked); singletons score 0."""
-    if (n := points.count()) > 10_000:
-        raise ValueError(f"{n} points: use ClusteringEvaluator")
-    other = F.broadcast(points.select(F.col("station_id").alias("o"), F.col("cluster_id").alias("oc"), F.col(x).alias("ox"), F.col(y).alias("oy")))
+def silhouette(points: DataFrame, x: str, y: str, block: int = 10_000) -> DataFrame:
+    """Exact Euclidean silhouette of each point; singletons score 0.
+
+    Up to ``block`` points one side is broadcast. Beyond, points are dealt to
+    blocks of about that many, and each pair of blocks is one key of a join.
+    All pairs are compared, so the time grows with the square of the points.
+    """
+    own = points.select("station_id", "cluster_id", x, y)
+    other = points.select(F.col("station_id").alias("o"), F.col("cluster_id").alias("oc"), F.col(x).alias("ox"), F.col(y).alias("oy"))
     d = F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2))
-    means = points.join(other, F.col("station_id") != F.col("o")).groupBy("station_id", "cluster_id", "oc").agg(F.avg(d).alias("d"))
+    apart = F.col("station_id") != F.col("o")
+    if (n := points.count()) <= block:
+        pairs = own.join(F.broadcast(other), apart)
+    else:
+        blocks = -(-n // block)
+        of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        left = own.withColumn("_u", of("station_id")).withColumn("_v", every)
+        right = other.withColumn("_v", of("o")).withColumn("_u", every)
+        pairs = left.join(right, ["_u", "_v"]).where(apart)
+    means = pairs.groupBy("station_id", "cluster_id", "oc").agg(F.avg(d).alias("d"))
     both = means.groupBy("station_id").agg(F.min(F.when(F.col("cluster_id") == F.col("oc"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster_id") != F.col("oc"), F.col("d"))).alias("b"))
     return both.select("station_id", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
 
