@@ -1,8 +1,8 @@
 """A training-data pipeline: five stages over ``documents``, each written as Parquet and read again.
 
 1. Language identification: rows without a letter to judge by are rejected.
-2. Near-duplicates: of each class the document with the least doc_id stays.
-3. Decontamination: documents that hold a benchmark phrase go.
+2. Near-duplicates: of each class the row with the least doc_id stays.
+3. Decontamination: rows that hold a benchmark phrase go.
 4. Secret scans: secrets are masked in the text; the documents stay.
 5. Byte-level BPE: token ids, and the text decoded from them.
 """
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, decontaminate, langid, neardup, secrets
-from tidegrid.llm.common import materialize, table
+from tidegrid.llm.common import WORD, materialize, table
 
 MASK = "[secret]"
 
@@ -27,20 +27,33 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.where(langid.predict(docs["text"], profiles)["lang"] != "und")
 
 
-def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("doc_id").alias("_kept")), docs["doc_id"].eqNullSafe(F.col("_kept")), "left_semi")
+def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows, each with a written ``_row`` of its own; and ``doc_id, text`` with that key in the place of the id, which may be null or repeated."""
+    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
+    return rows, rows.select(F.col("_row").alias("doc_id"), "text")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least doc_id of each class; rows that repeat it are one document, of which one row stays."""
-    classes = neardup.near_duplicates(docs)
-    return _of_ids(docs, classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))).dropDuplicates(["doc_id", "text"])
+    """Keeps one row of each class, of the least doc_id; null ids come last.
+
+    Classes are of rows, whatever their ids. Rows without words have no class;
+    of those that repeat both id and text one stays, unless the id is null.
+    """
+    rows, texts = _keyed(docs)
+    classes = neardup.near_duplicates(texts).select(F.col("doc_id").alias("_row"), "class_id")
+    worded = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
+    alone = F.when(~worded & F.col("doc_id").isNotNull(), F.struct("doc_id", F.sha2("text", 256).alias("digest"))).alias("alone")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "_row").alias("order")
+    members = rows.select("_row", alone, order).join(classes, "_row")
+    kept = members.groupBy("alone", F.when(F.col("alone").isNull(), F.col("class_id"))).agg(F.min("order").alias("first")).select("first._row")
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["_hit"]), "left_anti")
+    """Drops the rows that hold a benchmark phrase, and no others that share their id."""
+    rows, texts = _keyed(docs)
+    hit = decontaminate.contamination(texts, table(spark, sf_dir, "benchmark")).where("contaminated")
+    return rows.join(hit.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
