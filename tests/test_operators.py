@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegrid.functions import expressions as E
-from tidegrid.operators import cells, features, forecast, graph, trips
+from tidegrid.operators import cells, features, forecast, graph, metrics, trips
 from tidegrid.operators import clustering as K
+from tidegrid.sources import sinks
 
 
 def trip_rows(spark, rows):
@@ -67,12 +68,24 @@ def test_graph_is_symmetric_and_ties_go_low(spark):
     assert both == {(b, a) for a, b in both}
 
 
-def test_grid_search_equals_all_pairs(spark, monkeypatch):
+def km(a, b):
+    (lat1, lon1), (lat2, lon2) = np.radians(a), np.radians(b)
+    return 2 * 6371.0 * np.arcsin(np.sqrt(np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2))
+
+
+@pytest.mark.parametrize("middle, crowded", [((0.0, 0.0), 256), ((0.0, 0.0), 4), ((-34.6, 180.0), 4), ((89.7, 0.0), 4), ((60.0, -179.99), 2)])
+def test_grid_search_equals_all_pairs(spark, monkeypatch, middle, crowded):
     rng = np.random.default_rng(3)
-    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-0.1, 0.1, (80, 2)))], "station_id long, lat double, lon double")
-    whole = sorted(graph.knn_pairs(p, 4, 3.0).select("src", "dst").collect())
-    monkeypatch.setattr(graph, "ALL_PAIRS", 10)
-    assert sorted(graph.knn_pairs(p, 4, 3.0).select("src", "dst").collect()) == whole
+    near = rng.normal(0, 0.02, (60, 2)) + rng.choice([-0.05, 0.05], (60, 1))
+    places = [(max(-90.0, min(90.0, middle[0] + a)), (middle[1] + b * 2 + 180) % 360 - 180) for a, b in [*near, *rng.uniform(-0.1, 0.1, (40, 2))]]
+    p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(places)] + [(None, 0.0, 0.0), (500, None, 0.0)], "station_id long, lat double, lon double")
+    monkeypatch.setattr(graph, "CROWDED", crowded)
+    want = set()
+    for i, a in enumerate(places):
+        ranked = sorted((round(float(km(a, b)), 9), j) for j, b in enumerate(places) if j != i)
+        want |= {(i, j) for d, j in ranked[:4] if d <= 3.0}
+    assert {(r.src, r.dst) for r in graph.knn_pairs(p, 4, 3.0).collect()} == want
+    assert graph.knn_pairs(p.where("false"), 4, 3.0).count() == 0
 
 
 def test_poisson_fit_recovers_rates(spark):
@@ -108,3 +121,65 @@ def test_silhouette_of_more_than_10_000_points(spark):
     points = spark.range(10_001).select(F.col("id").alias("station_id"), (F.col("id") % 2).alias("cluster_id"), (F.col("id") % 2 * 10.0).alias("lat"), F.lit(1.0).alias("lon"))
     got = K.silhouette(points, "lat", "lon").agg(F.count("*").alias("n"), F.min("silhouette").alias("low")).first()
     assert (got.n, got.low) == (10_001, 1.0)
+
+
+def test_feature_table_has_all_columns(spark):
+    t = dt.datetime(2024, 1, 1, 8, 10)
+    lab = trip_rows(spark, [(1, 3, t, t, 60.0, None, None, "FIT"), (1, 2, t, t + dt.timedelta(hours=30), 90.0, "MALE", 25, "ICONIC")])
+    sky = lab.withColumns({c: F.lit(2.5) for c in features.WEATHER_MEANS} | {c: F.lit(True) for c in features.WEATHER_FLAGS})
+    centers = spark.createDataFrame([(10, 1.0, 2.0, 2), (20, 3.0, 4.0, 1)], "cluster_id int, lat double, lon double, station_count long")
+    whole = features.cluster_features(sky, centers)
+    assert len(whole.columns) == 476 and len(set(whole.columns)) == 476
+    kept = features.prune_leakage(whole)
+    numeric = [c for c in kept.columns if c not in ("cluster_id", "ts_start")]
+    assert len(numeric) == 98
+    summary = features.node_summary(kept, "cluster_id", numeric, [])
+    assert len(summary.columns) - 1 == 196
+    rows = {(r.cluster_id, r.ts_start): r for r in whole.where("dep_internal_count + dep_external_count + weather_data_available > 0").collect()}
+    slot = rows[10, dt.datetime(2024, 1, 1, 8)]
+    assert (slot.dep_internal_count, slot.dep_external_count, slot.dep_internal_precipitation_mean, slot.dep_external_heavy_rain_count, slot.temperature_2m_mean, slot.is_raining) == (1, 1, 2.5, 1, 2.5, 1)
+    assert whole.agg(F.max("ts_start")).first()[0] == dt.datetime(2024, 1, 1, 9)
+    assert features.cluster_features(sky, centers, late_arrivals=True).agg(F.max("ts_start"), F.sum("arr_internal_count")).first()[:] == (dt.datetime(2024, 1, 2, 15), 1)
+
+
+def test_a_finished_stage_is_read_again(spark):
+    path, built = sinks.scratch(spark), []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    for parameters in ({"a": 1}, {"a": 1}, {"a": 2}, {"a": 1}):
+        assert sinks.stage(spark, path, parameters, build).count() == 3
+    assert len(built) == 2
+
+
+def test_ranks_by_band_equal_whole_sorts(spark):
+    draw = np.random.default_rng(5)
+    rows = [(g, float(x)) for g in range(3) for x in np.round(draw.beta(2, 5, 200 if g else 1), 2)]
+    got = {r.g: r.max_gap for r in metrics.pit_gap(spark.createDataFrame(rows, "g long, pit double"), "g", "pit").collect()}
+    for g in range(3):
+        own = np.sort([x for k, x in rows if k == g])
+        assert abs(got[g] - np.abs(own - np.linspace(0, 1, len(own))).max()) < 1e-9 if len(own) > 1 else got[g] == own[0]
+    keys = spark.createDataFrame([(f"k{i % 700:04}",) for i in range(2000)] + [(None,)], "k string")
+    assert [(r.k, r.idx) for r in trips.dense_index(keys, "k").orderBy("k").collect()] == [(f"k{i:04}", i) for i in range(700)]
+
+
+def test_pairs_of_models_per_entity_and_fold(spark):
+    rng = np.random.default_rng(6)
+    rows = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=30 * i), float(x := rng.uniform()), int(rng.poisson(np.exp(0.5 + x))), int(rng.poisson(np.exp(1 - x)))) for s in ("a", "b") for i in range(400)]
+    folded = features.folds(spark.createDataFrame(rows, "station string, ts timestamp_ntz, x double, up long, down long"), "station", "ts", 3)
+    made = forecast.poisson_pair_per_entity(folded, "station", "ts", ["x"], "up", "down")
+    assert made.count() == 600
+    got = forecast.skellam_baseline(made, "up", "down", "station", "fold").collect()
+    assert len(got) == 6 and all(r.n_dropped == 0 and r.n == 100 and 0 < r.r2 < 1 and r.max_gap < 0.3 for r in got)
+
+
+def test_propagation_over_several_hops(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 1), (2, 3), (3, 2)], "src long, dst long")
+    nodes = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, 0.0), (4, 5.0)], "station_id long, v double")
+    a = np.eye(4) + np.array([[0, 1, 0, 0], [1, 0, 1, 0], [0, 1, 0, 0], [0, 0, 0, 0]])
+    d = np.diag(a.sum(0) ** -0.5)
+    want = np.linalg.matrix_power(d @ a @ d, 3) @ [1.0, 0.0, 0.0, 5.0]
+    got = {r.station_id: r.v_prop for r in graph.propagate(edges, nodes, "v", 3).collect()}
+    assert np.allclose([got[i] for i in (1, 2, 3, 4)], want)

@@ -42,6 +42,20 @@ def calendar(ts: str = "ts_start") -> list[Column]:
     return out + [flag(c).alias(name) for name, c in flags.items()]
 
 
+def business_flags(ts: str = "ts_start") -> list[Column]:
+    """Pay days (the first five of a month), the vacation season (January, February, July), and rush hours of working days."""
+    rush = (F.hour(ts).between(7, 9) | F.hour(ts).between(17, 19)) & ~iso_weekday(ts).isin(6, 7)
+    return [flag(F.dayofmonth(ts) <= 5).alias("payday_flag"), flag(F.month(ts).isin(1, 2, 7)).alias("vacation_season"), flag(rush).alias("peak_commute")]
+
+
+def weather_flags(temperature: str = "temperature_2m", feels: str = "apparent_temperature", rain: str = "precipitation", wind: str = "wind_speed_10m") -> list[Column]:
+    """Bands of temperature (10, 15 to 25, 30 degrees), rain (4 mm) and wind (20, 40 km/h), how much colder or warmer it feels, and a comfort index of 0 to 3."""
+    t, r, w = F.col(temperature), F.col(rain), F.col(wind)
+    mild, dry, calm = t.between(15, 25), r <= 0, w < 20
+    bands = {"temp_very_hot": t > 30, "temp_cold": t < 10, "temp_comfortable": mild, "is_raining": r > 0, "heavy_rain": r > 4, "light_rain": (r > 0) & (r <= 4), "moderate_wind": (w >= 20) & (w < 40), "strong_wind": w >= 40}
+    return [flag(c).alias(name) for name, c in bands.items()] + [(F.col(feels) - t).alias("temp_feel_diff"), (flag(mild) + flag(dry) + flag(calm)).alias("weather_comfort")]
+
+
 def age_flags(age: Column) -> list[Column]:
     """A null age falls in no bin."""
     known = F.coalesce(age.isNotNull(), F.lit(False))

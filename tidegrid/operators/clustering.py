@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -13,9 +15,7 @@ from ..functions.expressions import haversine_km
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     """Zero mean and unit population deviation; a constant column becomes 0."""
-    stats = df.agg(*(x for c in columns for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))))
-    z = {f"{c}_z": F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_m"), F.nullif(F.col(f"{c}_s"), F.lit(0.0))), F.lit(0.0)) for c in columns}
-    return df.crossJoin(stats).withColumns(z).select(*df.columns, *z)
+    return standardize_by(df, df, columns)
 
 
 def centroids(stations: DataFrame) -> DataFrame:
@@ -79,6 +79,21 @@ def silhouette(points: DataFrame, x: str, y: str, block: int = 10_000) -> DataFr
     return both.select("station_id", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
 
 
+def coord_features(points: DataFrame, columns=("lat", "lon"), waves=(1, 2)) -> DataFrame:
+    """Each coordinate scaled to an angle of one turn between its least and greatest value, and the sine and cosine of its multiples; 0 and 1 where it is constant."""
+    ends = points.agg(*(x for c in columns for x in (F.min(c).alias(f"{c}_lo"), F.max(c).alias(f"{c}_hi"))))
+    angle = lambda c: 2 * math.pi * F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_lo"), F.col(f"{c}_hi") - F.col(f"{c}_lo")), F.lit(0.0))
+    made = {f"{c}_{name}_{k}": f(k * angle(c)) for c in columns for k in waves for name, f in (("sin", F.sin), ("cos", F.cos))}
+    return points.crossJoin(ends).withColumns(made).drop(*(f"{c}_{end}" for c in columns for end in ("lo", "hi")))
+
+
+def standardize_by(train: DataFrame, df: DataFrame, columns: list[str]) -> DataFrame:
+    """As ``standardize``, with the mean and deviation of ``train``."""
+    stats = train.agg(*(x for c in columns for x in (F.avg(c).alias(f"{c}_m"), F.stddev_pop(c).alias(f"{c}_s"))))
+    z = {f"{c}_z": F.coalesce(F.try_divide(F.col(c) - F.col(f"{c}_m"), F.nullif(F.col(f"{c}_s"), F.lit(0.0))), F.lit(0.0)) for c in columns}
+    return df.crossJoin(stats).withColumns(z).select(*df.columns, *z)
+
+
 def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=columns, outputCol="features").transform(df)
 
@@ -92,12 +107,16 @@ def fit_kmeans(stations: DataFrame, k: int, columns: list[str], seeds: int = 10,
         data.unpersist()
 
 
-def k_sweep(stations: DataFrame, ks: list[int], columns: list[str]) -> DataFrame:
-    """``k, inertia, silhouette`` of a fit for each k."""
+#: Numbers of clusters that a sweep tries: 2 to 250, coarser as they grow.
+SWEEP = (2, 5, 10, 20, 35, 50, 75, 93, 125, 175, 250)
+
+
+def k_sweep(stations: DataFrame, columns: list[str], ks=SWEEP, seed: int = 42, max_iter: int = 300) -> DataFrame:
+    """``k, inertia, silhouette`` of a fit for each k below the number of points."""
     data = _vectors(stations, columns).cache()
-    rows = []
-    for k in ks:
-        model = KMeans(k=k, seed=42, maxIter=50).fit(data)
+    rows, n = [], data.count()
+    for k in (k for k in ks if k < n):
+        model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
         rows.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(data)))))
     data.unpersist()
     return stations.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")

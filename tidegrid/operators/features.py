@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
+from . import cells as C
+
 LAGS = (1, 2, 4, 8)
 ROLLING = (4, 8, 24)
 #: Features of a cluster that get lags; fixed values of the feature table.
@@ -41,6 +44,54 @@ def add_lags(grid: DataFrame, columns, entity: str = "cluster_id", ts: str = "ts
     return grid.select("*", *lag_columns(have, entity, ts, per_day(minutes), **options))
 
 
+def lag_flags(entity: str, ts: str, minutes: int, column: str, day: int | None = None) -> list[Column]:
+    """Whether a count was positive one slot, a day and a week ago; and, as ``history_*``, whether the grid reaches that far back at all."""
+    day = day or per_day(minutes)
+    w = Window.partitionBy(entity).orderBy(ts)
+    spans = {"short_term": 1, "daily": day, "weekly": 7 * day}
+    flags = [E.flag(F.lag(column, n, 0).over(w) > 0).alias(f"has_{name}_lags") for name, n in spans.items()]
+    return flags + [E.flag(F.row_number().over(w) > n).alias(f"history_{name}") for name, n in spans.items()]
+
+
+#: Weather columns of the feature table; fixed values. Those that the trips lack are left out.
+WEATHER_MEANS = (
+    "temperature_2m", "relative_humidity_2m", "dew_point_2m", "apparent_temperature", "precipitation", "weather_code", "pressure_msl", "cloud_cover", "cloud_cover_low", "cloud_cover_mid",
+    "cloud_cover_high", "vapour_pressure_deficit", "wind_speed_10m", "wind_direction_10m", "wind_gusts_10m", "soil_temperature_0_to_7cm", "soil_moisture_0_to_7cm", "sunshine_duration",
+    "direct_radiation", "temp_feel_diff", "weather_comfort",
+)
+WEATHER_FLAGS = ("is_day", "temp_comfortable", "temp_very_hot", "temp_cold", "is_raining", "heavy_rain", "light_rain", "strong_wind", "moderate_wind", "weather_matched")
+
+
+def cluster_features(trips: DataFrame, centers: DataFrame, minutes: int = 30, late_arrivals: bool = False) -> DataFrame:
+    """The whole feature table, one row for each cluster and slot, from classified trips and ``cluster_id, lat, lon, station_count``.
+
+    Departures and arrivals inside and across clusters with their weather, the
+    cluster's centre, calendar, the slot's weather, and the history of LAGGED.
+    Empty cells and missing weather are 0. With all weather columns it has 476
+    columns. ``late_arrivals`` lets the grid reach to the last arrival.
+    """
+    width = f"{minutes} minutes"
+    means, flags = ([c for c in names if c in trips.columns] for names in (WEATHER_MEANS, WEATHER_FLAGS))
+    keys = ["cluster_id", "ts_start"]
+    grid = C.skeleton(centers.select("cluster_id"), trips, "dep_ts", width, *(["arr_ts"] if late_arrivals else []))
+    grid = C.densify(grid, keys, *(C.cells(trips, side, width, means, flags) for side in ("dep", "arr")))
+    own = centers.select("cluster_id", F.col("lat").alias("cluster_centroid_lat"), F.col("lon").alias("cluster_centroid_lon"), F.col("station_count").alias("cluster_station_count"))
+    city = C.slot_weather(trips, "dep_ts", means, flags, width)
+    city = city.select("ts_start", *(F.col(c).alias(f"{c}_mean") for c in means), *flags, F.lit(1).alias("weather_data_available"))
+    joined = grid.join(own, "cluster_id", "left").join(city, "ts_start", "left").na.fill(0, [f"{c}_mean" for c in means] + flags + ["weather_data_available"])
+    history = lag_columns([c for c in LAGGED if c in joined.columns], "cluster_id", "ts_start", per_day(minutes))
+    return joined.select("*", *E.calendar("ts_start"), *history, *lag_flags("cluster_id", "ts_start", minutes, "dep_internal_count")[:3])
+
+
+def station_features(series: DataFrame, entity: str, ts: str, count: str, minutes: int = 30) -> DataFrame:
+    """A station's history on its dense grid: lags 1..6, the last day's mean and deviation and the ratio to that mean, and the next slot as target."""
+    w = Window.partitionBy(entity).orderBy(ts)
+    day = w.rowsBetween(-per_day(minutes), -1)
+    lagged = [F.lag(count, n).over(w).alias(f"{count}_lag_{n}") for n in range(1, 7)]
+    daily = [F.avg(count).over(day).alias("dep_ma_24h"), F.stddev_samp(count).over(day).alias("dep_std_24h"), F.try_divide(F.col(count).cast("double"), F.avg(count).over(day)).alias("dep_ratio_dt_24h")]
+    return series.select("*", *lagged, *daily, F.lead(count, 1).over(w).alias("y_next"))
+
+
 def sequences(grid: DataFrame, entity: str, ts: str, features: list[str], target: str, length: int = 24, horizon: int = 1) -> DataFrame:
     """Inputs of ``length`` slots and the targets of the next ``horizon``; only whole ones. No ceiling on their number."""
     w = Window.partitionBy(entity).orderBy(ts)

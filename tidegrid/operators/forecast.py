@@ -6,13 +6,19 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import expressions as E
+from . import metrics as M
+
 
 def _assembled(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip").transform(df)
+    """Missing features count as 0, so no row is lost."""
+    whole = df.withColumns({c: F.coalesce(F.when(~F.isnan(c), F.col(c).cast("double")), F.lit(0.0)) for c in features})
+    return VectorAssembler(inputCols=features, outputCol="features").transform(whole)
 
 
 def poisson_global(train: DataFrame, test: DataFrame, features: list[str], target: str, penalty: float = 1e-4) -> DataFrame:
@@ -59,6 +65,43 @@ def poisson_per_entity(df: DataFrame, entity: str, features: list[str], target:
     return df.select(entity, *features, target).groupBy(entity).applyInPandas(fit, f"{entity} {kind}, n long, intercept double, weights array<double>, deviance double, failed string")
 
 
+def poisson_pair_per_entity(folded: DataFrame, entity: str, ts: str, features: list[str], up: str, down: str, penalty: float = 1e-4) -> DataFrame:
+    """``entity, ts, fold, up, down, <up>_mean, <down>_mean, failed`` of every test row of ``fold, role``.
+
+    One pair of models for each entity and fold, fitted on the fold's train rows;
+    a group is one entity's slots in one fold, whose number the calendar bounds.
+    A failed fit gives null means and says why.
+    """
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        train, test = rows[rows.role == "train"], rows[rows.role == "test"]
+        out = test[[entity, ts, "fold", up, down]].copy()
+        out["failed"] = None
+        for target in (up, down):
+            try:
+                beta = _irls(train[features].to_numpy(float), train[target].to_numpy(float), penalty)
+                out[f"{target}_mean"] = np.exp(np.clip(np.column_stack([np.ones(len(test)), test[features].to_numpy(float)]) @ beta, -20, 20))
+            except (np.linalg.LinAlgError, ValueError) as e:
+                out[f"{target}_mean"], out["failed"] = np.nan, str(e)
+        return out[[entity, ts, "fold", up, down, f"{up}_mean", f"{down}_mean", "failed"]]
+
+    kinds = dict(folded.dtypes)
+    made = f"{entity} {kinds[entity]}, {ts} {kinds[ts]}, fold int, {up} {kinds[up]}, {down} {kinds[down]}, {up}_mean double, {down}_mean double, failed string"
+    slim = folded.select(entity, ts, "fold", "role", *features, up, down).na.fill(0.0, features)
+    return slim.groupBy(entity, "fold").applyInPandas(fit, made)
+
+
+def skellam_baseline(forecast: DataFrame, up: str, down: str, *by: str) -> DataFrame:
+    """Per group: errors of the net flow, its log-likelihood and PIT gap, and how many rows the intensity guard dropped."""
+    guarded = guard_intensity(forecast, f"{up}_mean", f"{down}_mean").withColumns({"_delta": F.col(up) - F.col(down), "_up": F.col(f"{up}_mean"), "_down": F.col(f"{down}_mean"), "_mean": F.col(f"{up}_mean") - F.col(f"{down}_mean")})
+    dropped = guarded.groupBy(*by).agg(F.count_if(~F.col("usable")).alias("n_dropped"))
+    used = guarded.where("usable").withColumns({"_lp": E.skellam_logpmf(F.col("_delta"), F.col("_up"), F.col("_down")), "_pit": E.skellam_cdf(F.col("_delta"), F.col("_up"), F.col("_down"))})
+    used = used.withColumn("_unit", F.concat_ws("|", *(F.col(c).cast("string") for c in by)))
+    errors = M.regression_metrics(used, "_delta", "_mean", *by, "_unit")
+    likely = used.groupBy("_unit").agg(F.sum("_lp").alias("loglik"))
+    return dropped.join(errors.join(likely, "_unit").join(M.pit_gap(used, "_unit", "_pit"), "_unit"), list(by), "left").drop("_unit")
+
+
 def net_flow(df: DataFrame, up: str, down: str) -> DataFrame:
     """Mean and variance of the difference of two Poisson counts."""
     return df.withColumns({"net_mean": F.col(up) - F.col(down), "net_var": F.col(up) + F.col(down)})
@@ -80,10 +123,11 @@ def gbt_forecast(train: DataFrame, test: DataFrame, features: list[str], target:
 
 
 def activity_gate(train: DataFrame, test: DataFrame, features: list[str], target: str, threshold: float = 0.5) -> DataFrame:
-    """Classifies whether a slot is active and forecasts 0 where it isn't."""
+    """Whether a slot is active, and a forecast that is 0 where it isn't: ``p_active, gated, forecast``."""
     label = lambda df: df.withColumn("_active", (F.col(target) > 0).cast("double"))
     model = GBTClassifier(labelCol="_active", maxIter=10, maxDepth=3, seed=42).fit(_assembled(label(train), features))
     scored = model.transform(_assembled(test, features))
-    from pyspark.ml.functions import vector_to_array
-
-    return scored.withColumn("p_active", vector_to_array("probability")[1]).withColumn("gated", F.col("p_active") > threshold).drop("features", "rawPrediction", "probability", "prediction")
+    active = train.where(F.col(target) > 0)
+    level = GBTRegressor(labelCol=target, predictionCol="_level", maxIter=10, maxDepth=3, seed=42).fit(_assembled(active, features))
+    gated = level.transform(scored).withColumn("p_active", vector_to_array("probability")[1]).withColumn("gated", F.col("p_active") > threshold)
+    return gated.withColumn("forecast", F.when(F.col("gated"), F.greatest("_level", F.lit(0.0))).otherwise(0.0)).drop("features", "rawPrediction", "probability", "prediction", "_level")

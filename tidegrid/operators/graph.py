@@ -3,38 +3,79 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import haversine_km
+from ..sources.sinks import cut
 
-#: Points up to which every pair is measured; beyond, only pairs of neighbouring grid cells.
-ALL_PAIRS = 20_000
+#: Points of a cell beyond which it is searched in smaller cells.
+CROWDED = 256
+#: Halvings of a cell's side at most; points that still share a cell lie within metres of one another.
+DEPTH = 12
+
+
+def _levels(points: DataFrame, max_km: float) -> list[tuple[float, float]]:
+    """Sides in degrees of ever smaller cells, from ``max_km`` on."""
+    widest = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
+    dy = max_km / 111.0
+    if widest + dy > 89.0:  # round a pole all columns adjoin
+        return [(dy / 2**level, 360.0) for level in range(DEPTH + 1)]
+    dx = min(360.0, max_km / (111.0 * math.cos(math.radians(widest + dy))))
+    return [(dy / 2**level, dx / 2**level) for level in range(DEPTH + 1)]
+
+
+def _cells(lat: Column, lon: Column, dy: float, dx: float) -> tuple[Column, Column, int]:
+    """Row and column of a cell, and how many columns go round the globe; the last one may be wider."""
+    around = max(1, math.floor(360.0 / dx))
+    column = F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / dx), F.lit(around - 1))
+    return F.floor(lat / dy).alias("cy"), column.cast("long").alias("cx"), around
+
+
+def _near_cells(points: DataFrame, dy: float, dx: float) -> DataFrame:
+    """Each point once for each cell that adjoins its own, across the date line too."""
+    cy, cx, around = _cells(F.col("lat2"), F.col("lon2"), dy, dx)
+    columns = F.array_distinct(F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda i: F.pmod(F.col("_x") + i, F.lit(around)))) if around <= 5 else F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(F.col("_x") + i, F.lit(around)))
+    placed = points.withColumns({"_y": cy, "_x": cx})
+    return placed.withColumn("cy", F.explode(F.array(*(F.col("_y") + i for i in (-1, 0, 1))))).withColumn("cx", F.explode(columns)).drop("_y", "_x")
 
 
 def knn_pairs(points: DataFrame, k: int, max_km: float) -> DataFrame:
     """``src, dst, km``: the k nearest other points within ``max_km``; ties go to the smaller id.
 
-    Few points meet each other directly (the smaller side is broadcast, its size
-    checked first). More points are dealt to grid cells of ``max_km``, and each
-    meets only the points of its own and the adjoining cells.
+    Points meet those of their own and the adjoining cells only, whatever their
+    number. Cells are ``max_km`` wide, so nothing within it is missed. Where a
+    cell holds more than CROWDED points, the side is halved until its
+    neighbourhood is small: whoever finds k points nearer than such a cell is
+    wide needs no more; the others are searched a level up. Rows without id or
+    place are left out; longitudes wrap.
     """
     p = points.where("station_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select("station_id", "lat", "lon")
     a = p.select(F.col("station_id").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
     b = p.select(F.col("station_id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    if p.count() <= ALL_PAIRS:
-        met = a.join(F.broadcast(b), F.col("src") != F.col("dst"))
-    else:
-        widest = p.agg(F.max(F.abs("lat"))).first()[0]
-        dy, dx = max_km / 111.0, max_km / (111.0 * max(0.01, math.cos(math.radians(min(89.0, widest + 1)))))
-        cell = lambda lat, lon: (F.floor(F.col(lat) / dy).alias("cy"), F.floor(F.col(lon) / dx).alias("cx"))
-        around = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
-        near = b.select("*", *cell("lat2", "lon2")).select("*", around.alias("o")).withColumns({"cy": F.col("cy") + F.col("o.i"), "cx": F.col("cx") + F.col("o.j")})
-        met = a.select("*", *cell("lat1", "lon1")).join(near, ["cy", "cx"]).where("src <> dst")
-    km = met.select("src", "dst", haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km"))
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("km", "dst"))
-    return km.withColumn("rank", rank).where((F.col("rank") <= k) & (F.col("km") <= max_km)).drop("rank")
+    levels = _levels(p, max_km)
+
+    def met(sources: DataFrame, dy: float, dx: float) -> DataFrame:
+        cy, cx, _ = _cells(F.col("lat1"), F.col("lon1"), dy, dx)
+        km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km")
+        pairs = sources.select("*", cy, cx).join(_near_cells(b, dy, dx), ["cy", "cx"]).where("src <> dst").select("src", "dst", km)
+        rank = F.row_number().over(Window.partitionBy("src").orderBy("km", "dst"))
+        return pairs.where(F.col("km") <= max_km).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
+
+    cy, cx, _ = _cells(F.col("lat1"), F.col("lon1"), *levels[0])
+    crowd = a.groupBy(cy, cx).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = min(DEPTH, max(0, math.ceil(math.log(crowd / CROWDED, 4)))) if crowd > CROWDED else 0
+    open_, done = a, []
+    for level in range(depth, 0, -1):
+        dy, dx = levels[level]
+        found = cut(met(open_, dy, dx))
+        # a point that the adjoining cells don't hold is at least this far away
+        sure = found.where(F.col("km") < max_km / 2**level * 0.9).groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("src")
+        done.append(found.join(sure, "src", "left_semi"))
+        open_ = cut(open_.join(sure, "src", "left_anti"))
+    return reduce(DataFrame.unionByName, done, met(open_, *levels[0]))
 
 
 def undirected(pairs: DataFrame) -> DataFrame:
@@ -52,7 +93,7 @@ def neighbor_mean(edges: DataFrame, nodes: DataFrame, columns: list[str]) -> Dat
 
 
 def propagate(edges: DataFrame, nodes: DataFrame, value: str, hops: int = 1) -> DataFrame:
-    """Symmetric-normalised propagation with a self loop; each hop after the first is cut with ``checkpoint()``."""
+    """Symmetric-normalised propagation with a self loop; between hops the state is written to the shared folder."""
     degree = edges.groupBy("src").agg((F.count("*") + 1).alias("deg"))
     state = nodes.select(F.col("station_id").alias("id"), F.col(value).cast("double").alias("x")).join(degree.withColumnRenamed("src", "id"), "id", "left").na.fill(1, ["deg"])
     for hop in range(hops):
@@ -60,7 +101,7 @@ def propagate(edges: DataFrame, nodes: DataFrame, value: str, hops: int = 1) ->
         mixed = state.join(sent, "id", "left")
         state = mixed.select("id", (F.coalesce("m", F.lit(0.0)) / F.sqrt("deg") + F.col("x") / F.col("deg")).alias("x"), "deg")
         if hop + 1 < hops:
-            state = state.checkpoint()
+            state = cut(state)
     return state.select(F.col("id").alias("station_id"), F.col("x").alias(f"{value}_prop"))
 
 
@@ -76,5 +117,6 @@ def reach(edges: DataFrame, hops: int) -> DataFrame:
 
 
 def neighbor_demand(edges: DataFrame, series: DataFrame, value: str) -> DataFrame:
-    """Sum over a node's neighbours in each slot."""
-    return edges.join(series.withColumnRenamed("station_id", "dst"), "dst").groupBy(F.col("src").alias("station_id"), "ts_start").agg(F.sum(value).alias(f"near_{value}"))
+    """Sum over a node's neighbours in each slot, and the sum of the node's previous slot that has one."""
+    near = edges.join(series.withColumnRenamed("station_id", "dst"), "dst").groupBy(F.col("src").alias("station_id"), "ts_start").agg(F.sum(value).alias(f"near_{value}"))
+    return near.withColumn(f"near_{value}_lag_1", F.lag(f"near_{value}", 1).over(Window.partitionBy("station_id").orderBy("ts_start")))

@@ -46,10 +46,20 @@ def weighted_compare(df: DataFrame, mae: str, rmse: str, weight: str, global_mae
 
 
 def pit_gap(df: DataFrame, by: str, pit: str) -> DataFrame:
-    """Largest distance of a group's sorted PIT values from an even spread over 0..1."""
-    w = Window.partitionBy(by)
-    even = F.try_divide(F.row_number().over(w.orderBy(pit)) - 1, F.count("*").over(w) - 1)
-    return df.select(by, F.abs(F.col(pit) - F.coalesce(even, F.lit(0.0))).alias("gap")).groupBy(by).agg(F.max("gap").alias("max_gap"))
+    """Largest distance of a group's sorted PIT values, which lie in 0..1, from an even spread over 0..1; a single value is compared with 0.
+
+    Equal values are counted first. Ranks are running sums inside 1024 bands of
+    the value, on top of the bands' totals, so no task sorts a whole group.
+    """
+    per = df.groupBy(by, pit).agg(F.count("*").alias("c")).withColumn("band", F.floor(F.col(pit) * 1024))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bands = per.groupBy(by, "band").agg(F.sum("c").alias("total"))
+    bands = bands.select(F.col(by).alias("_by"), F.col("band").alias("_band"), before(Window.partitionBy(by).orderBy("band"), "total").alias("under"), F.sum("total").over(Window.partitionBy(by)).alias("n"))
+    joined = per.join(bands, per[by].eqNullSafe(bands["_by"]) & per["band"].eqNullSafe(bands["_band"]))
+    first = F.col("under") + before(Window.partitionBy(by, "band").orderBy(pit), "c")
+    gap = lambda rank: F.abs(F.col(pit) - F.coalesce(F.try_divide(rank, F.col("n") - 1), F.lit(0.0)))
+    placed = joined.withColumn("first", first)
+    return placed.groupBy(by).agg(F.max(F.greatest(gap(F.col("first")), gap(F.col("first") + F.col("c") - 1))).alias("max_gap"))
 
 
 def null_profile(df: DataFrame) -> DataFrame:
@@ -59,8 +69,6 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    parts = [df.agg(F.lit(c).alias("column_name"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).alias("mean"), F.median(c).cast("double").alias("median"), F.stddev_samp(c).alias("std")) for c in columns]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """``column_name, min, max, mean, median, std`` of each column, from one aggregation."""
+    of = lambda c: F.struct(F.lit(c).alias("column_name"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).cast("double").alias("mean"), F.median(c).cast("double").alias("median"), F.stddev_samp(c).alias("std"))
+    return df.agg(F.array(*map(of, columns)).alias("all")).select(F.inline("all"))

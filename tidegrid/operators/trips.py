@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import AGE_BINS, flag
+from ..sources.sinks import cut
 
 
 def dedup_users(users: DataFrame) -> DataFrame:
@@ -56,12 +57,33 @@ def check_no_leakage(df: DataFrame, ts: str) -> DataFrame:
     return bounds
 
 
-def split_hash(df: DataFrame, key, shares=(60, 20)) -> DataFrame:
-    """60/20/20 by a stable key in hundredths, whatever the partitioning."""
-    at = F.pmod(key, F.lit(100))
+def hundredth(key: Column, seed: int | None = None) -> Column:
+    """0..99, stable for a key whatever the partitioning: by a seeded hash, or without a seed by the number itself."""
+    return F.pmod(key, F.lit(100)) if seed is None else F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(100))
+
+
+def sample_rows(df: DataFrame, key: Column, per_cent: int, seed: int | None = None) -> DataFrame:
+    """About that share of the rows, the same ones each time."""
+    return df.where(hundredth(key, seed) < per_cent)
+
+
+def guard_targets(df: DataFrame, entity: str, target: str, most: float = 10_000.0) -> DataFrame:
+    """Which series hold a target beyond what is credible."""
+    return df.groupBy(entity).agg((F.max(target) > most).alias("rejected"))
+
+
+def split_hash(df: DataFrame, key: Column, shares=(60, 20), seed: int | None = None) -> DataFrame:
+    """60/20/20 by ``hundredth``."""
+    at = hundredth(key, seed)
     return df.withColumn("split", F.when(at < shares[0], "train").when(at < sum(shares), "val").otherwise("test"))
 
 
+def mark_holidays(df: DataFrame, holidays: DataFrame, ts: str) -> DataFrame:
+    """Adds ``is_holiday`` from a table of ``date``; dates that it repeats count once."""
+    days = holidays.select(F.col("date").alias("_date")).distinct()
+    return df.join(days, F.to_date(ts) == F.col("_date"), "left").withColumn("is_holiday", flag(F.col("_date").isNotNull())).drop("_date")
+
+
 def class_stats(trips: DataFrame) -> DataFrame:
     n = F.count("*")
     out = [n.alias("n_trips")]
@@ -92,6 +114,10 @@ def first_by(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """0-based index over the distinct keys, a small dimension."""
+    """0-based index over the distinct keys in their order; ranges of keys are numbered apart, on top of how many keys come before."""
     ids = df.select(key).where(F.col(key).isNotNull()).distinct()
-    return ids.select(key, (F.row_number().over(Window.orderBy(key)) - 1).alias("idx"))
+    ranged = cut(ids.repartitionByRange(F.col(key)).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1 + F.col("before")
+    return ranged.join(F.broadcast(sizes.select("_range", before.alias("before"))), "_range").select(key, at.cast("int").alias("idx"))

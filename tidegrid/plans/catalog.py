@@ -1,11 +1,11 @@
 """One query for each operator of the survey, over the given tables, with SQL of the same result.
 
-Doubles are rounded to four places on both sides.
+Doubles are rounded to four places on both sides, but for averages that may lie
+exactly between two of them.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +20,7 @@ from ..operators import graph as G
 from ..operators import metrics as M
 from ..operators import trips as T
 from ..sources import sinks, views
+from ..sources.sinks import scratch
 from ..sources.views import table, with_views
 from ..streaming import slots
 
@@ -32,9 +33,9 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 4).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, exact: bool = False):
     def add(build):
-        QUERIES[name] = lambda spark, sf: rounded(build(spark, sf))
+        QUERIES[name] = build if exact else lambda spark, sf: rounded(build(spark, sf))
         if sql:
             ORACLES[name] = with_views(sql)
         return build
@@ -42,12 +43,6 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder the cluster names, or in the warehouse where it names none."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
-
-
 def labelled(spark: SparkSession, sf: str) -> DataFrame:
     joined = T.join_users(views.trips(spark, sf), views.users(spark, sf))
     return T.classify(T.map_clusters(joined, views.station_cluster(spark, sf)))
@@ -72,9 +67,13 @@ def cluster_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    grid = cluster_grid(spark, sf)
-    grid = grid.select("*", *E.calendar("ts_start"))
-    return W.add_lags(grid, W.LAGGED, minutes=24 * 60)
+    """All features of clusters and days, with the weather of the trip's hour in the year that the weather table covers."""
+    sky = views.weather(spark, sf).select(F.date_format("hour_ts", "dd HH").alias("_hour"), "temperature_2m", "precipitation", "weather_code", F.col("is_raining"))
+    hourly = sky.groupBy("_hour").agg(F.avg("temperature_2m").alias("temperature_2m"), F.avg("precipitation").alias("precipitation"), F.max("weather_code").alias("weather_code"), F.max("is_raining").alias("is_raining"))
+    lab = labelled(spark, sf).withColumn("_hour", F.date_format("dep_ts", "dd HH")).join(F.broadcast(hourly), "_hour", "left").drop("_hour")
+    stations = views.station_cluster(spark, sf)
+    centers = stations.groupBy("cluster_id").agg(F.avg("station_id").alias("lat"), F.avg(-F.col("station_id")).alias("lon"), F.count("*").alias("station_count"))
+    return W.cluster_features(lab, centers, minutes=24 * 60)
 
 
 # --- sources and sinks
@@ -89,11 +88,24 @@ query("combine_raw", "SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment
 query("sink_features", "SELECT CASE WHEN dep_ts < TIMESTAMP '1999-01-01' THEN 'train' WHEN dep_ts < TIMESTAMP '2000-07-01' THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM v_trips GROUP BY 1")(
     lambda s, d: sinks.write_features(T.split_temporal(views.trips(s, d), "dep_ts", "1999-01-01", "2000-07-01"), scratch(s)).groupBy("split").agg(F.count("*").alias("n"))
 )
-query("stage_resume", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")(lambda s, d: sinks.stage(s, scratch(s), {"source": "events"}, lambda: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))))
-query("sink_run_metadata", "SELECT 'events' AS stage, count(*) AS n_rows, CAST(min(event_id) AS BIGINT) AS first_id FROM events")(
-    lambda s, d: sinks.write_json(table(s, d, "events").agg(F.lit("events").alias("stage"), F.count("*").alias("n_rows"), F.min("event_id").alias("first_id")), scratch(s)).select("stage", "n_rows", "first_id")
+
+
+@query("stage_resume", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _stage_resume(s: SparkSession, d: str) -> DataFrame:
+    """The second call finds the finished stage and builds nothing; other parameters would build anew."""
+
+    def again() -> DataFrame:
+        raise AssertionError("a finished stage was built again")
+
+    path, parameters = scratch(s), {"source": "events"}
+    sinks.stage(s, path, parameters, lambda: table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n")))
+    return sinks.stage(s, path, parameters, again)
+
+
+query("sink_run_metadata", """SELECT 'events' AS stage, '{"dt_minutes": 30}' AS parameters, count(*) AS n_rows, 2 AS n_columns, 'event_id,value' AS columns FROM events""")(
+    lambda s, d: sinks.write_json(sinks.run_metadata(table(s, d, "events").select("event_id", "value"), "events", {"dt_minutes": 30}), scratch(s)).select("stage", "parameters", "n_rows", "n_columns", "columns")
 )
-query("sink_metrics_csv", "SELECT event_type AS model, avg(value) AS loss_raw, round(avg(value), 4) AS loss FROM events GROUP BY 1".replace("avg(value) AS loss_raw, ", ""))(
+query("sink_metrics_csv", "SELECT event_type AS model, round(avg(value), 4) AS loss FROM events GROUP BY 1")(
     lambda s, d: sinks.write_csv(table(s, d, "events").groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("loss")), scratch(s))
 )
 query("parse_timestamp", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS parsed FROM events")(
@@ -121,13 +133,13 @@ query("fill_zero", "SELECT user_id, gender_full, coalesce(user_age, 0) AS user_a
 query("sanitize_numeric", "SELECT event_id, round(CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE greatest(value - 50, 0.0) END, 4) AS clean FROM events")(
     lambda s, d: table(s, d, "events").select("event_id", E.sanitized(F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value") - 50), 0.0).alias("clean"))
 )
-query("guard_targets", "SELECT event_type, max(value) > 200 AS rejected FROM events GROUP BY 1")(lambda s, d: table(s, d, "events").groupBy("event_type").agg((F.max("value") > 200).alias("rejected")))
+query("guard_targets", "SELECT event_type, max(value) > 200 AS rejected FROM events GROUP BY 1")(lambda s, d: T.guard_targets(table(s, d, "events"), "event_type", "value", 200))
 _LAMBDA = "SELECT user_id % 10 AS k, value / 3 AS up, value / 5 AS down FROM events"
 _lambda = lambda s, d: table(s, d, "events").select((F.col("user_id") % 10).alias("k"), (F.col("value") / 3).alias("up"), (F.col("value") / 5).alias("down"), F.col("event_id").alias("id"))
 query("guard_intensity", f"SELECT k, count(*) FILTER (WHERE NOT (up > 0 AND up <= 100 AND down > 0 AND down <= 100)) AS n_dropped, count(*) AS n FROM ({_LAMBDA}) GROUP BY 1")(
     lambda s, d: P.guard_intensity(_lambda(s, d), "up", "down").groupBy("k").agg(F.count_if(~F.col("usable")).alias("n_dropped"), F.count("*").alias("n"))
 )
-query("sample_rows", "SELECT event_id, value FROM events WHERE event_id % 100 < 20")(lambda s, d: table(s, d, "events").where(F.pmod("event_id", F.lit(100)) < 20).select("event_id", "value"))
+query("sample_rows", "SELECT event_id, value FROM events WHERE event_id % 100 < 20")(lambda s, d: T.sample_rows(table(s, d, "events"), F.col("event_id"), 20).select("event_id", "value"))
 
 # --- joins
 
@@ -136,7 +148,7 @@ query("join_users_flags", "SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.l
 )
 query("completeness_flag", "SELECT event_id, true AS in_main, value IS NOT NULL AS weather_available FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.lit(True).alias("in_main"), F.col("value").isNotNull().alias("weather_available")))
 query("missing_trips", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey"))
-query("join_weather_hour", "SELECT e.event_id, round(w.temperature_2m, 4) AS temperature_2m, w.is_raining, w.hour_ts IS NOT NULL AS weather_matched FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts AND w.is_raining = 0".replace(" AND w.is_raining = 0", ""))(
+query("join_weather_hour", "SELECT e.event_id, round(w.temperature_2m, 4) AS temperature_2m, w.is_raining, w.hour_ts IS NOT NULL AS weather_matched FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts")(
     lambda s, d: T.join_weather(table(s, d, "events"), views.weather(s, d), "ts").select("event_id", "temperature_2m", "is_raining", "weather_matched")
 )
 query("map_od_cluster", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, origin_cluster, dest_cluster FROM v_lab")(lambda s, d: T.map_clusters(views.trips(s, d), views.station_cluster(s, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "origin_cluster", "dest_cluster"))
@@ -148,7 +160,7 @@ query("densify", "SELECT event_type, ts_start, n, round(v, 4) AS v FROM v_dense"
 query("attach_centroids", "SELECT p.station_id, p.cluster_id, round(c.lat, 4) AS cluster_lat, round(c.lon, 4) AS cluster_lon, c.n AS station_count FROM v_points p LEFT JOIN (SELECT cluster_id, avg(lat) AS lat, avg(lon) AS lon, count(*) AS n FROM v_points GROUP BY 1) c USING (cluster_id)")(
     lambda s, d: K.attach_centroids(views.points(s, d), K.centroids(views.points(s, d))).select("station_id", "cluster_id", "cluster_lat", "cluster_lon", "station_count")
 )
-query("attach_slot_weather", "SELECT d.event_type, d.ts_start, round(coalesce(w.t, 0.0), 4) AS temperature_2m, CAST(w.t IS NOT NULL AS INT) AS weather_data_available FROM v_dense d LEFT JOIN (SELECT ts_start, avg(v) AS t FROM v_slots GROUP BY 1) w USING (ts_start)")(
+query("attach_slot_weather", "SELECT d.event_type, d.ts_start, coalesce(w.t, 0.0) AS temperature_2m, CAST(w.t IS NOT NULL AS INT) AS weather_data_available FROM v_dense d LEFT JOIN (SELECT ts_start, avg(v) AS t FROM v_slots GROUP BY 1) w USING (ts_start)", exact=True)(
     lambda s, d: dense(s, d).drop("v").join(slot_series(s, d).groupBy("ts_start").agg(F.avg("v").alias("t")), "ts_start", "left").select("event_type", "ts_start", F.coalesce("t", F.lit(0.0)).alias("temperature_2m"), E.flag(F.col("t").isNotNull()).alias("weather_data_available"))
 )
 _ACT = "SELECT station_id, CAST(sum(o) AS BIGINT) AS n_dep, CAST(sum(1 - o) AS BIGINT) AS n_arr, count(*) AS n_total FROM (SELECT origin_station_id AS station_id, 1 AS o FROM v_trips UNION ALL SELECT dest_station_id, 0 FROM v_trips) GROUP BY 1"
@@ -157,11 +169,11 @@ query("active_stations", f"SELECT n_nationkey, n_name FROM nation WHERE n_nation
     lambda s, d: table(s, d, "nation").select("n_nationkey", "n_name").join(T.station_activity(views.trips(s, d)).where("n_total >= 4700"), F.col("n_nationkey") == F.col("station_id"), "left_semi")
 )
 _knn = lambda s, d: G.knn_pairs(views.points(s, d), 5, 5.0)
-_edges = lambda s, d: G.undirected(_knn(s, d))
+_edges = lambda s, d: sinks.cut(G.undirected(_knn(s, d)))  # noqa: E731  written, as most queries read them twice
 query("knn_pairs", "SELECT src, dst, round(km, 4) AS km FROM v_knn")(_knn)
 _SERIES = "SELECT station_id, ts_start, n FROM (SELECT CAST(user_id AS BIGINT) AS station_id, time_bucket(INTERVAL 1 day, ts) AS ts_start, count(*) AS n FROM events GROUP BY 1, 2)"
 _series = lambda s, d: table(s, d, "events").groupBy(F.col("user_id").alias("station_id"), E.slot("ts", DAY).alias("ts_start")).agg(F.count("*").alias("n"))
-query("neighbor_demand", f"SELECT src AS station_id, ts_start, CAST(sum(n) AS BIGINT) AS near_n FROM v_edges JOIN ({_SERIES}) x ON x.station_id = dst GROUP BY 1, 2")(lambda s, d: G.neighbor_demand(_edges(s, d), _series(s, d), "n"))
+query("neighbor_demand", f"SELECT *, lag(near_n) OVER (PARTITION BY station_id ORDER BY ts_start) AS near_n_lag_1 FROM (SELECT src AS station_id, ts_start, CAST(sum(n) AS BIGINT) AS near_n FROM v_edges JOIN ({_SERIES}) x ON x.station_id = dst GROUP BY 1, 2)")(lambda s, d: G.neighbor_demand(_edges(s, d), _series(s, d), "n"))
 
 # --- aggregations
 
@@ -172,7 +184,7 @@ def _cell_sql(side: str, inside: bool) -> str:
     f = lambda more: f"count(*) FILTER (WHERE {cond} AND {more})"
     parts = [f"count(*) FILTER (WHERE {cond}) AS {p}_count", *(f"{f(f"gender = '{g.upper()}'")} AS {p}_{g}" for g in ("male", "female", "other"))]
     parts += [f"{f(f'user_age BETWEEN {a} AND {b}')} AS {p}_{n}" for n, (a, b) in E.AGE_BINS.items()]
-    parts += [f"{f('user_age IS NOT NULL')} AS {p}_age_known", f"{f("bike_model = 'ICONIC'")} AS {p}_model_iconic"]
+    parts += [f"{f('user_age IS NOT NULL')} AS {p}_age_available", f"{f("bike_model = 'ICONIC'")} AS {p}_model_iconic"]
     if side == "dep":
         parts += [f"round(coalesce(avg(duration_s) FILTER (WHERE {cond}), 0.0), 4) AS {p}_duration_mean", f"round(coalesce(stddev_samp(duration_s) FILTER (WHERE {cond}), 0.0), 4) AS {p}_duration_std"]
     return f"SELECT {cluster} AS cluster_id, time_bucket(INTERVAL 1 day, {ts}) AS ts_start, {', '.join(parts)} FROM v_lab GROUP BY 1, 2"
@@ -188,7 +200,7 @@ query("cell_weather", "SELECT e.event_type, time_bucket(INTERVAL 30 minute, e.ts
 query("activity_flags", "SELECT dest_cluster AS cluster_id, time_bucket(INTERVAL 1 day, arr_ts) AS ts_start, CAST(count(*) FILTER (WHERE is_internal) > 0 AS INT) AS has_arr_internal, CAST(count(*) FILTER (WHERE NOT is_internal) > 0 AS INT) AS has_arr_external FROM v_lab GROUP BY 1, 2")(
     lambda s, d: C.cells(labelled(s, d), "arr", DAY).select("cluster_id", "ts_start", "has_arr_internal", "has_arr_external")
 )
-query("slot_weather", "SELECT time_bucket(INTERVAL 30 minute, e.ts) AS ts_start, round(avg(w.temperature_2m), 4) AS temperature_2m, CAST(round(avg(w.is_raining)) AS INT) AS is_raining FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts GROUP BY 1")(
+query("slot_weather", "SELECT time_bucket(INTERVAL 30 minute, e.ts) AS ts_start, avg(w.temperature_2m) AS temperature_2m, CAST(round(avg(w.is_raining)) AS INT) AS is_raining FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts GROUP BY 1", exact=True)(
     lambda s, d: C.slot_weather(T.join_weather(table(s, d, "events"), views.weather(s, d), "ts"), "ts", ["temperature_2m"], ["is_raining"], "30 minutes")
 )
 query("node_summary", "SELECT event_type, round(avg(n), 4) AS n_mean, round(stddev_samp(n), 4) AS n_std, round(avg(v), 4) AS v_mean, round(stddev_samp(v), 4) AS v_std, round(avg(n), 4) AS target_n FROM v_dense GROUP BY 1")(lambda s, d: W.node_summary(dense(s, d), "event_type", ["n", "v"], ["n"]))
@@ -201,7 +213,9 @@ query("cluster_sizes", "SELECT min(c) AS min_size, max(c) AS max_size, round(avg
 query("size_histogram", "SELECT CASE WHEN c <= 0 THEN '0' WHEN c = 1 THEN '1' WHEN c <= 4 THEN '2-4' WHEN c <= 9 THEN '5-9' WHEN c <= 19 THEN '10-19' ELSE '20+' END AS bucket, count(*) AS n FROM (SELECT count(*) AS c FROM orders GROUP BY o_custkey) GROUP BY 1")(
     lambda s, d: K.size_histogram(table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("c")), "c")
 )
-query("describe_numeric", "SELECT 'value' AS column_name, min(value) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(median(value), 4) AS median, round(stddev_samp(value), 4) AS std FROM events".replace("min(value) AS min, max(value) AS max", "round(min(value), 4) AS min, round(max(value), 4) AS max"))(lambda s, d: M.describe(table(s, d, "events"), ["value"]))
+query("describe_numeric", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std FROM events" for c in ("value", "user_id")))(
+    lambda s, d: M.describe(table(s, d, "events"), ["value", "user_id"])
+)
 query("duration_by_flag", "SELECT CAST(gender IS NULL AS INT) AS dur_is_null, round(avg(duration_s), 4) AS mean_duration, count(*) AS n FROM v_trips GROUP BY 1")(lambda s, d: views.trips(s, d).groupBy(E.flag(F.col("gender").isNull()).alias("dur_is_null")).agg(F.avg("duration_s").alias("mean_duration"), F.count("*").alias("n")))
 query("station_slot_counts", "SELECT origin_station_id AS station_id, time_bucket(INTERVAL 1 day, dep_ts) AS ts_start, count(*) AS dep_last_dt, round(avg(duration_s), 4) AS trip_dur_mean_last_dt, count(*) FILTER (WHERE bike_model = 'ICONIC') AS model_iconic_cnt, round(count(*) FILTER (WHERE gender = 'MALE') / count(*), 4) AS share_male, round(count(*) FILTER (WHERE gender = 'FEMALE') / count(*), 4) AS share_female FROM v_trips GROUP BY 1, 2")(
     lambda s, d: views.trips(s, d).groupBy(F.col("origin_station_id").alias("station_id"), E.slot("dep_ts", DAY).alias("ts_start")).agg(F.count("*").alias("dep_last_dt"), F.avg("duration_s").alias("trip_dur_mean_last_dt"), F.count_if(F.col("bike_model") == "ICONIC").alias("model_iconic_cnt"), *((F.count_if(F.col("gender") == g.upper()) / F.count("*")).alias(f"share_{g}") for g in ("male", "female")))
@@ -231,21 +245,23 @@ query("lags", "SELECT event_type, ts_start, " + ", ".join(f"lag(n, {k}, 0) {_W}
 query("rolling_mean", "SELECT event_type, ts_start, " + ", ".join(f"{_roll('avg', k)} AS n_rolling_mean_{k}" for k in W.ROLLING) + " FROM v_dense")(lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(f"n_rolling_mean_{k}" for k in W.ROLLING)))
 query("rolling_std", "SELECT event_type, ts_start, " + ", ".join(f"{_roll('stddev_samp', k)} AS n_rolling_std_{k}" for k in W.ROLLING) + " FROM v_dense")(lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(f"n_rolling_std_{k}" for k in W.ROLLING)))
 query("seasonal_lags", f"SELECT event_type, ts_start, lag(n, 48, 0) {_W} AS n_same_hour_yesterday, lag(n, 336, 0) {_W} AS n_same_hour_last_week FROM v_dense")(lambda s, d: _lagged(s, d).select("event_type", "ts_start", "n_same_hour_yesterday", "n_same_hour_last_week"))
-query("lag_flags", f"SELECT event_type, ts_start, CAST(lag(n, 1, 0) {_W} > 0 AS INT) AS has_short_term_lags, CAST(lag(n, 48, 0) {_W} > 0 AS INT) AS has_daily_lags, CAST(lag(n, 336, 0) {_W} > 0 AS INT) AS has_weekly_lags FROM v_dense")(
-    lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(E.flag(F.col(c) > 0).alias(n) for n, c in {"has_short_term_lags": "n_lag_1", "has_daily_lags": "n_same_hour_yesterday", "has_weekly_lags": "n_same_hour_last_week"}.items()))
+_SPANS = {"short_term": 1, "daily": 48, "weekly": 336}
+query("lag_flags", "SELECT event_type, ts_start, " + ", ".join(f"CAST(lag(n, {k}, 0) {_W} > 0 AS INT) AS has_{x}_lags, CAST(row_number() {_W} > {k} AS INT) AS history_{x}" for x, k in _SPANS.items()) + " FROM v_dense")(
+    lambda s, d: dense(s, d).select("event_type", "ts_start", *W.lag_flags("event_type", "ts_start", 30, "n"))
 )
-_w = Window.partitionBy
-query("next_targets", f"SELECT event_type, ts_start, lead(n, 1) {_W} AS y_next FROM v_dense")(lambda s, d: dense(s, d).select("event_type", "ts_start", F.lead("n", 1).over(Window.partitionBy("event_type").orderBy("ts_start")).alias("y_next")))
-query("station_lags", "SELECT event_type, ts_start, " + ", ".join(f"lag(n, {k}) {_W} AS n_lag_{k}" for k in range(1, 7)) + " FROM v_dense")(lambda s, d: dense(s, d).select("event_type", "ts_start", *(F.lag("n", k).over(Window.partitionBy("event_type").orderBy("ts_start")).alias(f"n_lag_{k}") for k in range(1, 7))))
+_station = lambda s, d: W.station_features(dense(s, d), "event_type", "ts_start", "n")
+query("next_targets", f"SELECT event_type, ts_start, lead(n, 1) {_W} AS y_next FROM v_dense")(lambda s, d: _station(s, d).select("event_type", "ts_start", "y_next"))
+query("station_lags", "SELECT event_type, ts_start, " + ", ".join(f"lag(n, {k}) {_W} AS n_lag_{k}" for k in range(1, 7)) + " FROM v_dense")(lambda s, d: _station(s, d).select("event_type", "ts_start", *(f"n_lag_{k}" for k in range(1, 7))))
 _D = "OVER (PARTITION BY event_type ORDER BY ts_start ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)"
 query("daily_stats", f"SELECT event_type, ts_start, round(avg(n) {_D}, 4) AS dep_ma_24h, round(stddev_samp(n) {_D}, 4) AS dep_std_24h, round(CASE WHEN avg(n) {_D} = 0 THEN NULL ELSE n / avg(n) {_D} END, 4) AS dep_ratio_dt_24h FROM v_dense")(
-    lambda s, d: dense(s, d).select("event_type", "ts_start", F.avg("n").over(x := Window.partitionBy("event_type").orderBy("ts_start").rowsBetween(-48, -1)).alias("dep_ma_24h"), F.stddev_samp("n").over(x).alias("dep_std_24h"), F.try_divide(F.col("n").cast("double"), F.avg("n").over(x)).alias("dep_ratio_dt_24h"))
+    lambda s, d: _station(s, d).select("event_type", "ts_start", "dep_ma_24h", "dep_std_24h", "dep_ratio_dt_24h")
 )
-query("weather_lag", "SELECT a.hour_ts, round(b.precipitation, 4) AS precipitation_1h_ago, b.is_raining AS is_raining_1h_ago FROM v_weather a LEFT JOIN v_weather b ON b.hour_ts = a.hour_ts - INTERVAL 1 hour")(
+query("weather_lag", "SELECT a.hour_ts, b.precipitation AS precipitation_1h_ago, b.is_raining AS is_raining_1h_ago FROM v_weather a LEFT JOIN v_weather b ON b.hour_ts = a.hour_ts - INTERVAL 1 hour", exact=True)(
     lambda s, d: (w := views.weather(s, d)).select("hour_ts").join(w.select((F.col("hour_ts") + F.expr("INTERVAL 1 HOUR")).alias("hour_ts"), F.col("precipitation").alias("precipitation_1h_ago"), F.col("is_raining").alias("is_raining_1h_ago")), "hour_ts", "left")
 )
-query("sequences", f"SELECT * FROM (SELECT event_type, ts_start AS target_ts, CAST(sum(n) OVER (PARTITION BY event_type ORDER BY ts_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS BIGINT) AS input_sum, lag(n, 24) {_W} AS input_first, n AS target_first, lead(n, 1) {_W} AS target_last, row_number() {_W} AS rn FROM v_dense) WHERE rn > 24 AND target_last IS NOT NULL".replace("SELECT * FROM", "SELECT event_type, target_ts, input_sum, input_first, target_first, target_last FROM"))(
-    lambda s, d: W.sequences(dense(s, d), "event_type", "ts_start", ["n", "v"], "n", 24, 2).select("event_type", "target_ts", F.aggregate("inputs", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("input_sum"), F.col("inputs")[0]["n"].alias("input_first"), F.col("targets")[0].alias("target_first"), F.col("targets")[1].alias("target_last"))
+_PAST = "OVER (PARTITION BY event_type ORDER BY ts_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"
+query("sequences", f"SELECT event_type, target_ts, inputs, v_sum, targets FROM (SELECT event_type, ts_start AS target_ts, array_to_string(list(n) {_PAST}, ',') AS inputs, round(sum(v) {_PAST}, 4) AS v_sum, n || ',' || lead(n, 1) {_W} AS targets, row_number() {_W} AS rn FROM v_dense) WHERE rn > 24 AND targets IS NOT NULL")(
+    lambda s, d: W.sequences(dense(s, d), "event_type", "ts_start", ["n", "v"], "n", 24, 2).select("event_type", "target_ts", F.array_join(F.col("inputs.n").cast("array<string>"), ",").alias("inputs"), F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x["v"]).alias("v_sum"), F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
 )
 query("ts_folds", """WITH r AS (SELECT event_type, ts_start, row_number() OVER (PARTITION BY event_type ORDER BY ts_start) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c FROM v_dense),
 f AS (SELECT r.*, fold, c // 4 AS sz, c - (3 - fold + 1) * (c // 4) AS lo FROM r CROSS JOIN (SELECT unnest([1, 2, 3]) AS fold))
@@ -287,25 +303,30 @@ _HAV = "2 * 6371.0 * asin(sqrt(power(sin(radians({b} - {a}) / 2), 2) + cos(radia
 query("haversine_km", f"SELECT station_id, round({_HAV.format(a='lat', b='-34.6', c='lon', d='-58.4')}, 4) AS km FROM v_points")(lambda s, d: views.points(s, d).select("station_id", E.haversine_km(F.col("lat"), F.col("lon"), F.lit(-34.6), F.lit(-58.4)).alias("km")))
 query("centroid_distance", f"SELECT p.station_id, p.cluster_id, round({_HAV.format(a='p.lat', b='c.lat', c='p.lon', d='c.lon')}, 4) AS km FROM v_points p JOIN (SELECT cluster_id, avg(lat) AS lat, avg(lon) AS lon FROM v_points GROUP BY 1) c USING (cluster_id)")(lambda s, d: K.centroid_distance(views.points(s, d), K.centroids(views.points(s, d))))
 _Z = "SELECT station_id, round((lat - m1) / s1, 4) AS lat_z, round((lon - m2) / s2, 4) AS lon_z FROM v_points, (SELECT avg(lat) AS m1, stddev_pop(lat) AS s1, avg(lon) AS m2, stddev_pop(lon) AS s2 FROM v_points)"
-for _name in ("standardize", "coord_features"):
-    query(_name, _Z)(lambda s, d: K.standardize(views.points(s, d), ["lat", "lon"]).select("station_id", "lat_z", "lon_z"))
+query("standardize", _Z)(lambda s, d: K.standardize(views.points(s, d), ["lat", "lon"]).select("station_id", "lat_z", "lon_z"))
+_ANGLE = {"lat": "2 * pi() * (lat - lo1) / (hi1 - lo1)", "lon": "2 * pi() * (lon - lo2) / (hi2 - lo2)"}
+query("coord_features", "SELECT station_id, round((lat - m1) / s1, 4) AS lat_z, round((lon - m2) / s2, 4) AS lon_z, " + ", ".join(f"round({f}({k} * {_ANGLE[c]}), 4) + 0.0 AS {c}_{f}_{k}" for c in _ANGLE for k in (1, 2) for f in ("sin", "cos")) + " FROM v_points, (SELECT avg(lat) AS m1, stddev_pop(lat) AS s1, avg(lon) AS m2, stddev_pop(lon) AS s2, min(lat) AS lo1, max(lat) AS hi1, min(lon) AS lo2, max(lon) AS hi2 FROM v_points)")(
+    lambda s, d: K.coord_features(K.standardize(views.points(s, d), ["lat", "lon"])).select("station_id", "lat_z", "lon_z", *((F.round(f"{c}_{f}_{k}", 4) + 0.0).alias(f"{c}_{f}_{k}") for c in ("lat", "lon") for k in (1, 2) for f in ("sin", "cos")))
+)
 query("wind_encoding", "SELECT event_id, round(sin(radians(user_id)), 4) + 0.0 AS wind_dir_sin, round(cos(radians(user_id)), 4) + 0.0 AS wind_dir_cos FROM events")(lambda s, d: table(s, d, "events").select("event_id", (F.round(F.sin(F.radians("user_id")), 4) + 0.0).alias("wind_dir_sin"), (F.round(F.cos(F.radians("user_id")), 4) + 0.0).alias("wind_dir_cos")))
 _CODES = ("clear", "clouds", "drizzle", "rain")
 query("weather_code_onehot", "SELECT hour_ts, " + ", ".join(f"CAST(coalesce(weather_code = {i}, false) AS INT) AS weather_{n}" for i, n in enumerate(_CODES)) + ", CAST(weather_code IS NULL AS INT) AS weather_null FROM v_weather")(
     lambda s, d: views.weather(s, d).select("hour_ts", *(E.flag(F.coalesce(F.col("weather_code") == i, F.lit(False))).alias(f"weather_{n}") for i, n in enumerate(_CODES)), E.flag(F.col("weather_code").isNull()).alias("weather_null"))
 )
-query("weather_flags", "SELECT hour_ts, CAST(temperature_2m > 30 AS INT) AS temp_very_hot, CAST(temperature_2m < 10 AS INT) AS temp_cold, CAST(temperature_2m BETWEEN 15 AND 25 AS INT) AS temp_comfortable, CAST(precipitation > 4 AS INT) AS heavy_rain, CAST(precipitation > 0 AND precipitation <= 4 AS INT) AS light_rain FROM v_weather")(
-    lambda s, d: views.weather(s, d).select("hour_ts", *(E.flag(F.expr(c)).alias(n) for n, c in {"temp_very_hot": "temperature_2m > 30", "temp_cold": "temperature_2m < 10", "temp_comfortable": "temperature_2m BETWEEN 15 AND 25", "heavy_rain": "precipitation > 4", "light_rain": "precipitation > 0 AND precipitation <= 4"}.items()))
+_SKY = "(SELECT *, temperature_2m - 2 AS apparent_temperature, temperature_2m / 2 AS wind_speed_10m FROM v_weather)"
+_BANDS = {"temp_very_hot": "temperature_2m > 30", "temp_cold": "temperature_2m < 10", "temp_comfortable": "temperature_2m BETWEEN 15 AND 25", "is_raining": "precipitation > 0", "heavy_rain": "precipitation > 4", "light_rain": "precipitation > 0 AND precipitation <= 4", "moderate_wind": "wind_speed_10m >= 20 AND wind_speed_10m < 40", "strong_wind": "wind_speed_10m >= 40"}
+query("weather_flags", "SELECT hour_ts, " + ", ".join(f"CAST({c} AS INT) AS {n}" for n, c in _BANDS.items()) + f", round(apparent_temperature - temperature_2m, 4) AS temp_feel_diff, CAST(temperature_2m BETWEEN 15 AND 25 AS INT) + CAST(precipitation <= 0 AS INT) + CAST(wind_speed_10m < 20 AS INT) AS weather_comfort FROM {_SKY}")(
+    lambda s, d: views.weather(s, d).withColumns({"apparent_temperature": F.col("temperature_2m") - 2, "wind_speed_10m": F.col("temperature_2m") / 2}).select("hour_ts", *E.weather_flags())
 )
 query("precip_flag", "SELECT hour_ts, CAST(precipitation > 0 AS INT) AS has_precip FROM v_weather")(lambda s, d: views.weather(s, d).select("hour_ts", E.flag(F.col("precipitation") > 0).alias("has_precip")))
-query("occurrence_flags", "SELECT event_type, ts_start, CAST(n > 0 AS INT) AS has_dep, CAST(s.v IS NULL AS INT) AS dur_is_null FROM v_dense d LEFT JOIN (SELECT event_type, ts_start, v FROM v_slots) s USING (event_type, ts_start)")(
-    lambda s, d: dense(s, d).select("event_type", "ts_start", "n").join(slot_series(s, d).select("event_type", "ts_start", "v"), ["event_type", "ts_start"], "left").select("event_type", "ts_start", E.flag(F.col("n") > 0).alias("has_dep"), E.flag(F.col("v").isNull()).alias("dur_is_null"))
+query("occurrence_flags", "SELECT event_type, ts_start, CAST(n > 0 AS INT) AS has_dep, CAST(lead(n, 1, 0) OVER (PARTITION BY event_type ORDER BY ts_start) > 0 AS INT) AS has_arr, CAST(s.v IS NULL AS INT) AS dur_is_null, round(coalesce(s.v, 0.0), 4) AS duration FROM v_dense d LEFT JOIN (SELECT event_type, ts_start, v FROM v_slots) s USING (event_type, ts_start)")(
+    lambda s, d: dense(s, d).select("event_type", "ts_start", "n", F.lead("n", 1, 0).over(Window.partitionBy("event_type").orderBy("ts_start")).alias("arr")).join(slot_series(s, d).select("event_type", "ts_start", "v"), ["event_type", "ts_start"], "left")
+    .select("event_type", "ts_start", E.flag(F.col("n") > 0).alias("has_dep"), E.flag(F.col("arr") > 0).alias("has_arr"), E.flag(F.col("v").isNull()).alias("dur_is_null"), F.coalesce("v", F.lit(0.0)).alias("duration"))
 )
 query("net_flow", f"SELECT station_id, n_arr - n_dep AS delta FROM ({_ACT})")(lambda s, d: T.station_activity(views.trips(s, d)).select("station_id", (F.col("n_arr") - F.col("n_dep")).alias("delta")))
-_HOLIDAYS = ("01-01", "05-01", "12-25")
-_HOL = ", ".join(f"'{h}'" for h in _HOLIDAYS)
-query("business_calendar", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(strftime(dep_ts, '%m-%d') IN ({_HOL}) AS INT) AS is_holiday, CAST(day(dep_ts) <= 5 AS INT) AS payday_flag, CAST(month(dep_ts) IN (1, 2, 7) AS INT) AS vacation_season FROM v_trips")(
-    lambda s, d: views.trips(s, d).join(s.createDataFrame([(h, 1) for h in _HOLIDAYS], "md string, holiday int"), F.date_format("dep_ts", "MM-dd") == F.col("md"), "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("holiday", F.lit(0)).alias("is_holiday"), E.flag(F.dayofmonth("dep_ts") <= 5).alias("payday_flag"), E.flag(F.month("dep_ts").isin(1, 2, 7)).alias("vacation_season"))
+_HOLIDAYS = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS holiday FROM orders WHERE strftime(o_orderdate, '%m-%d') IN ('01-01', '05-01', '12-25')"
+query("business_calendar", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(holiday IS NOT NULL AS INT) AS is_holiday, CAST(day(dep_ts) <= 5 AS INT) AS payday_flag, CAST(month(dep_ts) IN (1, 2, 7) AS INT) AS vacation_season, CAST(isodow(dep_ts) < 6 AND (hour(dep_ts) BETWEEN 7 AND 9 OR hour(dep_ts) BETWEEN 17 AND 19) AS INT) AS peak_commute FROM v_trips LEFT JOIN ({_HOLIDAYS}) ON CAST(dep_ts AS DATE) = holiday")(
+    lambda s, d: T.mark_holidays(views.trips(s, d), table(s, d, "orders").select(F.to_date("o_orderdate").alias("date")).where(F.date_format("date", "MM-dd").isin("01-01", "05-01", "12-25")), "dep_ts").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "is_holiday", *E.business_flags("dep_ts"))
 )
 
 # --- clustering
@@ -317,8 +338,24 @@ query("kmeans_assign", f"SELECT station_id, assigned FROM ({_NEAR})")(lambda s,
 query("inertia", f"SELECT round(sum(d2), 4) AS inertia FROM ({_NEAR})")(lambda s, d: K.inertia(K.assign(p := views.points(s, d), K.centroids(p))))
 query("silhouette", """WITH z AS (SELECT * FROM v_points), d AS (SELECT a.station_id, a.cluster_id, b.cluster_id AS oc, avg(sqrt(power(a.lat - b.lat, 2) + power(a.lon - b.lon, 2))) AS d FROM z a JOIN z b ON a.station_id <> b.station_id GROUP BY 1, 2, 3)
 SELECT station_id, round((min(d) FILTER (WHERE oc <> cluster_id) - min(d) FILTER (WHERE oc = cluster_id)) / greatest(min(d) FILTER (WHERE oc <> cluster_id), min(d) FILTER (WHERE oc = cluster_id)), 4) AS silhouette FROM d GROUP BY 1""")(lambda s, d: K.silhouette(views.points(s, d), "lat", "lon"))
-query("kmeans_fit")(lambda s, d: (m := K.fit_kmeans(K.standardize(views.points(s, d), ["lat", "lon"]), 10, ["lat_z", "lon_z"], seeds=3, max_iter=50)).transform(K._vectors(K.standardize(views.points(s, d), ["lat", "lon"]), ["lat_z", "lon_z"])).select("station_id", F.col("prediction").alias("cluster")))
-query("k_sweep")(lambda s, d: K.k_sweep(K.standardize(views.points(s, d), ["lat", "lon"]), [2, 5, 10], ["lat_z", "lon_z"]))
+
+
+@query("kmeans_fit")
+def _kmeans_fit(s: SparkSession, d: str) -> DataFrame:
+    """93 clusters, the best of ten seeds, fitted on stations of the train split only; the others go to the nearest centre."""
+    points = views.points(s, d)
+    train = points.where(T.hundredth(F.col("station_id")) < 80)
+    scaled = K.standardize_by(train, points, ["lat", "lon"])
+    k = min(93, train.count() - 1)
+    model = K.fit_kmeans(scaled.where(T.hundredth(F.col("station_id")) < 80), k, ["lat_z", "lon_z"])
+    return model.transform(K._vectors(scaled, ["lat_z", "lon_z"])).select("station_id", F.col("prediction").alias("cluster"))
+
+
+@query("k_sweep")
+def _k_sweep(s: SparkSession, d: str) -> DataFrame:
+    """The sweep, with the knee and the best numbers of clusters that it gives."""
+    sweep = K.k_sweep(K.standardize(views.points(s, d), ["lat", "lon"]), ["lat_z", "lon_z"])
+    return sweep.crossJoin(K.elbow(sweep)).crossJoin(K.best_k(sweep))
 
 
 @query("cluster_model_io")
@@ -365,26 +402,70 @@ query("compare_models", "SELECT 'score' AS model, round(avg(abs(y - score)), 4)
 )
 
 
-def _train_test(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _slots(s: SparkSession, d: str) -> DataFrame:
+    """Each type's slots with what is known before them; arrivals are taken to be the next slot's count."""
     rows = dense(s, d).select("event_type", "ts_start", "n", *E.calendar("ts_start"), *W.lag_columns(["n"], "event_type", "ts_start", 48))
-    cut = F.lit("2024-01-25").cast("timestamp_ntz")
+    return rows.withColumn("arr", F.lead("n", 1, 0).over(Window.partitionBy("event_type").orderBy("ts_start")))
+
+
+def _train_test(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The first four fifths of the time that the data cover, and the rest."""
+    rows = _slots(s, d)
+    lo, hi = rows.agg(F.min("ts_start"), F.max("ts_start")).first()
+    cut = F.lit(lo + (hi - lo) * 0.8).cast("timestamp_ntz")
     return rows.where(F.col("ts_start") < cut), rows.where(F.col("ts_start") >= cut)
 
 
 _FEATURES = ["hour_sin", "hour_cos", "is_weekend", "n_lag_1", "n_lag_2", "n_rolling_mean_24"]
-query("poisson_global")(lambda s, d: P.poisson_global(*_train_test(s, d), _FEATURES, "n").select("event_type", "ts_start", "n", "n_mean"))
-query("poisson_per_station")(lambda s, d: P.poisson_per_entity(_train_test(s, d)[0], "event_type", _FEATURES, "n").select("event_type", "n", "intercept", "deviance", "failed"))
+
+
+@query("poisson_global")
+def _poisson_global(s: SparkSession, d: str) -> DataFrame:
+    """Departures and arrivals by one model each, over three expanding folds of slots, and the Skellam errors of their difference."""
+    folded = W.folds(_slots(s, d), "event_type", "ts_start", 3)
+    parts = []
+    for fold in (1, 2, 3):
+        train, test = (folded.where((F.col("fold") == fold) & (F.col("role") == role)) for role in ("train", "test"))
+        for target in ("n", "arr"):
+            test = P.poisson_global(train, test, _FEATURES, target)
+        parts.append(test.select("event_type", "ts_start", "fold", "n", "arr", "n_mean", "arr_mean"))
+    return P.skellam_baseline(parts[0].unionByName(parts[1]).unionByName(parts[2]), "arr", "n", "fold")
+
+
+query("poisson_per_station")(lambda s, d: P.skellam_baseline(P.poisson_pair_per_entity(W.folds(_slots(s, d), "event_type", "ts_start", 3), "event_type", "ts_start", _FEATURES, "arr", "n"), "arr", "n", "event_type", "fold"))
 query("gbt_demand")(lambda s, d: P.gbt_forecast(*_train_test(s, d), _FEATURES, "n", 5)[0].select("event_type", "ts_start", "n", "prediction"))
 query("top_features")(lambda s, d: P.gbt_forecast(*_train_test(s, d), _FEATURES, "n", 5)[1])
-query("activity_gate")(lambda s, d: P.activity_gate(*_train_test(s, d), _FEATURES, "n").select("event_type", "ts_start", "n", "p_active", "gated"))
+query("activity_gate")(lambda s, d: P.activity_gate(*_train_test(s, d), _FEATURES, "n").select("event_type", "ts_start", "n", "p_active", "gated", "forecast"))
 query("sink_predictions")(lambda s, d: sinks.write_features(P.poisson_global(*_train_test(s, d), _FEATURES, "n").select("event_type", "ts_start", "n", "n_mean"), scratch(s), "event_type").groupBy("event_type").agg(F.count("*").alias("rows"), F.avg("n_mean").alias("mean")))
 
 # --- the feature table of clusters
 
-query("cluster_grid", "WITH a AS (" + _cell_sql("dep", False) + "), r AS (SELECT date_trunc('hour', min(dep_ts)) AS lo, date_trunc('hour', max(dep_ts)) + INTERVAL 1 hour AS hi FROM v_trips), g AS (SELECT cluster_id, ts_start FROM (SELECT DISTINCT cluster_id FROM v_map), (SELECT unnest(generate_series(lo, hi, INTERVAL 1 day)) AS ts_start FROM r)) SELECT g.cluster_id, g.ts_start, CAST(coalesce(dep_external_count, 0) AS BIGINT) AS dep_external_count, round(coalesce(dep_external_duration_mean, 0), 4) AS dep_external_duration_mean FROM g LEFT JOIN a USING (cluster_id, ts_start)")(
-    lambda s, d: cluster_grid(s, d).select("cluster_id", "ts_start", "dep_external_count", "dep_external_duration_mean")
+_GRID = "r AS (SELECT date_trunc('hour', min(dep_ts)) AS lo, date_trunc('hour', max(dep_ts)) + INTERVAL 1 hour AS hi FROM v_trips), g AS (SELECT cluster_id, ts_start FROM (SELECT DISTINCT cluster_id FROM v_map), (SELECT unnest(generate_series(lo, hi, INTERVAL 1 day)) AS ts_start FROM r))"
+_SIDES = {f"{side}_{'internal' if inside else 'external'}": (side, inside) for side in ("dep", "arr") for inside in (True, False)}
+_PART = ("count", "male", "female", "other", "young", "adult", "senior", "age_available", "model_iconic")
+_ALL = [f"{p}_{c}" for p in _SIDES for c in _PART]
+_TIMES = [f"dep_{k}_duration_{f}" for k in ("internal", "external") for f in ("mean", "std")]
+_CELLS = ", ".join(f"{p}_t AS ({_cell_sql(*which)})" for p, which in _SIDES.items()) + f", {_GRID}, grid AS (SELECT cluster_id, ts_start, " + ", ".join(f"CAST(coalesce({c}, 0) AS BIGINT) AS {c}" for c in _ALL) + ", " + ", ".join(f"coalesce({c}, 0.0) AS {c}" for c in _TIMES) + ", " + ", ".join(f"CAST(coalesce({p}_count, 0) > 0 AS INT) AS has_{p}" for p in _SIDES) + " FROM g " + " ".join(f"LEFT JOIN {p}_t USING (cluster_id, ts_start)" for p in _SIDES) + ")"
+query("cluster_grid", f"WITH {_CELLS} SELECT * FROM grid")(cluster_grid)
+
+
+def _history_sql(column: str) -> list[str]:
+    """The twelve history columns of a count; a grid of days has one slot a day."""
+    w, out = "OVER (PARTITION BY cluster_id ORDER BY ts_start)", []
+    out += [f"lag({column}, {n}, 0) {w} AS {column}_lag_{n}" for n in W.LAGS]
+    for n in W.ROLLING:
+        frame = f"OVER (PARTITION BY cluster_id ORDER BY ts_start ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
+        out += [f"round(CASE WHEN count(*) {frame} = {n} THEN coalesce({f}({column}) {frame}, 0.0) ELSE 0.0 END, 4) AS {column}_rolling_{x}_{n}" for x, f in (("mean", "avg"), ("std", "stddev_samp"))]
+    return out + [f"lag({column}, {k}, 0) {w} AS {column}_same_hour_{x}" for x, k in (("yesterday", 1), ("last_week", 7))]
+
+
+_PRUNED = [c for c in W.LAGGED if "internal" not in c]
+_CALENDAR_SQL = "CAST(hour(ts_start) AS INT) AS hour_of_day, CAST(isodow(ts_start) AS INT) AS day_of_week, CAST(month(ts_start) AS INT) AS month, CAST(year(ts_start) AS INT) AS year, " + ", ".join(f"round({f}(2 * pi() * {x} / {p}), 4) + 0.0 AS {n}_{f}" for n, x, p in (("hour", "hour(ts_start)", 24), ("dow", "isodow(ts_start)", 7), ("month", "month(ts_start)", 12)) for f in ("sin", "cos"))
+_CALENDAR_SQL += ", CAST(isodow(ts_start) IN (6, 7) AS INT) AS is_weekend, CAST(hour(ts_start) BETWEEN 7 AND 9 AS INT) AS is_morning_rush, CAST(hour(ts_start) BETWEEN 17 AND 19 AS INT) AS is_evening_rush, CAST(hour(ts_start) BETWEEN 6 AND 22 AS INT) AS is_daytime, CAST(month(ts_start) IN (12, 1, 2) AS INT) AS is_summer, CAST(month(ts_start) BETWEEN 6 AND 8 AS INT) AS is_winter"
+query("feature_table")(feature_table)
+query("prune_leakage", f"WITH {_CELLS}, c AS (SELECT cluster_id, avg(station_id) AS cluster_centroid_lat, avg(-station_id) AS cluster_centroid_lon, count(*) AS cluster_station_count FROM v_map GROUP BY 1) SELECT cluster_id, ts_start, cluster_centroid_lat, cluster_centroid_lon, cluster_station_count, {_CALENDAR_SQL}, {', '.join(x for c in _PRUNED for x in _history_sql(c))} FROM grid JOIN c USING (cluster_id)")(
+    lambda s, d: (p := W.prune_leakage(feature_table(s, d))).select(*((F.round(c, 4) + 0.0).alias(c) if c.endswith(("_sin", "_cos")) else F.col(c) for c in p.columns if c not in ("temperature_2m_mean", "precipitation_mean", "weather_code_mean", "is_raining")))
 )
-query("prune_leakage")(lambda s, d: W.prune_leakage(feature_table(s, d)))
 query("select_targets", "WITH a AS (" + _cell_sql("dep", False) + ") SELECT cluster_id, ts_start, dep_external_count, dep_external_male, dep_external_female, dep_external_young, dep_external_adult, dep_external_senior FROM a")(
     lambda s, d: W.select_targets(C.cells(labelled(s, d), "dep", DAY), "all", ["cluster_id", "ts_start"])
 )

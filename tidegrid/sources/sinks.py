@@ -4,8 +4,27 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder the cluster names, or in the warehouse where it names none."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root.rstrip('/')}/tidegrid-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The frame written to the shared folder and read again, which cuts its lineage."""
+    df.write.parquet(path := scratch(df.sparkSession))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_metadata(df: DataFrame, stage: str, parameters: dict) -> DataFrame:
+    """One row on what a stage made: ``stage, parameters, n_rows, n_columns, columns``."""
+    return df.agg(F.lit(stage).alias("stage"), F.lit(json.dumps(parameters, sort_keys=True)).alias("parameters"), F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.lit(",".join(df.columns)).alias("columns"))
 
 
 def write_features(df: DataFrame, path: str, by: str = "split") -> DataFrame:
