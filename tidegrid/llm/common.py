@@ -5,11 +5,16 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the corpus: a run of ASCII letters and digits or non-ASCII characters.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What lies between words.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Bytes of a frame that is broadcast, at most, as counted before.
+BROADCAST_BYTES = 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,16 +45,43 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(name: str, *frames: DataFrame) -> str:
+    """``name``, with as many leading underscores as make it none of the frames' columns."""
+    taken = {c.lower() for frame in frames for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def with_row(docs: DataFrame, row: str) -> DataFrame:
+    """The frame with a long ``row`` that no two rows share and that stays the same however often the frame is read.
+
+    A frame as Parquet files give it (or filtered, or with fewer columns) is
+    keyed by file and place in the file, without writing its texts again; any
+    other is written once with the key. The file names, one row for each, are
+    joined as Spark sees fit. The frame may not be a join.
+    """
+    file, place, nth = (unused(name, docs) for name in ("_file", "_place", "_nth"))
+    try:
+        placed = docs.select("*", F.col("_metadata.file_path").alias(file), F.col("_metadata.row_index").alias(place))
+    except AnalysisException:
+        return materialize(docs.withColumn(row, F.monotonically_increasing_id()))
+    files = materialize(placed.select(file).distinct().coalesce(1).select(file, F.monotonically_increasing_id().alias(nth)))
+    return placed.join(files, file).withColumn(row, F.col(nth) * F.lit(2**40) + F.col(place)).drop(file, place, nth)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.octet_length(text) == F.length(text)  # ASCII throughout, where lower() does the same and faster
+    return F.when(plain, F.lower(text)).otherwise(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
 
 
 def words(text: Column) -> Column:
-    """The words of a text, in order; none for null."""
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    """The words of a text, in order; none for null. Splitting between them costs a third of extracting them."""
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def bounded_broadcast(df: DataFrame, rows: int, most: int) -> DataFrame:
-    """Broadcast ``df`` only if its counted ``rows`` are at most ``most``; else Spark's joins decide."""
-    return F.broadcast(df) if rows <= most else df
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a written frame only if its counted bytes are at most ``most``; else Spark's joins decide."""
+    width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df

@@ -8,6 +8,11 @@ half, so weights that differ share all points below the smaller one, and no
 process runs past the time at which the signature is settled. Equal places are
 an unbiased estimate of the weighted Jaccard similarity. Signatures are banded,
 and the pairs that a bucket suggests are verified by their multisets' overlap.
+
+To verify, buckets that share texts are grouped and cut into blocks. Two blocks
+of a group meet once, in one task, however many buckets they share; there a matrix
+product over the shingles that both hold gives the exact overlap of every pair of
+their texts.
 """
 
 from __future__ import annotations
@@ -15,28 +20,29 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table, words
+from .common import WORD, materialize, table, with_row, words
 from .components import components
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at the threshold misses all bands with probability (1 - 0.8**5)**25, under 0.0001.
 BANDS, ROWS = 25, 5
-#: Words of a tile in which mixed buckets are compared, about; a longer text is a tile of its own.
-TILE = 32_768
-#: Tiles that one task takes on its right side.
-LANE = 8
-#: Columns of a tile's incidence matrix held at once.
-COLUMNS = 8_192
+#: Words of a block, about; each text counts EXTRA words more, which bounds the texts of a block too.
+BLOCK, EXTRA = 131_072, 64
+#: Blocks that buckets which share texts may make together; beyond, each bucket is compared for itself.
+WIDE = 16
+#: Words of the part of a block that one product takes on its right side.
+PART = 32_768
+#: Cells of an incidence matrix held at once.
+CELLS = 4_000_000
 #: Shingles that a worker signs at once.
-AT_ONCE = 250_000
+AT_ONCE = 100_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,198 +143,254 @@ def signature(word_hashes: Column, bands: int = BANDS, rows: int = ROWS) -> Colu
     return udf(word_hashes)
 
 
-_find = re.compile(WORD).findall
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+_find = re.compile(WORD.encode("latin-1")).findall
 
 
-@lru_cache(maxsize=4)
-def _bag(text: str) -> Counter:
-    own = _find(text.translate(_LOWER))
+def bag(text: str) -> Counter:
+    """A text's shingle multiset, as words."""
+    own = _find(text.encode("utf-8").lower())  # bytes.lower folds A-Z only
     return Counter(zip(*(own[i:] for i in range(SHINGLE)))) if len(own) >= SHINGLE else Counter([tuple(own)] if own else [])
 
 
-def _shared(x: Counter, y: Counter) -> float:
-    if len(x) > len(y):
-        x, y = y, x
-    shared = sum([min(n, y[s]) for s, n in x.items() if s in y])
-    return shared / max(1, x.total() + y.total() - shared)
-
-
 def overlap(a: str, b: str) -> float:
     """Weighted Jaccard similarity of two texts' shingle multisets; 0 if either has no words."""
-    return _shared(_bag(a), _bag(b))
+    x, y = bag(a), bag(b)
+    shared = (x & y).total()
+    return shared / max(1, x.total() + y.total() - shared)
 
 
-def names(word_hashes: Column) -> Column:
-    """A text's shingles ``array<bigint>`` of its word hashes, each with the number of its repeat.
+class Part:
+    """Texts of a block with their shingles' names.
 
-    So multisets become sets: a shingle that occurs n times in one text and m
-    times in another gives them min(n, m) names in common.
+    The nth repeat of a shingle in a text has a name of its own, so multisets
+    become sets: n and m repeats have min(n, m) names in common. Names are 64-bit
+    hashes that hold within a worker.
     """
 
-    @F.arrow_udf("array<bigint>")
-    def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            flat, ends = batch.values.to_numpy(zero_copy_only=False).view(np.uint64), batch.offsets.to_numpy()
-            own = [np.zeros(0, np.uint64)]
-            for a, b in zip(ends[:-1], ends[1:]):
-                element, count = shingles(flat[a:b])
-                nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-                own.append(_mix(np.repeat(element, count) + _mix(nth.astype(np.uint64) * _STEP)))
-            offsets = np.cumsum([len(x) for x in own], dtype=np.int32)
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(own).view(np.int64)))
-
-    return udf(word_hashes)
-
-
-def _members(tile: pa.StructArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """A tile's ids, classes and numbers of names; and its names, each with its text's place."""
-    lists = tile.field("names")
-    sizes = np.diff(lists.offsets.to_numpy())
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    return tile.field("id").to_numpy(), tile.field("class").to_numpy(), sizes, doc, lists.flatten().to_numpy(zero_copy_only=False)
-
-
-def _shared_names(doc1: np.ndarray, names1: np.ndarray, n1: int, doc2: np.ndarray, names2: np.ndarray, n2: int) -> np.ndarray:
-    """How many names each text of one tile shares with each of another, n1 x n2."""
-    common = np.intersect1d(names1, names2)
-    shared = np.zeros((n1, n2), np.float64)
-
-    def columns(doc, names):
-        at = np.searchsorted(common, names)
-        held = np.flatnonzero(common[np.minimum(at, len(common) - 1)] == names)
-        order = held[np.argsort(at[held], kind="stable")]
-        return doc[order], at[order]
-
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        self.ids, self.classes = (np.array([row[i] for row in rows], np.int64) for i in (0, 1))
+        own = [_find(text.lower()) for _, _, text in rows]
+        sizes = np.array([len(x) for x in own], np.int64)
+        flat = np.fromiter((hash(w) for x in own for w in x), np.int64, int(sizes.sum())).view(np.uint64)
+        begins = np.concatenate([[0], np.cumsum(sizes)])
+        self.sizes = np.where(sizes >= SHINGLE, sizes - SHINGLE + 1, np.minimum(sizes, 1))
+        doc = np.repeat(np.arange(len(rows)), self.sizes)
+        at = np.arange(self.sizes.sum()) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes) + begins[doc]
+        length = np.minimum(sizes, SHINGLE)[doc]
+        mixed = np.zeros(len(doc), np.uint64)
+        for i in range(SHINGLE):
+            there = i < length
+            mixed[there] = _mix(mixed[there] + flat[at[there] + i] + _STEP)
+        order = np.lexsort((mixed, doc))
+        mixed, doc = mixed[order], doc[order]
+        new = np.ones(len(doc), bool)
+        new[1:] = (mixed[1:] != mixed[:-1]) | (doc[1:] != doc[:-1])
+        first = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+        self.doc, self.names = doc, _mix(mixed + _mix((np.arange(len(doc)) - first).astype(np.uint64) * _STEP))
+
+
+def _shared(a: Part, b: Part) -> np.ndarray:
+    """How many names each text of one part shares with each of another."""
+    shared = np.zeros((len(a.ids), len(b.ids)), np.float32)
+    common = np.intersect1d(a.names, b.names)
     if not len(common):
         return shared
-    (doc1, at1), (doc2, at2) = columns(doc1, names1), columns(doc2, names2)
-    for begin in range(0, len(common), COLUMNS):
-        width = min(COLUMNS, len(common) - begin)
-        sides = []
-        for doc, at, n in ((doc1, at1, n1), (doc2, at2, n2)):
-            a, b = np.searchsorted(at, (begin, begin + width))
-            side = np.zeros((n, width), np.float32)
-            side[doc[a:b], at[a:b] - begin] = 1
-            sides.append(side)
-        shared += sides[0] @ sides[1].T
+
+    def columns(part: Part):
+        at = np.minimum(np.searchsorted(common, part.names), len(common) - 1)
+        held = np.flatnonzero(common[at] == part.names)
+        order = held[np.argsort(at[held], kind="stable")]
+        return part.doc[order], at[order]
+
+    sides = columns(a), columns(b)
+    width = max(64, CELLS // max(shared.shape))
+    for begin in range(0, len(common), width):
+        matrices = []
+        for (doc, at), n in zip(sides, shared.shape):
+            x, y = np.searchsorted(at, (begin, begin + width))
+            matrix = np.zeros((n, min(width, len(common) - begin)), np.float32)
+            matrix[doc[x:y], at[x:y] - begin] = 1
+            matrices.append(matrix)
+        shared += matrices[0] @ matrices[1].T  # whole numbers under 2**24 are exact
     return shared
 
 
-def _links_in_tiles(similarity: float):
-    """Links ``u, v`` between different classes of two tiles, one for each pair of classes that has any.
+def _links(a: Part, b: Part, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of linked texts of different classes, one pair for each pair of classes that has any."""
+    shared = _shared(a, b).astype(np.float64)
+    near = shared / np.maximum(1, a.sizes[:, None] + b.sizes[None, :] - shared) >= similarity
+    i, j = np.nonzero(near & (a.classes[:, None] != b.classes[None, :]))
+    if len(i):
+        low, high = np.minimum(a.classes[i], b.classes[j]), np.maximum(a.classes[i], b.classes[j])
+        _, one = np.unique(np.stack([low, high]), axis=1, return_index=True)
+        yield a.ids[i[one]], b.ids[j[one]]
+
+
+def _in_units(similarity: float):
+    """Links ``u, v`` of units ``x, y``: all pairs of one block (x = y), or of two, whose sides come one after the other.
 
-    The overlap of every pair is exact: the tiles' incidence matrices are
-    multiplied, over those shingles only that both tiles hold.
+    Held at once are the first side, at most a block, and one part of the second.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, side, waiting, words = None, 0, [], 0
+        first: list[Part] = []
+
+        def close() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Takes the waiting rows as a part."""
+            nonlocal waiting, words
+            if waiting:
+                part = Part(waiting)
+                waiting, words = [], 0
+                if side == 0:
+                    first.append(part)
+                for other in first if side == 1 or unit[0] == unit[1] else ():
+                    yield from _links(other, part, similarity)
+
+        def take(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            nonlocal unit, side, words
+            xs, ys, sides, ids, classes, sizes = (batch.column(c).to_pylist() for c in ("x", "y", "side", "id", "class", "n"))
+            for x, y, s, i, c, n, text in zip(xs, ys, sides, ids, classes, sizes, batch.column("text")):
+                if (x, y) != unit or s != side or words >= PART:
+                    yield from close()
+                if (x, y) != unit:
+                    first.clear()
+                unit, side = (x, y), s
+                waiting.append((i, c, text.as_buffer().to_pybytes()))
+                words += n + EXTRA
+
+        def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+            none = np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *(pair[k] for pair in found)])) for k in (0, 1)], ["u", "v"])
+
         for batch in batches:
-            us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for row in range(batch.num_rows):
-                ids1, class1, size1, doc1, names1 = _members(batch.column("a")[row].values)
-                ids2, class2, size2, doc2, names2 = _members(batch.column("b")[row].values)
-                shared = _shared_names(doc1, names1, len(ids1), doc2, names2, len(ids2))
-                near = shared / np.maximum(1, size1[:, None] + size2[None, :] - shared) >= similarity
-                i, j = np.nonzero(near & (class1[:, None] != class2[None, :]))
-                _, one = np.unique(np.stack([class1[i], class2[j]]), axis=1, return_index=True)
-                us.append(ids1[i[one]])
-                vs.append(ids2[j[one]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+            yield batch_of(list(take(batch)))
+        yield batch_of(list(close()))
 
     return run
 
 
-def _links_in_mixed_buckets(placed: DataFrame, named: DataFrame, similarity: float) -> DataFrame:
-    """Links ``u, v`` between classes of a bucket, from ``key, id, n, class`` of its texts and ``id, names`` of their shingles.
-
-    A bucket is cut into tiles of about TILE words: a large class fills tiles of
-    its own, small classes share tiles. Tiles of one and the same class never
-    meet, so a bucket costs the products between its classes only. Pairs of tiles
-    are dealt over lanes, LANE right-hand tiles each, so no bucket is one task's.
-    """
-    long = F.col("words") > TILE
-    shares = placed.groupBy("key", "class").agg(F.sum("n").alias("words"))
-    shares = shares.withColumn("tiles", F.when(long, F.ceil(F.col("words") / TILE)))
-    rest = F.ceil(F.sum(F.when(~long, F.col("words"))) / TILE)
-    mixed = shares.groupBy("key").agg(F.count("*").alias("classes"), rest.alias("rest"), F.sum("tiles").alias("solo_tiles")).where("classes > 1")
-    lanes = F.ceil((F.coalesce("rest", F.lit(0)) + F.coalesce("solo_tiles", F.lit(0))) / LANE).cast("int")
-    cut = shares.join(mixed, "key").select("key", "class", "tiles", "rest", lanes.alias("lanes"))
-    solo = F.col("tiles").isNotNull()
-    slot = F.when(solo, F.pmod(F.xxhash64("id"), F.col("tiles"))).otherwise(F.pmod(F.xxhash64("class"), F.col("rest")))
-    held = placed.join(cut, ["key", "class"]).select("key", "id", "class", "lanes", F.struct(solo.alias("solo"), F.when(solo, F.col("class")).otherwise(0).alias("owner"), slot.alias("slot")).alias("tile"))
-    tiles = held.join(named, "id").groupBy("key", "lanes", "tile").agg(F.collect_list(F.struct("id", "class", "names")).alias("a"))
-    left = tiles.select("key", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), "tile", "a")
-    right = tiles.select("key", F.pmod(F.hash("tile"), F.col("lanes")).alias("lane"), F.col("tile").alias("other"), F.col("a").alias("b"))
-    one_class = F.col("tile.solo") & F.col("other.solo") & (F.col("tile.owner") == F.col("other.owner"))
-    met = left.join(right, ["key", "lane"]).where((F.col("tile") <= F.col("other")) & ~one_class).select("a", "b")
-    return met.mapInArrow(_links_in_tiles(similarity), "u long, v long")
+def _verified(dealt: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links ``u < v`` of the texts that ``x, y, side, id, class, n`` deals to units; each unit is one task's at most."""
+    held = texts.join(dealt, "id").select("x", "y", "side", "id", "class", "n", "text")
+    found = held.repartition("x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(_in_units(similarity), "u long, v long")
+    return materialize(found.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
 
 def hashed(split: Column) -> Column:
     return F.transform(split, lambda w: F.xxhash64(w))
 
 
-def overlaps(a: Column, b: Column) -> Column:
-    @F.arrow_udf("double")
-    def udf(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([overlap(x.as_py(), y.as_py()) for x, y in zip(a, b)], pa.float64())
+def _weight() -> Column:
+    return F.col("n") + EXTRA
 
-    return udf(a, b)
 
+def _homes(crowded: DataFrame) -> DataFrame:
+    """``id, n, cell, degree`` of each text: its largest bucket, and the texts of all its buckets."""
+    return crowded.groupBy("id", "n").agg(F.max_by("key", F.struct("size", "key")).alias("cell"), F.sum("size").alias("degree"))
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``u, v`` of ids whose texts are similar enough."""
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-    own = texts.join(asked, "id", "left_semi")
-    both = pairs.join(own.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(own.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    return both.where(overlaps(F.col("a"), F.col("b")) >= similarity).select("u", "v")
 
+def _star_links(homes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links of the texts of each bucket of several blocks with one of them, the text that shares most buckets.
+
+    Linear in the texts: a large group of near copies is one class after it, and
+    needn't be compared with itself. The texts are dealt over units of about a block.
+    """
+    cells = homes.groupBy("cell").agg(F.sum(_weight()).alias("words"), F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
+    large = materialize(cells.where(F.col("words") > BLOCK).select("cell", "pivot", F.ceil(F.col("words") / BLOCK).alias("slices")))
+    own = homes.join(large, "cell").where("id <> pivot").select(F.col("cell").alias("x"), F.pmod(F.xxhash64("id"), F.col("slices")).alias("y"), F.lit(1).alias("side"), "id", F.col("id").alias("class"), "n")
+    pivots = large.select(F.col("cell").alias("x"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("y"), F.lit(0).alias("side"), F.col("pivot").alias("id"), F.col("pivot").alias("class"), F.lit(0).alias("n"))
+    return _verified(own.unionByName(pivots), texts, similarity)
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id, class_id`` of each row of ``documents``; the class is the least doc_id of its near-duplicates.
 
-    Texts with the same words in the same order are joined first, by a digest,
-    so copies cost one signature. Of each bucket every text is compared with one
-    pivot, the text that shares most buckets. Wherever a bucket then still holds
-    several classes, its texts meet in tiles: inside a task one matrix product
-    gives the exact overlaps of all pairs of two tiles, and only links between
-    classes become rows. Nothing is capped.
+def _groups(members: DataFrame) -> DataFrame:
+    """``group, id, n, class``: what must be compared, from the ``key, id, n, class`` of mixed buckets.
 
-    Rows repeated with their id share a class. A text without words (null
-    included) is a class of its own id; a null doc_id has a null class.
+    Buckets that share texts are one group, so that a text is sent once and not
+    once a bucket. Where that makes more than WIDE blocks, each bucket stays a
+    group, once for all buckets of the same texts; a text is then in BANDS groups at most.
+    """
+    mark = (F.count("*"), F.min("id"), F.max("id"), F.sum(F.xxhash64("id").cast("decimal(38,0)")))
+    buckets = materialize(members.groupBy("key").agg(F.min("id").alias("lead"), F.struct(*mark).alias("mark")))
+    one_each = buckets.groupBy("mark").agg(F.min("key").alias("key"), F.min("lead").alias("lead"))
+    held = materialize(members.join(one_each.select("key", "lead"), "key"))
+    nodes = materialize(components(held.where("id <> lead").select(F.col("id").alias("u"), F.col("lead").alias("v"))).select(F.col("node").alias("id"), "component"))
+    own = held.select("id", "n", "class").distinct().join(nodes, "id")
+    wide = materialize(own.groupBy("component").agg(F.sum(_weight()).alias("words")).where(F.col("words") > WIDE * BLOCK).select("component"))
+    narrow = own.join(wide, "component", "left_anti").select(F.xxhash64(F.lit("group"), "component").alias("group"), "id", "n", "class")
+    apart = held.join(nodes.join(wide, "component", "left_semi").select("id"), "id", "left_semi").select(F.col("key").alias("group"), "id", "n", "class")
+    return materialize(narrow.unionByName(apart))
+
+
+def _block_links(crowded: DataFrame, joined: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Links between the classes of each bucket that holds several: every pair of its texts is compared, but pairs of one class.
+
+    A class of more than a block makes blocks of its own, which never meet each
+    other; the others of a group share blocks.
     """
-    named = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text"))
-    split = named.select("doc_id", words(F.col("text")).alias("w"))
-    split = split.select("doc_id", F.sha2(F.array_join("w", " "), 256).alias("digest"), hashed(F.col("w")).alias("h"))
-    signed = materialize(split.select("doc_id", "digest", F.size("h").alias("n"), signature(F.col("h")).alias("bands")))
-    usable = signed.where(F.col("doc_id").isNotNull() & F.col("bands").isNotNull())
-    reps = materialize(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"), F.any_value("n").alias("n")))
-
-    rows = reps.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
-    full = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    crowded = materialize(rows.join(full, "key"))
-    degree = crowded.groupBy("id").agg(F.sum("size").alias("degree"))
-    pivots = crowded.join(degree, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("pivot"))
-    star = crowded.join(pivots, "key").where(F.col("id") != F.col("pivot"))
-    oriented = lambda a, b: (F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    tested = materialize(star.select(*oriented(F.col("id"), F.col("pivot"))).distinct())
-    texts = named.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("id"), "text")
-    linked = materialize(_verified(tested, texts, similarity))
-
-    joined = components(linked)
     placed = materialize(crowded.join(joined, crowded["id"] == joined["node"], "left").select("key", "id", "n", F.coalesce("component", "id").alias("class")))
-    mixed = placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key")
-    asked = placed.join(mixed, "key", "left_semi").select("id").distinct()
-    sets = texts.join(asked, "id", "left_semi").select("id", names(hashed(words(F.col("text")))).alias("names"))
-    more = materialize(_links_in_mixed_buckets(placed, sets, similarity).select(*oriented(F.col("u"), F.col("v"))).distinct())
+    mixed = materialize(placed.groupBy("key").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo < hi").select("key"))
+    grouped = _groups(materialize(placed.join(mixed, "key", "left_semi")))
+    shares = grouped.groupBy("group", "class").agg(F.sum(_weight()).alias("words"))
+    rest = shares.groupBy("group").agg(F.sum(F.when(F.col("words") <= BLOCK, F.col("words"))).alias("rest"))
+    sizes = materialize(shares.join(rest, "group"))
+    solo = F.col("words") > BLOCK
+    slot = F.when(solo, F.pmod(F.xxhash64("id"), F.ceil(F.col("words") / BLOCK))).otherwise(F.pmod(F.xxhash64("class"), F.ceil(F.col("rest") / BLOCK)))
+    cut = grouped.join(sizes, ["group", "class"]).select("group", "id", "n", "class", F.when(solo, F.col("class")).alias("owner"), slot.alias("slot"))
+    blocks = materialize(cut.withColumn("block", F.xxhash64("group", F.coalesce("owner", F.lit(-1)), "slot")).drop("slot"))
+
+    each = blocks.select("group", "block", "owner").distinct()
+    a, b = each.select("group", F.col("block").alias("x"), "owner"), each.select("group", F.col("block").alias("y"), F.col("owner").alias("other"))
+    units = materialize(a.join(b, "group").where((F.col("x") <= F.col("y")) & ~F.coalesce(F.col("owner") == F.col("other"), F.lit(False))).select("x", "y").distinct())
+    sides = materialize(units.select("x", "y", F.lit(0).alias("side"), F.col("x").alias("block")).unionAll(units.where("x <> y").select("x", "y", F.lit(1), "y")))
+    dealt = materialize(blocks.join(sides, "block").select("x", "y", "side", "id", "class", "n"))
+    return _verified(dealt, texts, similarity)
+
+
+def row_classes(texts: DataFrame, *carried: str, similarity: float = SIMILARITY) -> DataFrame:
+    """``id, <carried>, class`` of each row of ``id, text``; the ids are longs, no two alike and none null.
+
+    The class is the least id of a text's near-duplicates, null for a text
+    without words. Texts with the same words in the same order are joined first,
+    by a digest, so copies cost one comparison. Every pair of different texts
+    that shares a bucket is then compared exactly, or joined already through
+    others. Nothing is capped. What is shuffled are ids, and the texts that share
+    a bucket, once for each block that theirs meets.
+    """
+    split = texts.select("id", *carried, words(F.col("text")).alias("w"))
+    split = split.select("id", *carried, F.unhex(F.sha2(F.array_join("w", " "), 256)).alias("digest"), hashed(F.col("w")).alias("h"))
+    signed = materialize(split.select("id", *carried, F.when(F.size("h") > 0, F.col("digest")).alias("digest"), F.size("h").alias("n"), signature(F.col("h")).alias("bands")))
+    reps = materialize(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("id").alias("id"), F.any_value("bands").alias("bands"), F.any_value("n").alias("n")))
+
+    rows = reps.select("id", "n", F.explode("bands").alias("key"))
+    full = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    crowded = materialize(rows.join(full, "key"))
+    homes = materialize(_homes(crowded))
+    near = materialize(texts.select("id", "text").join(homes.select("id"), "id", "left_semi"))
+    star = _star_links(homes, near, similarity)
+    joined = components(star)
+    more = _block_links(crowded, joined, near, similarity)
     if not more.isEmpty():
-        joined = components(linked.unionAll(more))
+        joined = components(star.unionAll(more))
+    classes = reps.join(joined, reps["id"] == joined["node"], "left").select("digest", F.coalesce("component", "id").alias("class"))
+    return signed.select("id", *carried, "digest").join(classes, "digest", "left").select("id", *carried, "class")
 
-    classes = reps.join(joined, reps["rep"] == joined["node"], "left").select("digest", F.coalesce("component", "rep").alias("class"))
-    out = signed.select("doc_id", F.when(F.col("bands").isNotNull() & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    return out.join(classes, "digest", "left").select("doc_id", F.coalesce("class", "doc_id").alias("class_id"))
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id, class_id`` of each row of ``documents``; the class is the least doc_id of the row's near-duplicates.
+
+    Rows are told apart by a key of their own, so repeated rows, and rows that
+    repeat an id with another text, are each classed by their own text. A null
+    doc_id takes part; its class is null only if no near-duplicate has an id. A
+    text without words (null and empty ones included) is a class of its own
+    doc_id. Other columns are left out; an empty table gives no rows.
+    """
+    rows = with_row(docs.select("doc_id", "text"), "id")
+    found = materialize(row_classes(rows, "doc_id", similarity=similarity))
+    least = materialize(found.where("class IS NOT NULL").groupBy("class").agg(F.min("doc_id").alias("class_id")))
+    return found.join(least, "class", "left").select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents``, five-word shingles, similarity 0.8; odd rows as ``near_duplicates`` says."""
     return near_duplicates(table(spark, sf_dir, "documents"))
