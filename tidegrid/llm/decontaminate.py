@@ -5,7 +5,8 @@ of the test items occurs. The second stores postings ``(row, position)`` of the
 rarest terms of each test phrase. Phrases are found by intersecting the lists of
 their rarest terms, each shifted by the term's place in the phrase; the posting
 of the very rarest also holds the words around it, against which what is left is
-checked word by word. Only postings of rare terms are ever shuffled.
+checked word by word. A phrase of no more terms than are intersected needs no
+such check and stores no words. Only postings of rare terms are ever shuffled.
 """
 
 from __future__ import annotations
@@ -19,8 +20,6 @@ from .common import bounded_broadcast, materialize, table, words
 WINDOW_WORDS = 10
 #: Rarest terms of a phrase whose postings are intersected.
 RAREST = 2
-#: Most rows of test terms that are broadcast; beyond it Spark joins by shuffle.
-BROADCAST_ROWS = 500_000
 
 
 def phrases(items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
@@ -35,23 +34,28 @@ def phrases(items: DataFrame, size: int = WINDOW_WORDS) -> DataFrame:
     return materialize(named.select(F.monotonically_increasing_id().alias("phrase"), "terms", "item_ids"))
 
 
-def term_counts(rows: DataFrame, terms: DataFrame, n_terms: int) -> DataFrame:
+def term_counts(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """``term, n``: occurrences in all rows, 0 included, of each of the given terms."""
-    found = rows.select(F.explode("words").alias("term")).join(bounded_broadcast(terms, n_terms, BROADCAST_ROWS), "term")
+    found = rows.select(F.explode("words").alias("term")).join(bounded_broadcast(terms), "term")
     counted = found.groupBy("term").agg(F.count("*").alias("n"))
     return terms.join(counted, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def probes(cut: DataFrame, counts: DataFrame, n_terms: int, rarest: int = RAREST) -> DataFrame:
+def probes(cut: DataFrame, counts: DataFrame, rarest: int = RAREST) -> DataFrame:
     """``phrase, terms, term, place, rank, of``: the rarest terms of each phrase, rank 1 the rarest; ties to the earliest place."""
     placed = cut.select("phrase", "terms", F.posexplode("terms").alias("place", "term"))
-    known = placed.join(bounded_broadcast(counts, n_terms, BROADCAST_ROWS), "term")
+    known = placed.join(bounded_broadcast(counts), "term")
     by_rarity = Window.partitionBy("phrase").orderBy("n", "place")
     ranked = known.withColumn("rank", F.row_number().over(by_rarity)).where(F.col("rank") <= rarest)
     return materialize(ranked.withColumn("of", F.least(F.size("terms"), F.lit(rarest))).select("phrase", "terms", "term", "place", "rank", "of"))
 
 
-def build_index(docs: DataFrame, used: DataFrame, n_used: int, around: int = WINDOW_WORDS - 1) -> DataFrame:
+def indexed_terms(probe: DataFrame) -> DataFrame:
+    """``term, context``: the terms to index, and whether a phrase must be checked by the words around them."""
+    return materialize(probe.groupBy("term").agg(F.max((F.col("rank") == 1) & (F.size("terms") > F.col("of"))).alias("context")))
+
+
+def build_index(docs: DataFrame, used: DataFrame, around: int = WINDOW_WORDS - 1) -> DataFrame:
     """The stored index: ``row, doc_id, n_words, pos, term, near, near_from``.
 
     ``used`` has the indexed terms and whether they need context. ``near`` holds
@@ -62,7 +66,7 @@ def build_index(docs: DataFrame, used: DataFrame, n_used: int, around: int = WIN
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").alias("doc_id"), words(F.col("text")).alias("words"))
     posted = rows.select("row", "doc_id", "words", F.posexplode_outer("words").alias("pos", "term"))
-    kept = posted.join(bounded_broadcast(used.select("term", "context"), n_used, BROADCAST_ROWS), "term", "left")
+    kept = posted.join(bounded_broadcast(used.select("term", "context")), "term", "left")
     kept = kept.where(F.col("context").isNotNull() | F.coalesce(F.col("pos") == 0, F.lit(True)))
     first = F.greatest(F.col("pos") - around, F.lit(0))
     return materialize(
@@ -75,24 +79,26 @@ def build_index(docs: DataFrame, used: DataFrame, n_used: int, around: int = WIN
     )
 
 
-def phrase_matches(index: DataFrame, probe: DataFrame, n_probes: int) -> DataFrame:
+def phrase_matches(index: DataFrame, probe: DataFrame) -> DataFrame:
     """``row, phrase, start, len``: every occurrence of every phrase, word by word."""
-    slim = bounded_broadcast(probe.select("phrase", "term", "place", "rank", "of"), n_probes, BROADCAST_ROWS)
-    shifted = index.where(F.col("term").isNotNull()).select("row", "term", "pos").join(slim, "term").select("row", "phrase", "rank", "of", (F.col("pos") - F.col("place")).alias("start"))
-    met = shifted.where("start >= 0").groupBy("row", "phrase", "start", "of").agg(F.count("*").alias("lists")).where(F.col("lists") == F.col("of")).select("row", "phrase", "start")
-    anchor = bounded_broadcast(probe.where("rank = 1").select("phrase", "term", "place", "terms"), n_probes, BROADCAST_ROWS)
+    slim = bounded_broadcast(probe.select("phrase", "term", "place", "of", F.size("terms").alias("len")))
+    shifted = index.where(F.col("term").isNotNull()).select("row", "term", "pos").join(slim, "term").select("row", "phrase", "of", "len", (F.col("pos") - F.col("place")).alias("start"))
+    met = shifted.where("start >= 0").groupBy("row", "phrase", "start", "of", "len").agg(F.count("*").alias("lists")).where(F.col("lists") == F.col("of"))
+    short = met.where(F.col("len") == F.col("of")).select("row", "phrase", "start", "len")
+    anchor = bounded_broadcast(probe.where((F.col("rank") == 1) & (F.size("terms") > F.col("of"))).select("phrase", "term", "place", "terms"))
     context = index.where(F.col("near").isNotNull()).join(anchor, "term").withColumn("start", F.col("pos") - F.col("place"))
     exact = F.slice("near", F.greatest(F.col("start") - F.col("near_from") + 1, F.lit(1)), F.size("terms")) == F.col("terms")
     checked = context.where((F.col("start") >= 0) & exact).select("row", "phrase", "start", F.size("terms").alias("len"))
-    return checked.join(met, ["row", "phrase", "start"], "left_semi")
+    return short.unionAll(checked.join(met.where(F.col("len") > F.col("of")).select("row", "phrase", "start"), ["row", "phrase", "start"], "left_semi"))
 
 
-def proximity_matches(index: DataFrame, probe: DataFrame, n_probes: int, slop: int) -> DataFrame:
+def proximity_matches(index: DataFrame, probe: DataFrame, slop: int) -> DataFrame:
     """``row, phrase, pos``: places of a phrase's rarest term with all its terms, in any order, at most ``slop`` words away.
 
-    ``slop`` may not exceed the ``around`` that the index was built with.
+    ``slop`` may not exceed the ``around`` that the index was built with. Phrases
+    of no more terms than are intersected have no context and aren't searched.
     """
-    anchor = bounded_broadcast(probe.where("rank = 1").select("phrase", "term", "terms"), n_probes, BROADCAST_ROWS)
+    anchor = bounded_broadcast(probe.where("rank = 1").select("phrase", "term", "terms"))
     context = index.where(F.col("near").isNotNull()).join(anchor, "term")
     first = F.greatest(F.col("pos") - slop, F.lit(0))
     close = F.slice("near", first - F.col("near_from") + 1, F.col("pos") - first + 1 + slop)
@@ -102,24 +108,23 @@ def proximity_matches(index: DataFrame, probe: DataFrame, n_probes: int, slop: i
 def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, rarest: int = RAREST) -> DataFrame:
     """``doc_id, n_words, n_hit, n_items, item_ids, contaminated`` of each row of ``documents``.
 
-    A word inside any occurrence of a phrase is hit. Repeated rows are each
-    reported; null and empty texts have no words and no hits; empty items or
-    documents give no matches; other columns are left out.
+    A word inside any occurrence of a phrase is hit. Repeated rows and null ids
+    are each reported; null and empty texts have no words and no hits; empty items
+    or documents give no matches; other columns are left out. An item with a null
+    item_id hits words and is no item to report; items that share an id are one.
     """
     cut = phrases(items, size)
     terms = materialize(cut.select(F.explode("terms").alias("term")).distinct())
-    n_terms = terms.count()
     rows = docs.select(words(F.col("text")).alias("words"))
-    probe = probes(cut, materialize(term_counts(rows, terms, n_terms)), n_terms, rarest)
-    used = materialize(probe.groupBy("term").agg(F.max(F.col("rank") == 1).alias("context")))
-    index = build_index(docs, used, n_terms, size - 1)
-    found = materialize(phrase_matches(index, probe, probe.count()))
+    probe = probes(cut, materialize(term_counts(rows, terms)), rarest)
+    index = build_index(docs, indexed_terms(probe), size - 1)
+    found = materialize(phrase_matches(index, probe))
 
     upto = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     spans = found.select("row", "start", (F.col("start") + F.col("len")).alias("end")).distinct()
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest("start", F.coalesce(F.max("end").over(upto), F.lit(0))))
     hits = spans.select("row", fresh.cast("long").alias("new")).groupBy("row").agg(F.sum("new").alias("hit"))
-    by_item = found.join(bounded_broadcast(cut.select("phrase", "item_ids"), n_terms, BROADCAST_ROWS), "phrase").select("row", F.explode("item_ids").alias("item"))
+    by_item = found.select("row", "phrase").distinct().join(cut.select("phrase", F.explode("item_ids").alias("item")), "phrase")
     held = by_item.groupBy("row").agg(F.collect_set("item").alias("item_ids"))
     heads = index.where(F.coalesce(F.col("pos") == 0, F.lit(True))).select("row", "doc_id", "n_words")
     whole = heads.join(hits, "row", "left").join(held, "row", "left")
@@ -132,6 +137,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW_WORDS, r
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` against whole ``benchmark``; odd rows as ``contamination`` says."""
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     ids = F.array_join(F.array_sort(F.col("item_ids").cast("array<string>")), ",")
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(ids, 256).alias("items_sha256"), "contaminated")
