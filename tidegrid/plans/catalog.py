@@ -78,15 +78,38 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- sources and sinks
 
-query("scan_tables", "SELECT 'trips' AS name, count(*) AS n FROM lineitem UNION ALL SELECT 'users', count(*) FROM customer UNION ALL SELECT 'weather', count(*) FROM events")(
-    lambda s, d: table(s, d, "lineitem").agg(F.lit("trips").alias("name"), F.count("*").alias("n")).unionAll(table(s, d, "customer").agg(F.lit("users"), F.count("*"))).unionAll(table(s, d, "events").agg(F.lit("weather"), F.count("*")))
+query(
+    "scan_tables",
+    "SELECT 'trips' AS name, count(*) AS n FROM lineitem UNION ALL SELECT 'users', count(*) FROM customer UNION ALL SELECT 'weather', count(*) "
+    "FROM events",
+)(
+    lambda s, d: table(s, d, "lineitem")
+        .agg(F.lit("trips").alias("name"), F.count("*").alias("n"))
+        .unionAll(table(s, d, "customer").agg(F.lit("users"), F.count("*")))
+        .unionAll(table(s, d, "events").agg(F.lit("weather"), F.count("*")))
 )
-query("scan_pruned", "SELECT l_suppkey, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01'")(lambda s, d: table(s, d, "lineitem").select("l_suppkey", "l_shipdate").where(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz")))
-query("combine_raw", "SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier")(
-    lambda s, d: table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment")).unionByName(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")), allowMissingColumns=True)
+query(
+    "scan_pruned",
+    "SELECT l_suppkey, l_shipdate FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01'",
+)(
+    lambda s, d: table(s, d, "lineitem").select("l_suppkey", "l_shipdate").where(F.col("l_shipdate") >= F.lit("1999-01-01").cast("timestamp_ntz"))
 )
-query("sink_features", "SELECT CASE WHEN dep_ts < TIMESTAMP '1999-01-01' THEN 'train' WHEN dep_ts < TIMESTAMP '2000-07-01' THEN 'val' ELSE 'test' END AS split, count(*) AS n FROM v_trips GROUP BY 1")(
-    lambda s, d: sinks.write_features(T.split_temporal(views.trips(s, d), "dep_ts", "1999-01-01", "2000-07-01"), scratch(s)).groupBy("split").agg(F.count("*").alias("n"))
+query(
+    "combine_raw",
+    "SELECT c_custkey AS id, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_acctbal, NULL FROM supplier",
+)(
+    lambda s, d: table(s, d, "customer")
+        .select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+        .unionByName(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("balance")), allowMissingColumns=True)
+)
+query(
+    "sink_features",
+    "SELECT CASE WHEN dep_ts < TIMESTAMP '1999-01-01' THEN 'train' WHEN dep_ts < TIMESTAMP '2000-07-01' THEN 'val' ELSE 'test' END AS split, "
+    "count(*) AS n FROM v_trips GROUP BY 1",
+)(
+    lambda s, d: sinks.write_features(T.split_temporal(views.trips(s, d), "dep_ts", "1999-01-01", "2000-07-01"), scratch(s))
+        .groupBy("split")
+        .agg(F.count("*").alias("n"))
 )
 
 
@@ -102,78 +125,218 @@ def _stage_resume(s: SparkSession, d: str) -> DataFrame:
     return sinks.stage(s, path, parameters, again)
 
 
-query("sink_run_metadata", """SELECT 'events' AS stage, '{"dt_minutes": 30}' AS parameters, count(*) AS n_rows, 2 AS n_columns, 'event_id,value' AS columns FROM events""")(
-    lambda s, d: sinks.write_json(sinks.run_metadata(table(s, d, "events").select("event_id", "value"), "events", {"dt_minutes": 30}), scratch(s)).select("stage", "parameters", "n_rows", "n_columns", "columns")
+query(
+    "sink_run_metadata",
+    """SELECT 'events' AS stage, '{"dt_minutes": 30}' AS parameters, count(*) AS n_rows, 2 AS n_columns, 'event_id,value' AS columns FROM events""",
+)(
+    lambda s, d: sinks.write_json(sinks.run_metadata(table(s, d, "events").select("event_id", "value"), "events", {"dt_minutes": 30}), scratch(s))
+        .select("stage", "parameters", "n_rows", "n_columns", "columns")
 )
 query("sink_metrics_csv", "SELECT event_type AS model, round(avg(value), 4) AS loss FROM events GROUP BY 1")(
     lambda s, d: sinks.write_csv(table(s, d, "events").groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("loss")), scratch(s))
 )
-query("parse_timestamp", "SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS parsed FROM events")(
-    lambda s, d: table(s, d, "events").select("event_id", F.try_to_timestamp(F.when(F.col("event_id") % 5 == 0, "bad").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz").alias("parsed"))
+query(
+    "parse_timestamp",
+    "SELECT event_id, TRY_CAST(CASE WHEN event_id % 5 = 0 THEN 'bad' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP) AS parsed FROM events",
+)(
+    lambda s, d: table(s, d, "events")
+        .select(
+            "event_id",
+            F.try_to_timestamp(F.when(F.col("event_id") % 5 == 0, "bad").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))).cast("timestamp_ntz").alias("parsed")
+        )
 )
-query("cast_lenient", "SELECT c_custkey, TRY_CAST(CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE CAST(c_nationkey AS VARCHAR) END AS BIGINT) AS station FROM customer")(
-    lambda s, d: table(s, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.col("c_nationkey").cast("string")).try_cast("long").alias("station"))
+query(
+    "cast_lenient",
+    "SELECT c_custkey, TRY_CAST(CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE CAST(c_nationkey AS VARCHAR) END AS BIGINT) AS station FROM customer",
+)(
+    lambda s, d: table(s, d, "customer")
+        .select(
+            "c_custkey",
+            F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.col("c_nationkey").cast("string")).try_cast("long").alias("station")
+        )
 )
 
 # --- projections and filters
 
-query("filter_since", "SELECT l_orderkey, dep_ts FROM v_trips WHERE dep_ts >= TIMESTAMP '2000-01-01'")(lambda s, d: views.trips(s, d).where(F.col("dep_ts") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("l_orderkey", "dep_ts"))
-query("filter_until", "SELECT l_orderkey, dep_ts FROM v_trips WHERE dep_ts < TIMESTAMP '1996-01-02'")(lambda s, d: views.trips(s, d).where(F.col("dep_ts") < F.lit("1996-01-02").cast("timestamp_ntz")).select("l_orderkey", "dep_ts"))
+query(
+    "filter_since",
+    "SELECT l_orderkey, dep_ts FROM v_trips WHERE dep_ts >= TIMESTAMP '2000-01-01'",
+)(
+    lambda s, d: views.trips(s, d).where(F.col("dep_ts") >= F.lit("2000-01-01").cast("timestamp_ntz")).select("l_orderkey", "dep_ts")
+)
+query(
+    "filter_until",
+    "SELECT l_orderkey, dep_ts FROM v_trips WHERE dep_ts < TIMESTAMP '1996-01-02'",
+)(
+    lambda s, d: views.trips(s, d).where(F.col("dep_ts") < F.lit("1996-01-02").cast("timestamp_ntz")).select("l_orderkey", "dep_ts")
+)
 _SPLIT = "CASE WHEN dep_ts < TIMESTAMP '1999-01-01' THEN 'train' WHEN dep_ts < TIMESTAMP '2000-07-01' THEN 'val' ELSE 'test' END"
 _split = lambda s, d: T.split_temporal(views.trips(s, d), "dep_ts", "1999-01-01", "2000-07-01")
-query("split_temporal", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_SPLIT} AS split FROM v_trips")(lambda s, d: _split(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "split"))
-query("assert_no_leakage", f"SELECT {_SPLIT} AS split, min(dep_ts) AS first_ts, max(dep_ts) AS last_ts, count(*) AS n FROM v_trips GROUP BY 1")(lambda s, d: T.check_no_leakage(_split(s, d), "dep_ts"))
-query("split_hash", "SELECT event_id, CASE WHEN event_id % 100 < 60 THEN 'train' WHEN event_id % 100 < 80 THEN 'val' ELSE 'test' END AS split FROM events")(lambda s, d: T.split_hash(table(s, d, "events"), F.col("event_id")).select("event_id", "split"))
-query("bounds_check", "SELECT count(*) FILTER (WHERE lat NOT BETWEEN -34.7 AND -34.5 OR lon NOT BETWEEN -58.5 AND -58.3) AS n_outside, count(*) AS n FROM v_points")(
-    lambda s, d: views.points(s, d).agg(F.count_if(~F.col("lat").between(-34.7, -34.5) | ~F.col("lon").between(-58.5, -58.3)).alias("n_outside"), F.count("*").alias("n"))
-)
-query("null_profile", "SELECT 'gender' AS column_name, count(*) - count(gender) AS n_null, round(100.0 * (count(*) - count(gender)) / count(*), 4) AS pct_null FROM v_trips UNION ALL SELECT 'dep_ts', count(*) - count(dep_ts), round(100.0 * (count(*) - count(dep_ts)) / count(*), 4) FROM v_trips")(lambda s, d: M.null_profile(views.trips(s, d).select("gender", "dep_ts")))
-query("fill_then_drop", "SELECT user_id, coalesce(user_age, 0) AS user_age FROM v_users WHERE gender_full IS NOT NULL")(lambda s, d: views.users(s, d).na.fill(0, ["user_age"]).na.drop().select("user_id", "user_age"))
+query(
+    "split_temporal",
+    f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_SPLIT} AS split FROM v_trips",
+)(
+    lambda s, d: _split(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "split")
+)
+query(
+    "assert_no_leakage",
+    f"SELECT {_SPLIT} AS split, min(dep_ts) AS first_ts, max(dep_ts) AS last_ts, count(*) AS n FROM v_trips GROUP BY 1",
+)(
+    lambda s, d: T.check_no_leakage(_split(s, d), "dep_ts")
+)
+query(
+    "split_hash",
+    "SELECT event_id, CASE WHEN event_id % 100 < 60 THEN 'train' WHEN event_id % 100 < 80 THEN 'val' ELSE 'test' END AS split FROM events",
+)(
+    lambda s, d: T.split_hash(table(s, d, "events"), F.col("event_id")).select("event_id", "split")
+)
+query(
+    "bounds_check",
+    "SELECT count(*) FILTER (WHERE lat NOT BETWEEN -34.7 AND -34.5 OR lon NOT BETWEEN -58.5 AND -58.3) AS n_outside, count(*) AS n FROM v_points",
+)(
+    lambda s, d: views.points(s, d)
+        .agg(F.count_if(~F.col("lat").between(-34.7, -34.5) | ~F.col("lon").between(-58.5, -58.3)).alias("n_outside"), F.count("*").alias("n"))
+)
+query(
+    "null_profile",
+    "SELECT 'gender' AS column_name, count(*) - count(gender) AS n_null, round(100.0 * (count(*) - count(gender)) / count(*), 4) AS pct_null FROM "
+    "v_trips UNION ALL SELECT 'dep_ts', count(*) - count(dep_ts), round(100.0 * (count(*) - count(dep_ts)) / count(*), 4) FROM v_trips",
+)(
+    lambda s, d: M.null_profile(views.trips(s, d).select("gender", "dep_ts"))
+)
+query(
+    "fill_then_drop",
+    "SELECT user_id, coalesce(user_age, 0) AS user_age FROM v_users WHERE gender_full IS NOT NULL",
+)(
+    lambda s, d: views.users(s, d).na.fill(0, ["user_age"]).na.drop().select("user_id", "user_age")
+)
 query("fill_zero", "SELECT user_id, gender_full, coalesce(user_age, 0) AS user_age FROM v_users")(lambda s, d: views.users(s, d).na.fill(0))
-query("sanitize_numeric", "SELECT event_id, round(CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE greatest(value - 50, 0.0) END, 4) AS clean FROM events")(
-    lambda s, d: table(s, d, "events").select("event_id", E.sanitized(F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value") - 50), 0.0).alias("clean"))
+query(
+    "sanitize_numeric",
+    "SELECT event_id, round(CASE WHEN event_id % 7 = 0 THEN 0.0 ELSE greatest(value - 50, 0.0) END, 4) AS clean FROM events",
+)(
+    lambda s, d: table(s, d, "events")
+        .select("event_id", E.sanitized(F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value") - 50), 0.0).alias("clean"))
+)
+query(
+    "guard_targets",
+    "SELECT event_type, max(value) > 200 AS rejected FROM events GROUP BY 1",
+)(
+    lambda s, d: T.guard_targets(table(s, d, "events"), "event_type", "value", 200)
 )
-query("guard_targets", "SELECT event_type, max(value) > 200 AS rejected FROM events GROUP BY 1")(lambda s, d: T.guard_targets(table(s, d, "events"), "event_type", "value", 200))
 _LAMBDA = "SELECT user_id % 10 AS k, value / 3 AS up, value / 5 AS down FROM events"
 _lambda = lambda s, d: table(s, d, "events").select((F.col("user_id") % 10).alias("k"), (F.col("value") / 3).alias("up"), (F.col("value") / 5).alias("down"), F.col("event_id").alias("id"))
-query("guard_intensity", f"SELECT k, count(*) FILTER (WHERE NOT (up > 0 AND up <= 100 AND down > 0 AND down <= 100)) AS n_dropped, count(*) AS n FROM ({_LAMBDA}) GROUP BY 1")(
-    lambda s, d: P.guard_intensity(_lambda(s, d), "up", "down").groupBy("k").agg(F.count_if(~F.col("usable")).alias("n_dropped"), F.count("*").alias("n"))
+query(
+    "guard_intensity",
+    f"SELECT k, count(*) FILTER (WHERE NOT (up > 0 AND up <= 100 AND down > 0 AND down <= 100)) AS n_dropped, count(*) AS n FROM ({_LAMBDA}) GROUP "
+    f"BY 1",
+)(
+    lambda s, d: P.guard_intensity(_lambda(s, d), "up", "down")
+        .groupBy("k")
+        .agg(F.count_if(~F.col("usable")).alias("n_dropped"), F.count("*").alias("n"))
+)
+query(
+    "sample_rows",
+    "SELECT event_id, value FROM events WHERE event_id % 100 < 20",
+)(
+    lambda s, d: T.sample_rows(table(s, d, "events"), F.col("event_id"), 20).select("event_id", "value")
 )
-query("sample_rows", "SELECT event_id, value FROM events WHERE event_id % 100 < 20")(lambda s, d: T.sample_rows(table(s, d, "events"), F.col("event_id"), 20).select("event_id", "value"))
 
 # --- joins
 
-query("join_users_flags", "SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_suppkey, u.gender_full IS NOT NULL AS user_matched, u.user_age IS NOT NULL AS age_available FROM v_trips t LEFT JOIN v_users u USING (user_id)")(
-    lambda s, d: T.join_users(views.trips(s, d), views.users(s, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "user_matched", "age_available")
+query(
+    "join_users_flags",
+    "SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_suppkey, u.gender_full IS NOT NULL AS user_matched, u.user_age IS NOT NULL AS "
+    "age_available FROM v_trips t LEFT JOIN v_users u USING (user_id)",
+)(
+    lambda s, d: T.join_users(views.trips(s, d), views.users(s, d))
+        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "user_matched", "age_available")
+)
+query(
+    "completeness_flag",
+    "SELECT event_id, true AS in_main, value IS NOT NULL AS weather_available FROM events",
+)(
+    lambda s, d: table(s, d, "events").select("event_id", F.lit(True).alias("in_main"), F.col("value").isNotNull().alias("weather_available"))
+)
+query(
+    "missing_trips",
+    "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)",
+)(
+    lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 )
-query("completeness_flag", "SELECT event_id, true AS in_main, value IS NOT NULL AS weather_available FROM events")(lambda s, d: table(s, d, "events").select("event_id", F.lit(True).alias("in_main"), F.col("value").isNotNull().alias("weather_available")))
-query("missing_trips", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")(lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey"))
-query("join_weather_hour", "SELECT e.event_id, round(w.temperature_2m, 4) AS temperature_2m, w.is_raining, w.hour_ts IS NOT NULL AS weather_matched FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts")(
-    lambda s, d: T.join_weather(table(s, d, "events"), views.weather(s, d), "ts").select("event_id", "temperature_2m", "is_raining", "weather_matched")
+query(
+    "join_weather_hour",
+    "SELECT e.event_id, round(w.temperature_2m, 4) AS temperature_2m, w.is_raining, w.hour_ts IS NOT NULL AS weather_matched FROM events e LEFT "
+    "JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts",
+)(
+    lambda s, d: T.join_weather(table(s, d, "events"), views.weather(s, d), "ts")
+        .select("event_id", "temperature_2m", "is_raining", "weather_matched")
 )
-query("map_od_cluster", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, origin_cluster, dest_cluster FROM v_lab")(lambda s, d: T.map_clusters(views.trips(s, d), views.station_cluster(s, d)).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "origin_cluster", "dest_cluster"))
-query("combine_int_ext", "SELECT origin_cluster AS cluster_id, time_bucket(INTERVAL 1 day, dep_ts) AS ts_start, count(*) FILTER (WHERE is_internal) AS dep_internal_count, count(*) FILTER (WHERE NOT is_internal) AS dep_external_count FROM v_lab GROUP BY 1, 2")(
+query(
+    "map_od_cluster",
+    "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, origin_cluster, dest_cluster FROM v_lab",
+)(
+    lambda s, d: T.map_clusters(views.trips(s, d), views.station_cluster(s, d))
+        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "origin_cluster", "dest_cluster")
+)
+query(
+    "combine_int_ext",
+    "SELECT origin_cluster AS cluster_id, time_bucket(INTERVAL 1 day, dep_ts) AS ts_start, count(*) FILTER (WHERE is_internal) AS "
+    "dep_internal_count, count(*) FILTER (WHERE NOT is_internal) AS dep_external_count FROM v_lab GROUP BY 1, 2",
+)(
     lambda s, d: C.cells(labelled(s, d), "dep", DAY).select("cluster_id", "ts_start", "dep_internal_count", "dep_external_count")
 )
-query("skeleton_grid", "SELECT event_type, ts_start FROM v_dense")(lambda s, d: C.skeleton(table(s, d, "events").select("event_type").distinct(), table(s, d, "events"), "ts", "30 minutes"))
+query(
+    "skeleton_grid",
+    "SELECT event_type, ts_start FROM v_dense",
+)(
+    lambda s, d: C.skeleton(table(s, d, "events").select("event_type").distinct(), table(s, d, "events"), "ts", "30 minutes")
+)
 query("densify", "SELECT event_type, ts_start, n, round(v, 4) AS v FROM v_dense")(dense)
-query("attach_centroids", "SELECT p.station_id, p.cluster_id, round(c.lat, 4) AS cluster_lat, round(c.lon, 4) AS cluster_lon, c.n AS station_count FROM v_points p LEFT JOIN (SELECT cluster_id, avg(lat) AS lat, avg(lon) AS lon, count(*) AS n FROM v_points GROUP BY 1) c USING (cluster_id)")(
-    lambda s, d: K.attach_centroids(views.points(s, d), K.centroids(views.points(s, d))).select("station_id", "cluster_id", "cluster_lat", "cluster_lon", "station_count")
+query(
+    "attach_centroids",
+    "SELECT p.station_id, p.cluster_id, round(c.lat, 4) AS cluster_lat, round(c.lon, 4) AS cluster_lon, c.n AS station_count FROM v_points p LEFT "
+    "JOIN (SELECT cluster_id, avg(lat) AS lat, avg(lon) AS lon, count(*) AS n FROM v_points GROUP BY 1) c USING (cluster_id)",
+)(
+    lambda s, d: K.attach_centroids(views.points(s, d), K.centroids(views.points(s, d)))
+        .select("station_id", "cluster_id", "cluster_lat", "cluster_lon", "station_count")
 )
-query("attach_slot_weather", "SELECT d.event_type, d.ts_start, coalesce(w.t, 0.0) AS temperature_2m, CAST(w.t IS NOT NULL AS INT) AS weather_data_available FROM v_dense d LEFT JOIN (SELECT ts_start, avg(v) AS t FROM v_slots GROUP BY 1) w USING (ts_start)", exact=True)(
-    lambda s, d: dense(s, d).drop("v").join(slot_series(s, d).groupBy("ts_start").agg(F.avg("v").alias("t")), "ts_start", "left").select("event_type", "ts_start", F.coalesce("t", F.lit(0.0)).alias("temperature_2m"), E.flag(F.col("t").isNotNull()).alias("weather_data_available"))
+query(
+    "attach_slot_weather",
+    "SELECT d.event_type, d.ts_start, coalesce(w.t, 0.0) AS temperature_2m, CAST(w.t IS NOT NULL AS INT) AS weather_data_available FROM v_dense d "
+    "LEFT JOIN (SELECT ts_start, avg(v) AS t FROM v_slots GROUP BY 1) w USING (ts_start)",
+    exact=True,
+)(
+    lambda s, d: dense(s, d)
+        .drop("v")
+        .join(slot_series(s, d).groupBy("ts_start").agg(F.avg("v").alias("t")), "ts_start", "left")
+        .select(
+            "event_type", "ts_start", F.coalesce("t", F.lit(0.0)).alias("temperature_2m"),
+            E.flag(F.col("t").isNotNull()).alias("weather_data_available")
+        )
 )
 _ACT = "SELECT station_id, CAST(sum(o) AS BIGINT) AS n_dep, CAST(sum(1 - o) AS BIGINT) AS n_arr, count(*) AS n_total FROM (SELECT origin_station_id AS station_id, 1 AS o FROM v_trips UNION ALL SELECT dest_station_id, 0 FROM v_trips) GROUP BY 1"
 query("station_activity", _ACT)(lambda s, d: T.station_activity(views.trips(s, d)))
-query("active_stations", f"SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT station_id FROM ({_ACT}) WHERE n_total >= 4700)")(
-    lambda s, d: table(s, d, "nation").select("n_nationkey", "n_name").join(T.station_activity(views.trips(s, d)).where("n_total >= 4700"), F.col("n_nationkey") == F.col("station_id"), "left_semi")
+query(
+    "active_stations",
+    f"SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (SELECT station_id FROM ({_ACT}) WHERE n_total >= 4700)",
+)(
+    lambda s, d: table(s, d, "nation")
+        .select("n_nationkey", "n_name")
+        .join(T.station_activity(views.trips(s, d)).where("n_total >= 4700"), F.col("n_nationkey") == F.col("station_id"), "left_semi")
 )
 _knn = lambda s, d: G.knn_pairs(views.points(s, d), 5, 5.0)
 _edges = lambda s, d: sinks.cut(G.undirected(_knn(s, d)))  # noqa: E731  written, as most queries read them twice
 query("knn_pairs", "SELECT src, dst, round(km, 4) AS km FROM v_knn")(_knn)
 _SERIES = "SELECT station_id, ts_start, n FROM (SELECT CAST(user_id AS BIGINT) AS station_id, time_bucket(INTERVAL 1 day, ts) AS ts_start, count(*) AS n FROM events GROUP BY 1, 2)"
 _series = lambda s, d: table(s, d, "events").groupBy(F.col("user_id").alias("station_id"), E.slot("ts", DAY).alias("ts_start")).agg(F.count("*").alias("n"))
-query("neighbor_demand", f"SELECT *, lag(near_n) OVER (PARTITION BY station_id ORDER BY ts_start) AS near_n_lag_1 FROM (SELECT src AS station_id, ts_start, CAST(sum(n) AS BIGINT) AS near_n FROM v_edges JOIN ({_SERIES}) x ON x.station_id = dst GROUP BY 1, 2)")(lambda s, d: G.neighbor_demand(_edges(s, d), _series(s, d), "n"))
+query(
+    "neighbor_demand",
+    f"SELECT *, lag(near_n) OVER (PARTITION BY station_id ORDER BY ts_start) AS near_n_lag_1 FROM (SELECT src AS station_id, ts_start, CAST(sum(n) "
+    f"AS BIGINT) AS near_n FROM v_edges JOIN ({_SERIES}) x ON x.station_id = dst GROUP BY 1, 2)",
+)(
+    lambda s, d: G.neighbor_demand(_edges(s, d), _series(s, d), "n")
+)
 
 # --- aggregations
 
@@ -194,41 +357,173 @@ for _side in ("dep", "arr"):
     for _inside in (True, False):
         _p = f"{_side}_{'internal' if _inside else 'external'}"
         query(_p, _cell_sql(_side, _inside))(lambda s, d, side=_side, p=_p: (c := C.cells(labelled(s, d), side, DAY)).select("cluster_id", "ts_start", *(x for x in c.columns if x.startswith(p))))
-query("cell_weather", "SELECT e.event_type, time_bucket(INTERVAL 30 minute, e.ts) AS ts_start, round(avg(w.temperature_2m), 4) AS temperature_2m_mean, CAST(sum(w.is_raining) AS BIGINT) AS is_raining_sum FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts GROUP BY 1, 2")(
-    lambda s, d: C.cell_weather(T.join_weather(table(s, d, "events"), views.weather(s, d), "ts"), ["event_type", E.slot("ts").alias("ts_start")], ["temperature_2m", "dew_point_2m"], ["is_raining", "heavy_rain"])
+query(
+    "cell_weather",
+    "SELECT e.event_type, time_bucket(INTERVAL 30 minute, e.ts) AS ts_start, round(avg(w.temperature_2m), 4) AS temperature_2m_mean, "
+    "CAST(sum(w.is_raining) AS BIGINT) AS is_raining_sum FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts GROUP BY 1, 2",
+)(
+    lambda s, d: C.cell_weather(
+        T.join_weather(table(s, d, "events"), views.weather(s, d), "ts"), ["event_type", E.slot("ts").alias("ts_start")],
+        ["temperature_2m", "dew_point_2m"], ["is_raining", "heavy_rain"]
+    )
 )
-query("activity_flags", "SELECT dest_cluster AS cluster_id, time_bucket(INTERVAL 1 day, arr_ts) AS ts_start, CAST(count(*) FILTER (WHERE is_internal) > 0 AS INT) AS has_arr_internal, CAST(count(*) FILTER (WHERE NOT is_internal) > 0 AS INT) AS has_arr_external FROM v_lab GROUP BY 1, 2")(
+query(
+    "activity_flags",
+    "SELECT dest_cluster AS cluster_id, time_bucket(INTERVAL 1 day, arr_ts) AS ts_start, CAST(count(*) FILTER (WHERE is_internal) > 0 AS INT) AS "
+    "has_arr_internal, CAST(count(*) FILTER (WHERE NOT is_internal) > 0 AS INT) AS has_arr_external FROM v_lab GROUP BY 1, 2",
+)(
     lambda s, d: C.cells(labelled(s, d), "arr", DAY).select("cluster_id", "ts_start", "has_arr_internal", "has_arr_external")
 )
-query("slot_weather", "SELECT time_bucket(INTERVAL 30 minute, e.ts) AS ts_start, avg(w.temperature_2m) AS temperature_2m, CAST(round(avg(w.is_raining)) AS INT) AS is_raining FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts GROUP BY 1", exact=True)(
+query(
+    "slot_weather",
+    "SELECT time_bucket(INTERVAL 30 minute, e.ts) AS ts_start, avg(w.temperature_2m) AS temperature_2m, CAST(round(avg(w.is_raining)) AS INT) AS "
+    "is_raining FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts GROUP BY 1",
+    exact=True,
+)(
     lambda s, d: C.slot_weather(T.join_weather(table(s, d, "events"), views.weather(s, d), "ts"), "ts", ["temperature_2m"], ["is_raining"], "30 minutes")
 )
-query("node_summary", "SELECT event_type, round(avg(n), 4) AS n_mean, round(stddev_samp(n), 4) AS n_std, round(avg(v), 4) AS v_mean, round(stddev_samp(v), 4) AS v_std, round(avg(n), 4) AS target_n FROM v_dense GROUP BY 1")(lambda s, d: W.node_summary(dense(s, d), "event_type", ["n", "v"], ["n"]))
+query(
+    "node_summary",
+    "SELECT event_type, round(avg(n), 4) AS n_mean, round(stddev_samp(n), 4) AS n_std, round(avg(v), 4) AS v_mean, round(stddev_samp(v), 4) AS "
+    "v_std, round(avg(n), 4) AS target_n FROM v_dense GROUP BY 1",
+)(
+    lambda s, d: W.node_summary(dense(s, d), "event_type", ["n", "v"], ["n"])
+)
 _UNM = "(origin_cluster = -1 OR dest_cluster = -1)"
-query("trip_class_stats", "SELECT count(*) AS n_trips, " + ", ".join(f"count(*) FILTER (WHERE {c}) AS n_{n}, round(100.0 * count(*) FILTER (WHERE {c}) / count(*), 4) AS pct_{n}" for n, c in {"internal": "is_internal", "external": "NOT is_internal", "ghost": "is_internal", "unmapped": _UNM, "iconic": "bike_model = 'ICONIC'"}.items()) + " FROM v_lab")(lambda s, d: T.class_stats(labelled(s, d)))
-query("age_stats", "SELECT count(*) FILTER (WHERE user_age BETWEEN 0 AND 25) AS n_young, count(*) FILTER (WHERE user_age BETWEEN 26 AND 55) AS n_adult, count(*) FILTER (WHERE user_age BETWEEN 56 AND 120) AS n_senior, count(user_age) AS n_known FROM v_lab")(lambda s, d: T.age_stats(labelled(s, d)))
-query("match_rates", "SELECT round(100 * avg(CAST(gender_full IS NOT NULL AS INT)), 4) AS pct_user, round(100 * avg(CAST(user_age IS NOT NULL AS INT)), 4) AS pct_age FROM v_lab")(lambda s, d: labelled(s, d).agg((100 * F.avg(E.flag(F.col("user_matched")))).alias("pct_user"), (100 * F.avg(E.flag(F.col("age_available")))).alias("pct_age")))
-query("coverage_stats", "SELECT count(*) AS n, count(*) FILTER (WHERE n > 0) AS n_active, round(100.0 * count(*) FILTER (WHERE n > 0) / count(*), 4) AS pct_active FROM v_dense")(lambda s, d: dense(s, d).agg(F.count("*").alias("n"), F.count_if(F.col("n") > 0).alias("n_active"), (100.0 * F.count_if(F.col("n") > 0) / F.count("*")).alias("pct_active")))
-query("cluster_sizes", "SELECT min(c) AS min_size, max(c) AS max_size, round(avg(c), 4) AS mean_size, round(stddev_pop(c), 4) AS std_size FROM (SELECT count(*) AS c FROM v_points GROUP BY cluster_id)")(lambda s, d: K.cluster_sizes(views.points(s, d)))
-query("size_histogram", "SELECT CASE WHEN c <= 0 THEN '0' WHEN c = 1 THEN '1' WHEN c <= 4 THEN '2-4' WHEN c <= 9 THEN '5-9' WHEN c <= 19 THEN '10-19' ELSE '20+' END AS bucket, count(*) AS n FROM (SELECT count(*) AS c FROM orders GROUP BY o_custkey) GROUP BY 1")(
+query(
+    "trip_class_stats",
+    "SELECT count(*) AS n_trips, "
+    + ", ".join(f"count(*) FILTER (WHERE {c}) AS n_{n}, round(100.0 * count(*) FILTER (WHERE {c}) / count(*), 4) AS pct_{n}" for n, c in {"internal": "is_internal", "external": "NOT is_internal", "ghost": "is_internal", "unmapped": _UNM, "iconic": "bike_model = 'ICONIC'"}.items())
+    + " FROM v_lab",
+)(
+    lambda s, d: T.class_stats(labelled(s, d))
+)
+query(
+    "age_stats",
+    "SELECT count(*) FILTER (WHERE user_age BETWEEN 0 AND 25) AS n_young, count(*) FILTER (WHERE user_age BETWEEN 26 AND 55) AS n_adult, count(*) "
+    "FILTER (WHERE user_age BETWEEN 56 AND 120) AS n_senior, count(user_age) AS n_known FROM v_lab",
+)(
+    lambda s, d: T.age_stats(labelled(s, d))
+)
+query(
+    "match_rates",
+    "SELECT round(100 * avg(CAST(gender_full IS NOT NULL AS INT)), 4) AS pct_user, round(100 * avg(CAST(user_age IS NOT NULL AS INT)), 4) AS "
+    "pct_age FROM v_lab",
+)(
+    lambda s, d: labelled(s, d)
+        .agg((100 * F.avg(E.flag(F.col("user_matched")))).alias("pct_user"), (100 * F.avg(E.flag(F.col("age_available")))).alias("pct_age"))
+)
+query(
+    "coverage_stats",
+    "SELECT count(*) AS n, count(*) FILTER (WHERE n > 0) AS n_active, round(100.0 * count(*) FILTER (WHERE n > 0) / count(*), 4) AS pct_active "
+    "FROM v_dense",
+)(
+    lambda s, d: dense(s, d)
+        .agg(
+            F.count("*").alias("n"), F.count_if(F.col("n") > 0).alias("n_active"),
+            (100.0 * F.count_if(F.col("n") > 0) / F.count("*")).alias("pct_active")
+        )
+)
+query(
+    "cluster_sizes",
+    "SELECT min(c) AS min_size, max(c) AS max_size, round(avg(c), 4) AS mean_size, round(stddev_pop(c), 4) AS std_size FROM (SELECT count(*) AS c "
+    "FROM v_points GROUP BY cluster_id)",
+)(
+    lambda s, d: K.cluster_sizes(views.points(s, d))
+)
+query(
+    "size_histogram",
+    "SELECT CASE WHEN c <= 0 THEN '0' WHEN c = 1 THEN '1' WHEN c <= 4 THEN '2-4' WHEN c <= 9 THEN '5-9' WHEN c <= 19 THEN '10-19' ELSE '20+' END "
+    "AS bucket, count(*) AS n FROM (SELECT count(*) AS c FROM orders GROUP BY o_custkey) GROUP BY 1",
+)(
     lambda s, d: K.size_histogram(table(s, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("c")), "c")
 )
-query("describe_numeric", " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std FROM events" for c in ("value", "user_id")))(
+query(
+    "describe_numeric",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max, round(avg({c}), 4) AS mean, round(median({c}), 4) AS median, round(stddev_samp({c}), 4) AS std FROM events" for c in ("value", "user_id")),
+)(
     lambda s, d: M.describe(table(s, d, "events"), ["value", "user_id"])
 )
-query("duration_by_flag", "SELECT CAST(gender IS NULL AS INT) AS dur_is_null, round(avg(duration_s), 4) AS mean_duration, count(*) AS n FROM v_trips GROUP BY 1")(lambda s, d: views.trips(s, d).groupBy(E.flag(F.col("gender").isNull()).alias("dur_is_null")).agg(F.avg("duration_s").alias("mean_duration"), F.count("*").alias("n")))
-query("station_slot_counts", "SELECT origin_station_id AS station_id, time_bucket(INTERVAL 1 day, dep_ts) AS ts_start, count(*) AS dep_last_dt, round(avg(duration_s), 4) AS trip_dur_mean_last_dt, count(*) FILTER (WHERE bike_model = 'ICONIC') AS model_iconic_cnt, round(count(*) FILTER (WHERE gender = 'MALE') / count(*), 4) AS share_male, round(count(*) FILTER (WHERE gender = 'FEMALE') / count(*), 4) AS share_female FROM v_trips GROUP BY 1, 2")(
-    lambda s, d: views.trips(s, d).groupBy(F.col("origin_station_id").alias("station_id"), E.slot("dep_ts", DAY).alias("ts_start")).agg(F.count("*").alias("dep_last_dt"), F.avg("duration_s").alias("trip_dur_mean_last_dt"), F.count_if(F.col("bike_model") == "ICONIC").alias("model_iconic_cnt"), *((F.count_if(F.col("gender") == g.upper()) / F.count("*")).alias(f"share_{g}") for g in ("male", "female")))
+query(
+    "duration_by_flag",
+    "SELECT CAST(gender IS NULL AS INT) AS dur_is_null, round(avg(duration_s), 4) AS mean_duration, count(*) AS n FROM v_trips GROUP BY 1",
+)(
+    lambda s, d: views.trips(s, d)
+        .groupBy(E.flag(F.col("gender").isNull()).alias("dur_is_null"))
+        .agg(F.avg("duration_s").alias("mean_duration"), F.count("*").alias("n"))
+)
+query(
+    "station_slot_counts",
+    "SELECT origin_station_id AS station_id, time_bucket(INTERVAL 1 day, dep_ts) AS ts_start, count(*) AS dep_last_dt, round(avg(duration_s), 4) "
+    "AS trip_dur_mean_last_dt, count(*) FILTER (WHERE bike_model = 'ICONIC') AS model_iconic_cnt, round(count(*) FILTER (WHERE gender = 'MALE') / "
+    "count(*), 4) AS share_male, round(count(*) FILTER (WHERE gender = 'FEMALE') / count(*), 4) AS share_female FROM v_trips GROUP BY 1, 2",
+)(
+    lambda s, d: views.trips(s, d)
+        .groupBy(F.col("origin_station_id").alias("station_id"), E.slot("dep_ts", DAY).alias("ts_start"))
+        .agg(
+            F.count("*").alias("dep_last_dt"), F.avg("duration_s").alias("trip_dur_mean_last_dt"),
+            F.count_if(F.col("bike_model") == "ICONIC").alias("model_iconic_cnt"),
+            *((F.count_if(F.col("gender") == g.upper()) / F.count("*")).alias(f"share_{g}") for g in ("male", "female"))
+        )
+)
+query(
+    "activity_heatmap",
+    "SELECT CAST(isodow(ts) AS INT) AS dow, " + ", ".join(f"count(*) FILTER (WHERE hour(ts) = {h}) AS h{h}" for h in range(24))
+    + " FROM events GROUP BY 1",
+)(
+    lambda s, d: table(s, d, "events")
+        .groupBy(E.iso_weekday("ts").alias("dow"))
+        .agg(*(F.count_if(F.hour("ts") == h).alias(f"h{h}") for h in range(24)))
+)
+query(
+    "weather_impact",
+    "SELECT w.is_raining, count(*) AS n, round(avg(e.value), 4) AS mean_value FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = "
+    "w.hour_ts GROUP BY 1",
+)(
+    lambda s, d: T.join_weather(table(s, d, "events"), views.weather(s, d), "ts")
+        .groupBy("is_raining")
+        .agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
 )
-query("activity_heatmap", "SELECT CAST(isodow(ts) AS INT) AS dow, " + ", ".join(f"count(*) FILTER (WHERE hour(ts) = {h}) AS h{h}" for h in range(24)) + " FROM events GROUP BY 1")(
-    lambda s, d: table(s, d, "events").groupBy(E.iso_weekday("ts").alias("dow")).agg(*(F.count_if(F.hour("ts") == h).alias(f"h{h}") for h in range(24)))
+query(
+    "user_profile",
+    "SELECT user_id, count(*) AS n_trips, round(avg(duration_s), 4) AS mean_duration, count(DISTINCT origin_station_id) AS n_stations, min(dep_ts) "
+    "AS first_ts FROM v_trips GROUP BY 1",
+)(
+    lambda s, d: views.trips(s, d)
+        .groupBy("user_id")
+        .agg(
+            F.count("*").alias("n_trips"), F.avg("duration_s").alias("mean_duration"), F.count_distinct("origin_station_id").alias("n_stations"),
+            F.min("dep_ts").alias("first_ts")
+        )
+)
+query(
+    "station_profile",
+    "SELECT origin_station_id AS station_id, count(*) AS n_trips, count(DISTINCT user_id) AS n_users, round(avg(duration_s), 4) AS mean_duration "
+    "FROM v_trips GROUP BY 1",
+)(
+    lambda s, d: views.trips(s, d)
+        .groupBy(F.col("origin_station_id").alias("station_id"))
+        .agg(F.count("*").alias("n_trips"), F.count_distinct("user_id").alias("n_users"), F.avg("duration_s").alias("mean_duration"))
+)
+query(
+    "distinct_count",
+    "SELECT count(DISTINCT origin_station_id) AS n FROM v_trips",
+)(
+    lambda s, d: views.trips(s, d).agg(F.count_distinct("origin_station_id").alias("n"))
+)
+query(
+    "zero_share",
+    "SELECT round(avg(CAST(n = 0 AS INT)), 4) AS zero_share FROM v_dense",
+)(
+    lambda s, d: dense(s, d).agg(F.avg(E.flag(F.col("n") == 0)).alias("zero_share"))
+)
+query(
+    "imbalance_count",
+    f"SELECT count(*) FILTER (WHERE n_arr > n_dep) AS n_over, count(*) FILTER (WHERE n_arr < n_dep) AS n_under FROM ({_ACT})",
+)(
+    lambda s, d: T.station_activity(views.trips(s, d))
+        .agg(F.count_if(F.col("n_arr") > F.col("n_dep")).alias("n_over"), F.count_if(F.col("n_arr") < F.col("n_dep")).alias("n_under"))
 )
-query("weather_impact", "SELECT w.is_raining, count(*) AS n, round(avg(e.value), 4) AS mean_value FROM events e LEFT JOIN v_weather w ON date_trunc('hour', e.ts) = w.hour_ts GROUP BY 1")(lambda s, d: T.join_weather(table(s, d, "events"), views.weather(s, d), "ts").groupBy("is_raining").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")))
-query("user_profile", "SELECT user_id, count(*) AS n_trips, round(avg(duration_s), 4) AS mean_duration, count(DISTINCT origin_station_id) AS n_stations, min(dep_ts) AS first_ts FROM v_trips GROUP BY 1")(lambda s, d: views.trips(s, d).groupBy("user_id").agg(F.count("*").alias("n_trips"), F.avg("duration_s").alias("mean_duration"), F.count_distinct("origin_station_id").alias("n_stations"), F.min("dep_ts").alias("first_ts")))
-query("station_profile", "SELECT origin_station_id AS station_id, count(*) AS n_trips, count(DISTINCT user_id) AS n_users, round(avg(duration_s), 4) AS mean_duration FROM v_trips GROUP BY 1")(lambda s, d: views.trips(s, d).groupBy(F.col("origin_station_id").alias("station_id")).agg(F.count("*").alias("n_trips"), F.count_distinct("user_id").alias("n_users"), F.avg("duration_s").alias("mean_duration")))
-query("distinct_count", "SELECT count(DISTINCT origin_station_id) AS n FROM v_trips")(lambda s, d: views.trips(s, d).agg(F.count_distinct("origin_station_id").alias("n")))
-query("zero_share", "SELECT round(avg(CAST(n = 0 AS INT)), 4) AS zero_share FROM v_dense")(lambda s, d: dense(s, d).agg(F.avg(E.flag(F.col("n") == 0)).alias("zero_share")))
-query("imbalance_count", f"SELECT count(*) FILTER (WHERE n_arr > n_dep) AS n_over, count(*) FILTER (WHERE n_arr < n_dep) AS n_under FROM ({_ACT})")(lambda s, d: T.station_activity(views.trips(s, d)).agg(F.count_if(F.col("n_arr") > F.col("n_dep")).alias("n_over"), F.count_if(F.col("n_arr") < F.col("n_dep")).alias("n_under")))
 
 # --- windows
 
@@ -241,103 +536,341 @@ def _roll(fn: str, n: int) -> str:
 
 
 _lagged = lambda s, d: dense(s, d).select("event_type", "ts_start", *W.lag_columns(["n"], "event_type", "ts_start", W.per_day(30)))
-query("lags", "SELECT event_type, ts_start, " + ", ".join(f"lag(n, {k}, 0) {_W} AS n_lag_{k}" for k in W.LAGS) + " FROM v_dense")(lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(f"n_lag_{k}" for k in W.LAGS)))
-query("rolling_mean", "SELECT event_type, ts_start, " + ", ".join(f"{_roll('avg', k)} AS n_rolling_mean_{k}" for k in W.ROLLING) + " FROM v_dense")(lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(f"n_rolling_mean_{k}" for k in W.ROLLING)))
-query("rolling_std", "SELECT event_type, ts_start, " + ", ".join(f"{_roll('stddev_samp', k)} AS n_rolling_std_{k}" for k in W.ROLLING) + " FROM v_dense")(lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(f"n_rolling_std_{k}" for k in W.ROLLING)))
-query("seasonal_lags", f"SELECT event_type, ts_start, lag(n, 48, 0) {_W} AS n_same_hour_yesterday, lag(n, 336, 0) {_W} AS n_same_hour_last_week FROM v_dense")(lambda s, d: _lagged(s, d).select("event_type", "ts_start", "n_same_hour_yesterday", "n_same_hour_last_week"))
+query(
+    "lags",
+    "SELECT event_type, ts_start, " + ", ".join(f"lag(n, {k}, 0) {_W} AS n_lag_{k}" for k in W.LAGS) + " FROM v_dense",
+)(
+    lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(f"n_lag_{k}" for k in W.LAGS))
+)
+query(
+    "rolling_mean",
+    "SELECT event_type, ts_start, " + ", ".join(f"{_roll('avg', k)} AS n_rolling_mean_{k}" for k in W.ROLLING) + " FROM v_dense",
+)(
+    lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(f"n_rolling_mean_{k}" for k in W.ROLLING))
+)
+query(
+    "rolling_std",
+    "SELECT event_type, ts_start, " + ", ".join(f"{_roll('stddev_samp', k)} AS n_rolling_std_{k}" for k in W.ROLLING) + " FROM v_dense",
+)(
+    lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(f"n_rolling_std_{k}" for k in W.ROLLING))
+)
+query(
+    "seasonal_lags",
+    f"SELECT event_type, ts_start, lag(n, 48, 0) {_W} AS n_same_hour_yesterday, lag(n, 336, 0) {_W} AS n_same_hour_last_week FROM v_dense",
+)(
+    lambda s, d: _lagged(s, d).select("event_type", "ts_start", "n_same_hour_yesterday", "n_same_hour_last_week")
+)
 _SPANS = {"short_term": 1, "daily": 48, "weekly": 336}
-query("lag_flags", "SELECT event_type, ts_start, " + ", ".join(f"CAST(lag(n, {k}, 0) {_W} > 0 AS INT) AS has_{x}_lags, CAST(row_number() {_W} > {k} AS INT) AS history_{x}" for x, k in _SPANS.items()) + " FROM v_dense")(
+query(
+    "lag_flags",
+    "SELECT event_type, ts_start, "
+    + ", ".join(f"CAST(lag(n, {k}, 0) {_W} > 0 AS INT) AS has_{x}_lags, CAST(row_number() {_W} > {k} AS INT) AS history_{x}" for x, k in _SPANS.items())
+    + " FROM v_dense",
+)(
     lambda s, d: dense(s, d).select("event_type", "ts_start", *W.lag_flags("event_type", "ts_start", 30, "n"))
 )
 _station = lambda s, d: W.station_features(dense(s, d), "event_type", "ts_start", "n")
-query("next_targets", f"SELECT event_type, ts_start, lead(n, 1) {_W} AS y_next FROM v_dense")(lambda s, d: _station(s, d).select("event_type", "ts_start", "y_next"))
-query("station_lags", "SELECT event_type, ts_start, " + ", ".join(f"lag(n, {k}) {_W} AS n_lag_{k}" for k in range(1, 7)) + " FROM v_dense")(lambda s, d: _station(s, d).select("event_type", "ts_start", *(f"n_lag_{k}" for k in range(1, 7))))
+query(
+    "next_targets",
+    f"SELECT event_type, ts_start, lead(n, 1) {_W} AS y_next FROM v_dense",
+)(
+    lambda s, d: _station(s, d).select("event_type", "ts_start", "y_next")
+)
+query(
+    "station_lags",
+    "SELECT event_type, ts_start, " + ", ".join(f"lag(n, {k}) {_W} AS n_lag_{k}" for k in range(1, 7)) + " FROM v_dense",
+)(
+    lambda s, d: _station(s, d).select("event_type", "ts_start", *(f"n_lag_{k}" for k in range(1, 7)))
+)
 _D = "OVER (PARTITION BY event_type ORDER BY ts_start ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING)"
-query("daily_stats", f"SELECT event_type, ts_start, round(avg(n) {_D}, 4) AS dep_ma_24h, round(stddev_samp(n) {_D}, 4) AS dep_std_24h, round(CASE WHEN avg(n) {_D} = 0 THEN NULL ELSE n / avg(n) {_D} END, 4) AS dep_ratio_dt_24h FROM v_dense")(
+query(
+    "daily_stats",
+    f"SELECT event_type, ts_start, round(avg(n) {_D}, 4) AS dep_ma_24h, round(stddev_samp(n) {_D}, 4) AS dep_std_24h, round(CASE WHEN avg(n) {_D} = "
+    f"0 THEN NULL ELSE n / avg(n) {_D} END, 4) AS dep_ratio_dt_24h FROM v_dense",
+)(
     lambda s, d: _station(s, d).select("event_type", "ts_start", "dep_ma_24h", "dep_std_24h", "dep_ratio_dt_24h")
 )
-query("weather_lag", "SELECT a.hour_ts, b.precipitation AS precipitation_1h_ago, b.is_raining AS is_raining_1h_ago FROM v_weather a LEFT JOIN v_weather b ON b.hour_ts = a.hour_ts - INTERVAL 1 hour", exact=True)(
-    lambda s, d: (w := views.weather(s, d)).select("hour_ts").join(w.select((F.col("hour_ts") + F.expr("INTERVAL 1 HOUR")).alias("hour_ts"), F.col("precipitation").alias("precipitation_1h_ago"), F.col("is_raining").alias("is_raining_1h_ago")), "hour_ts", "left")
+query(
+    "weather_lag",
+    "SELECT a.hour_ts, b.precipitation AS precipitation_1h_ago, b.is_raining AS is_raining_1h_ago FROM v_weather a LEFT JOIN v_weather b ON "
+    "b.hour_ts = a.hour_ts - INTERVAL 1 hour",
+    exact=True,
+)(
+    lambda s, d: (w := views.weather(s, d))
+        .select("hour_ts")
+        .join(
+            w.select((F.col("hour_ts") + F.expr("INTERVAL 1 HOUR")).alias("hour_ts"), F.col("precipitation").alias("precipitation_1h_ago"), F.col("is_raining").alias("is_raining_1h_ago")),
+            "hour_ts", "left"
+        )
 )
 _PAST = "OVER (PARTITION BY event_type ORDER BY ts_start ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)"
-query("sequences", f"SELECT event_type, target_ts, inputs, v_sum, targets FROM (SELECT event_type, ts_start AS target_ts, array_to_string(list(n) {_PAST}, ',') AS inputs, round(sum(v) {_PAST}, 4) AS v_sum, n || ',' || lead(n, 1) {_W} AS targets, row_number() {_W} AS rn FROM v_dense) WHERE rn > 24 AND targets IS NOT NULL")(
-    lambda s, d: W.sequences(dense(s, d), "event_type", "ts_start", ["n", "v"], "n", 24, 2).select("event_type", "target_ts", F.array_join(F.col("inputs.n").cast("array<string>"), ",").alias("inputs"), F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x["v"]).alias("v_sum"), F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets"))
+query(
+    "sequences",
+    f"SELECT event_type, target_ts, inputs, v_sum, targets FROM (SELECT event_type, ts_start AS target_ts, array_to_string(list(n) {_PAST}, ',') AS "
+    f"inputs, round(sum(v) {_PAST}, 4) AS v_sum, n || ',' || lead(n, 1) {_W} AS targets, row_number() {_W} AS rn FROM v_dense) WHERE rn > 24 AND "
+    f"targets IS NOT NULL",
+)(
+    lambda s, d: W.sequences(dense(s, d), "event_type", "ts_start", ["n", "v"], "n", 24, 2)
+        .select(
+            "event_type", "target_ts", F.array_join(F.col("inputs.n").cast("array<string>"), ",").alias("inputs"),
+            F.aggregate("inputs", F.lit(0.0), lambda a, x: a + x["v"]).alias("v_sum"),
+            F.array_join(F.col("targets").cast("array<string>"), ",").alias("targets")
+        )
 )
-query("ts_folds", """WITH r AS (SELECT event_type, ts_start, row_number() OVER (PARTITION BY event_type ORDER BY ts_start) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c FROM v_dense),
+query(
+    "ts_folds",
+    """WITH r AS (SELECT event_type, ts_start, row_number() OVER (PARTITION BY event_type ORDER BY ts_start) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS c FROM v_dense),
 f AS (SELECT r.*, fold, c // 4 AS sz, c - (3 - fold + 1) * (c // 4) AS lo FROM r CROSS JOIN (SELECT unnest([1, 2, 3]) AS fold))
-SELECT event_type, fold, CASE WHEN i < lo THEN 'train' ELSE 'test' END AS role, count(*) AS n, min(ts_start) AS first_ts, max(ts_start) AS last_ts FROM f WHERE i < lo + sz GROUP BY 1, 2, 3""")(
-    lambda s, d: W.folds(dense(s, d), "event_type", "ts_start", 3).groupBy("event_type", "fold", "role").agg(F.count("*").alias("n"), F.min("ts_start").alias("first_ts"), F.max("ts_start").alias("last_ts"))
+SELECT event_type, fold, CASE WHEN i < lo THEN 'train' ELSE 'test' END AS role, count(*) AS n, min(ts_start) AS first_ts, max(ts_start) AS last_ts FROM f WHERE i < lo + sz GROUP BY 1, 2, 3""",
+)(
+    lambda s, d: W.folds(dense(s, d), "event_type", "ts_start", 3)
+        .groupBy("event_type", "fold", "role")
+        .agg(F.count("*").alias("n"), F.min("ts_start").alias("first_ts"), F.max("ts_start").alias("last_ts"))
 )
 _SWEEP = "SELECT CAST(p_size AS INT) * 5 AS k, 1000.0 / p_size AS inertia, avg(p_retailprice) / 10000 AS silhouette FROM part GROUP BY p_size"
 _sweep = lambda s, d: table(s, d, "part").groupBy("p_size").agg(F.avg("p_retailprice").alias("p")).select((F.col("p_size").cast("int") * 5).alias("k"), (F.lit(1000.0) / F.col("p_size")).alias("inertia"), (F.col("p") / 10000).alias("silhouette"))
-query("rank_best_k", "WITH r AS (" + _SWEEP + ") SELECT (SELECT k FROM r ORDER BY silhouette DESC, k LIMIT 1) AS best, (SELECT k FROM r WHERE k >= 50 ORDER BY silhouette DESC, k LIMIT 1) AS best_50, (SELECT k FROM r WHERE k > 100 ORDER BY silhouette DESC, k LIMIT 1) AS best_100")(lambda s, d: K.best_k(_sweep(s, d)))
-query("elbow_k", "WITH r AS (" + _SWEEP + "), m AS (SELECT min(k) AS k0, max(k) AS k1, min(inertia) AS i0, max(inertia) AS i1 FROM r) SELECT k AS elbow_k FROM r, m ORDER BY (1 - (k - k0) / (k1 - k0)::DOUBLE) - (inertia - i0) / (i1 - i0) DESC, k LIMIT 1")(lambda s, d: K.elbow(_sweep(s, d)))
-query("station_index", "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS idx FROM nation")(lambda s, d: T.dense_index(table(s, d, "nation"), "n_nationkey"))
+query(
+    "rank_best_k",
+    "WITH r AS (" + _SWEEP
+    + ") SELECT (SELECT k FROM r ORDER BY silhouette DESC, k LIMIT 1) AS best, (SELECT k FROM r WHERE k >= 50 ORDER BY silhouette DESC, k LIMIT 1) "
+      "AS best_50, (SELECT k FROM r WHERE k > 100 ORDER BY silhouette DESC, k LIMIT 1) AS best_100",
+)(
+    lambda s, d: K.best_k(_sweep(s, d))
+)
+query(
+    "elbow_k",
+    "WITH r AS (" + _SWEEP
+    + "), m AS (SELECT min(k) AS k0, max(k) AS k1, min(inertia) AS i0, max(inertia) AS i1 FROM r) SELECT k AS elbow_k FROM r, m ORDER BY (1 - (k - "
+      "k0) / (k1 - k0)::DOUBLE) - (inertia - i0) / (i1 - i0) DESC, k LIMIT 1",
+)(
+    lambda s, d: K.elbow(_sweep(s, d))
+)
+query(
+    "station_index",
+    "SELECT n_nationkey, CAST(row_number() OVER (ORDER BY n_nationkey) - 1 AS INT) AS idx FROM nation",
+)(
+    lambda s, d: T.dense_index(table(s, d, "nation"), "n_nationkey")
+)
 
 # --- order, top, sets
 
-query("sort_series", "SELECT event_type, ts_start, n FROM v_slots ORDER BY 1, 2")(lambda s, d: slot_series(s, d).select("event_type", "ts_start", "n").orderBy("event_type", "ts_start"))
-query("top_stations", "SELECT origin_station_id, count(*) AS n FROM v_trips GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10")(lambda s, d: views.trips(s, d).groupBy("origin_station_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "origin_station_id").limit(10))
-query("best_model", "SELECT event_type AS best FROM events GROUP BY 1 ORDER BY avg(value), 1 LIMIT 1")(lambda s, d: table(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("loss")).agg(F.min_by("event_type", F.struct("loss", "event_type")).alias("best")))
-query("station_dim", f"SELECT a.station_id, a.n_total AS n_ends, round(p.lat, 4) AS lat, round(p.lon, 4) AS lon FROM ({_ACT}) a JOIN v_points p ON a.station_id = p.station_id")(
+query(
+    "sort_series",
+    "SELECT event_type, ts_start, n FROM v_slots ORDER BY 1, 2",
+)(
+    lambda s, d: slot_series(s, d).select("event_type", "ts_start", "n").orderBy("event_type", "ts_start")
+)
+query(
+    "top_stations",
+    "SELECT origin_station_id, count(*) AS n FROM v_trips GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10",
+)(
+    lambda s, d: views.trips(s, d).groupBy("origin_station_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "origin_station_id").limit(10)
+)
+query(
+    "best_model",
+    "SELECT event_type AS best FROM events GROUP BY 1 ORDER BY avg(value), 1 LIMIT 1",
+)(
+    lambda s, d: table(s, d, "events")
+        .groupBy("event_type")
+        .agg(F.avg("value").alias("loss"))
+        .agg(F.min_by("event_type", F.struct("loss", "event_type")).alias("best"))
+)
+query(
+    "station_dim",
+    f"SELECT a.station_id, a.n_total AS n_ends, round(p.lat, 4) AS lat, round(p.lon, 4) AS lon FROM ({_ACT}) a JOIN v_points p ON a.station_id = "
+    f"p.station_id",
+)(
     lambda s, d: T.station_dim(views.trips(s, d), views.points(s, d).select("station_id", "lat", "lon"))
 )
-query("union_splits", f"SELECT split, count(*) AS n FROM (SELECT {_SPLIT} AS split FROM v_trips) WHERE split <> 'test' GROUP BY 1")(lambda s, d: (t := _split(s, d)).where("split = 'train'").unionByName(t.where("split = 'val'")).groupBy("split").agg(F.count("*").alias("n")))
-query("diff_ids", "SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM v_users")(lambda s, d: table(s, d, "customer").select("c_custkey").subtract(views.users(s, d).select("user_id")))
+query(
+    "union_splits",
+    f"SELECT split, count(*) AS n FROM (SELECT {_SPLIT} AS split FROM v_trips) WHERE split <> 'test' GROUP BY 1",
+)(
+    lambda s, d: (t := _split(s, d)).where("split = 'train'").unionByName(t.where("split = 'val'")).groupBy("split").agg(F.count("*").alias("n"))
+)
+query(
+    "diff_ids",
+    "SELECT c_custkey FROM customer EXCEPT SELECT user_id FROM v_users",
+)(
+    lambda s, d: table(s, d, "customer").select("c_custkey").subtract(views.users(s, d).select("user_id"))
+)
 
 # --- scalar functions
 
-query("slot_floor", "SELECT event_id, time_bucket(INTERVAL 30 minute, ts) AS ts_start FROM events")(lambda s, d: table(s, d, "events").select("event_id", E.slot("ts").alias("ts_start")))
+query(
+    "slot_floor",
+    "SELECT event_id, time_bucket(INTERVAL 30 minute, ts) AS ts_start FROM events",
+)(
+    lambda s, d: table(s, d, "events").select("event_id", E.slot("ts").alias("ts_start"))
+)
 _cal = lambda s, d: table(s, d, "events").select("event_id", *E.calendar("ts"))
-query("calendar_parts", "SELECT event_id, CAST(hour(ts) AS INT) AS hour_of_day, CAST(isodow(ts) AS INT) AS day_of_week, CAST(month(ts) AS INT) AS month, CAST(year(ts) AS INT) AS year FROM events")(lambda s, d: _cal(s, d).select("event_id", "hour_of_day", "day_of_week", "month", "year"))
-query("cyclic", "SELECT event_id, round(sin(2 * pi() * hour(ts) / 24), 4) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 4) + 0.0 AS hour_cos, round(sin(2 * pi() * isodow(ts) / 7), 4) + 0.0 AS dow_sin, round(cos(2 * pi() * isodow(ts) / 7), 4) + 0.0 AS dow_cos FROM events")(
+query(
+    "calendar_parts",
+    "SELECT event_id, CAST(hour(ts) AS INT) AS hour_of_day, CAST(isodow(ts) AS INT) AS day_of_week, CAST(month(ts) AS INT) AS month, CAST(year(ts) "
+    "AS INT) AS year FROM events",
+)(
+    lambda s, d: _cal(s, d).select("event_id", "hour_of_day", "day_of_week", "month", "year")
+)
+query(
+    "cyclic",
+    "SELECT event_id, round(sin(2 * pi() * hour(ts) / 24), 4) + 0.0 AS hour_sin, round(cos(2 * pi() * hour(ts) / 24), 4) + 0.0 AS hour_cos, "
+    "round(sin(2 * pi() * isodow(ts) / 7), 4) + 0.0 AS dow_sin, round(cos(2 * pi() * isodow(ts) / 7), 4) + 0.0 AS dow_cos FROM events",
+)(
     lambda s, d: _cal(s, d).select("event_id", *((F.round(c, 4) + 0.0).alias(c) for c in ("hour_sin", "hour_cos", "dow_sin", "dow_cos")))
 )
-query("calendar_flags", "SELECT event_id, CAST(isodow(ts) IN (6, 7) AS INT) AS is_weekend, CAST(hour(ts) BETWEEN 7 AND 9 AS INT) AS is_morning_rush, CAST(hour(ts) BETWEEN 17 AND 19 AS INT) AS is_evening_rush, CAST(hour(ts) BETWEEN 6 AND 22 AS INT) AS is_daytime, CAST(month(ts) IN (12, 1, 2) AS INT) AS is_summer, CAST(month(ts) BETWEEN 6 AND 8 AS INT) AS is_winter FROM events")(
+query(
+    "calendar_flags",
+    "SELECT event_id, CAST(isodow(ts) IN (6, 7) AS INT) AS is_weekend, CAST(hour(ts) BETWEEN 7 AND 9 AS INT) AS is_morning_rush, CAST(hour(ts) "
+    "BETWEEN 17 AND 19 AS INT) AS is_evening_rush, CAST(hour(ts) BETWEEN 6 AND 22 AS INT) AS is_daytime, CAST(month(ts) IN (12, 1, 2) AS INT) AS "
+    "is_summer, CAST(month(ts) BETWEEN 6 AND 8 AS INT) AS is_winter FROM events",
+)(
     lambda s, d: _cal(s, d).select("event_id", "is_weekend", "is_morning_rush", "is_evening_rush", "is_daytime", "is_summer", "is_winter")
 )
-query("age_bins", "SELECT user_id, " + ", ".join(f"CAST(coalesce(user_age BETWEEN {a} AND {b}, false) AS INT) AS age_{n}" for n, (a, b) in E.AGE_BINS.items()) + ", CAST(user_age IS NOT NULL AS INT) AS age_known FROM v_users")(lambda s, d: views.users(s, d).select("user_id", *E.age_flags(F.col("user_age"))))
-query("bike_flag", "SELECT l_orderkey, l_linenumber, l_partkey, CAST(bike_model = 'ICONIC' AS INT) AS is_iconic FROM v_trips")(lambda s, d: labelled(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "is_iconic"))
-query("od_class", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, is_internal, NOT is_internal AS is_external, is_internal AS is_ghost, {_UNM} AS is_unmapped FROM v_lab")(lambda s, d: labelled(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "is_internal", "is_external", "is_ghost", "is_unmapped"))
+query(
+    "age_bins",
+    "SELECT user_id, " + ", ".join(f"CAST(coalesce(user_age BETWEEN {a} AND {b}, false) AS INT) AS age_{n}" for n, (a, b) in E.AGE_BINS.items())
+    + ", CAST(user_age IS NOT NULL AS INT) AS age_known FROM v_users",
+)(
+    lambda s, d: views.users(s, d).select("user_id", *E.age_flags(F.col("user_age")))
+)
+query(
+    "bike_flag",
+    "SELECT l_orderkey, l_linenumber, l_partkey, CAST(bike_model = 'ICONIC' AS INT) AS is_iconic FROM v_trips",
+)(
+    lambda s, d: labelled(s, d).select("l_orderkey", "l_linenumber", "l_partkey", "is_iconic")
+)
+query(
+    "od_class",
+    f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, is_internal, NOT is_internal AS is_external, is_internal AS is_ghost, {_UNM} AS "
+    f"is_unmapped FROM v_lab",
+)(
+    lambda s, d: labelled(s, d)
+        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "is_internal", "is_external", "is_ghost", "is_unmapped")
+)
 _HAV = "2 * 6371.0 * asin(sqrt(power(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * power(sin(radians({d} - {c}) / 2), 2)))"
-query("haversine_km", f"SELECT station_id, round({_HAV.format(a='lat', b='-34.6', c='lon', d='-58.4')}, 4) AS km FROM v_points")(lambda s, d: views.points(s, d).select("station_id", E.haversine_km(F.col("lat"), F.col("lon"), F.lit(-34.6), F.lit(-58.4)).alias("km")))
-query("centroid_distance", f"SELECT p.station_id, p.cluster_id, round({_HAV.format(a='p.lat', b='c.lat', c='p.lon', d='c.lon')}, 4) AS km FROM v_points p JOIN (SELECT cluster_id, avg(lat) AS lat, avg(lon) AS lon FROM v_points GROUP BY 1) c USING (cluster_id)")(lambda s, d: K.centroid_distance(views.points(s, d), K.centroids(views.points(s, d))))
+query(
+    "haversine_km",
+    f"SELECT station_id, round({_HAV.format(a='lat', b='-34.6', c='lon', d='-58.4')}, 4) AS km FROM v_points",
+)(
+    lambda s, d: views.points(s, d).select("station_id", E.haversine_km(F.col("lat"), F.col("lon"), F.lit(-34.6), F.lit(-58.4)).alias("km"))
+)
+query(
+    "centroid_distance",
+    f"SELECT p.station_id, p.cluster_id, round({_HAV.format(a='p.lat', b='c.lat', c='p.lon', d='c.lon')}, 4) AS km FROM v_points p JOIN (SELECT "
+    f"cluster_id, avg(lat) AS lat, avg(lon) AS lon FROM v_points GROUP BY 1) c USING (cluster_id)",
+)(
+    lambda s, d: K.centroid_distance(views.points(s, d), K.centroids(views.points(s, d)))
+)
 _Z = "SELECT station_id, round((lat - m1) / s1, 4) AS lat_z, round((lon - m2) / s2, 4) AS lon_z FROM v_points, (SELECT avg(lat) AS m1, stddev_pop(lat) AS s1, avg(lon) AS m2, stddev_pop(lon) AS s2 FROM v_points)"
 query("standardize", _Z)(lambda s, d: K.standardize(views.points(s, d), ["lat", "lon"]).select("station_id", "lat_z", "lon_z"))
 _ANGLE = {"lat": "2 * pi() * (lat - lo1) / (hi1 - lo1)", "lon": "2 * pi() * (lon - lo2) / (hi2 - lo2)"}
-query("coord_features", "SELECT station_id, round((lat - m1) / s1, 4) AS lat_z, round((lon - m2) / s2, 4) AS lon_z, " + ", ".join(f"round({f}({k} * {_ANGLE[c]}), 4) + 0.0 AS {c}_{f}_{k}" for c in _ANGLE for k in (1, 2) for f in ("sin", "cos")) + " FROM v_points, (SELECT avg(lat) AS m1, stddev_pop(lat) AS s1, avg(lon) AS m2, stddev_pop(lon) AS s2, min(lat) AS lo1, max(lat) AS hi1, min(lon) AS lo2, max(lon) AS hi2 FROM v_points)")(
-    lambda s, d: K.coord_features(K.standardize(views.points(s, d), ["lat", "lon"])).select("station_id", "lat_z", "lon_z", *((F.round(f"{c}_{f}_{k}", 4) + 0.0).alias(f"{c}_{f}_{k}") for c in ("lat", "lon") for k in (1, 2) for f in ("sin", "cos")))
+query(
+    "coord_features",
+    "SELECT station_id, round((lat - m1) / s1, 4) AS lat_z, round((lon - m2) / s2, 4) AS lon_z, "
+    + ", ".join(f"round({f}({k} * {_ANGLE[c]}), 4) + 0.0 AS {c}_{f}_{k}" for c in _ANGLE for k in (1, 2) for f in ("sin", "cos"))
+    + " FROM v_points, (SELECT avg(lat) AS m1, stddev_pop(lat) AS s1, avg(lon) AS m2, stddev_pop(lon) AS s2, min(lat) AS lo1, max(lat) AS hi1, "
+      "min(lon) AS lo2, max(lon) AS hi2 FROM v_points)",
+)(
+    lambda s, d: K.coord_features(K.standardize(views.points(s, d), ["lat", "lon"]))
+        .select(
+            "station_id", "lat_z", "lon_z",
+            *((F.round(f"{c}_{f}_{k}", 4) + 0.0).alias(f"{c}_{f}_{k}") for c in ("lat", "lon") for k in (1, 2) for f in ("sin", "cos"))
+        )
+)
+query(
+    "wind_encoding",
+    "SELECT event_id, round(sin(radians(user_id)), 4) + 0.0 AS wind_dir_sin, round(cos(radians(user_id)), 4) + 0.0 AS wind_dir_cos FROM events",
+)(
+    lambda s, d: table(s, d, "events")
+        .select(
+            "event_id", (F.round(F.sin(F.radians("user_id")), 4) + 0.0).alias("wind_dir_sin"),
+            (F.round(F.cos(F.radians("user_id")), 4) + 0.0).alias("wind_dir_cos")
+        )
 )
-query("wind_encoding", "SELECT event_id, round(sin(radians(user_id)), 4) + 0.0 AS wind_dir_sin, round(cos(radians(user_id)), 4) + 0.0 AS wind_dir_cos FROM events")(lambda s, d: table(s, d, "events").select("event_id", (F.round(F.sin(F.radians("user_id")), 4) + 0.0).alias("wind_dir_sin"), (F.round(F.cos(F.radians("user_id")), 4) + 0.0).alias("wind_dir_cos")))
 _CODES = ("clear", "clouds", "drizzle", "rain")
-query("weather_code_onehot", "SELECT hour_ts, " + ", ".join(f"CAST(coalesce(weather_code = {i}, false) AS INT) AS weather_{n}" for i, n in enumerate(_CODES)) + ", CAST(weather_code IS NULL AS INT) AS weather_null FROM v_weather")(
-    lambda s, d: views.weather(s, d).select("hour_ts", *(E.flag(F.coalesce(F.col("weather_code") == i, F.lit(False))).alias(f"weather_{n}") for i, n in enumerate(_CODES)), E.flag(F.col("weather_code").isNull()).alias("weather_null"))
+query(
+    "weather_code_onehot",
+    "SELECT hour_ts, " + ", ".join(f"CAST(coalesce(weather_code = {i}, false) AS INT) AS weather_{n}" for i, n in enumerate(_CODES))
+    + ", CAST(weather_code IS NULL AS INT) AS weather_null FROM v_weather",
+)(
+    lambda s, d: views.weather(s, d)
+        .select(
+            "hour_ts", *(E.flag(F.coalesce(F.col("weather_code") == i, F.lit(False))).alias(f"weather_{n}") for i, n in enumerate(_CODES)),
+            E.flag(F.col("weather_code").isNull()).alias("weather_null")
+        )
 )
 _SKY = "(SELECT *, temperature_2m - 2 AS apparent_temperature, temperature_2m / 2 AS wind_speed_10m FROM v_weather)"
 _BANDS = {"temp_very_hot": "temperature_2m > 30", "temp_cold": "temperature_2m < 10", "temp_comfortable": "temperature_2m BETWEEN 15 AND 25", "is_raining": "precipitation > 0", "heavy_rain": "precipitation > 4", "light_rain": "precipitation > 0 AND precipitation <= 4", "moderate_wind": "wind_speed_10m >= 20 AND wind_speed_10m < 40", "strong_wind": "wind_speed_10m >= 40"}
-query("weather_flags", "SELECT hour_ts, " + ", ".join(f"CAST({c} AS INT) AS {n}" for n, c in _BANDS.items()) + f", round(apparent_temperature - temperature_2m, 4) AS temp_feel_diff, CAST(temperature_2m BETWEEN 15 AND 25 AS INT) + CAST(precipitation <= 0 AS INT) + CAST(wind_speed_10m < 20 AS INT) AS weather_comfort FROM {_SKY}")(
-    lambda s, d: views.weather(s, d).withColumns({"apparent_temperature": F.col("temperature_2m") - 2, "wind_speed_10m": F.col("temperature_2m") / 2}).select("hour_ts", *E.weather_flags())
+query(
+    "weather_flags",
+    "SELECT hour_ts, " + ", ".join(f"CAST({c} AS INT) AS {n}" for n, c in _BANDS.items())
+    + f", round(apparent_temperature - temperature_2m, 4) AS temp_feel_diff, CAST(temperature_2m BETWEEN 15 AND 25 AS INT) + CAST(precipitation <= "
+      f"0 AS INT) + CAST(wind_speed_10m < 20 AS INT) AS weather_comfort FROM {_SKY}",
+)(
+    lambda s, d: views.weather(s, d)
+        .withColumns({"apparent_temperature": F.col("temperature_2m") - 2, "wind_speed_10m": F.col("temperature_2m") / 2})
+        .select("hour_ts", *E.weather_flags())
+)
+query(
+    "precip_flag",
+    "SELECT hour_ts, CAST(precipitation > 0 AS INT) AS has_precip FROM v_weather",
+)(
+    lambda s, d: views.weather(s, d).select("hour_ts", E.flag(F.col("precipitation") > 0).alias("has_precip"))
 )
-query("precip_flag", "SELECT hour_ts, CAST(precipitation > 0 AS INT) AS has_precip FROM v_weather")(lambda s, d: views.weather(s, d).select("hour_ts", E.flag(F.col("precipitation") > 0).alias("has_precip")))
-query("occurrence_flags", "SELECT event_type, ts_start, CAST(n > 0 AS INT) AS has_dep, CAST(lead(n, 1, 0) OVER (PARTITION BY event_type ORDER BY ts_start) > 0 AS INT) AS has_arr, CAST(s.v IS NULL AS INT) AS dur_is_null, round(coalesce(s.v, 0.0), 4) AS duration FROM v_dense d LEFT JOIN (SELECT event_type, ts_start, v FROM v_slots) s USING (event_type, ts_start)")(
+query(
+    "occurrence_flags",
+    "SELECT event_type, ts_start, CAST(n > 0 AS INT) AS has_dep, CAST(lead(n, 1, 0) OVER (PARTITION BY event_type ORDER BY ts_start) > 0 AS INT) "
+    "AS has_arr, CAST(s.v IS NULL AS INT) AS dur_is_null, round(coalesce(s.v, 0.0), 4) AS duration FROM v_dense d LEFT JOIN (SELECT event_type, "
+    "ts_start, v FROM v_slots) s USING (event_type, ts_start)",
+)(
     lambda s, d: dense(s, d).select("event_type", "ts_start", "n", F.lead("n", 1, 0).over(Window.partitionBy("event_type").orderBy("ts_start")).alias("arr")).join(slot_series(s, d).select("event_type", "ts_start", "v"), ["event_type", "ts_start"], "left")
     .select("event_type", "ts_start", E.flag(F.col("n") > 0).alias("has_dep"), E.flag(F.col("arr") > 0).alias("has_arr"), E.flag(F.col("v").isNull()).alias("dur_is_null"), F.coalesce("v", F.lit(0.0)).alias("duration"))
 )
-query("net_flow", f"SELECT station_id, n_arr - n_dep AS delta FROM ({_ACT})")(lambda s, d: T.station_activity(views.trips(s, d)).select("station_id", (F.col("n_arr") - F.col("n_dep")).alias("delta")))
+query(
+    "net_flow",
+    f"SELECT station_id, n_arr - n_dep AS delta FROM ({_ACT})",
+)(
+    lambda s, d: T.station_activity(views.trips(s, d)).select("station_id", (F.col("n_arr") - F.col("n_dep")).alias("delta"))
+)
 _HOLIDAYS = "SELECT DISTINCT CAST(o_orderdate AS DATE) AS holiday FROM orders WHERE strftime(o_orderdate, '%m-%d') IN ('01-01', '05-01', '12-25')"
-query("business_calendar", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(holiday IS NOT NULL AS INT) AS is_holiday, CAST(day(dep_ts) <= 5 AS INT) AS payday_flag, CAST(month(dep_ts) IN (1, 2, 7) AS INT) AS vacation_season, CAST(isodow(dep_ts) < 6 AND (hour(dep_ts) BETWEEN 7 AND 9 OR hour(dep_ts) BETWEEN 17 AND 19) AS INT) AS peak_commute FROM v_trips LEFT JOIN ({_HOLIDAYS}) ON CAST(dep_ts AS DATE) = holiday")(
-    lambda s, d: T.mark_holidays(views.trips(s, d), table(s, d, "orders").select(F.to_date("o_orderdate").alias("date")).where(F.date_format("date", "MM-dd").isin("01-01", "05-01", "12-25")), "dep_ts").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "is_holiday", *E.business_flags("dep_ts"))
+query(
+    "business_calendar",
+    f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(holiday IS NOT NULL AS INT) AS is_holiday, CAST(day(dep_ts) <= 5 AS INT) AS "
+    f"payday_flag, CAST(month(dep_ts) IN (1, 2, 7) AS INT) AS vacation_season, CAST(isodow(dep_ts) < 6 AND (hour(dep_ts) BETWEEN 7 AND 9 OR "
+    f"hour(dep_ts) BETWEEN 17 AND 19) AS INT) AS peak_commute FROM v_trips LEFT JOIN ({_HOLIDAYS}) ON CAST(dep_ts AS DATE) = holiday",
+)(
+    lambda s, d: T.mark_holidays(
+            views.trips(s, d),
+            table(s, d, "orders").select(F.to_date("o_orderdate").alias("date")).where(F.date_format("date", "MM-dd").isin("01-01", "05-01", "12-25")),
+            "dep_ts"
+        )
+        .select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "is_holiday", *E.business_flags("dep_ts"))
 )
 
 # --- clustering
 
-query("cluster_centroids", "SELECT cluster_id, round(avg(lat), 4) AS lat, round(avg(lon), 4) AS lon, count(*) AS station_count FROM v_points GROUP BY 1")(lambda s, d: K.centroids(views.points(s, d)))
+query(
+    "cluster_centroids",
+    "SELECT cluster_id, round(avg(lat), 4) AS lat, round(avg(lon), 4) AS lon, count(*) AS station_count FROM v_points GROUP BY 1",
+)(
+    lambda s, d: K.centroids(views.points(s, d))
+)
 _CEN = "(SELECT cluster_id AS c, avg(lat) AS clat, avg(lon) AS clon FROM v_points GROUP BY 1)"
 _NEAR = f"SELECT station_id, c AS assigned, d2 FROM (SELECT station_id, c, power(lat - clat, 2) + power(lon - clon, 2) AS d2, row_number() OVER (PARTITION BY station_id ORDER BY power(lat - clat, 2) + power(lon - clon, 2), c) AS rn FROM v_points, {_CEN}) WHERE rn = 1"
-query("kmeans_assign", f"SELECT station_id, assigned FROM ({_NEAR})")(lambda s, d: K.assign(p := views.points(s, d), K.centroids(p)).select("station_id", "assigned"))
+query(
+    "kmeans_assign",
+    f"SELECT station_id, assigned FROM ({_NEAR})",
+)(
+    lambda s, d: K.assign(p := views.points(s, d), K.centroids(p)).select("station_id", "assigned")
+)
 query("inertia", f"SELECT round(sum(d2), 4) AS inertia FROM ({_NEAR})")(lambda s, d: K.inertia(K.assign(p := views.points(s, d), K.centroids(p))))
-query("silhouette", """WITH z AS (SELECT * FROM v_points), d AS (SELECT a.station_id, a.cluster_id, b.cluster_id AS oc, avg(sqrt(power(a.lat - b.lat, 2) + power(a.lon - b.lon, 2))) AS d FROM z a JOIN z b ON a.station_id <> b.station_id GROUP BY 1, 2, 3)
-SELECT station_id, round((min(d) FILTER (WHERE oc <> cluster_id) - min(d) FILTER (WHERE oc = cluster_id)) / greatest(min(d) FILTER (WHERE oc <> cluster_id), min(d) FILTER (WHERE oc = cluster_id)), 4) AS silhouette FROM d GROUP BY 1""")(lambda s, d: K.silhouette(views.points(s, d), "lat", "lon"))
+query(
+    "silhouette",
+    """WITH z AS (SELECT * FROM v_points), d AS (SELECT a.station_id, a.cluster_id, b.cluster_id AS oc, avg(sqrt(power(a.lat - b.lat, 2) + power(a.lon - b.lon, 2))) AS d FROM z a JOIN z b ON a.station_id <> b.station_id GROUP BY 1, 2, 3)
+SELECT station_id, round((min(d) FILTER (WHERE oc <> cluster_id) - min(d) FILTER (WHERE oc = cluster_id)) / greatest(min(d) FILTER (WHERE oc <> cluster_id), min(d) FILTER (WHERE oc = cluster_id)), 4) AS silhouette FROM d GROUP BY 1""",
+)(
+    lambda s, d: K.silhouette(views.points(s, d), "lat", "lon")
+)
 
 
 @query("kmeans_fit")
@@ -371,34 +904,123 @@ def _model_io(s: SparkSession, d: str) -> DataFrame:
 
 query("knn_graph", "SELECT src, dst, round(km, 4) AS km FROM v_edges")(_edges)
 query("edge_list", "SELECT src, dst FROM v_edges")(lambda s, d: _edges(s, d).select("src", "dst"))
-query("graph_stats", "SELECT count(*) AS n_edges, round(count(*) / (m * (m - 1.0)), 4) AS density, round(count(*) / m, 4) AS edges_per_node FROM v_edges, (SELECT count(*)::DOUBLE AS m FROM v_points) GROUP BY m")(lambda s, d: G.graph_stats(_edges(s, d), views.points(s, d).count()))
-query("sink_graph", "SELECT src, count(*) AS degree FROM v_edges GROUP BY 1")(lambda s, d: sinks.write_features(_edges(s, d).withColumn("part", F.col("src") % 4), scratch(s), "part").groupBy("src").agg(F.count("*").alias("degree")))
-query("neighbor_mean", "SELECT src, round(avg(lat), 4) AS neighbor_lat FROM v_edges JOIN v_points ON station_id = dst GROUP BY 1")(lambda s, d: G.neighbor_mean(_edges(s, d), views.points(s, d), ["lat"]))
-query("gcn_propagate", "WITH g AS (SELECT p.station_id, coalesce(k.c, 0) + 1.0 AS deg, p.lat AS x FROM v_points p LEFT JOIN (SELECT src, count(*) AS c FROM v_edges GROUP BY 1) k ON k.src = p.station_id) SELECT a.station_id, round(coalesce(sum(b.x / sqrt(a.deg * b.deg)), 0) + a.x / a.deg, 4) AS lat_prop FROM g a LEFT JOIN v_edges e ON e.src = a.station_id LEFT JOIN g b ON b.station_id = e.dst GROUP BY a.station_id, a.x, a.deg")(lambda s, d: G.propagate(_edges(s, d), views.points(s, d), "lat"))
-query("khop_neighbors", "SELECT src, dst, min(hops) AS hops FROM (SELECT src, dst, 1 AS hops FROM v_edges UNION ALL SELECT a.src, b.dst, 2 FROM v_edges a JOIN v_edges b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY 1, 2")(lambda s, d: G.reach(_edges(s, d), 2))
+query(
+    "graph_stats",
+    "SELECT count(*) AS n_edges, round(count(*) / (m * (m - 1.0)), 4) AS density, round(count(*) / m, 4) AS edges_per_node FROM v_edges, (SELECT "
+    "count(*)::DOUBLE AS m FROM v_points) GROUP BY m",
+)(
+    lambda s, d: G.graph_stats(_edges(s, d), views.points(s, d).count())
+)
+query(
+    "sink_graph",
+    "SELECT src, count(*) AS degree FROM v_edges GROUP BY 1",
+)(
+    lambda s, d: sinks.write_features(_edges(s, d).withColumn("part", F.col("src") % 4), scratch(s), "part")
+        .groupBy("src")
+        .agg(F.count("*").alias("degree"))
+)
+query(
+    "neighbor_mean",
+    "SELECT src, round(avg(lat), 4) AS neighbor_lat FROM v_edges JOIN v_points ON station_id = dst GROUP BY 1",
+)(
+    lambda s, d: G.neighbor_mean(_edges(s, d), views.points(s, d), ["lat"])
+)
+query(
+    "gcn_propagate",
+    "WITH g AS (SELECT p.station_id, coalesce(k.c, 0) + 1.0 AS deg, p.lat AS x FROM v_points p LEFT JOIN (SELECT src, count(*) AS c FROM v_edges "
+    "GROUP BY 1) k ON k.src = p.station_id) SELECT a.station_id, round(coalesce(sum(b.x / sqrt(a.deg * b.deg)), 0) + a.x / a.deg, 4) AS lat_prop "
+    "FROM g a LEFT JOIN v_edges e ON e.src = a.station_id LEFT JOIN g b ON b.station_id = e.dst GROUP BY a.station_id, a.x, a.deg",
+)(
+    lambda s, d: G.propagate(_edges(s, d), views.points(s, d), "lat")
+)
+query(
+    "khop_neighbors",
+    "SELECT src, dst, min(hops) AS hops FROM (SELECT src, dst, 1 AS hops FROM v_edges UNION ALL SELECT a.src, b.dst, 2 FROM v_edges a JOIN v_edges "
+    "b ON a.dst = b.src WHERE a.src <> b.dst) GROUP BY 1, 2",
+)(
+    lambda s, d: G.reach(_edges(s, d), 2)
+)
 
 # --- forecasting
 
 _SK = "SELECT event_id AS id, event_id % 7 - 3 AS delta, 0.5 + event_id % 5 AS up, 0.25 + event_id % 3 AS down FROM events"
 _sk = lambda s, d: table(s, d, "events").select(F.col("event_id").alias("id"), (F.col("event_id") % 7 - 3).alias("delta"), (0.5 + F.col("event_id") % 5).alias("up"), (0.25 + F.col("event_id") % 3).alias("down"))
-query("skellam_forecast", f"SELECT id, round(up - down, 4) AS net_mean, round(up + down, 4) AS net_var FROM ({_SK})")(lambda s, d: P.net_flow(_sk(s, d), "up", "down").select("id", "net_mean", "net_var"))
-query("skellam_loglik", f"WITH x AS (SELECT DISTINCT delta, up, down FROM ({_SK})), l AS (SELECT delta, up, down, ln(sum(exp((j + greatest(delta, 0)) * ln(up) - up - lgamma(j + greatest(delta, 0) + 1) + (j + greatest(-delta, 0)) * ln(down) - down - lgamma(j + greatest(-delta, 0) + 1)))) AS lp FROM x, (SELECT unnest(range(80)) AS j) GROUP BY 1, 2, 3) SELECT round(sum(lp), 2) AS loglik FROM ({_SK}) JOIN l USING (delta, up, down)")(
+query(
+    "skellam_forecast",
+    f"SELECT id, round(up - down, 4) AS net_mean, round(up + down, 4) AS net_var FROM ({_SK})",
+)(
+    lambda s, d: P.net_flow(_sk(s, d), "up", "down").select("id", "net_mean", "net_var")
+)
+query(
+    "skellam_loglik",
+    f"WITH x AS (SELECT DISTINCT delta, up, down FROM ({_SK})), l AS (SELECT delta, up, down, ln(sum(exp((j + greatest(delta, 0)) * ln(up) - up - "
+    f"lgamma(j + greatest(delta, 0) + 1) + (j + greatest(-delta, 0)) * ln(down) - down - lgamma(j + greatest(-delta, 0) + 1)))) AS lp FROM x, "
+    f"(SELECT unnest(range(80)) AS j) GROUP BY 1, 2, 3) SELECT round(sum(lp), 2) AS loglik FROM ({_SK}) JOIN l USING (delta, up, down)",
+)(
     lambda s, d: _sk(s, d).withColumn("lp", E.skellam_logpmf(F.col("delta"), F.col("up"), F.col("down"))).agg(F.round(F.sum("lp"), 2).alias("loglik"))
 )
-query("pit_calibration", "WITH p AS (SELECT doc_id % 4 AS fold, score AS pit FROM v_scores), r AS (SELECT fold, abs(pit - (row_number() OVER (PARTITION BY fold ORDER BY pit) - 1) / (count(*) OVER (PARTITION BY fold) - 1)::DOUBLE) AS gap FROM p) SELECT fold, round(max(gap), 4) AS max_gap FROM r GROUP BY 1")(lambda s, d: M.pit_gap(views.scores(s, d).select((F.col("doc_id") % 4).alias("fold"), F.col("score").alias("pit")), "fold", "pit"))
-query("skellam_pit")(lambda s, d: M.pit_gap(_sk(s, d).withColumn("pit", E.skellam_cdf(F.col("delta"), F.col("up"), F.col("down"))).withColumn("fold", F.col("id") % 3), "fold", "pit"))
-query("regression_metrics", "SELECT count(*) AS n, round(avg(power(y - score, 2)), 4) AS mse, round(sqrt(avg(power(y - score, 2))), 4) AS rmse, round(avg(abs(y - score)), 4) AS mae, round(1 - sum(power(y - score, 2)) / (var_pop(y) * count(*)), 4) AS r2 FROM v_scores")(lambda s, d: M.regression_metrics(views.scores(s, d), "y", "score"))
-query("classification_metrics", """WITH c AS (SELECT count(*) FILTER (WHERE score >= 0.5 AND y = 1)::DOUBLE AS tp, count(*) FILTER (WHERE score >= 0.5 AND y <> 1) AS fp, count(*) FILTER (WHERE score < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND y <> 1) AS tn FROM v_scores),
+query(
+    "pit_calibration",
+    "WITH p AS (SELECT doc_id % 4 AS fold, score AS pit FROM v_scores), r AS (SELECT fold, abs(pit - (row_number() OVER (PARTITION BY fold ORDER "
+    "BY pit) - 1) / (count(*) OVER (PARTITION BY fold) - 1)::DOUBLE) AS gap FROM p) SELECT fold, round(max(gap), 4) AS max_gap FROM r GROUP BY 1",
+)(
+    lambda s, d: M.pit_gap(views.scores(s, d).select((F.col("doc_id") % 4).alias("fold"), F.col("score").alias("pit")), "fold", "pit")
+)
+query(
+    "skellam_pit",
+)(
+    lambda s, d: M.pit_gap(
+        _sk(s, d).withColumn("pit", E.skellam_cdf(F.col("delta"), F.col("up"), F.col("down"))).withColumn("fold", F.col("id") % 3), "fold", "pit"
+    )
+)
+query(
+    "regression_metrics",
+    "SELECT count(*) AS n, round(avg(power(y - score, 2)), 4) AS mse, round(sqrt(avg(power(y - score, 2))), 4) AS rmse, round(avg(abs(y - score)), "
+    "4) AS mae, round(1 - sum(power(y - score, 2)) / (var_pop(y) * count(*)), 4) AS r2 FROM v_scores",
+)(
+    lambda s, d: M.regression_metrics(views.scores(s, d), "y", "score")
+)
+query(
+    "classification_metrics",
+    """WITH c AS (SELECT count(*) FILTER (WHERE score >= 0.5 AND y = 1)::DOUBLE AS tp, count(*) FILTER (WHERE score >= 0.5 AND y <> 1) AS fp, count(*) FILTER (WHERE score < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE score < 0.5 AND y <> 1) AS tn FROM v_scores),
 m AS (SELECT (tp + tn) / (tp + tn + fp + fn) AS accuracy, tp / (tp + fp) AS prec, tp / (tp + fn) AS rec FROM c),
 a AS (SELECT avg(CASE WHEN p.score > q.score THEN 1.0 WHEN p.score = q.score THEN 0.5 ELSE 0 END) AS auc FROM v_scores p, v_scores q WHERE p.y = 1 AND q.y <> 1)
-SELECT round(accuracy, 4) AS accuracy, round(prec, 4) AS "precision", round(rec, 4) AS recall, round(auc, 4) AS auc, round(2 * prec * rec / (prec + rec), 4) AS f1 FROM m, a""")(lambda s, d: M.classification_metrics(views.scores(s, d), "y", "score"))
-query("fold_summary", "SELECT round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS std, count(*) AS n FROM (SELECT avg(value) AS m FROM events GROUP BY event_type)")(lambda s, d: M.fold_summary(table(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("m")), "m"))
-query("weighted_compare", "SELECT round(sum(m * n) / sum(n), 4) AS weighted_mae, round(sum(r * n) / sum(n), 4) AS weighted_rmse, round(avg(m), 4) AS mean_mae, round(avg(r), 4) AS mean_rmse, round(100 * (0.434 - sum(m * n) / sum(n)) / 0.434, 4) AS gain_mae_pct, round(100 * (0.994 - sum(r * n) / sum(n)) / 0.994, 4) AS gain_rmse_pct FROM (SELECT event_type, avg(value) / 100 AS m, stddev_pop(value) / 100 AS r, count(*) AS n FROM events GROUP BY 1)")(
-    lambda s, d: M.weighted_compare(table(s, d, "events").groupBy("event_type").agg((F.avg("value") / 100).alias("m"), (F.stddev_pop("value") / 100).alias("r"), F.count("*").alias("n")), "m", "r", "n", 0.434, 0.994)
+SELECT round(accuracy, 4) AS accuracy, round(prec, 4) AS "precision", round(rec, 4) AS recall, round(auc, 4) AS auc, round(2 * prec * rec / (prec + rec), 4) AS f1 FROM m, a""",
+)(
+    lambda s, d: M.classification_metrics(views.scores(s, d), "y", "score")
+)
+query(
+    "fold_summary",
+    "SELECT round(avg(m), 4) AS mean, round(stddev_samp(m), 4) AS std, count(*) AS n FROM (SELECT avg(value) AS m FROM events GROUP BY event_type)",
+)(
+    lambda s, d: M.fold_summary(table(s, d, "events").groupBy("event_type").agg(F.avg("value").alias("m")), "m")
+)
+query(
+    "weighted_compare",
+    "SELECT round(sum(m * n) / sum(n), 4) AS weighted_mae, round(sum(r * n) / sum(n), 4) AS weighted_rmse, round(avg(m), 4) AS mean_mae, "
+    "round(avg(r), 4) AS mean_rmse, round(100 * (0.434 - sum(m * n) / sum(n)) / 0.434, 4) AS gain_mae_pct, round(100 * (0.994 - sum(r * n) / "
+    "sum(n)) / 0.994, 4) AS gain_rmse_pct FROM (SELECT event_type, avg(value) / 100 AS m, stddev_pop(value) / 100 AS r, count(*) AS n FROM events "
+    "GROUP BY 1)",
+)(
+    lambda s, d: M.weighted_compare(
+        table(s, d, "events").groupBy("event_type").agg((F.avg("value") / 100).alias("m"), (F.stddev_pop("value") / 100).alias("r"), F.count("*").alias("n")),
+        "m", "r", "n", 0.434, 0.994
+    )
+)
+query(
+    "pinball_loss",
+    "SELECT round(avg(greatest(0.9 * (y - score), -0.1 * (y - score))), 4) AS pinball FROM v_scores",
+)(
+    lambda s, d: M.pinball(views.scores(s, d), "y", "score", 0.9)
 )
-query("pinball_loss", "SELECT round(avg(greatest(0.9 * (y - score), -0.1 * (y - score))), 4) AS pinball FROM v_scores")(lambda s, d: M.pinball(views.scores(s, d), "y", "score", 0.9))
-query("compare_models", "SELECT 'score' AS model, round(avg(abs(y - score)), 4) AS mae FROM v_scores UNION ALL SELECT 'mean', round(avg(abs(y - m)), 4) FROM v_scores, (SELECT avg(y) AS m FROM v_scores)")(
-    lambda s, d: M.regression_metrics(views.scores(s, d), "y", "score").select(F.lit("score").alias("model"), "mae").unionAll(M.regression_metrics((v := views.scores(s, d)).crossJoin(v.agg(F.avg("y").alias("m"))), "y", "m").select(F.lit("mean"), "mae"))
+query(
+    "compare_models",
+    "SELECT 'score' AS model, round(avg(abs(y - score)), 4) AS mae FROM v_scores UNION ALL SELECT 'mean', round(avg(abs(y - m)), 4) FROM v_scores, "
+    "(SELECT avg(y) AS m FROM v_scores)",
+)(
+    lambda s, d: M.regression_metrics(views.scores(s, d), "y", "score")
+        .select(F.lit("score").alias("model"), "mae")
+        .unionAll(M.regression_metrics((v := views.scores(s, d)).crossJoin(v.agg(F.avg("y").alias("m"))), "y", "m").select(F.lit("mean"), "mae"))
 )
 
 
@@ -432,11 +1054,30 @@ def _poisson_global(s: SparkSession, d: str) -> DataFrame:
     return P.skellam_baseline(parts[0].unionByName(parts[1]).unionByName(parts[2]), "arr", "n", "fold")
 
 
-query("poisson_per_station")(lambda s, d: P.skellam_baseline(P.poisson_pair_per_entity(W.folds(_slots(s, d), "event_type", "ts_start", 3), "event_type", "ts_start", _FEATURES, "arr", "n"), "arr", "n", "event_type", "fold"))
+query(
+    "poisson_per_station",
+)(
+    lambda s, d: P.skellam_baseline(
+        P.poisson_pair_per_entity(W.folds(_slots(s, d), "event_type", "ts_start", 3), "event_type", "ts_start", _FEATURES, "arr", "n"), "arr", "n",
+        "event_type", "fold"
+    )
+)
 query("gbt_demand")(lambda s, d: P.gbt_forecast(*_train_test(s, d), _FEATURES, "n", 5)[0].select("event_type", "ts_start", "n", "prediction"))
 query("top_features")(lambda s, d: P.gbt_forecast(*_train_test(s, d), _FEATURES, "n", 5)[1])
-query("activity_gate")(lambda s, d: P.activity_gate(*_train_test(s, d), _FEATURES, "n").select("event_type", "ts_start", "n", "p_active", "gated", "forecast"))
-query("sink_predictions")(lambda s, d: sinks.write_features(P.poisson_global(*_train_test(s, d), _FEATURES, "n").select("event_type", "ts_start", "n", "n_mean"), scratch(s), "event_type").groupBy("event_type").agg(F.count("*").alias("rows"), F.avg("n_mean").alias("mean")))
+query(
+    "activity_gate",
+)(
+    lambda s, d: P.activity_gate(*_train_test(s, d), _FEATURES, "n").select("event_type", "ts_start", "n", "p_active", "gated", "forecast")
+)
+query(
+    "sink_predictions",
+)(
+    lambda s, d: sinks.write_features(
+            P.poisson_global(*_train_test(s, d), _FEATURES, "n").select("event_type", "ts_start", "n", "n_mean"), scratch(s), "event_type"
+        )
+        .groupBy("event_type")
+        .agg(F.count("*").alias("rows"), F.avg("n_mean").alias("mean"))
+)
 
 # --- the feature table of clusters
 
@@ -463,10 +1104,25 @@ _PRUNED = [c for c in W.LAGGED if "internal" not in c]
 _CALENDAR_SQL = "CAST(hour(ts_start) AS INT) AS hour_of_day, CAST(isodow(ts_start) AS INT) AS day_of_week, CAST(month(ts_start) AS INT) AS month, CAST(year(ts_start) AS INT) AS year, " + ", ".join(f"round({f}(2 * pi() * {x} / {p}), 4) + 0.0 AS {n}_{f}" for n, x, p in (("hour", "hour(ts_start)", 24), ("dow", "isodow(ts_start)", 7), ("month", "month(ts_start)", 12)) for f in ("sin", "cos"))
 _CALENDAR_SQL += ", CAST(isodow(ts_start) IN (6, 7) AS INT) AS is_weekend, CAST(hour(ts_start) BETWEEN 7 AND 9 AS INT) AS is_morning_rush, CAST(hour(ts_start) BETWEEN 17 AND 19 AS INT) AS is_evening_rush, CAST(hour(ts_start) BETWEEN 6 AND 22 AS INT) AS is_daytime, CAST(month(ts_start) IN (12, 1, 2) AS INT) AS is_summer, CAST(month(ts_start) BETWEEN 6 AND 8 AS INT) AS is_winter"
 query("feature_table")(feature_table)
-query("prune_leakage", f"WITH {_CELLS}, c AS (SELECT cluster_id, avg(station_id) AS cluster_centroid_lat, avg(-station_id) AS cluster_centroid_lon, count(*) AS cluster_station_count FROM v_map GROUP BY 1) SELECT cluster_id, ts_start, cluster_centroid_lat, cluster_centroid_lon, cluster_station_count, {_CALENDAR_SQL}, {', '.join(x for c in _PRUNED for x in _history_sql(c))} FROM grid JOIN c USING (cluster_id)")(
-    lambda s, d: (p := W.prune_leakage(feature_table(s, d))).select(*((F.round(c, 4) + 0.0).alias(c) if c.endswith(("_sin", "_cos")) else F.col(c) for c in p.columns if c not in ("temperature_2m_mean", "precipitation_mean", "weather_code_mean", "is_raining")))
+query(
+    "prune_leakage",
+    f"WITH {_CELLS}, c AS (SELECT cluster_id, avg(station_id) AS cluster_centroid_lat, avg(-station_id) AS cluster_centroid_lon, count(*) AS "
+    f"cluster_station_count FROM v_map GROUP BY 1) SELECT cluster_id, ts_start, cluster_centroid_lat, cluster_centroid_lon, cluster_station_count, "
+    f"{_CALENDAR_SQL}, {', '.join(x for c in _PRUNED for x in _history_sql(c))} FROM grid JOIN c USING (cluster_id)",
+)(
+    lambda s, d: (p := W.prune_leakage(feature_table(s, d)))
+        .select(
+            *(
+                (F.round(c, 4) + 0.0).alias(c) if c.endswith(("_sin", "_cos")) else F.col(c) for c in p.columns if c not in ("temperature_2m_mean", "precipitation_mean", "weather_code_mean", "is_raining")
+            )
+        )
 )
-query("select_targets", "WITH a AS (" + _cell_sql("dep", False) + ") SELECT cluster_id, ts_start, dep_external_count, dep_external_male, dep_external_female, dep_external_young, dep_external_adult, dep_external_senior FROM a")(
+query(
+    "select_targets",
+    "WITH a AS (" + _cell_sql("dep", False)
+    + ") SELECT cluster_id, ts_start, dep_external_count, dep_external_male, dep_external_female, dep_external_young, dep_external_adult, "
+      "dep_external_senior FROM a",
+)(
     lambda s, d: W.select_targets(C.cells(labelled(s, d), "dep", DAY), "all", ["cluster_id", "ts_start"])
 )
 
@@ -489,11 +1145,31 @@ def _live(name: str, build, sql: str) -> None:
 
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 10 minute AS mark FROM events)"
-_live("stream_slot_counts", lambda s, d: slots.slot_counts(_stream(s, d, "events"), "ts", "event_type"), f"SELECT ts_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 minute, ts) AS ts_start FROM events), {_CLOSED} WHERE ts_start + INTERVAL 30 minute <= mark GROUP BY 1, 2")
-_live("stream_sliding", lambda s, d: slots.slot_counts(_stream(s, d, "events"), "ts", "event_type", "2 hours", "10 minutes", "30 minutes"), f"SELECT ts_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 minute, ts) - k * INTERVAL 30 minute AS ts_start FROM events, (SELECT unnest([0, 1, 2, 3]) AS k)), {_CLOSED} WHERE ts_start + INTERVAL 2 hour <= mark GROUP BY 1, 2")
-_live("stream_dedup", lambda s, d: slots.dedup(_stream(s, d, "events"), "ts", ["event_id"]).select("event_id", "event_type"), "SELECT DISTINCT event_id, event_type FROM events")
+_live(
+    "stream_slot_counts",
+    lambda s, d: slots.slot_counts(_stream(s, d, "events"), "ts", "event_type"),
+    f"SELECT ts_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 minute, ts) AS ts_start "
+    f"FROM events), {_CLOSED} WHERE ts_start + INTERVAL 30 minute <= mark GROUP BY 1, 2",
+)
+_live(
+    "stream_sliding",
+    lambda s, d: slots.slot_counts(_stream(s, d, "events"), "ts", "event_type", "2 hours", "10 minutes", "30 minutes"),
+    f"SELECT ts_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 minute, ts) - k * INTERVAL "
+    f"30 minute AS ts_start FROM events, (SELECT unnest([0, 1, 2, 3]) AS k)), {_CLOSED} WHERE ts_start + INTERVAL 2 hour <= mark GROUP BY 1, 2",
+)
+_live(
+    "stream_dedup",
+    lambda s, d: slots.dedup(_stream(s, d, "events"), "ts", ["event_id"]).select("event_id", "event_type"),
+    "SELECT DISTINCT event_id, event_type FROM events",
+)
 _live(
     "stream_od_counts",
-    lambda s, d: slots.od_counts(_stream(s, d, "events").select("ts", (F.col("user_id") % 25).cast("int").alias("origin_station_id"), (F.col("event_id") % 25).cast("int").alias("dest_station_id"), F.lit("FIT").alias("bike_model")), views.station_cluster(s, d), "ts"),
-    "WITH t AS (SELECT time_bucket(INTERVAL 1 day, ts) AS ts_start, coalesce(o.cluster_id, -1) AS oc, coalesce(p.cluster_id, -1) AS dc FROM events e LEFT JOIN v_map o ON o.station_id = e.user_id % 25 LEFT JOIN v_map p ON p.station_id = e.event_id % 25) SELECT ts_start, oc AS origin_cluster, count(*) FILTER (WHERE oc = dc AND oc <> -1) AS n_internal, count(*) FILTER (WHERE NOT (oc = dc AND oc <> -1)) AS n_external FROM t, (SELECT max(ts) - INTERVAL 1 day AS mark FROM events) WHERE ts_start + INTERVAL 1 day <= mark GROUP BY 1, 2",
+    lambda s, d: slots.od_counts(
+        _stream(s, d, "events").select("ts", (F.col("user_id") % 25).cast("int").alias("origin_station_id"), (F.col("event_id") % 25).cast("int").alias("dest_station_id"), F.lit("FIT").alias("bike_model")),
+        views.station_cluster(s, d), "ts"
+    ),
+    "WITH t AS (SELECT time_bucket(INTERVAL 1 day, ts) AS ts_start, coalesce(o.cluster_id, -1) AS oc, coalesce(p.cluster_id, -1) AS dc FROM events "
+    "e LEFT JOIN v_map o ON o.station_id = e.user_id % 25 LEFT JOIN v_map p ON p.station_id = e.event_id % 25) SELECT ts_start, oc AS "
+    "origin_cluster, count(*) FILTER (WHERE oc = dc AND oc <> -1) AS n_internal, count(*) FILTER (WHERE NOT (oc = dc AND oc <> -1)) AS n_external "
+    "FROM t, (SELECT max(ts) - INTERVAL 1 day AS mark FROM events) WHERE ts_start + INTERVAL 1 day <= mark GROUP BY 1, 2",
 )
