@@ -16,4 +16,4 @@ QUERIES = {
     "op9_neardup": neardup.op9_neardup,
     "op10_pii": pii.op10_pii,
 }
-ORACLES = {"op1_warc": warc.ORACLE, "op3_preference": chat.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op3_preference": chat.ORACLE, "op4_url_filter": urls.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE}

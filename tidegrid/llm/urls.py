@@ -19,7 +19,9 @@ RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 #: Query parameters that name a visitor's way and not the page.
-_TRACKING = r"(?<=[?&])(utm_[A-Za-z0-9_]*|ref|fbclid|gclid|sessionid)=[^&]*&?"
+_TRACKING = r"^(utm_[A-Za-z0-9_]*|ref|fbclid|gclid|sessionid)="
+
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x2F;", "/"), ("&#47;", "/"), ("&amp;", "&"))
 
 
 def host_of(url: Column) -> Column:
@@ -36,43 +38,156 @@ def ruling(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_max(F.array(*fits))
 
 
+def _plain_path(path: Column) -> Column:
+    """``.`` and ``..`` segments taken out."""
+    step = lambda done, part: F.when(part == "..", F.regexp_replace(done, r"/[^/]*$", "")).when(part == ".", done).otherwise(F.concat(done, F.lit("/"), part))
+    parts = F.split(path, "/")
+    folded = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.lit(""), step)
+    return F.when(F.regexp_like(path, F.lit(r"^/(.*/)?\.\.?(/.*)?$")), F.when(folded == "", "/").otherwise(folded)).otherwise(path)
+
+
 def normal_form(url: Column) -> Column:
-    """The URL as a canonical link would name it: https, lower-case host without ``www.``, no tracking parameters, no fragment."""
-    bare = F.regexp_replace(url, r"(?s)#.*$", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, _TRACKING, ""), r"[?&]$", "")
-    host = F.regexp_replace(host_of(bare), r"^www\.", "")
-    return F.when(F.regexp_like(url, F.lit(r"^(?i:https?)://")), F.concat(F.lit("https://"), host, F.regexp_replace(bare, r"(?s)^[^:]*://[^/?#]*", "")))
+    """The URL as a canonical link would name it: https, lower-case host without ``www.``, plain path, no tracking parameters, no fragment; null for other schemes."""
+    host = F.regexp_replace(host_of(url), r"^www\.", "")
+    query = F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+    kept = F.array_join(F.filter(F.split(query, "&"), lambda x: (x != "") & ~F.regexp_like(x, F.lit(_TRACKING))), "&")
+    return F.when(F.regexp_like(url, F.lit(r"^(?i:https?)://")), F.concat(F.lit("https://"), host, _plain_path(path_of(url)), F.when(kept == "", "").otherwise(F.concat(F.lit("?"), kept))))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, quoted or not, with the usual entities decoded; empty where there is none."""
+    found = F.regexp_extract(tag, rf"""(?is)[\s"']{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    plain = F.regexp_replace(found, r"""^["']|["']$""", "")
+    for entity, sign in _ENTITIES:
+        plain = F.replace(plain, F.lit(entity), F.lit(sign))
+    return F.trim(plain)
+
+
+def _first_tag(html: Column, tag: str, attribute: str, value: str) -> Column:
+    """The first ``tag`` whose attribute's value matches; null if none."""
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\s[^>]*>"), F.lit(0))
+    return F.get(F.filter(tags, lambda t: F.regexp_like(_attribute(t, attribute), F.lit(value))), F.lit(0))
+
+
+def resolved(target: Column, base: Column) -> Column:
+    """An ``http`` or ``https`` URL of a link on a page; null for an empty link, another scheme, or a base without ``://``."""
+    root = F.regexp_extract(base, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    folder = F.regexp_extract(path_of(base), r"(?s)^(.*/)", 1)
+    whole = (
+        F.when(target == "", None)
+        .when(F.regexp_like(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.-]*:")), target)
+        .when(root == "", None)
+        .when(F.startswith(target, F.lit("//")), F.concat(F.regexp_extract(base, r"^([^:/?#]+:)", 1), target))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, target))
+        .when(F.startswith(target, F.lit("?")), F.concat(root, path_of(base), target))
+        .when(F.startswith(target, F.lit("#")), F.concat(F.regexp_extract(base, r"(?s)^([^#]*)", 1), target))
+        .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target))
+    )
+    return F.when(F.regexp_like(whole, F.lit(r"^(?i:https?)://")), whole)
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
-    """``u, v`` from each page's URL to its canonical link, its refresh target, and its normal form."""
+    """``u, v``: each page's URL with its canonical link and its refresh target, and every one of these with its normal form.
+
+    Links are resolved against the page's ``<base>``, itself resolved against the
+    page's URL. Pages without a URL have no edges; a null html has no tags.
+    """
     html, url = F.coalesce("html", F.lit("")), F.col("url")
-    tag = F.regexp_extract(html, r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>""", 0)
-    canonical = F.regexp_extract(tag, r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)""", 1)
-    refresh = F.regexp_extract(html, r"""(?is)<meta\b[^>]*http-equiv\s*=\s*["']?refresh\b[^>]*url\s*=\s*["']?([^"'\s>]+)""", 1)
-    root = F.regexp_extract(url, r"(?s)^([^:/?#]+://[^/?#]*)", 1)
-    absolute = lambda x: F.when(F.regexp_like(x, F.lit(r"^(?i:https?)://")), x).when(F.startswith(x, F.lit("//")), F.concat(F.regexp_extract(url, r"^([^:/?#]+:)", 1), x)).when(F.startswith(x, F.lit("/")), F.concat(root, x))
-    targets = F.array(absolute(canonical), absolute(refresh), normal_form(url))
-    return pages.where(url.isNotNull()).select(url.alias("u"), F.explode(targets).alias("v")).where(F.col("v").isNotNull())
+    own = pages.where(url.isNotNull()).select(
+        url.alias("url"), _attribute(_first_tag(html, "base", "href", "."), "href").alias("base"),
+        _attribute(_first_tag(html, "link", "rel", r"(?i)(^|\s)canonical(\s|$)"), "href").alias("canonical"),
+        F.trim(F.regexp_extract(_attribute(_first_tag(html, "meta", "http-equiv", "(?i)^refresh$"), "content"), r"""(?is)url\s*=\s*["']?([^"']+)""", 1)).alias("refresh"),
+    )
+    based = own.withColumn("at", F.coalesce(resolved(F.col("base"), url), url))
+    linked = based.select("url", resolved(F.col("canonical"), F.col("at")).alias("canonical"), resolved(F.col("refresh"), F.col("at")).alias("refresh"))
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    targets = [F.col(c) for c in ("canonical", "refresh")]
+    pairs = F.array(pair(url, normal_form(url)), *(p for t in targets for p in (pair(url, t), pair(t, normal_form(t)))))
+    return linked.select(F.explode(pairs).alias("p")).select("p.u", "p.v").where("u IS NOT NULL AND v IS NOT NULL")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules=RULES) -> DataFrame:
     """``page_id, host, path, rule, verdict`` of each row of ``pages``.
 
     The longest rule that fits a URL decides. Else a URL is blocked if an alias
-    is blocked by rule and no alias is allowed by rule; else it is allowed. Null
-    URLs, and URLs without ``://``, have empty host and path and are allowed.
+    is blocked by rule and no alias is allowed by rule; else it is allowed.
+    Allows take precedence over the whole class, as aliases are one page: who
+    allows it under one name wants it however it is reached.
+
+    Repeated rows are each judged, by their URL alone. Null URLs, and URLs
+    without ``://``, have empty host and path and are allowed. Other columns are
+    left out; an empty table gives no rows, and no edges leave the rules alone.
     """
     members = components(edges)
     node_rule = ruling(host_of(F.col("node")), path_of(F.col("node")), rules)["verdict"]
     by_class = members.groupBy("component").agg(F.coalesce(F.bool_or(node_rule == "allow"), F.lit(False)).alias("allowed"), F.coalesce(F.bool_or(node_rule == "block"), F.lit(False)).alias("blocked"))
-    blocked = members.join(by_class.where("blocked AND NOT allowed").select("component"), "component", "left_semi").select(F.col("node").alias("url"), F.lit("block").alias("inherited"))
+    blocked = members.join(by_class.where("blocked AND NOT allowed").select("component"), "component", "left_semi").select(F.col("node").alias("alias"))
     rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"))
     own = rows.select("page_id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    own = own.withColumn("ruling", ruling(F.col("host"), F.col("path"), rules)).join(blocked, "url", "left")
-    return own.select("page_id", "host", "path", F.col("ruling.rule").alias("rule"), F.coalesce("ruling.verdict", "inherited", F.lit("allow")).alias("verdict"))
+    own = own.withColumn("ruling", ruling(F.col("host"), F.col("path"), rules)).join(blocked, own["url"] == blocked["alias"], "left")
+    inherited = F.when(F.col("alias").isNotNull(), "block")
+    return own.select("page_id", "host", "path", F.col("ruling.rule").alias("rule"), F.coalesce("ruling.verdict", inherited, F.lit("allow")).alias("verdict"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``pages`` with the links that they hold; odd rows as ``judge`` says."""
     pages = table(spark, sf_dir, "pages")
     return judge(pages, link_edges(pages))
+
+
+def _attribute_sql(tag: str, name: str) -> str:
+    plain = rf"""regexp_replace(regexp_extract({tag}, '(?is)[\s"'']{name}\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1), '^["'']|["'']$', '', 'g')"""
+    for entity, sign in _ENTITIES:
+        plain = f"replace({plain}, '{entity}', '{sign.replace("'", "''")}')"
+    return f"trim({plain})"
+
+
+def _tag_sql(tag: str, attribute: str, value: str) -> str:
+    return rf"list_filter(regexp_extract_all(html, '(?is)<{tag}\s[^>]*>'), lambda t: regexp_matches({_attribute_sql('t', attribute)}, '{value}'))[1]"
+
+
+def _host_sql(url: str) -> str:
+    return f"translate(coalesce(regexp_extract({url}, '{_PARTS}', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _path_sql(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '{_PARTS}', 2), '')"
+
+
+def _resolved_sql(target: str, base: str) -> str:
+    return rf"""CASE WHEN {target} = '' THEN NULL WHEN regexp_matches({target}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {target}
+      WHEN regexp_extract({base}, '(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) = '' THEN NULL
+      WHEN starts_with({target}, '//') THEN regexp_extract({base}, '^([^:/?#]+:)', 1) || {target}
+      WHEN starts_with({target}, '/') THEN regexp_extract({base}, '(?s)^([^:/?#]+://[^/?#]*)', 1) || {target}
+      WHEN starts_with({target}, '?') THEN regexp_extract({base}, '(?s)^([^:/?#]+://[^/?#]*)', 1) || {_path_sql(base)} || {target}
+      WHEN starts_with({target}, '#') THEN regexp_extract({base}, '(?s)^([^#]*)', 1) || {target}
+      ELSE regexp_extract({base}, '(?s)^([^:/?#]+://[^/?#]*)', 1) || coalesce(nullif(regexp_extract({_path_sql(base)}, '(?s)^(.*/)', 1), ''), '/') || {target} END"""
+
+
+_KEPT = rf"array_to_string(list_filter(string_split(regexp_extract(x, '(?s)^[^?#]*\?([^#]*)', 1), '&'), lambda q: q <> '' AND NOT regexp_matches(q, '{_TRACKING}')), '&')"
+_FOLDED = "list_reduce(list_prepend('', string_split(path, '/')[2:]), lambda done, part: CASE WHEN part = '..' THEN regexp_replace(done, '/[^/]*$', '') WHEN part = '.' THEN done ELSE done || '/' || part END)"
+
+ORACLE = rf"""
+WITH RECURSIVE rules(h, p, v) AS (VALUES {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)}),
+pg AS (SELECT row_number() OVER () AS r, page_id, url, coalesce(html, '') AS html FROM pages),
+t AS (SELECT url, coalesce({_attribute_sql(_tag_sql("base", "href", "."), "href")}, '') AS base,
+  coalesce({_attribute_sql(_tag_sql("link", "rel", r"(?i)(^|\s)canonical(\s|$)"), "href")}, '') AS canonical,
+  coalesce(trim(regexp_extract({_attribute_sql(_tag_sql("meta", "http-equiv", "(?i)^refresh$"), "content")}, '(?is)url\s*=\s*["'']?([^"'']+)', 1)), '') AS refresh FROM pg WHERE url IS NOT NULL),
+b AS (SELECT *, {_resolved_sql("base", "url")} AS based FROM t),
+sited AS (SELECT *, CASE WHEN regexp_matches(based, '^(?i:https?)://') THEN based ELSE url END AS place FROM b),
+l AS (SELECT url AS u, {_resolved_sql("canonical", "place")} AS v FROM sited UNION ALL SELECT url, {_resolved_sql("refresh", "place")} FROM sited),
+links AS (SELECT u, v FROM l WHERE regexp_matches(v, '^(?i:https?)://')),
+nodes AS (SELECT DISTINCT x FROM (SELECT url AS x FROM t UNION ALL SELECT v FROM links)),
+n AS (SELECT x, {_path_sql("x")} AS path FROM nodes WHERE regexp_matches(x, '^(?i:https?)://')),
+normal AS (SELECT x AS u, 'https://' || regexp_replace({_host_sql("x")}, '^www\.', '')
+    || CASE WHEN regexp_matches(path, '^/(.*/)?\.\.?(/.*)?$') THEN coalesce(nullif({_FOLDED}, ''), '/') ELSE path END
+    || CASE WHEN {_KEPT} = '' THEN '' ELSE '?' || {_KEPT} END AS v FROM n),
+e AS (SELECT DISTINCT u, v FROM (SELECT u, v FROM links UNION ALL SELECT v, u FROM links UNION ALL SELECT u, v FROM normal UNION ALL SELECT v, u FROM normal) WHERE u <> v),
+reach AS (SELECT DISTINCT u AS node, u AS other FROM e UNION SELECT reach.node, e.v FROM reach JOIN e ON e.u = reach.other),
+every AS (SELECT x FROM nodes UNION SELECT v FROM normal),
+parts AS (SELECT x, {_host_sql("x")} AS host, {_path_sql("x")} AS path FROM every),
+fits AS (SELECT x, arg_max(h || p, (len(h || p), h || p, v)) AS rule, arg_max(v, (len(h || p), h || p, v)) AS verdict FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY x),
+inherited AS (SELECT node FROM reach JOIN fits ON fits.x = reach.other GROUP BY node HAVING bool_or(verdict = 'block') AND NOT bool_or(verdict = 'allow'))
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, CASE WHEN node IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM pg LEFT JOIN parts ON parts.x = pg.url LEFT JOIN fits ON fits.x = pg.url LEFT JOIN inherited ON inherited.node = pg.url
+"""
