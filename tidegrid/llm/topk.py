@@ -1,8 +1,9 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors come in tiles (Arrow batches) and meet the query set block by block. A
-tile's scores are one matrix product, of which only each query's k best are
-kept; those meet in a tree: per tile, per task, per salted group, per query.
+Vectors come in tiles, queries in blocks of a bounded number. Each tile meets
+each block once; their scores are one matrix product, of which only each query's
+k best are kept. Those meet in a tree: per tile, per task, per salted group, per
+query. Neither vectors nor queries pass through the driver.
 """
 
 from __future__ import annotations
@@ -14,23 +15,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
-#: Query rows of a block: what is broadcast at once is at most this many vectors, however many queries there are.
-BLOCK = 8_192
+#: Queries of a block, about, and vectors of a tile at most.
+BLOCK, TILE = 4_096, 1_024
+#: Bytes of query blocks that are broadcast at most; more are joined by shuffle, each block sent to LANES shares of the tiles.
+BROADCAST_BYTES, LANES = 16_000_000, 64
+#: Blocks whose best lists a task holds; of more, the oldest is handed on and may come again.
+HELD = 16
 #: Groups into which a query's lists are dealt before the last merge.
 FAN_IN = 32
 
 
-def quantize(batch: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Places and integer vectors of a batch of lists; null vectors and null or non-finite components drop out."""
-    places, vectors = [], []
-    values, ends = batch.values.to_numpy(zero_copy_only=False).astype(np.float64), batch.offsets.to_numpy()
-    for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])):
-        if batch[i].is_valid and np.isfinite(values[a:b]).all():
-            places.append(i)
-            vectors.append(np.floor(1024.0 * values[a:b]))
-    return np.array(places, np.int64), vectors
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles ``lane, d, ids, vectors`` of ``vec_id, v``: at most TILE vectors of one length, as raw numbers."""
+    for batch in batches:
+        lists = batch.column("v")
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+        ids, sizes = batch.column("vec_id").to_numpy(zero_copy_only=False), np.diff(ends)
+        rows = []
+        for d in np.unique(sizes):
+            of_d = np.flatnonzero(sizes == d)
+            for begin in range(0, len(of_d), TILE):
+                at = of_d[begin : begin + TILE]
+                own = np.ascontiguousarray(ids[at], np.int64)
+                rows.append((int(own[0]) % LANES, int(d), own.tobytes(), flat[ends[at][:, None] + np.arange(d)].tobytes()))
+        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lane", "d", "ids", "vectors"])
 
 
 def _products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
@@ -42,69 +53,81 @@ def _products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
     return whole(queries) @ whole(tile).T
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k highest scores, ties to smaller ids."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= least)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))][:k]
+def _best(query: np.ndarray, score: np.ndarray, vec_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k highest scores of each query, ties to smaller ids."""
+    order = np.lexsort((vec_id, -score, query))
+    query = query[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(query)), bool), query[1:] != query[:-1]]))
+    kept = np.arange(len(query)) - np.repeat(first, np.diff(first, append=len(query))) < k
+    return query[kept], score[order][kept], vec_id[order][kept]
+
+
+def _of_tile(names: np.ndarray, queries: np.ndarray, ids: np.ndarray, tile: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Partial selection: what may be among each query's k best of one tile."""
+    scores = _products(queries, tile)
+    others = names[:, None] != ids[None, :]
+    if len(ids) > k and scores.dtype == np.int64:
+        masked = np.where(others, scores, np.iinfo(np.int64).min)
+        least = np.partition(masked, len(ids) - k, axis=1)[:, len(ids) - k]
+        others &= masked >= least[:, None]
+    q, c = np.nonzero(others)
+    return _best(q, scores[q, c], ids[c], k)
 
 
-def _search(block: list[tuple[int, list[float]]], k: int):
-    by_size: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for size in {len(v) for _, v in block}:
-        own = [(i, v) for i, v in block if len(v) == size]
-        by_size[size] = np.array([i for i, _ in own], np.int64), np.array([v for _, v in own], np.float64).reshape(len(own), size)
+def _search(k: int):
+    """``query_id, vec_id, score`` of joined blocks and tiles; each task merges its tiles' lists block by block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[int, int], tuple[np.ndarray, tuple]] = {}
+
+        def out(names: np.ndarray, found: tuple) -> pa.RecordBatch:
+            q, score, vec_id = found
+            return pa.RecordBatch.from_arrays([pa.array(names[q]), pa.array(vec_id), pa.array(score.tolist(), pa.int64())], ["query_id", "vec_id", "score"])
+
         for batch in batches:
-            ids = batch.column(0)
-            places, vectors = quantize(batch.column(1))
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            for size, (names, queries) in by_size.items():
-                at = [i for i, p in enumerate(places) if len(vectors[i]) == size and known[p]]
-                if not at:
-                    continue
-                tile_ids = ids.take(pa.array(places[at])).to_numpy(zero_copy_only=False).astype(np.int64)
-                scores = _products(queries, np.array([vectors[i] for i in at]))
-                for name, row in zip(names.tolist(), scores):
-                    others = tile_ids != name
-                    own_scores, own_ids = row[others], tile_ids[others]
-                    top = _best(own_scores, own_ids, k)
-                    own_scores, own_ids = own_scores[top], own_ids[top]
-                    if name in best:
-                        own_scores, own_ids = np.concatenate([best[name][0], own_scores]), np.concatenate([best[name][1], own_ids])
-                        top = _best(own_scores, own_ids, k)
-                        own_scores, own_ids = own_scores[top], own_ids[top]
-                    best[name] = own_scores, own_ids
-        for name, (scores, ids) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), name)), pa.array(ids), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
+            for i in range(batch.num_rows):
+                d = batch.column("d")[i].as_py()
+                members = batch.column("q")[i].values
+                names = members.field("vec_id").to_numpy(zero_copy_only=False)
+                queries = members.field("v").flatten().to_numpy(zero_copy_only=False).reshape(len(names), d)
+                ids = np.frombuffer(batch.column("ids")[i].as_buffer(), np.int64)
+                tile = np.frombuffer(batch.column("vectors")[i].as_buffer(), np.float64).reshape(len(ids), d)
+                found = _of_tile(names, queries, ids, tile, k)
+                key = (batch.column("block")[i].as_py(), d)
+                if before := held.pop(key, None):
+                    found = _best(*(np.concatenate(pair) for pair in zip(before[1], found)), k)
+                held[key] = names.copy(), found
+                if len(held) > HELD:
+                    yield out(*held.pop(next(iter(held))))
+        for names, found in held.values():
+            yield out(names, found)
 
     return run
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 10, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 10, block: int = BLOCK, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest inner products of ``floor(1024 * x)`` vectors.
 
-    Candidates are all rows but the query's own id, of the same length; ties go
-    to the smaller vec_id; fewer than k rows give all. A null id, and a vector
-    that is null or has null or non-finite components, takes no part. Rows that
-    repeat a query's id count as one query; other repeated ids are each a candidate.
+    Candidates are all rows but those of the query's own id, of the same length;
+    ties go to the smaller vec_id; fewer than k rows give all. A null id, and a
+    vector that is null or has null or non-finite components, takes no part.
+    Rows that repeat a query's id are one query, with the least of their vectors
+    (component by component); other repeated ids are each a candidate. Other
+    columns are left out. An empty table gives no rows.
     """
-    slim = vectors.select(F.col("vec_id").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    usable = F.col("embedding").isNotNull() & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
-    queries = slim.where(is_query(F.col("vec_id")) & usable).dropDuplicates(["vec_id"]).withColumn("embedding", F.transform("embedding", lambda x: F.floor(x * 1024).cast("double")))
-    blocks = -(-max(1, queries.count()) // block)
-    dealt, lists = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), []
-    for b in range(blocks):
-        rows = [(row.vec_id, list(row.embedding)) for row in queries.where(dealt == b).toLocalIterator()]
-        lists.append(slim.mapInArrow(_search(rows, k), "query_id long, vec_id long, score long"))
-    found = lists[0]
-    for more in lists[1:]:
-        found = found.unionAll(more)
+    slim = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    slim = slim.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))))
+    slim = slim.select("vec_id", F.transform("v", lambda x: F.floor(x * 1024).cast("double")).alias("v"))
+    queries = materialize(slim.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v")))
+    n, components = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("v") + 1), F.lit(0))).first()
+    blocks = -(-max(1, n) // block)
+    asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.size("v").alias("d")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
+    tiles = slim.mapInArrow(_tiles, "lane long, d int, ids binary, vectors binary").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+    if components * 8 <= broadcast_bytes:
+        met = tiles.join(F.broadcast(asked), ["block", "d"])
+    else:
+        met = tiles.join(asked.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")))), ["block", "d", "lane"])
+    found = met.select("block", "d", "q", "ids", "vectors").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best_first = [F.desc("score"), F.asc("vec_id")]
     salted = found.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(FAN_IN)))
     partly = salted.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*best_first))).where(F.col("rank") <= k)
@@ -112,6 +135,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, block: int = BLOCK) -> Data
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries are the ids divisible by 100, candidates the whole of ``embeddings``; odd rows as ``top_k`` says."""
     return top_k(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0)
 
 
