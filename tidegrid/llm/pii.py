@@ -3,23 +3,29 @@
 Plain patterns give the base spans. Beside them, every segment of up to
 ``LONGEST`` neighbouring tokens that holds a digit or an at-sign is a candidate.
 A text's regions are the stretches that such segments cover; stretches that
-overlap are one region, of any length, so none is cut. Features of whole candidates (digit counts, check sums,
-separators, what stands before) give each type a score, and a dynamic programme
-over the region chooses boundaries and types jointly. Weights are learned by
-gradient ascent on the segmentations' likelihood, with the base spans of a
-bounded sample as labels. Base spans stay; the method adds what it finds beside them.
+overlap are one region, of any length, so none is cut. Features of whole
+candidates (digit counts, check sums, groups, what stands before) give each type
+a score, and a dynamic programme over the region chooses boundaries and types
+jointly. Weights are learned by gradient ascent on the segmentations' likelihood.
+
+The base spans of a bounded sample are the labels, and so are copies of them with
+other separators, as people write them (``a @ b.c``, ``10-0-0-1``,
+``4111.1111.1111.1111``, ``0044 20 ...``). The patterns can't match those copies,
+so they, and not the patterns, teach what the method adds. Base spans stay.
 """
 
 from __future__ import annotations
 
+import random
 import re
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -28,7 +34,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest entity, and the most characters between neighbouring tokens of a run.
 LONGEST, GAP = 7, 3
 #: Documents, about, that training regions are drawn from, and regions that the model is fitted on.
-SAMPLE_DOCS, SAMPLE_REGIONS = 20_000, 240
+SAMPLE_DOCS, SAMPLE_REGIONS = 20_000, 480
+#: Tokens of a training region at most; the regions that are searched have no limit.
+TRAINING_TOKENS = 64
 EPOCHS, RATE, DECAY = 25, 0.15, 0.002
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -103,26 +111,30 @@ def regions(text: str) -> list[list[tuple[int, int]]]:
 
 
 def features(text: str, start: int, end: int) -> list[int]:
-    """Indices of the features that hold for a whole candidate."""
+    """Indices of the features that hold for a whole candidate; none asks for the separators that a base pattern asks for."""
     span = text[start:end]
     digits = _digits(span)
     groups, before = re.findall(r"[0-9]+", span), text[max(0, start - 24) : start]
-    n = len(digits)
-    letters = any(c.isalpha() for c in span)
-    email = "@" in span and (m := _DOMAIN.match(span, span.index("@") + 1)) is not None and m.end() == len(span) and span[0] != "@"
+    gaps = re.split(r"[0-9]+", span)[1:-1]
+    n, letters, after = len(digits), any(c.isalpha() for c in span), text[end : end + 2]
+    name, _, host = span.partition("@")
+    name, host = name.rstrip(" ([{<"), host.lstrip(" )]}>")
+    email = bool(name) and not any(c.isspace() for c in name + host) and (m := _DOMAIN.match(host)) is not None and m.end() == len(host)
+    small = bool(groups) and all(len(g) <= 3 and int(g) <= 255 for g in groups)
     tests = (
         True, n < 7, 7 <= n <= 8, 9 <= n <= 12, 13 <= n <= 19, n > 19,
         before.endswith("+"), span.count("@") == 1, email, letters and not email,
-        len(groups) == 4 and span.count(".") == 3 and not letters and n + 3 == len(span), bool(groups) and all(len(g) <= 3 and int(g) <= 255 for g in groups),
+        len(groups) == 4 and small and not letters and len(set(gaps)) == 1, small,
         13 <= n <= 19 and not letters and luhn(digits), len(groups) == 1, len(groups) in (3, 4, 5), "(" in span,
-        len(set(re.sub(r"[0-9A-Za-z]", "", span))) <= 1, before[-1:].isalnum(), text[end : end + 1].isalnum(),
-        any(c.isspace() for c in span), email and not any(c.isspace() for c in span), before[-1:] == ".", bool(re.match(r"\.[0-9]", text[end : end + 2])),
+        len(set(gaps)) <= 1, before[-1:].isalnum(), after[:1].isalnum(),
+        any(c.isspace() for c in span), digits.startswith("0"), before[-1:] == ".", bool(re.match(r"[^A-Za-z0-9\s][0-9]", after)),
+        bool(re.search(r"[0-9][^A-Za-z0-9\s]$", before)), any(len(gap) > 1 for gap in gaps), len({len(g) for g in groups[:-1]}) == 1 and len(groups) > 2, before[-1:] == "(",
         *(bool(hint.search(before)) for hint in _HINTS.values()),
     )
     return [i for i, x in enumerate(tests) if x]
 
 
-N_FEATURES = 23 + len(_HINTS)
+N_FEATURES = 27 + len(_HINTS)
 
 
 def _lattice(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, list[int]]]:
@@ -131,12 +143,30 @@ def _lattice(text: str, run: list[tuple[int, int]]) -> list[tuple[int, int, list
     return [(i, j, features(text, run[i][0], run[j - 1][1])) for i in range(len(run)) for j in range(i + 1, min(len(run), i + LONGEST) + 1) if any(held[i:j])]
 
 
+def expectations(size: int, segments: list[tuple[int, int]], scores: np.ndarray) -> tuple[np.ndarray, float]:
+    """How likely each segment is to be an entity of each kind, and the logarithm of all segmentations' sum.
+
+    ``scores`` is segments x kinds; a token outside entities scores 0.
+    """
+    total = np.logaddexp.reduce(scores, axis=1) if len(segments) else np.zeros(0)
+    forward, backward = [0.0] + [None] * size, [None] * size + [0.0]
+    into, out = [[] for _ in range(size + 1)], [[] for _ in range(size + 1)]
+    for s, (i, j) in enumerate(segments):
+        into[j].append((i, total[s]))
+        out[i].append((j, total[s]))
+    for j in range(1, size + 1):
+        forward[j] = np.logaddexp.reduce([forward[j - 1], *(forward[i] + x for i, x in into[j])])
+    for i in range(size - 1, -1, -1):
+        backward[i] = np.logaddexp.reduce([backward[i + 1], *(backward[j] + x for j, x in out[i])])
+    through = np.array([forward[i] + backward[j] - forward[size] for i, j in segments])
+    return np.exp(scores + through[:, None]), float(forward[size])
+
+
 def fit(sample: list[tuple[str, list[tuple[int, int]], list[tuple[str, int, int]]]]) -> np.ndarray:
-    """Weights ``kinds x features`` that make the labelled segmentations likely; tokens outside entities score 0.
+    """Weights ``kinds x features`` that make the labelled segmentations likely.
 
-    Forward and backward sums over the segment lattice give each candidate's
-    expected use; the step is label less expectation. Without samples all
-    weights are those that find nothing.
+    Each step is label less expectation. Without samples all weights are those
+    that find nothing.
     """
     weights = np.zeros((len(KINDS), N_FEATURES))
     weights[:, 0] = -4.0
@@ -150,26 +180,14 @@ def fit(sample: list[tuple[str, list[tuple[int, int]], list[tuple[str, int, int]
         label = np.zeros((len(segments), len(KINDS)))
         at, taken = {(i, j): s for s, (i, j, _) in enumerate(segments)}, -1
         for kind, a, b in sorted(gold, key=lambda x: (x[1], KINDS.index(x[0]))):
-            a += text[a : a + 1] == "+"
+            a += text[a : a + 1] in "+("
             if (s := at.get((starts.get(a), ends.get(b)))) is not None and a >= taken:
                 label[s, KINDS.index(kind)], taken = 1, b
-        cases.append((len(run), segments, matrix, label))
-    for epoch in range(EPOCHS):
+        cases.append((len(run), [x[:2] for x in segments], matrix, label))
+    for _ in range(EPOCHS):
         gradient = np.zeros_like(weights)
         for size, segments, matrix, label in cases:
-            scores = matrix @ weights.T
-            total = np.logaddexp.reduce(scores, axis=1)
-            forward, backward = [0.0] + [None] * size, [None] * size + [0.0]
-            into, out = [[] for _ in range(size + 1)], [[] for _ in range(size + 1)]
-            for s, (i, j, _) in enumerate(segments):
-                into[j].append((i, total[s]))
-                out[i].append((j, total[s]))
-            for j in range(1, size + 1):
-                forward[j] = np.logaddexp.reduce([forward[j - 1], *(forward[i] + x for i, x in into[j])])
-            for i in range(size - 1, -1, -1):
-                backward[i] = np.logaddexp.reduce([backward[i + 1], *(backward[j] + x for j, x in out[i])])
-            through = np.array([forward[i] + backward[j] - forward[size] for i, j, _ in segments])
-            gradient += (label - np.exp(scores + through[:, None])).T @ matrix
+            gradient += (label - expectations(size, segments, matrix @ weights.T)[0]).T @ matrix
         weights += RATE * (gradient / max(1, len(cases)) ** 0.5 - DECAY * weights * len(cases) ** 0.5)
     return weights
 
@@ -198,8 +216,53 @@ def decode(text: str, run: list[tuple[int, int]], weights: np.ndarray) -> list[t
     return out[::-1]
 
 
+def _varied(kind: str, span: str, draw: random.Random) -> str:
+    """The entity as it may be written too, in a form that its base pattern doesn't match."""
+    if kind == "email":
+        return draw.choice((" @ ", "(@)", "[@]", "@ ")).join(span.split("@"))
+    if kind == "ip":
+        return draw.choice((" . ", ",", "-", "[.]")).join(span.split("."))
+    if kind == "card":
+        digits = _digits(span)
+        return draw.choice((".", "/", "  ", "--")).join(digits[i : i + 4] for i in range(0, len(digits), 4))
+    first, *rest = re.findall(r"[0-9]+", span)
+    rest = rest or [first[i : i + 3] for i in range(2, len(first), 3)]
+    first = first if rest and first != "".join([first[:2], *rest]) else first[:2]
+    return draw.choice((f"00{first} {' '.join(rest)}", f"+{'/'.join([first, *rest])}", f"({first}) {'-'.join(rest)}", f"0{'.'.join([first, *rest])}"))
+
+
+def perturbed(text: str, spans: list[tuple[str, int, int]], draw: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text with its entities written in other forms, and where they are then."""
+    out, found, at, length = [], [], 0, 0
+    for kind, a, b in sorted(spans, key=lambda x: x[1]):
+        if a < at:
+            continue
+        new = _varied(kind, text[a:b], draw)
+        length += a - at
+        found.append((kind, length, length + len(new)))
+        length += len(new)
+        out += [text[at:a], new]
+        at = b
+    return "".join([*out, text[at:]]), found
+
+
+def _training_rows(text: str, spans: list[tuple[str, int, int]]) -> list[tuple]:
+    rows = []
+    for run in regions(text):
+        if len(run) <= TRAINING_TOKENS:
+            a, b = max(0, run[0][0] - 32), min(len(text), run[-1][1] + 8)
+            gold = [(k, s - a, e - a) for k, s, e in spans if s >= a and e <= b]
+            rows.append((text[a:b], [x - a for p in run for x in p], [x[0] for x in gold], [x for g in gold for x in g[1:]]))
+    return rows
+
+
 def train(docs: DataFrame) -> np.ndarray:
-    """Fit on at most ``SAMPLE_REGIONS`` regions of about ``SAMPLE_DOCS`` documents, chosen by hashes of the text."""
+    """Fit on at most ``SAMPLE_REGIONS`` regions of about ``SAMPLE_DOCS`` documents, chosen by hashes of the text.
+
+    A quarter holds base spans, half the same kinds of spans in other forms, a
+    quarter none. Null texts and texts without two digits in a row or an at-sign
+    teach nothing; an empty table gives weights that find nothing.
+    """
     texts = docs.select(F.col("text").alias("text"))
     share = min(1.0, SAMPLE_DOCS / max(1, texts.count()))
     hashed = texts.where((F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(share * 1_000_000)) & F.regexp_like("text", F.lit("[0-9]{2}|@")))
@@ -209,19 +272,28 @@ def train(docs: DataFrame) -> np.ndarray:
             rows = []
             for text in batch.text:
                 spans = base_spans(text)
-                for run in regions(text):
-                    a, b = max(0, run[0][0] - 32), min(len(text), run[-1][1] + 8)
-                    gold = [(k, s - a, e - a) for k, s, e in spans if s >= a and e <= b]
-                    rows.append((text[a:b], [x - a for p in run for x in p], [x[0] for x in gold], [x for g in gold for x in g[1:]]))
-            yield pd.DataFrame(rows, columns=["snippet", "run", "kinds", "bounds"])
-
-    drawn = hashed.mapInPandas(cut, "snippet string, run array<int>, kinds array<string>, bounds array<int>").dropDuplicates(["snippet"])
+                rows += [(*row, False) for row in _training_rows(text, spans)]
+                if spans:
+                    rows += [(*row, True) for row in _training_rows(*perturbed(text, spans, random.Random(zlib.crc32(text.encode("utf-8", "surrogatepass"))))) if row[2]]
+            yield pd.DataFrame(rows, columns=["snippet", "run", "kinds", "bounds", "varied"])
+
+    drawn = hashed.mapInPandas(cut, "snippet string, run array<int>, kinds array<string>, bounds array<int>, varied boolean").dropDuplicates(["snippet"])
+    group = F.when(F.size("kinds") == 0, 0).when(F.col("varied"), 2).otherwise(1)
+    order = Window.partitionBy("group").orderBy(F.xxhash64("snippet"), "snippet")
+    numbered = drawn.withColumn("group", group).withColumn("nth", F.row_number().over(order))
+    rows = numbered.where(F.col("nth") <= F.when(F.col("group") == 2, SAMPLE_REGIONS // 2).otherwise(SAMPLE_REGIONS // 4)).orderBy("group", "nth").collect()
     pair = lambda x: list(zip(x[::2], x[1::2]))
-    rows = drawn.orderBy(F.size("kinds") == 0, F.xxhash64("snippet"), "snippet").limit(SAMPLE_REGIONS * 3 // 4).collect()
-    rows += drawn.where(F.size("kinds") == 0).orderBy(F.xxhash64("snippet"), "snippet").limit(SAMPLE_REGIONS // 4).collect()
     return fit([(r.snippet, pair(r.run), [(k, a, b) for k, (a, b) in zip(r.kinds, pair(r.bounds))]) for r in rows])
 
 
+def added_spans(text: str, base: list[tuple[str, int, int]], weights: np.ndarray) -> list[tuple[str, int, int]]:
+    """What the model finds beside the base spans; none overlaps one."""
+    covered = bytearray(len(text))
+    for _, a, b in base:
+        covered[a:b] = b"\1" * (b - a)
+    return [x for run in regions(text) for x in decode(text, run, weights) if not any(covered[x[1] : x[2]])]
+
+
 def find(text: Column, weights: np.ndarray) -> Column:
     """``array<struct<kind, start, end, base>>`` of whole texts, by kind as listed, then start; none for null.
 
@@ -231,9 +303,7 @@ def find(text: Column, weights: np.ndarray) -> Column:
 
     def spans(value: str) -> list[dict]:
         base = base_spans(value)
-        added = []
-        for run in regions(value):
-            added += [x for x in decode(value, run, weights) if all(x[2] <= a or b <= x[1] for _, a, b in base)]
+        added = added_spans(value, base, weights)
         found = [(*x, True) for x in base] + [(*x, False) for x in added]
         return [dict(zip(("kind", "start", "end", "base"), x)) for x in sorted(found, key=lambda x: (rank[x[0]], x[1], x[2]))]
 
