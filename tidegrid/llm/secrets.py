@@ -9,8 +9,6 @@ itself then verifies those; rules without mandatory trigrams scan every text.
 
 from __future__ import annotations
 
-import re._constants as sre
-import re._parser
 from dataclasses import dataclass
 from functools import reduce
 from itertools import product
@@ -18,7 +16,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, materialize, table
+from .common import ascii_lower, materialize, table, unused, with_row
 
 
 @dataclass(frozen=True)
@@ -59,58 +57,117 @@ def _grams(strings: set[str]) -> Query:
     return frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings)
 
 
-def _exact(node) -> set[str] | None:
-    """The strings that one element of a parsed expression matches, lower-cased, if they are few."""
-    op, value = node
-    if op is sre.LITERAL:
-        return {chr(value).lower()}
-    if op is sre.IN and all(o is sre.LITERAL for o, _ in value):
-        return {chr(v).lower() for _, v in value} if len(value) <= 8 else None
-    if op is sre.MAX_REPEAT and value[1] == 1 and value[0] == 0 and (inner := _strings(value[2])) is not None:
-        return inner | {""}
-    if op is sre.SUBPATTERN:
-        return _strings(value[3])
-    if op is sre.BRANCH:
-        branches = [_strings(b) for b in value[1]]
-        return None if None in branches else set().union(*branches)
-    return None
-
-
-def _strings(nodes) -> set[str] | None:
+Item = "frozenset[str] | list | None"  # the letters that one place may hold, a group's branches, or anything
+
+
+def _letter(regex: str, at: int) -> tuple[frozenset[str] | None, int]:
+    """The element at ``at`` of a class or a sequence, lower-cased, and what follows; None for a class such as ``\\d``."""
+    if regex[at] != "\\":
+        return frozenset(regex[at].lower()), at + 1
+    if regex[at + 1] == "x":
+        return frozenset(chr(int(regex[at + 2 : at + 4], 16)).lower()), at + 4
+    if regex[at + 1].isalnum():
+        if regex[at + 1] not in "dDwWsS":
+            raise ValueError(f"{regex}: no \\{regex[at + 1]} here")
+        return None, at + 2
+    return frozenset(regex[at + 1]), at + 2
+
+
+def _class(regex: str, at: int) -> tuple[frozenset[str] | None, int]:
+    """A class's letters, None if they are many or excluded ones."""
+    held: set[str] | None = None if regex[at] == "^" else set()
+    at += regex[at] == "^"
+    while regex[at] != "]":
+        own, at = _letter(regex, at)
+        if regex[at] == "-" and regex[at + 1] != "]":
+            _, at = _letter(regex, at + 1)
+            own = None
+        held = None if held is None or own is None else held | own
+    return (frozenset(held) if held and len(held) <= 8 else None), at + 1
+
+
+def _branches(regex: str, at: int = 0) -> tuple[list, int]:
+    """The alternatives from ``at`` to the end or the closing bracket, each a list of ``item, least, most``."""
+    found: list[list] = [[]]
+    while at < len(regex) and regex[at] != ")":
+        if regex[at] == "|":
+            found.append([])
+            at += 1
+            continue
+        if regex[at] == "(":
+            at += 3 if regex.startswith("(?:", at) else 1
+            item, at = _branches(regex, at)
+            at += 1
+        elif regex[at] == "[":
+            item, at = _class(regex, at + 1)
+        elif regex[at] == ".":
+            item, at = None, at + 1
+        elif regex[at] in "^$?*+{":
+            raise ValueError(f"{regex}: {regex[at]} isn't known here")
+        else:
+            item, at = _letter(regex, at)
+        least, most = {"?": (0, 1), "*": (0, None), "+": (1, None)}.get(regex[at : at + 1], (1, 1))
+        if regex[at : at + 1] == "{":
+            end = regex.index("}", at)
+            low, _, high = regex[at + 1 : end].partition(",")
+            least, most, at = int(low), int(high) if high else None if "," in regex[at:end] else int(low), end + 1
+        elif regex[at : at + 1] in ("?", "*", "+"):
+            at += 1
+        found[-1].append((item, least, most))
+    return found, at
+
+
+def _exact(item: Item, least: int, most: int | None) -> set[str] | None:
+    """The strings that an element matches, if they are few."""
+    if (least, most) == (0, 1):
+        inner = _exact(item, 1, 1)
+        return None if inner is None else inner | {""}
+    if (least, most) != (1, 1) or item is None:
+        return None
+    if isinstance(item, frozenset):
+        return set(item)
+    branches = [_strings(b) for b in item]
+    return None if None in branches else set().union(*branches)
+
+
+def _strings(sequence: list) -> set[str] | None:
     found = {""}
-    for node in nodes:
-        if (own := _exact(node)) is None or len(found) * len(own) > EXACT:
+    for element in sequence:
+        if (own := _exact(*element)) is None or len(found) * len(own) > EXACT:
             return None
         found = {a + b for a, b in product(found, own)}
     return found
 
 
-def _needs(node) -> Query:
-    op, value = node
-    if op is sre.SUBPATTERN:
-        return _query(value[3])
-    if op is sre.BRANCH:
-        return frozenset().union(*(_query(b) for b in value[1]))
-    if op is sre.MAX_REPEAT and value[0] >= 1:
-        return _query(value[2])
+def _needs(item: Item, least: int, most: int | None) -> Query:
+    if least >= 1 and isinstance(item, list):
+        return frozenset().union(*(_query(b) for b in item))
     return frozenset({frozenset()})
 
 
-def _query(nodes) -> Query:
+def _query(sequence: list) -> Query:
     query, run = frozenset({frozenset()}), {""}
-    for node in nodes:
-        own = _exact(node)
+    for element in sequence:
+        own = _exact(*element)
         if own is not None and len(run) * len(own) <= EXACT:
             run = {a + b for a, b in product(run, own)}
         else:
-            query = _both(_both(query, _grams(run)), _needs(node) if own is None else frozenset({frozenset()}))
+            query = _both(_both(query, _grams(run)), _needs(*element) if own is None else frozenset({frozenset()}))
             run = {""} if own is None else own
     return _both(query, _grams(run))
 
 
 def trigram_query(regex: str) -> list[frozenset[str]]:
-    """Sets of lower-case trigrams, one of which any match holds as a whole; none if trigrams aren't mandatory."""
-    query = _query(re._parser.parse(regex))
+    """Sets of lower-case trigrams, one of which any match holds as a whole; none if trigrams aren't mandatory.
+
+    Reads letters, escapes, classes, groups, alternatives and repeats; of an
+    expression with anything else, such as anchors, it says nothing, so that its
+    rule scans every text.
+    """
+    try:
+        query = frozenset().union(*(_query(b) for b in _branches(regex)[0]))
+    except (ValueError, IndexError):
+        return []
     return [] if frozenset() in query else sorted((q for q in query if not any(o < q for o in query)), key=sorted)
 
 
@@ -153,23 +210,25 @@ def spans_of(text: Column, rule: Rule) -> Column:
     return F.when(F.regexp_like(text, F.lit(rule.regex)), found).otherwise(empty)
 
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE) -> DataFrame:
-    """The input's rows and columns, with ``_spans array<struct<start, end, kind>>`` by start, then by the rules' order.
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, spans: str = "_spans") -> DataFrame:
+    """The input's rows and columns, with ``spans array<struct<start, end, kind>>`` by start, then by the rules' order.
 
-    Null texts count as empty. Repeated rows are each scanned: the index only
-    chooses by doc_id, and each row is verified for itself. Rows with a null
-    doc_id are scanned in full.
+    Null texts count as empty. The index names rows, not doc_ids, so repeated
+    rows and null ids are each scanned for what their own text holds. ``spans``
+    may not be a column already; other columns may have any name.
     """
     indexed = tuple(rule for rule in rules if trigram_query(rule.regex))
     rank = {rule.kind: i for i, rule in enumerate(rules)}
-    chosen = candidates(build_index(docs, indexed), indexed).select(F.col("doc_id").alias("_doc"), F.col("kinds").alias("_kinds"))
-    joined = docs.join(chosen, docs["doc_id"] == chosen["_doc"], "left")
+    row, doc, kinds = (unused(name, docs) for name in ("_row", "_doc", "_kinds"))
+    rows = with_row(docs, row)
+    chosen = materialize(candidates(build_index(rows.select(F.col(row).alias("doc_id"), "text"), indexed), indexed).select(F.col("doc_id").alias(doc), F.col("kinds").alias(kinds)))
+    joined = rows.join(chosen, rows[row] == chosen[doc], "left")
     text, none = F.coalesce(joined["text"], F.lit("")), F.array().cast("array<struct<start:int,end:int,kind:string>>")
-    wanted = lambda rule: F.array_contains("_kinds", rule.kind) | joined["doc_id"].isNull() if rule in indexed else F.lit(True)
+    wanted = lambda rule: F.array_contains(joined[kinds], rule.kind) if rule in indexed else F.lit(True)
     found = [F.when(F.coalesce(wanted(rule), F.lit(False)), spans_of(text, rule)).otherwise(none) for rule in rules]
     order = lambda x: F.struct(x["start"], reduce(lambda c, r: c.when(x["kind"] == r, rank[r]), list(rank)[1:], F.when(x["kind"] == list(rank)[0], 0)))
     by_order = F.array_sort(F.concat(*found), lambda a, b: F.when(order(a) < order(b), -1).when(order(a) > order(b), 1).otherwise(0))
-    return joined.select(*(docs[c] for c in docs.columns), by_order.alias("_spans"))
+    return joined.select(*(joined[c] for c in docs.columns), by_order.alias(spans))
 
 
 def digest_of(spans: Column) -> Column:
@@ -177,6 +236,7 @@ def digest_of(spans: Column) -> Column:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text of ``documents``; odd rows as ``scan`` says. An empty table gives no rows."""
     found = scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("_spans", lambda x: x["kind"] == kind)).cast("long")
     base = F.filter("_spans", lambda x: x["kind"].isin([r.kind for r in BASE]))
