@@ -183,3 +183,44 @@ def test_propagation_over_several_hops(spark):
     want = np.linalg.matrix_power(d @ a @ d, 3) @ [1.0, 0.0, 0.0, 5.0]
     got = {r.station_id: r.v_prop for r in graph.propagate(edges, nodes, "v", 3).collect()}
     assert np.allclose([got[i] for i in (1, 2, 3, 4)], want)
+
+
+def test_clusters_of_blobs(spark, tmp_path):
+    from pyspark.ml.clustering import KMeansModel
+
+    rng = np.random.default_rng(7)
+    rows = [(3 * i + b, float(10 * b + x), float(-5 * b + y)) for i in range(20) for b, (x, y) in enumerate(rng.normal(0, 0.1, (3, 2)))]
+    points = spark.createDataFrame(rows, "station_id long, lat double, lon double")
+    scaled = K.standardize(points, ["lat", "lon"])
+    model = K.fit_kmeans(scaled, 3, ["lat_z", "lon_z"], seeds=3, max_iter=20)
+    model.write().overwrite().save(path := sinks.scratch(spark))
+    found = KMeansModel.load(path).transform(K._vectors(scaled, ["lat_z", "lon_z"])).select("station_id", "prediction").collect()
+    assert len({(r.station_id % 3, r.prediction) for r in found}) == 3
+    sweep = K.k_sweep(scaled, ["lat_z", "lon_z"], ks=(2, 3, 4, 5, 6, 1000))
+    assert sweep.count() == 5 and K.elbow(sweep).first()[0] == 3 and K.best_k(sweep).first()[:] == (3, None, None)
+    unseen = K.standardize_by(points.where("station_id < 30"), points, ["lat", "lon"])
+    assert abs(unseen.where("station_id < 30").agg(F.avg("lat_z")).first()[0]) < 1e-9 and abs(unseen.agg(F.avg("lat_z")).first()[0]) < 1
+
+
+def test_forecasts_of_known_series(spark):
+    rng = np.random.default_rng(8)
+    x, noise = rng.uniform(0, 1, 800), rng.uniform(0, 1, 800)
+    rows = [(i, float(a) if i % 50 else None, float(b), float(10 * (a > 0.5)), int(rng.poisson(np.exp(1 + a)))) for i, (a, b) in enumerate(zip(x, noise))]
+    df = spark.createDataFrame(rows, "i long, x double, z double, y double, n long")
+    train, test = df.where("i < 600"), df.where("i >= 600")
+    made, ranked = forecast.gbt_forecast(train, test, ["x", "z"], "y", 5)
+    assert ranked.first().feature == "x" and made.count() == 200  # missing features lose no row
+    assert made.where("x IS NOT NULL").agg(F.avg(F.abs(F.col("prediction") - F.col("y")))).first()[0] < 0.5
+    gated = forecast.activity_gate(train, test, ["x", "z"], "y").where("x IS NOT NULL").collect()
+    assert np.mean([r.gated == (r.y > 0) for r in gated]) > 0.97 and all(r.forecast == 0 for r in gated if not r.gated) and all(r.forecast > 5 for r in gated if r.gated)
+    mean = forecast.poisson_global(train, test, ["x", "z"], "n").where("x IS NOT NULL").collect()
+    assert np.mean([abs(r.n_mean - np.exp(1 + r.x)) for r in mean]) < 0.35
+
+
+def test_samples_are_stable_and_even(spark):
+    df = spark.range(10_000)
+    once, again = (trips.sample_rows(d, F.col("id"), 20, seed=42) for d in (df, df.repartition(3)))
+    assert {r.id for r in once.collect()} == {r.id for r in again.collect()} and 1_800 < once.count() < 2_200
+    split = {r.split: r["count"] for r in trips.split_hash(df, F.col("id"), seed=1).groupBy("split").count().collect()}
+    assert abs(split["train"] - 6_000) < 300 and abs(split["val"] - 2_000) < 200
+    assert trips.guard_targets(df.selectExpr("id % 2 AS k", "id AS y"), "k", "y", 9_998).where("rejected").first().k == 1
