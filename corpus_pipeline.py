@@ -16,49 +16,60 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidegrid.llm import bpe, decontaminate, langid, neardup, secrets
-from tidegrid.llm.common import WORD, materialize, table
+from tidegrid.llm.common import WORD, materialize, table, unused, with_row
 
 MASK = "[secret]"
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the rows whose language can be told; profiles are learned from the stage's own input."""
+    """Keeps the rows whose language can be told; profiles are learned from the stage's own input.
+
+    Null texts and texts without a letter go; every other row stays, repeated
+    rows, null ids and all columns included. Without any labelled row no language
+    can be told, and all rows go.
+    """
     profiles = langid.learn_profiles(docs)
     return docs.where(langid.predict(docs["text"], profiles)["lang"] != "und")
 
 
-def _keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The rows, each with a written ``_row`` of its own; and ``doc_id, text`` with that key in the place of the id, which may be null or repeated."""
-    rows = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    return rows, rows.select(F.col("_row").alias("doc_id"), "text")
-
-
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each class, of the least doc_id; null ids come last.
+    """Keeps one row of each class, of the least doc_id; null ids come last, ties go to the least hash of the text, then to any one.
 
-    Classes are of rows, whatever their ids. Rows without words have no class;
-    of those that repeat both id and text one stays, unless the id is null.
+    Classes are of rows, whatever their ids. Rows without words (null and empty
+    texts included) have no class; of those that repeat both id and text one
+    stays, unless the id is null. All columns stay, whatever their names; an
+    empty table stays empty.
     """
-    rows, texts = _keyed(docs)
-    classes = neardup.near_duplicates(texts).select(F.col("doc_id").alias("_row"), "class_id")
+    row = unused("_row", docs)
+    rows = with_row(docs, row)
     worded = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
-    alone = F.when(~worded & F.col("doc_id").isNotNull(), F.struct("doc_id", F.sha2("text", 256).alias("digest"))).alias("alone")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.xxhash64("text").alias("hash"), "_row").alias("order")
-    members = rows.select("_row", alone, order).join(classes, "_row")
-    kept = members.groupBy("alone", F.when(F.col("alone").isNull(), F.col("class_id"))).agg(F.min("order").alias("first")).select("first._row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    alone = F.when(~worded & F.col("doc_id").isNotNull(), F.concat_ws(":", F.col("doc_id").cast("string"), F.sha2("text", 256)))
+    texts = rows.select(F.col(row).alias("id"), "text", "doc_id", alone.alias("alone"), F.xxhash64("text").alias("hash"))
+    found = materialize(neardup.row_classes(texts, "doc_id", "alone", "hash"))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "hash", "id")
+    group = F.coalesce("class", F.when(F.col("alone").isNull(), F.col("id")))
+    kept = found.groupBy("alone", group.alias("group")).agg(F.min(order).alias("first")).select("first.id")
+    dropped = materialize(found.select("id").join(kept, "id", "left_anti"))
+    return rows.join(dropped, rows[row] == dropped["id"], "left_anti").drop(row)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the rows that hold a benchmark phrase, and no others that share their id."""
-    rows, texts = _keyed(docs)
-    hit = decontaminate.contamination(texts, table(spark, sf_dir, "benchmark")).where("contaminated")
-    return rows.join(hit.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+    """Drops the rows that hold a benchmark phrase, and no others that share their id.
+
+    Each row is judged by its own text, repeated rows and null ids included; null
+    and empty texts hold nothing and stay. All columns stay, whatever their names.
+    """
+    row = unused("_row", docs)
+    rows = with_row(docs, row)
+    found = decontaminate.contamination(rows.select(F.col(row).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = materialize(found.where("contaminated").select(F.col("doc_id").alias("hit")))
+    return rows.join(hit, rows[row] == hit["hit"], "left_anti").drop(row)
 
 
 def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Masks every span, overlapping ones as one; ``n_chars`` follows the text."""
-    scanned = secrets.scan(docs)
+    """Masks every span, overlapping ones as one; ``n_chars`` follows the text. All rows and columns stay, null texts as they are."""
+    spans = unused("_spans", docs)
+    scanned = secrets.scan(docs, spans=spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
     text = F.col("text")
 
@@ -67,13 +78,15 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         piece = F.concat(text.substr(state["at"] + 1, begin - state["at"]), F.when(span["end"] > state["at"], F.lit(MASK)).otherwise(F.lit("")))
         return F.struct(F.greatest(span["end"], state["at"]).alias("at"), F.concat(state["text"], piece).alias("text"))
 
-    whole = F.aggregate("_spans", start, add, lambda s: F.concat(s["text"], text.substr(s["at"] + 1, F.length(text))))
-    masked = F.when(F.size("_spans") > 0, whole).otherwise(F.col("text")).alias("text")
-    return scanned.select(*(masked if c == "text" else F.when(F.size("_spans") > 0, F.length(whole).cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns))
+    masked, held = unused("_masked", scanned), F.size(spans) > 0
+    whole = F.aggregate(spans, start, add, lambda s: F.concat(s["text"], text.substr(s["at"] + 1, F.length(text))))
+    made = scanned.withColumn(masked, F.when(held, whole))
+    own = {"text": F.coalesce(masked, "text").alias("text"), "n_chars": F.when(held, F.length(masked).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")}
+    return made.select(*(own.get(c, F.col(c)) for c in docs.columns))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of each row."""
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of each row, repeated rows and null ids included; null texts have no tokens."""
     made = bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.digests(made, "ids")
 
