@@ -27,7 +27,11 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Entries of a memo's generation; the older of two is dropped, which bounds memory and never changes results.
-MEMO = 100_000
+MEMO = 60_000
+#: Characters of the longest piece that is memoised, and pieces of a text that are encoded before a memo may be aged.
+MEMO_CHARS, PIECES = 64, 50_000
+#: Texts whose tokens a worker hands on at once.
+TEXTS = 250
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -47,7 +51,8 @@ class _Memo(dict):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= MEMO_CHARS:
+            self[key] = value
         return value
 
     def age(self) -> None:
@@ -159,10 +164,13 @@ class Codec:
         return array("i", self.encode_piece(piece.encode("utf-8"))).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        self.pieces.age()
-        self.fits.age()
         try:
-            return np.frombuffer(b"".join(map(self.pieces.__getitem__, self.find(text))), np.int32)
+            pieces, found = self.find(text), []
+            for begin in range(0, len(pieces), PIECES):
+                self.pieces.age()
+                self.fits.age()
+                found += map(self.pieces.__getitem__, pieces[begin : begin + PIECES])
+            return np.frombuffer(b"".join(found), np.int32)
         except _HasOdd:  # such pieces never enter the memo
             return np.array([i for piece in self.find_exactly(text) for i in self.encode_piece(piece.encode("utf-8"))], np.int32)
 
@@ -191,14 +199,21 @@ def _as_lists(found: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.empty(0, np.int32)])))
 
 
+def _parts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The batches in pieces of TEXTS rows, whose results are small; an empty batch stays one."""
+    for batch in batches:
+        for begin in range(0, max(1, len(batch)), TEXTS):
+            yield batch.slice(begin, TEXTS)
+
+
 def encode(text: Column, shared) -> Column:
     """Ids ``array<int>`` of whole texts, each match of the pattern encoded for itself; null and empty give none."""
 
     @F.arrow_udf("array<int>")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _worker_codec(shared)
-        for batch in batches:
-            yield _as_lists([codec.encode(x.as_py() or "") for x in batch])
+        for part in _parts(batches):
+            yield _as_lists([codec.encode(x.as_py() or "") for x in part])
 
     return udf(text)
 
@@ -209,9 +224,8 @@ def decode(ids: Column, shared) -> Column:
     @F.arrow_udf("binary")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _worker_codec(shared)
-        for batch in batches:
-            flat, ends = batch.values.to_numpy(zero_copy_only=False), batch.offsets.to_numpy()
-            yield pa.array([codec.decode(flat[a:b].tolist()) for a, b in zip(ends[:-1], ends[1:])], pa.binary())
+        for part in _parts(batches):
+            yield pa.array([codec.decode(x.values.to_numpy(zero_copy_only=False).tolist()) for x in part], pa.binary())
 
     return udf(F.coalesce(ids, F.array().cast("array<int>")))
 
@@ -222,8 +236,8 @@ def _both(text: Column, shared) -> Column:
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _worker_codec(shared)
-        for batch in batches:
-            found = [codec.encode(x.as_py() or "") for x in batch]
+        for part in _parts(batches):
+            found = [codec.encode(x.as_py() or "") for x in part]
             decoded = pa.array([codec.decode(own.tolist()) for own in found], pa.binary())
             yield pa.StructArray.from_arrays([_as_lists(found), decoded], ["ids", "decoded"])
 
@@ -252,6 +266,7 @@ def digests(tokenized: DataFrame, *more: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each whole text of ``documents``; odd rows as ``tokenize`` says. An empty table gives no rows."""
     import public_tokenizers
 
     return digests(tokenize(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
