@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import materialize, shared_dir, table, with_row
 
 #: Payloads under this many bytes are never revisits.
 LEAST_REVISIT = 1_000
@@ -25,8 +25,8 @@ LEAST_REVISIT = 1_000
 SEGMENT = 16_384
 #: Bytes of a chunk of the transfer framing.
 CHUNK = 4_096
-#: Records of an archive at most.
-PER_ARCHIVE = 20_000
+#: Bytes of an archive's blocks at most, before compression; a record's block is a segment at most.
+ARCHIVE_BYTES = 256_000_000
 #: Bytes of blocks that a reader hands on at once.
 AT_ONCE = 4_000_000
 
@@ -59,16 +59,20 @@ def _records(name: str, url: str, payload: bytes, digest: str, refers_to: str |
 
 
 def write_warc(captures: DataFrame, path: str, segment: int = SEGMENT) -> None:
-    """Write ``record_id, url, payload binary, digest, refers_to`` rows as gzipped archives under ``path``."""
+    """Write ``record_id, url, payload binary, digest, refers_to`` rows as gzipped archives under ``path``.
+
+    A null url is empty, a null payload an empty one. An archive ends after as
+    many records as ``ARCHIVE_BYTES`` allows, so it can be read as one cell.
+    """
 
     @F.arrow_udf("array<binary>")
     def records(name: pa.Array, url: pa.Array, payload: pa.Array, digest: pa.Array, refers_to: pa.Array) -> pa.Array:
         clean = lambda s: "".join((s or "").split())  # noqa: E731  a field is one line
         rows = zip(*(x.to_pylist() for x in (name, url, payload, digest, refers_to)))
-        return pa.array([_records(n, clean(u), p, d, r, segment) for n, u, p, d, r in rows], pa.list_(pa.binary()))
+        return pa.array([_records(n, clean(u), p or b"", d, r, segment) for n, u, p, d, r in rows], pa.list_(pa.binary()))
 
     made = captures.select(F.explode(records("record_id", "url", "payload", "digest", "refers_to")).alias("r"))
-    made.select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", PER_ARCHIVE).text(path)
+    made.select(F.col("r").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", max(1, ARCHIVE_BYTES // segment)).text(path)
 
 
 def _parse(stream) -> Iterator[tuple]:
@@ -171,18 +175,21 @@ def captures_of(pages: DataFrame) -> DataFrame:
     """A capture for each row of ``pages``; equal payloads refer to the one with the largest page_id.
 
     Rows that repeat the largest page_id are each a response. A null html is an
-    empty payload; a null page_id never answers for others.
+    empty payload; a null page_id never answers for others. Digests are matched
+    without the payloads; those are joined with what their rows refer to.
     """
-    rows = pages.select(F.col("page_id").alias("page_id"), F.col("url").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("key", F.when(F.length("payload") >= LEAST_REVISIT, F.col("digest")))
-    shared = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1").select("key", "best")
-    joined = rows.join(shared, "key", "left")
-    refers = F.when(~F.coalesce(F.col("page_id") == F.col("best"), F.col("best").isNull()), F.concat(F.lit("urn:page:"), F.col("best").cast("string")))
-    name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("#"), F.monotonically_increasing_id().cast("string"))
-    return joined.select(name.alias("record_id"), "url", "payload", "digest", refers.alias("refers_to"))
+    rows = with_row(pages.select("page_id", "url", "html"), "row")
+    rows = rows.select("row", "page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha1("payload"))
+    keys = materialize(rows.where(F.length("payload") >= LEAST_REVISIT).select("row", "page_id", F.unhex("digest").alias("key")))
+    shared = materialize(keys.groupBy("key").agg(F.max("page_id").alias("best"), F.count("*").alias("n")).where("n > 1 AND best IS NOT NULL").select("key", "best"))
+    answered = materialize(keys.join(shared, "key").where(~F.col("page_id").eqNullSafe(F.col("best"))).select(F.col("row").alias("revisit"), "best"))
+    joined = rows.join(answered, rows["row"] == answered["revisit"], "left")
+    name = F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("#"), F.col("row").cast("string"))
+    return joined.select(name.alias("record_id"), "url", "payload", "digest", F.concat(F.lit("urn:page:"), F.col("best").cast("string")).alias("refers_to"))
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole ``pages`` through archives and back; odd rows as ``captures_of`` says. An empty table gives no rows."""
     path = shared_dir(spark)
     write_warc(captures_of(table(spark, sf_dir, "pages")), path)
     read = reassemble(read_warc(spark, path)).withColumn("p", payload(F.col("block")))
