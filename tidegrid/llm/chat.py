@@ -11,15 +11,15 @@ TURN = "struct<role:string,text:string>"
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 
 
-def conversations(turns: DataFrame) -> DataFrame:
-    """``conv_id, turns array<struct<role, text>>`` in turn order, ties by role and text.
+def conversations(turns: DataFrame, *by: str) -> DataFrame:
+    """``<by>, conv_id, turns array<struct<role, text>>`` in turn order, ties by role and text.
 
     One row of the result is one conversation. A null role is ``unknown``, a null
     text empty, a null turn comes first; rows without conv_id are left out.
     """
-    rows = turns.where(F.col("conv_id").isNotNull()).select(F.col("conv_id").alias("conv_id"), F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
-    listed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    return listed.select("conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    rows = turns.where(F.col("conv_id").isNotNull()).select(*by, F.col("conv_id").alias("conv_id"), F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).alias("t"))
+    listed = rows.groupBy(*by, "conv_id").agg(F.sort_array(F.collect_list("t")).alias("ts"))
+    return listed.select(*by, "conv_id", F.transform("ts", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def common_turns(a: Column, b: Column) -> Column:
@@ -66,36 +66,54 @@ def preference_format(pairs: DataFrame) -> DataFrame:
     )
 
 
-def adjacent_pairs(whole: DataFrame) -> DataFrame:
-    """Conversation 2k is chosen over 2k + 1; where one is missing, so is its side."""
-    of = lambda rest, side: whole.where(F.pmod("conv_id", F.lit(2)) == rest).select(F.floor(F.col("conv_id") / 2).alias("pair_id"), F.col("conv_id").alias(f"{side}_id"), F.col("turns").alias(side))
-    return of(0, "chosen").join(of(1, "rejected"), "pair_id", "full")
+def answer_pairs(turns: DataFrame) -> DataFrame:
+    """``conv_id, other_id, chosen, rejected``: each conversation up to its last answer, and with the answer that its neighbour got instead.
+
+    Conversations 2k and 2k + 1 are neighbours. An answer is an assistant's turn.
+    Without a neighbour that has one, the rejected side ends before the answer; a
+    conversation without an answer stands whole on both sides. One shuffle of the
+    turns, by pair; a conversation becomes one row, so its turns meet in one task.
+    """
+    near = turns.where(F.col("conv_id").isNotNull()).select(F.floor(F.col("conv_id") / 2).alias("pair_id"), "conv_id", "turn", "role", "text").repartition("pair_id")
+    listed = conversations(near, "pair_id").withColumn("last", F.size("turns") - F.array_position(F.reverse(F.transform("turns", lambda t: t["role"])), "assistant").cast("int") + 1)
+    has = F.col("last") <= F.size("turns")
+    cut = listed.select("pair_id", "conv_id", F.when(has, F.slice("turns", F.lit(1), F.col("last"))).otherwise(F.col("turns")).alias("chosen"), F.when(has, F.col("last")).alias("last"))
+    cut = cut.withColumn("answer", F.when(F.col("last").isNotNull(), F.element_at("chosen", -1)))
+    both = cut.groupBy("pair_id").agg(F.collect_list(F.struct("conv_id", "chosen", "last", "answer")).alias("own"))
+    each = both.select(F.explode("own").alias("c"), "own").withColumn("other", F.get(F.filter("own", lambda x: x["conv_id"] != F.col("c.conv_id")), F.lit(0)))
+    before = F.slice("c.chosen", F.lit(1), F.col("c.last") - 1)
+    instead = F.when(F.col("other.answer").isNotNull(), F.array("other.answer")).otherwise(F.array().cast(f"array<{TURN}>"))
+    rejected = F.when(F.col("c.last").isNull(), F.col("c.chosen")).otherwise(F.concat(before, instead))
+    return each.select("c.conv_id", F.col("other.conv_id").alias("other_id"), "c.chosen", rejected.alias("rejected"))
 
 
 def op3_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = preference_format(adjacent_pairs(conversations(table(spark, sf_dir, "conversations"))))
+    """A preference for each conversation of ``conversations``: its own last answer over its neighbour's.
+
+    Repeated turns count as often as they stand; null roles are ``unknown``, null
+    texts empty, null turns come first; rows without conv_id are left out. An
+    empty table gives no rows.
+    """
+    made = preference_format(answer_pairs(table(spark, sf_dir, "conversations")))
     mask = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias(c)
-    return made.select("pair_id", "chosen_id", "rejected_id", "n_prompt_turns", "prompt", "chosen_text", mask("chosen_mask"), "rejected_text", mask("rejected_mask"))
+    return made.select("conv_id", "other_id", "n_prompt_turns", "prompt", "chosen_text", mask("chosen_mask"), "rejected_text", mask("rejected_mask"))
 
 
 ORACLE = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
-        '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' AS body FROM t),
-k AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, n.* FROM n),
-s AS (SELECT DISTINCT pair_id FROM k),
-d AS (SELECT pair_id, min(i) AS first_diff FROM (
-        SELECT coalesce(a.pair_id, b.pair_id) AS pair_id, coalesce(a.i, b.i) AS i FROM
-          (SELECT * FROM k WHERE side = 0) a FULL JOIN (SELECT * FROM k WHERE side = 1) b ON a.pair_id = b.pair_id AND a.i = b.i
-        WHERE a.role IS DISTINCT FROM b.role OR a.text IS DISTINCT FROM b.text) GROUP BY 1),
-c AS (SELECT k.*, coalesce(first_diff - 1, i) AS np FROM k LEFT JOIN d USING (pair_id)),
-o AS (SELECT *, sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id ORDER BY i) - length(body) - 1 AS a0 FROM c WHERE i > np),
-r AS (SELECT pair_id, side, string_agg(head || body || chr(10), '' ORDER BY i) AS txt,
-        string_agg(CASE WHEN role = 'assistant' THEN a0 || ':' || (a0 + length(body)) END, ',' ORDER BY i) AS mask FROM o GROUP BY 1, 2),
-p AS (SELECT pair_id, count(*) AS n, string_agg(head || body || chr(10), '' ORDER BY i) AS prompt FROM c WHERE side = 0 AND i <= np GROUP BY 1)
-SELECT s.pair_id, (SELECT max(conv_id) FROM k WHERE k.pair_id = s.pair_id AND side = 0) AS chosen_id,
-  (SELECT max(conv_id) FROM k WHERE k.pair_id = s.pair_id AND side = 1) AS rejected_id,
-  CAST(coalesce(p.n, 0) AS BIGINT) AS n_prompt_turns, coalesce(p.prompt, '') AS prompt,
-  coalesce(x.txt, '') AS chosen_text, coalesce(x.mask, '') AS chosen_mask, coalesce(y.txt, '') AS rejected_text, coalesce(y.mask, '') AS rejected_mask
-FROM s LEFT JOIN p ON p.pair_id = s.pair_id LEFT JOIN r x ON x.pair_id = s.pair_id AND x.side = 0 LEFT JOIN r y ON y.pair_id = s.pair_id AND y.side = 1
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, '<|im_start|>' || role || chr(10) AS head, text || '<|im_end|>' AS body FROM t),
+c AS (SELECT conv_id, count(*) AS size, max(i) FILTER (WHERE role = 'assistant') AS last FROM n GROUP BY 1),
+a AS (SELECT conv_id, last, text AS answer, head, body FROM c JOIN n USING (conv_id) WHERE i = last),
+p AS (SELECT c.conv_id, other.conv_id AS other_id, c.last, mine.head, mine.body, b.head AS other_head, b.body AS other_body,
+    CASE WHEN c.last IS NULL THEN c.size WHEN mine.answer = b.answer THEN c.last ELSE c.last - 1 END AS np
+  FROM c LEFT JOIN a mine USING (conv_id)
+    LEFT JOIN c other ON other.conv_id // 2 = c.conv_id // 2 AND other.conv_id <> c.conv_id
+    LEFT JOIN a b ON b.conv_id = other.conv_id),
+r AS (SELECT p.conv_id, string_agg(n.head || n.body || chr(10), '' ORDER BY i) AS prompt FROM p JOIN n ON n.conv_id = p.conv_id AND n.i <= np GROUP BY 1)
+SELECT p.conv_id, other_id, CAST(np AS BIGINT) AS n_prompt_turns, coalesce(prompt, '') AS prompt,
+  CASE WHEN np < last THEN head || body || chr(10) ELSE '' END AS chosen_text,
+  CASE WHEN np < last THEN length(head) || ':' || length(head || body) ELSE '' END AS chosen_mask,
+  CASE WHEN np < last AND other_body IS NOT NULL THEN other_head || other_body || chr(10) ELSE '' END AS rejected_text,
+  CASE WHEN np < last AND other_body IS NOT NULL THEN length(other_head) || ':' || length(other_head || other_body) ELSE '' END AS rejected_mask
+FROM p LEFT JOIN r USING (conv_id)
 """
