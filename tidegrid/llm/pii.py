@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of the longest entity, and the most characters between neighbouring tokens of a run.
@@ -278,10 +278,11 @@ def train(docs: DataFrame) -> np.ndarray:
             yield pd.DataFrame(rows, columns=["snippet", "run", "kinds", "bounds", "varied"])
 
     drawn = hashed.mapInPandas(cut, "snippet string, run array<int>, kinds array<string>, bounds array<int>, varied boolean").dropDuplicates(["snippet"])
-    group = F.when(F.size("kinds") == 0, 0).when(F.col("varied"), 2).otherwise(1)
-    order = Window.partitionBy("group").orderBy(F.xxhash64("snippet"), "snippet")
-    numbered = drawn.withColumn("group", group).withColumn("nth", F.row_number().over(order))
-    rows = numbered.where(F.col("nth") <= F.when(F.col("group") == 2, SAMPLE_REGIONS // 2).otherwise(SAMPLE_REGIONS // 4)).orderBy("group", "nth").collect()
+    group = F.when(F.size("kinds") == 0, "none").when(F.col("varied"), "varied").otherwise("base")
+    drawn = materialize(drawn.withColumn("group", group))
+    rows = []
+    for name, share in (("none", 4), ("base", 4), ("varied", 2)):
+        rows += drawn.where(F.col("group") == name).orderBy(F.xxhash64("snippet"), "snippet").limit(SAMPLE_REGIONS // share).collect()
     pair = lambda x: list(zip(x[::2], x[1::2]))
     return fit([(r.snippet, pair(r.run), [(k, a, b) for k, (a, b) in zip(r.kinds, pair(r.bounds))]) for r in rows])
 
@@ -317,7 +318,7 @@ def find(text: Column, weights: np.ndarray) -> Column:
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of ``documents``, repeated rows included. Narrow: no shuffle after training."""
+    """Each whole text of ``documents``, repeated rows and null ids included; null texts count as empty. Narrow: no shuffle after training. An empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     found = docs.select("doc_id", find(F.col("text"), train(docs)).alias("s"))
     base = F.filter("s", lambda x: x["base"])
