@@ -428,7 +428,7 @@ def test_long_texts_and_empty_tables(spark):
     assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6}
     items = spark.createDataFrame([(9, " ".join(long[1000:1030])), (8, "w1")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(docs, items).collect()}
-    assert got[1].n_words == 100_000 and got[1].n_hit >= 30 and sorted(got[3].item_ids) == [8, 9] and got[6].n_hit == 40_000 and not got[4].contaminated
+    assert got[1].n_words == 100_000 and got[1].n_hit >= 30 and sorted(got[3].item_ids) == [8] * ("w1" in near) + [9] and got[6].n_hit == 40_000 and not got[4].contaminated
     found = {r.doc_id: r.n for r in secrets.scan(docs).select("doc_id", F.size("_spans").alias("n")).collect()}
     assert found == {1: 0, 2: 0, 3: 0, 4: 0, 5: 10_000, 6: 0}
     assert secrets.scan(docs.where("false")).count() == 0 and neardup.near_duplicates(docs.where("false")).count() == 0
