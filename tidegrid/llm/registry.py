@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontaminate, langid, neardup, pii, secrets, topk, urls, warc, whiten
+from . import audit, bpe, chat, decontaminate, langid, neardup, pii, secrets, topk, urls, warc, whiten
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_topk": topk.op8_topk,
     "op9_neardup": neardup.op9_neardup,
     "op10_pii": pii.op10_pii,
+    "op11_filter_audit": audit.op11_filter_audit,
     "op13_whitening": whiten.op13_whitening,
 }
-ORACLES = {"op1_warc": warc.ORACLE, "op3_preference": chat.ORACLE, "op4_url_filter": urls.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE}
+ORACLES = {"op1_warc": warc.ORACLE, "op3_preference": chat.ORACLE, "op4_url_filter": urls.ORACLE, "op5_decontaminate": decontaminate.ORACLE, "op8_topk": topk.ORACLE, "op11_filter_audit": audit.ORACLE}
