@@ -646,3 +646,30 @@ def test_pipeline_decides_by_row_and_not_by_id(spark):
     left = P.decontamination(spark, docs_of(spark, rows), SF)
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted([(None, a), (None, None), (5, b), (6, c)], key=str)
     assert left.columns == docs_of(spark, []).columns
+
+
+def test_bpe_memos_are_bounded_and_change_nothing(spark, texts):
+    import public_tokenizers as P
+
+    tokens = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    large, small = bpe.Codec(tokens, P.PATTERN), bpe.Codec(tokens, P.PATTERN, 20_000)
+    for text in texts.values():
+        assert large.encode(text or "").tolist() == small.encode(text or "").tolist()
+    small.pieces.age()
+    assert small.pieces.older and small.pieces.bytes <= 20_000 and len(large.pieces) > len(small.pieces) >= len(small.pieces.fixed)
+
+
+def test_registered_bpe_query_equals_tiktoken(spark, tmp_path):
+    import public_tokenizers as P
+    import tiktoken
+
+    tokens = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    exact = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    rows = [(1, None), (1, ""), (None, "Hello wörld  ²\n"), (2, "ab" * 400_000), (3, "x y z " * 100_000), (3, "<|endoftext|>")]
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(str, (tuple(r) for r in registry.QUERIES["op2_byte_bpe"](spark, str(tmp_path)).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())))
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    ids = [(i, exact.encode_ordinary(t or ""), t or "") for i, t in rows]
+    assert got == sorted(str((i, len(own), sha(" ".join(map(str, own)).encode()), sha(t.encode()))) for i, own, t in ids)
+    docs_of(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert registry.QUERIES["op2_byte_bpe"](spark, f"{tmp_path}/none").count() == 0

@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Entries of a memo's generation; the older of two is dropped, which bounds memory and never changes results.
-MEMO = 60_000
+#: Bytes of a memo's generation, about; the older of two is dropped, which bounds memory and never changes results.
+MEMO_BYTES = 64_000_000
+#: Bytes of a memo's entry beside key and value, about.
+ENTRY = 110
 #: Characters of the longest piece that is memoised, and pieces of a text that are encoded before a memo may be aged.
 MEMO_CHARS, PIECES = 64, 50_000
 #: Texts whose tokens a worker hands on at once.
@@ -44,8 +46,11 @@ def read_ranks(path: str) -> list[bytes]:
 
 
 class _Memo(dict):
-    def __init__(self, make):
-        self.make, self.older = make, {}
+    """Two generations of answers; what is asked for moves to the younger one. ``fixed`` answers never age."""
+
+    def __init__(self, make, most: int, fixed: dict):
+        super().__init__(fixed)
+        self.make, self.most, self.fixed, self.older, self.bytes = make, most, fixed, {}, 0
 
     def __missing__(self, key):
         value = self.older.get(key)
@@ -53,12 +58,15 @@ class _Memo(dict):
             value = self.make(key)
         if len(key) <= MEMO_CHARS:
             self[key] = value
+            self.bytes += ENTRY + sys.getsizeof(key) + sys.getsizeof(value)
         return value
 
     def age(self) -> None:
-        if len(self) > MEMO:
+        if self.bytes > self.most:
             self.older = dict(self)
             self.clear()
+            self.update(self.fixed)
+            self.bytes = 0
 
 
 #: Characters that ``re`` and ``regex`` class differently: numbers that aren't decimal digits, and U+001C to U+001F.
@@ -85,7 +93,7 @@ def splitters(pattern: str) -> tuple:
 class Codec:
     """Encoder and decoder for one vocabulary."""
 
-    def __init__(self, tokens: list[bytes], pattern: str):
+    def __init__(self, tokens: list[bytes], pattern: str, memo_bytes: int = MEMO_BYTES):
         import ahocorasick
 
         self.tokens, self.ids = tokens, {t: i for i, t in enumerate(tokens)}
@@ -100,8 +108,18 @@ class Codec:
         self.matches.make_automaton()
         self.left, self.right, self.merged = list(range(len(tokens))), list(range(len(tokens))), {}
         self._learn_merges()
-        self.fits = _Memo(self._fits)
-        self.pieces = _Memo(self._piece)
+        self.fits = _Memo(self._fits, memo_bytes // 2, {})
+        self.pieces = _Memo(self._piece, memo_bytes, dict(self._whole_tokens()))
+
+    def _whole_tokens(self) -> Iterator[tuple[str, bytes]]:
+        """Pieces that are tokens themselves: those whose bytes are UTF-8 without ODD."""
+        for i, token in enumerate(self.tokens):
+            try:
+                piece = token.decode("utf-8")
+            except UnicodeDecodeError:
+                continue
+            if ODD.isdisjoint(piece):
+                yield piece, array("i", [i]).tobytes()
 
     def _learn_merges(self) -> None:
         """The last merge that makes each token: the one split whose halves keep their border until then."""
@@ -179,19 +197,18 @@ class Codec:
 
 
 @lru_cache(maxsize=2)
-def _codec(tokens: tuple[bytes, ...], pattern: str) -> Codec:
-    return Codec(list(tokens), pattern)
+def _codec(tokens: tuple[bytes, ...], pattern: str, memo_bytes: int) -> Codec:
+    return Codec(list(tokens), pattern, memo_bytes)
 
 
 def _worker_codec(shared) -> Codec:
     """One codec for each worker process, from the broadcast vocabulary."""
-    tokens, pattern = shared.value
-    return _codec(tokens, pattern)
+    return _codec(*shared.value)
 
 
-def vocabulary(spark: SparkSession, path: str, pattern: str):
-    """Broadcast a vocabulary; its size is fixed by the rank file."""
-    return spark.sparkContext.broadcast((tuple(read_ranks(path)), pattern))
+def vocabulary(spark: SparkSession, path: str, pattern: str, memo_bytes: int = MEMO_BYTES):
+    """Broadcast a vocabulary; its size is fixed by the rank file. A worker's memos take about three times ``memo_bytes``."""
+    return spark.sparkContext.broadcast((tuple(read_ranks(path)), pattern, memo_bytes))
 
 
 def _as_lists(found: list[np.ndarray]) -> pa.Array:
@@ -244,14 +261,14 @@ def _both(text: Column, shared) -> Column:
     return udf(text)
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, pattern: str, memo_bytes: int = MEMO_BYTES) -> DataFrame:
     """``doc_id, ids array<int>, decoded binary`` of each row of ``documents``.
 
     One row for each input row, repeated rows and repeated or null doc_ids
     included; null texts count as empty; other columns are left out. Narrow: no
     shuffle, and memory is bounded by one Arrow batch and the memos.
     """
-    shared = vocabulary(docs.sparkSession, path, pattern)
+    shared = vocabulary(docs.sparkSession, path, pattern, memo_bytes)
     return docs.select("doc_id", _both(F.col("text"), shared).alias("_b")).select("doc_id", "_b.ids", "_b.decoded")
 
 
