@@ -19,6 +19,8 @@ from tidegrid.llm import bpe, decontaminate, langid, neardup, secrets
 from tidegrid.llm.common import WORD, materialize, table, unused, with_row
 
 MASK = "[secret]"
+#: Bytes of a memo's generation in the encoding stage, which shares its executors' memory with the stages before.
+MEMO_BYTES = 20_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -87,7 +89,7 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of each row, repeated rows and null ids included; null texts have no tokens."""
-    made = bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    made = bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, MEMO_BYTES)
     return bpe.digests(made, "ids")
 
 
