@@ -10,6 +10,7 @@ from tidegrid.functions import expressions as E
 from tidegrid.operators import cells, features, forecast, graph, metrics, trips
 from tidegrid.operators import clustering as K
 from tidegrid.sources import sinks
+from tidegrid.streaming import slots
 
 
 def trip_rows(spark, rows):
@@ -224,3 +225,60 @@ def test_samples_are_stable_and_even(spark):
     split = {r.split: r["count"] for r in trips.split_hash(df, F.col("id"), seed=1).groupBy("split").count().collect()}
     assert abs(split["train"] - 6_000) < 300 and abs(split["val"] - 2_000) < 200
     assert trips.guard_targets(df.selectExpr("id % 2 AS k", "id AS y"), "k", "y", 9_998).where("rejected").first().k == 1
+
+
+def test_neighbours_lag_over_empty_slots(spark):
+    day = lambda d: dt.datetime(2024, 1, d)
+    edges = spark.createDataFrame([(1, 2), (2, 1), (3, 4)], "src long, dst long")
+    series = spark.createDataFrame([(2, day(1), 5), (2, day(4), 7), (1, day(2), 3), (9, day(5), 1)], "station_id long, ts_start timestamp_ntz, n long")
+    got = {(r.station_id, r.ts_start.day): (r.near_n, r.near_n_lag_1) for r in graph.neighbor_demand(edges, series, "n").collect()}
+    assert [got[1, d] for d in range(1, 6)] == [(5, 0), (0, 5), (0, 0), (7, 0), (0, 7)]
+    assert [got[2, d][0] for d in range(1, 6)] == [0, 3, 0, 0, 0] and got[3, 5] == (0, 0) and len(got) == 15
+
+
+def test_both_ends_of_trips_are_counted(spark):
+    t = dt.datetime(2024, 1, 1, 8, 10)
+    lab = trip_rows(spark, [(1, 3, t, t + dt.timedelta(hours=1), 60.0, "OTHER", None, "FIT"), (1, None, t, None, 90.0, None, 25, "ICONIC")])
+    got = {(r.station_id, r.ts_start.hour): r for r in trips.station_slots(lab, "30 minutes").collect()}
+    assert set(got) == {(1, 8), (3, 9)}
+    left, came = got[1, 8], got[3, 9]
+    assert (left.dep_last_dt, left.arr_last_dt, left.trip_dur_mean_last_dt, left.model_fit_cnt, left.model_iconic_cnt, left.share_other, left.share_male) == (2, 0, 75.0, 1, 1, 0.5, 0.0)
+    assert (came.dep_last_dt, came.arr_last_dt, came.trip_dur_mean_last_dt, came.model_fit_cnt, came.share_other) == (0, 1, None, 0, None)
+
+
+def test_a_batch_that_is_run_again_replaces_itself(spark):
+    at = sinks.scratch(spark)
+    t = dt.datetime(2024, 1, 1)
+    rows = lambda n: spark.createDataFrame([("a", t, n)], "k string, ts_start timestamp_ntz, n long")
+    put = slots.put(f"{at}/t")
+    put(rows(1), 0), put(rows(2), 0)
+    table = lambda: [r.n for r in slots.closed_slots(spark, f"{at}/t", rows(0).schema, ["k", "ts_start"]).collect()]
+    assert table() == [2]
+    put(rows(3), 1)
+    assert table() == [3]  # the latest batch has the last word
+
+
+def test_a_failed_stream_goes_on_where_it_stood(spark):
+    at, calls = sinks.scratch(spark), []
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(minutes=7 * i) for i in range(120)]
+    rows = spark.createDataFrame([(t, "a", 1.0, i // 40) for i, t in enumerate(times)], "ts timestamp_ntz, event_type string, value double, batch int")
+    slots.arrive(rows, f"{at}/in", "batch", range(3))
+    counted = slots.slot_counts(slots.watch(spark, f"{at}/in", rows.drop("batch").schema), "ts", "event_type")
+    put = slots.put(f"{at}/t")
+
+    def sink(df, number):
+        calls.append(number)
+        put(df, number)
+        if calls.count(1) == 1 and number == 1:
+            raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        slots.keep(counted, lambda df, number: sink(df, number), f"{at}/check", retries=0)
+    slots.keep(counted, sink, f"{at}/check")
+    assert calls.count(1) == 2 and calls.count(0) == 1
+    table = slots.closed_slots(spark, f"{at}/t", counted.schema, ["event_type", "ts_start"])
+    last = times[-1] - dt.timedelta(minutes=10)
+    closed = [t for t in times if (t - dt.datetime(2024, 1, 1)) // dt.timedelta(minutes=30) * dt.timedelta(minutes=30) + dt.timedelta(minutes=30) <= last - dt.datetime(2024, 1, 1)]
+    assert table.agg(F.sum("n")).first()[0] == len(closed)
+    lagged = {r.ts_start: (r.n, r.n_lag_1, r.n_lag_2) for r in slots.slot_lags(table.where(F.col("ts_start") != dt.datetime(2024, 1, 1, 1)), "event_type", "n", (1, 2)).collect()}
+    assert lagged[dt.datetime(2024, 1, 1, 1)][0] == 0 and lagged[dt.datetime(2024, 1, 1, 1, 30)][1:] == (0, lagged[dt.datetime(2024, 1, 1, 0, 30)][0])

@@ -22,7 +22,7 @@ def per_day(minutes: int) -> int:
     return 24 * 60 // minutes
 
 
-def lag_columns(columns, entity: str, ts: str, day: int, lags=LAGS, rolling=ROLLING) -> list[Column]:
+def lag_columns(columns, entity: str, ts: str, day: int, lags=LAGS, rolling=ROLLING, seasonal=(("yesterday", 1), ("last_week", 7))) -> list[Column]:
     """All history columns over one partitioning and one sort.
 
     The current row never counts. Rolling statistics need a full window; missing
@@ -36,7 +36,7 @@ def lag_columns(columns, entity: str, ts: str, day: int, lags=LAGS, rolling=ROLL
         full = F.count(F.lit(1)).over(frame) == n
         for c in columns:
             out += [zero(F.when(full, F.avg(c).over(frame))).alias(f"{c}_rolling_mean_{n}"), zero(F.when(full, F.stddev_samp(c).over(frame))).alias(f"{c}_rolling_std_{n}")]
-    return out + [F.lag(c, k * day, 0).over(w).alias(f"{c}_same_hour_{name}") for c in columns for name, k in (("yesterday", 1), ("last_week", 7))]
+    return out + [F.lag(c, k * day, 0).over(w).alias(f"{c}_same_hour_{name}") for c in columns for name, k in seasonal]
 
 
 def add_lags(grid: DataFrame, columns, entity: str = "cluster_id", ts: str = "ts_start", minutes: int = 30, **options) -> DataFrame:
@@ -83,13 +83,19 @@ def cluster_features(trips: DataFrame, centers: DataFrame, minutes: int = 30, la
     return joined.select("*", *E.calendar("ts_start"), *history, *lag_flags("cluster_id", "ts_start", minutes, "dep_internal_count")[:3])
 
 
-def station_features(series: DataFrame, entity: str, ts: str, count: str, minutes: int = 30) -> DataFrame:
-    """A station's history on its dense grid: lags 1..6, the last day's mean and deviation and the ratio to that mean, and the next slot as target."""
+def station_features(series: DataFrame, entity: str, ts: str, counts: list[str], minutes: int = 30) -> DataFrame:
+    """A station's history on its dense grid, for each count: lags 1..6, the last day's mean and deviation and the ratio to that mean, and the next slot as target.
+
+    All counts share one partitioning and one sort.
+    """
     w = Window.partitionBy(entity).orderBy(ts)
     day = w.rowsBetween(-per_day(minutes), -1)
-    lagged = [F.lag(count, n).over(w).alias(f"{count}_lag_{n}") for n in range(1, 7)]
-    daily = [F.avg(count).over(day).alias("dep_ma_24h"), F.stddev_samp(count).over(day).alias("dep_std_24h"), F.try_divide(F.col(count).cast("double"), F.avg(count).over(day)).alias("dep_ratio_dt_24h")]
-    return series.select("*", *lagged, *daily, F.lead(count, 1).over(w).alias("y_next"))
+    made = []
+    for c in counts:
+        made += [F.lag(c, n).over(w).alias(f"{c}_lag_{n}") for n in range(1, 7)]
+        made += [F.avg(c).over(day).alias(f"{c}_ma_24h"), F.stddev_samp(c).over(day).alias(f"{c}_std_24h"), F.try_divide(F.col(c).cast("double"), F.avg(c).over(day)).alias(f"{c}_ratio_dt_24h")]
+        made.append(F.lead(c, 1).over(w).alias(f"{c}_next"))
+    return series.select("*", *made)
 
 
 def sequences(grid: DataFrame, entity: str, ts: str, features: list[str], target: str, length: int = 24, horizon: int = 1) -> DataFrame:

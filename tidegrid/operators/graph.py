@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import haversine_km
 from ..sources.sinks import cut
+from .cells import densify
 
 #: Points of a cell beyond which it is searched in smaller cells.
 CROWDED = 256
@@ -116,7 +117,15 @@ def reach(edges: DataFrame, hops: int) -> DataFrame:
     return found
 
 
-def neighbor_demand(edges: DataFrame, series: DataFrame, value: str) -> DataFrame:
-    """Sum over a node's neighbours in each slot, and the sum of the node's previous slot that has one."""
+def neighbor_demand(edges: DataFrame, series: DataFrame, value: str, width: str = "1 day") -> DataFrame:
+    """Sum over a node's neighbours in each slot and in the slot before, on the dense grid.
+
+    Every node with a neighbour has every slot from the first to the last of
+    ``series`` (``station_id, ts_start``, slots of ``width``); a slot in which no
+    neighbour has a row is 0, and so is what lies before the first one.
+    """
     near = edges.join(series.withColumnRenamed("station_id", "dst"), "dst").groupBy(F.col("src").alias("station_id"), "ts_start").agg(F.sum(value).alias(f"near_{value}"))
-    return near.withColumn(f"near_{value}_lag_1", F.lag(f"near_{value}", 1).over(Window.partitionBy("station_id").orderBy("ts_start")))
+    span = series.agg(F.min("ts_start").alias("lo"), F.max("ts_start").alias("hi"))
+    every = span.select(F.explode(F.sequence("lo", "hi", F.expr(f"INTERVAL {width}"))).alias("ts_start"))
+    grid = densify(edges.select(F.col("src").alias("station_id")).distinct().crossJoin(every), ["station_id", "ts_start"], near)
+    return grid.withColumn(f"near_{value}_lag_1", F.lag(f"near_{value}", 1, 0).over(Window.partitionBy("station_id").orderBy("ts_start")))

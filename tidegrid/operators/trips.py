@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import AGE_BINS, flag
+from ..functions.expressions import AGE_BINS, flag, slot
 from ..sources.sinks import cut
 
 
@@ -109,6 +109,23 @@ def station_activity(trips: DataFrame) -> DataFrame:
     return ends.where("e.station_id IS NOT NULL").groupBy(F.col("e.station_id").alias("station_id")).agg(F.sum("e.o").alias("n_dep"), F.sum(1 - F.col("e.o")).alias("n_arr"), F.count("*").alias("n_total"))
 
 
+def station_slots(trips: DataFrame, width: str) -> DataFrame:
+    """Departures and arrivals of each station and slot, in one shuffle: ``station_id, ts_start``, both counts, and the departures' mean duration, bike models and gender shares.
+
+    A departure counts in the slot it leaves in, an arrival in the one it arrives
+    in. Shares and duration are null in a slot without departures; riders of
+    unknown gender are in no share.
+    """
+    end = lambda side, ts, o: F.struct(F.col(f"{side}_station_id").alias("station_id"), F.col(ts).alias("ts"), F.lit(o).alias("o"))
+    ends = trips.select("duration_s", "bike_model", "gender", F.explode(F.array(end("origin", "dep_ts", 1), end("dest", "arr_ts", 0))).alias("e"))
+    ends = ends.where("e.station_id IS NOT NULL AND e.ts IS NOT NULL")
+    left = F.col("e.o") == 1
+    counts = [F.count_if(left).alias("dep_last_dt"), F.count_if(~left).alias("arr_last_dt"), F.avg(F.when(left, F.col("duration_s"))).alias("trip_dur_mean_last_dt")]
+    counts += [F.count_if(left & (F.col("bike_model") == m)).alias(f"model_{m.lower()}_cnt") for m in ("FIT", "ICONIC")]
+    shares = [F.try_divide(F.count_if(left & (F.col("gender") == g.upper())), F.count_if(left)).alias(f"share_{g}") for g in ("male", "female", "other")]
+    return ends.groupBy(F.col("e.station_id").alias("station_id"), slot(F.col("e.ts"), width).alias("ts_start")).agg(*counts, *shares)
+
+
 def first_by(df: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:
     return df.groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
 

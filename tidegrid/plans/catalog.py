@@ -332,8 +332,10 @@ _SERIES = "SELECT station_id, ts_start, n FROM (SELECT CAST(user_id AS BIGINT) A
 _series = lambda s, d: table(s, d, "events").groupBy(F.col("user_id").alias("station_id"), E.slot("ts", DAY).alias("ts_start")).agg(F.count("*").alias("n"))
 query(
     "neighbor_demand",
-    f"SELECT *, lag(near_n) OVER (PARTITION BY station_id ORDER BY ts_start) AS near_n_lag_1 FROM (SELECT src AS station_id, ts_start, CAST(sum(n) "
-    f"AS BIGINT) AS near_n FROM v_edges JOIN ({_SERIES}) x ON x.station_id = dst GROUP BY 1, 2)",
+    f"WITH x AS ({_SERIES}), g AS (SELECT station_id, ts_start FROM (SELECT DISTINCT src AS station_id FROM v_edges), (SELECT unnest(generate_series(min(ts_start), max(ts_start), "
+    f"INTERVAL 1 day)) AS ts_start FROM x)), y AS (SELECT src AS station_id, ts_start, CAST(sum(n) AS BIGINT) AS n FROM v_edges JOIN x ON x.station_id = dst GROUP BY 1, 2) "
+    f"SELECT *, lag(near_n, 1, 0) OVER (PARTITION BY station_id ORDER BY ts_start) AS near_n_lag_1 FROM (SELECT station_id, ts_start, CAST(coalesce(n, 0) AS BIGINT) AS near_n FROM g "
+    f"LEFT JOIN y USING (station_id, ts_start))",
 )(
     lambda s, d: G.neighbor_demand(_edges(s, d), _series(s, d), "n")
 )
@@ -452,19 +454,15 @@ query(
         .groupBy(E.flag(F.col("gender").isNull()).alias("dur_is_null"))
         .agg(F.avg("duration_s").alias("mean_duration"), F.count("*").alias("n"))
 )
+_ENDS = "(SELECT origin_station_id AS station_id, dep_ts AS ts, 1 AS o, duration_s, bike_model, gender FROM v_trips UNION ALL SELECT dest_station_id, arr_ts, 0, duration_s, bike_model, gender FROM v_trips)"
 query(
     "station_slot_counts",
-    "SELECT origin_station_id AS station_id, time_bucket(INTERVAL 1 day, dep_ts) AS ts_start, count(*) AS dep_last_dt, round(avg(duration_s), 4) "
-    "AS trip_dur_mean_last_dt, count(*) FILTER (WHERE bike_model = 'ICONIC') AS model_iconic_cnt, round(count(*) FILTER (WHERE gender = 'MALE') / "
-    "count(*), 4) AS share_male, round(count(*) FILTER (WHERE gender = 'FEMALE') / count(*), 4) AS share_female FROM v_trips GROUP BY 1, 2",
+    "SELECT station_id, time_bucket(INTERVAL 1 day, ts) AS ts_start, count(*) FILTER (WHERE o = 1) AS dep_last_dt, count(*) FILTER (WHERE o = 0) AS arr_last_dt, round(avg(duration_s) FILTER (WHERE o = 1), 4) AS trip_dur_mean_last_dt, "
+    + ", ".join(f"count(*) FILTER (WHERE o = 1 AND bike_model = '{m}') AS model_{m.lower()}_cnt" for m in ("FIT", "ICONIC")) + ", "
+    + ", ".join(f"round(CASE WHEN count(*) FILTER (WHERE o = 1) > 0 THEN count(*) FILTER (WHERE o = 1 AND gender = '{g.upper()}') / count(*) FILTER (WHERE o = 1) END, 4) AS share_{g}" for g in ("male", "female", "other"))
+    + f" FROM {_ENDS} GROUP BY 1, 2",
 )(
-    lambda s, d: views.trips(s, d)
-        .groupBy(F.col("origin_station_id").alias("station_id"), E.slot("dep_ts", DAY).alias("ts_start"))
-        .agg(
-            F.count("*").alias("dep_last_dt"), F.avg("duration_s").alias("trip_dur_mean_last_dt"),
-            F.count_if(F.col("bike_model") == "ICONIC").alias("model_iconic_cnt"),
-            *((F.count_if(F.col("gender") == g.upper()) / F.count("*")).alias(f"share_{g}") for g in ("male", "female"))
-        )
+    lambda s, d: T.station_slots(views.trips(s, d), DAY)
 )
 query(
     "activity_heatmap",
@@ -569,12 +567,12 @@ query(
 )(
     lambda s, d: dense(s, d).select("event_type", "ts_start", *W.lag_flags("event_type", "ts_start", 30, "n"))
 )
-_station = lambda s, d: W.station_features(dense(s, d), "event_type", "ts_start", "n")
+_station = lambda s, d: W.station_features(dense(s, d), "event_type", "ts_start", ["n"])
 query(
     "next_targets",
     f"SELECT event_type, ts_start, lead(n, 1) {_W} AS y_next FROM v_dense",
 )(
-    lambda s, d: _station(s, d).select("event_type", "ts_start", "y_next")
+    lambda s, d: _station(s, d).select("event_type", "ts_start", F.col("n_next").alias("y_next"))
 )
 query(
     "station_lags",
@@ -588,8 +586,24 @@ query(
     f"SELECT event_type, ts_start, round(avg(n) {_D}, 4) AS dep_ma_24h, round(stddev_samp(n) {_D}, 4) AS dep_std_24h, round(CASE WHEN avg(n) {_D} = "
     f"0 THEN NULL ELSE n / avg(n) {_D} END, 4) AS dep_ratio_dt_24h FROM v_dense",
 )(
-    lambda s, d: _station(s, d).select("event_type", "ts_start", "dep_ma_24h", "dep_std_24h", "dep_ratio_dt_24h")
+    lambda s, d: _station(s, d).select("event_type", "ts_start", *(F.col(f"n_{c}").alias(f"dep_{c}") for c in ("ma_24h", "std_24h", "ratio_dt_24h")))
 )
+_DAYS = f"""d AS (SELECT station_id, time_bucket(INTERVAL 1 day, ts) AS ts_start, count(*) FILTER (WHERE o = 1) AS dep, count(*) FILTER (WHERE o = 0) AS arr FROM {_ENDS} GROUP BY 1, 2),
+g AS (SELECT station_id, ts_start FROM (SELECT DISTINCT station_id FROM d), (SELECT unnest(generate_series(min(ts_start), max(ts_start), INTERVAL 1 day)) AS ts_start FROM d)),
+h AS (SELECT station_id, ts_start, CAST(coalesce(dep, 0) AS BIGINT) AS dep, CAST(coalesce(arr, 0) AS BIGINT) AS arr FROM g LEFT JOIN d USING (station_id, ts_start))"""
+_OF = "OVER (PARTITION BY station_id ORDER BY ts_start)"
+
+
+@query("station_history", f"WITH {_DAYS} SELECT station_id, ts_start, dep, arr, " + ", ".join(f"lag({c}, {k}) {_OF} AS {c}_lag_{k}" for c in ("dep", "arr") for k in range(1, 7)) + f", lead(dep, 1) {_OF} AS dep_next, lead(arr, 1) {_OF} AS arr_next FROM h")
+def _station_history(s: SparkSession, d: str) -> DataFrame:
+    """Departures and arrivals of every station and day, dense, with their lags and next days."""
+    days = sinks.cut(T.station_slots(views.trips(s, d), DAY).select("station_id", "ts_start", F.col("dep_last_dt").alias("dep"), F.col("arr_last_dt").alias("arr")))
+    span = days.agg(F.min("ts_start").alias("lo"), F.max("ts_start").alias("hi"))
+    grid = days.select("station_id").distinct().crossJoin(span.select(F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 day"))).alias("ts_start")))
+    made = W.station_features(C.densify(grid, ["station_id", "ts_start"], days), "station_id", "ts_start", ["dep", "arr"], 24 * 60)
+    return made.select("station_id", "ts_start", "dep", "arr", *(f"{c}_lag_{k}" for c in ("dep", "arr") for k in range(1, 7)), "dep_next", "arr_next")
+
+
 query(
     "weather_lag",
     "SELECT a.hour_ts, b.precipitation AS precipitation_1h_ago, b.is_raining AS is_raining_1h_ago FROM v_weather a LEFT JOIN v_weather b ON "
@@ -1129,47 +1143,86 @@ query(
 # --- streaming
 
 
-def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
-    """The table's files as a stream; the pattern lets the table be a file or a folder."""
-    return s.readStream.schema(table(s, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+#: Micro-batches of the live queries, and those between two stops.
+_RUNS = ((0, 1, 2), (3, 4, 5))
+
+
+def _arrivals(s: SparkSession, d: str) -> DataFrame:
+    """The events as they come in: five days a batch, every twentieth event one batch late, every thirtieth twice."""
+    batch = F.least(F.lit(5), F.floor((F.dayofmonth("ts") - 1) / 5).cast("int") + E.flag(F.col("event_id") % 20 == 0))
+    return table(s, d, "events").withColumn("batch", batch).withColumn("_n", F.explode(F.sequence(F.lit(0), E.flag(F.col("event_id") % 30 == 0)))).drop("_n")
+
+
+_LATE = """a AS (SELECT *, least(5, (day(ts) - 1) // 5 + CAST(event_id % 20 = 0 AS INT)) AS batch FROM events),
+b AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS batch), m AS (SELECT b.batch, date_trunc('millisecond', max(a.ts)) AS seen FROM b LEFT JOIN a ON a.batch <= CASE WHEN b.batch = 3 THEN 2 ELSE b.batch - 2 END GROUP BY 1),
+fed AS (SELECT a.*, seen, date_trunc('millisecond', max(ts) OVER ()) AS last FROM (SELECT * FROM a UNION ALL SELECT * FROM a WHERE event_id % 30 = 0) a JOIN m USING (batch))"""
 
 
 def _live(name: str, build, sql: str) -> None:
-    """Registers a stream over the table, drained in full, against the batch result of the slots its watermark has closed."""
+    """Registers a stream of several batches, stopped and restarted midway, against SQL that drops the rows that came late and shows the slots that the last watermark closed."""
 
     def run(s: SparkSession, d: str) -> DataFrame:
-        at = scratch(s)
-        return slots.drain(build(s, d), f"{at}/out", f"{at}/check")
+        return slots.in_runs(_arrivals(s, d), "batch", _RUNS, lambda stream: build(s, d, stream), scratch(s))
 
     query(name, sql)(run)
 
 
-_CLOSED = "(SELECT max(ts) - INTERVAL 10 minute AS mark FROM events)"
+def _closed(width: str, late: str) -> str:
+    """Slots of a width that were open as their row came, and that the end has closed."""
+    return f"(seen IS NULL OR ts_start + INTERVAL {width} > seen - INTERVAL {late}) AND ts_start + INTERVAL {width} <= last - INTERVAL {late}"
+
+
 _live(
     "stream_slot_counts",
-    lambda s, d: slots.slot_counts(_stream(s, d, "events"), "ts", "event_type"),
-    f"SELECT ts_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 minute, ts) AS ts_start "
-    f"FROM events), {_CLOSED} WHERE ts_start + INTERVAL 30 minute <= mark GROUP BY 1, 2",
+    lambda s, d, stream: slots.slot_counts(stream, "ts", "event_type"),
+    f"WITH {_LATE} SELECT ts_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 minute, ts) AS ts_start "
+    f"FROM fed) WHERE {_closed('30 minute', '10 minute')} GROUP BY 1, 2",
 )
 _live(
     "stream_sliding",
-    lambda s, d: slots.slot_counts(_stream(s, d, "events"), "ts", "event_type", "2 hours", "10 minutes", "30 minutes"),
-    f"SELECT ts_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 minute, ts) - k * INTERVAL "
-    f"30 minute AS ts_start FROM events, (SELECT unnest([0, 1, 2, 3]) AS k)), {_CLOSED} WHERE ts_start + INTERVAL 2 hour <= mark GROUP BY 1, 2",
+    lambda s, d, stream: slots.slot_counts(stream, "ts", "event_type", "2 hours", "10 minutes", "30 minutes"),
+    f"WITH {_LATE} SELECT ts_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, time_bucket(INTERVAL 30 minute, ts) - k * INTERVAL "
+    f"30 minute AS ts_start FROM fed, (SELECT unnest([0, 1, 2, 3]) AS k)) WHERE {_closed('2 hour', '10 minute')} GROUP BY 1, 2",
 )
 _live(
     "stream_dedup",
-    lambda s, d: slots.dedup(_stream(s, d, "events"), "ts", ["event_id"]).select("event_id", "event_type"),
-    "SELECT DISTINCT event_id, event_type FROM events",
+    lambda s, d, stream: slots.dedup(stream, "ts", ["event_id"]).select("event_id", "event_type"),
+    f"WITH {_LATE} SELECT DISTINCT event_id, event_type FROM fed WHERE seen IS NULL OR ts > seen - INTERVAL 10 minute",
 )
 _live(
     "stream_od_counts",
-    lambda s, d: slots.od_counts(
-        _stream(s, d, "events").select("ts", (F.col("user_id") % 25).cast("int").alias("origin_station_id"), (F.col("event_id") % 25).cast("int").alias("dest_station_id"), F.lit("FIT").alias("bike_model")),
+    lambda s, d, stream: slots.od_counts(
+        stream.select("ts", (F.col("user_id") % 25).cast("int").alias("origin_station_id"), (F.col("event_id") % 25).cast("int").alias("dest_station_id"), F.lit("FIT").alias("bike_model")),
         views.station_cluster(s, d), "ts"
     ),
-    "WITH t AS (SELECT time_bucket(INTERVAL 1 day, ts) AS ts_start, coalesce(o.cluster_id, -1) AS oc, coalesce(p.cluster_id, -1) AS dc FROM events "
-    "e LEFT JOIN v_map o ON o.station_id = e.user_id % 25 LEFT JOIN v_map p ON p.station_id = e.event_id % 25) SELECT ts_start, oc AS "
-    "origin_cluster, count(*) FILTER (WHERE oc = dc AND oc <> -1) AS n_internal, count(*) FILTER (WHERE NOT (oc = dc AND oc <> -1)) AS n_external "
-    "FROM t, (SELECT max(ts) - INTERVAL 1 day AS mark FROM events) WHERE ts_start + INTERVAL 1 day <= mark GROUP BY 1, 2",
-)
+    f"WITH {_LATE}, t AS (SELECT time_bucket(INTERVAL 1 day, ts) AS ts_start, seen, last, coalesce(o.cluster_id, -1) AS oc, coalesce(p.cluster_id, -1) AS dc FROM fed "
+    f"e LEFT JOIN v_map o ON o.station_id = e.user_id % 25 LEFT JOIN v_map p ON p.station_id = e.event_id % 25) SELECT ts_start, oc AS "
+    f"origin_cluster, count(*) FILTER (WHERE oc = dc AND oc <> -1) AS n_internal, count(*) FILTER (WHERE NOT (oc = dc AND oc <> -1)) AS n_external "
+    f"FROM t WHERE {_closed('1 day', '1 day')} GROUP BY 1, 2",
+)
+
+
+@query(
+    "stream_lags",
+    f"WITH {_LATE}, c AS (SELECT event_type, ts_start, count(*) AS n FROM (SELECT *, time_bucket(INTERVAL 30 minute, ts) AS ts_start FROM fed) WHERE {_closed('30 minute', '10 minute')} GROUP BY 1, 2), "
+    f"g AS (SELECT event_type, ts_start FROM (SELECT DISTINCT event_type FROM c), (SELECT unnest(generate_series(min(ts_start), max(ts_start), INTERVAL 30 minute)) AS ts_start FROM c)), "
+    f"e AS (SELECT event_type, ts_start, CAST(coalesce(n, 0) AS BIGINT) AS n FROM g LEFT JOIN c USING (event_type, ts_start)) "
+    f"SELECT event_type, ts_start, n, {', '.join(f'lag(n, {k}, 0) {_W} AS n_lag_{k}' for k in (1, 48, 336))} FROM e",
+)
+def _stream_lags(s: SparkSession, d: str) -> DataFrame:
+    """Lags of a table of closed slots that a stream keeps in six batches and two runs; the second batch fails once it is written, and is run again."""
+    at, failed = scratch(s), []
+    put = slots.put(f"{at}/slots")
+
+    def sink(rows: DataFrame, number: int) -> None:
+        put(rows, number)
+        if number == 1 and not failed:
+            failed.append(number)
+            raise RuntimeError("lost after the batch was written and before that was noted")
+
+    rows = _arrivals(s, d)
+    for run in _RUNS:
+        slots.arrive(rows, f"{at}/in", "batch", run)
+        counted = slots.slot_counts(slots.watch(s, f"{at}/in", rows.drop("batch").schema), "ts", "event_type")
+        slots.keep(counted, sink, f"{at}/check")
+    return slots.slot_lags(slots.closed_slots(s, f"{at}/slots", counted.schema, ["event_type", "ts_start"]), "event_type", "n", (1, 48, 336))
