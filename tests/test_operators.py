@@ -74,16 +74,17 @@ def km(a, b):
     return 2 * 6371.0 * np.arcsin(np.sqrt(np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2))
 
 
-@pytest.mark.parametrize("middle, crowded", [((0.0, 0.0), 256), ((0.0, 0.0), 4), ((-34.6, 180.0), 4), ((89.7, 0.0), 4), ((60.0, -179.99), 2)])
-def test_grid_search_equals_all_pairs(spark, monkeypatch, middle, crowded):
+@pytest.mark.parametrize("middle, crowded", [((0.0, 0.0), 256), ((0.0, 0.0), 1), ((-34.6, 180.0), 4), ((89.7, 0.0), 1), ((60.0, -179.99), 4)])
+def test_tree_search_equals_all_pairs(spark, monkeypatch, middle, crowded):
     rng = np.random.default_rng(3)
     near = rng.normal(0, 0.02, (60, 2)) + rng.choice([-0.05, 0.05], (60, 1))
-    places = [(max(-90.0, min(90.0, middle[0] + a)), (middle[1] + b * 2 + 180) % 360 - 180) for a, b in [*near, *rng.uniform(-0.1, 0.1, (40, 2))]]
+    spots = [*near, *rng.uniform(-0.1, 0.1, (40, 2)), *[(0.03, 0.01)] * 9, *rng.normal(0.05, 1e-7, (20, 2))]
+    places = [(max(-90.0, min(90.0, middle[0] + a)), (middle[1] + b * 2 + 180) % 360 - 180) for a, b in spots]
     p = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(places)] + [(None, 0.0, 0.0), (500, None, 0.0)], "station_id long, lat double, lon double")
-    monkeypatch.setattr(graph, "CROWDED", crowded)
+    monkeypatch.setattr(graph, "LEAF", crowded)
     want = set()
     for i, a in enumerate(places):
-        ranked = sorted((round(float(km(a, b)), 9), j) for j, b in enumerate(places) if j != i)
+        ranked = sorted((0.0 if a == b else round(float(km(a, b)), 12), j) for j, b in enumerate(places) if j != i)
         want |= {(i, j) for d, j in ranked[:4] if d <= 3.0}
     assert {(r.src, r.dst) for r in graph.knn_pairs(p, 4, 3.0).collect()} == want
     assert graph.knn_pairs(p.where("false"), 4, 3.0).count() == 0
@@ -282,3 +283,26 @@ def test_a_failed_stream_goes_on_where_it_stood(spark):
     assert table.agg(F.sum("n")).first()[0] == len(closed)
     lagged = {r.ts_start: (r.n, r.n_lag_1, r.n_lag_2) for r in slots.slot_lags(table.where(F.col("ts_start") != dt.datetime(2024, 1, 1, 1)), "event_type", "n", (1, 2)).collect()}
     assert lagged[dt.datetime(2024, 1, 1, 1)][0] == 0 and lagged[dt.datetime(2024, 1, 1, 1, 30)][1:] == (0, lagged[dt.datetime(2024, 1, 1, 0, 30)][0])
+
+
+@pytest.mark.parametrize("both_ways", [True, False])
+def test_reach_equals_breadth_first_search(spark, both_ways):
+    draw = np.random.default_rng(9)
+    pairs = {(int(a), int(b)) for a, b in draw.integers(0, 60, (80, 2))} | {(i, i + 1) for i in range(60, 75)}
+    pairs |= {(b, a) for a, b in pairs} if both_ways else set()
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    want = set()
+    for start in out:
+        seen, front = {start}, {start}
+        for step in range(1, 7):
+            front = {b for a in front for b in out.get(a, ())} - seen
+            seen |= front
+            want |= {(start, b, step) for b in front}
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    got = graph.reach(edges.unionAll(edges), 6)
+    assert {tuple(r) for r in got.collect()} == want
+    plans = [graph.reach(edges, hops)._jdf.queryExecution().optimizedPlan().toString().count("Join") for hops in (2, 6)]
+    assert plans == [0, 0]
+    assert graph.reach(edges.where("false"), 3).count() == 0

@@ -4,79 +4,104 @@ from __future__ import annotations
 
 import math
 from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import haversine_km
-from ..sources.sinks import cut
+from ..functions.expressions import EARTH_RADIUS, haversine_km
+from ..sources.sinks import cut, observed_cut
 from .cells import densify
 
-#: Points of a cell beyond which it is searched in smaller cells.
-CROWDED = 256
-#: Halvings of a cell's side at most; points that still share a cell lie within metres of one another.
-DEPTH = 12
+#: Halvings of the cube round the globe at most: cells of a centimetre.
+DEPTH = 30
+#: A cell is searched whole if it holds at most this many points for each neighbour that is asked for.
+LEAF = 256
+#: What rounding may add to or take from a distance on the unit sphere.
+SLACK = 1e-12
+_AXES = ("x", "y", "z")
 
 
-def _levels(points: DataFrame, max_km: float) -> list[tuple[float, float]]:
-    """Sides in degrees of ever smaller cells, from ``max_km`` on."""
-    widest = points.agg(F.max(F.abs("lat"))).first()[0] or 0.0
-    dy = max_km / 111.0
-    if widest + dy > 89.0:  # round a pole all columns adjoin
-        return [(dy / 2**level, 360.0) for level in range(DEPTH + 1)]
-    dx = min(360.0, max_km / (111.0 * math.cos(math.radians(widest + dy))))
-    return [(dy / 2**level, dx / 2**level) for level in range(DEPTH + 1)]
+def _axes(lat: Column, lon: Column) -> list[Column]:
+    """The point on the unit sphere, where neither poles nor the date line are special."""
+    lat, lon = F.radians(lat), F.radians(lon)
+    return [(F.cos(lat) * F.cos(lon)).alias("x"), (F.cos(lat) * F.sin(lon)).alias("y"), F.sin(lat).alias("z")]
 
 
-def _cells(lat: Column, lon: Column, dy: float, dx: float) -> tuple[Column, Column, int]:
-    """Row and column of a cell, and how many columns go round the globe; the last one may be wider."""
-    around = max(1, math.floor(360.0 / dx))
-    column = F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / dx), F.lit(around - 1))
-    return F.floor(lat / dy).alias("cy"), column.cast("long").alias("cx"), around
+def _cube(axis: str) -> Column:
+    """A coordinate's cell at ``level``: that of the deepest one, without its last bits."""
+    return F.expr(f"shiftright(CAST(floor(({axis} + 1) * {2.0 ** (DEPTH - 1)}D) AS LONG), {DEPTH} - level)")
 
 
-def _near_cells(points: DataFrame, dy: float, dx: float) -> DataFrame:
-    """Each point once for each cell that adjoins its own, across the date line too."""
-    cy, cx, around = _cells(F.col("lat2"), F.col("lon2"), dy, dx)
-    columns = F.array_distinct(F.transform(F.array(*map(F.lit, (-2, -1, 0, 1, 2))), lambda i: F.pmod(F.col("_x") + i, F.lit(around)))) if around <= 5 else F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda i: F.pmod(F.col("_x") + i, F.lit(around)))
-    placed = points.withColumns({"_y": cy, "_x": cx})
-    return placed.withColumn("cy", F.explode(F.array(*(F.col("_y") + i for i in (-1, 0, 1))))).withColumn("cx", F.explode(columns)).drop("_y", "_x")
+def _steps(*each: int) -> Column:
+    """A row for each combination of steps along the axes."""
+    return F.expr("explode(array(" + ", ".join("named_struct('x', {}, 'y', {}, 'z', {})".format(*step) for step in product(each, repeat=3)) + "))")
+
+
+def _reach(farthest: bool) -> Column:
+    """The least or the greatest distance of the point ``x, y, z`` from the cell ``cx, cy, cz`` of a level."""
+    side = "power(2D, 1 - level)"
+    ends = [f"{a} - (c{a} * {side} - 1)" for a in _AXES]
+    apart = (f"greatest({e}, {side} - ({e}))" if farthest else f"greatest(-({e}), ({e}) - {side}, 0D)" for e in ends)
+    return F.expr(f"sqrt({' + '.join(f'power({a}, 2)' for a in apart)})")
+
+
+def _narrowed(met: DataFrame, k: int) -> DataFrame:
+    """Places and cells, without those farther than cells that hold k candidates are at most; ``r`` is that distance."""
+    nearest = Window.partitionBy("place").orderBy("_far", "cx", "cy", "cz").rowsBetween(Window.unboundedPreceding, 0)
+    enough = met.withColumn("_far", _reach(True)).withColumn("_sum", F.sum("n").over(nearest))
+    bound = F.min(F.when(F.col("_sum") >= k, F.col("_far"))).over(Window.partitionBy("place"))
+    kept = enough.withColumn("r", F.least("r", F.coalesce(bound, "r"))).where(_reach(False) <= F.col("r") + SLACK)
+    return kept.drop("_far", "_sum")
 
 
 def knn_pairs(points: DataFrame, k: int, max_km: float) -> DataFrame:
     """``src, dst, km``: the k nearest other points within ``max_km``; ties go to the smaller id.
 
-    Points meet those of their own and the adjoining cells only, whatever their
-    number. Cells are ``max_km`` wide, so nothing within it is missed. Where a
-    cell holds more than CROWDED points, the side is halved until its
-    neighbourhood is small: whoever finds k points nearer than such a cell is
-    wide needs no more; the others are searched a level up. Rows without id or
-    place are left out; longitudes wrap.
+    Points at one place are searched once, and of them only the k + 1 least ids
+    can be anyone's neighbours. Places lie in a tree of cubes round the globe. A
+    place starts from the smallest cube of its own that holds k + 1 points, which
+    bounds how far its neighbours can be; it meets the cubes within that bound,
+    and goes down into crowded ones, each as deep as its own points ask for, while
+    the bound shrinks. So a place meets few points, however unevenly they lie.
+    Rows without id or place are left out.
     """
     p = points.where("station_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select("station_id", "lat", "lon")
-    a = p.select(F.col("station_id").alias("src"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
-    b = p.select(F.col("station_id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    levels = _levels(p, max_km)
-
-    def met(sources: DataFrame, dy: float, dx: float) -> DataFrame:
-        cy, cx, _ = _cells(F.col("lat1"), F.col("lon1"), dy, dx)
-        km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2")).alias("km")
-        pairs = sources.select("*", cy, cx).join(_near_cells(b, dy, dx), ["cy", "cx"]).where("src <> dst").select("src", "dst", km)
-        rank = F.row_number().over(Window.partitionBy("src").orderBy("km", "dst"))
-        return pairs.where(F.col("km") <= max_km).withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
-
-    cy, cx, _ = _cells(F.col("lat1"), F.col("lon1"), *levels[0])
-    crowd = a.groupBy(cy, cx).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    depth = min(DEPTH, max(0, math.ceil(math.log(crowd / CROWDED, 4)))) if crowd > CROWDED else 0
-    open_, done = a, []
-    for level in range(depth, 0, -1):
-        dy, dx = levels[level]
-        found = cut(met(open_, dy, dx))
-        # a point that the adjoining cells don't hold is at least this far away
-        sure = found.where(F.col("km") < max_km / 2**level * 0.9).groupBy("src").agg(F.count("*").alias("n")).where(F.col("n") >= k).select("src")
-        done.append(found.join(sure, "src", "left_semi"))
-        open_ = cut(open_.join(sure, "src", "left_anti"))
-    return reduce(DataFrame.unionByName, done, met(open_, *levels[0]))
+    first = F.row_number().over(Window.partitionBy("lat", "lon").orderBy("station_id"))
+    # the limit works before the shuffle too, so a crowded place sends k + 1 rows from each task
+    ids = cut(p.withColumn("_rank", first).where(F.col("_rank") <= k + 1).select("station_id", "lat", "lon", F.col("_rank") == 1, *_axes(F.col("lat"), F.col("lon"))).toDF("id", "lat", "lon", "leads", *_AXES))
+    chord = 2 * math.sin(min(math.pi / 2, max_km / (2 * EARTH_RADIUS))) + SLACK
+    top = max(0, math.floor(math.log2(2 / chord)))  # cubes at least as wide as max_km
+    keys = ["level", "cx", "cy", "cz"]
+    at = lambda df, levels: df.withColumn("level", F.explode(levels)).withColumns({f"c{a}": _cube(a) for a in _AXES})
+    tree = cut(at(ids.select(*_AXES), F.sequence(F.lit(top), F.lit(DEPTH))).groupBy(*keys).agg(F.count("*").alias("n")))
+
+    places = ids.where("leads").select(F.col("id").alias("place"), *_AXES)
+    own = at(places, F.sequence(F.lit(top), F.lit(DEPTH))).join(tree.where(F.col("n") > k), keys).groupBy("place").agg(F.max("level").alias("own"))
+    found = places.join(own, "place", "left").withColumn("level", F.greatest(F.coalesce(F.col("own") - 1, F.lit(top)), F.lit(top)))
+    widest = F.when(F.col("own").isNull(), chord).otherwise(F.least(F.lit(chord), math.sqrt(3) * F.pow(F.lit(2.0), 1 - F.col("own")) + SLACK))
+    own_cube = {f"c{a}": _cube(a) + F.col(f"_s.{a}") for a in _AXES}
+    met = found.withColumns({"r": widest, "_s": _steps(-1, 0, 1)}).withColumns(own_cube).drop("own", "_s")
+    crowded = (F.col("n") > LEAF * k) & (F.col("level") < DEPTH)
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("level"))
+    seen = {"levels": F.bit_or(bit), "crowded": F.count_if(crowded)}
+    met, held = observed_cut(met.where(_reach(False) <= F.col("r") + SLACK).join(tree, keys), **seen)
+    while held["crowded"]:
+        halves = {f"c{a}": 2 * F.col(f"c{a}") + F.col(f"_s.{a}") for a in _AXES}
+        children = met.where(crowded).drop("n").withColumns({"level": F.col("level") + 1, "_s": _steps(0, 1)}).withColumns(halves).drop("_s")
+        deeper = children.where(_reach(False) <= F.col("r") + SLACK).join(tree, keys)
+        met, held = observed_cut(_narrowed(met.where(~crowded).unionByName(deeper), k + 1), **seen)
+
+    used = F.array(*(F.lit(level) for level in range(top, DEPTH + 1) if (held["levels"] or 0) >> level & 1)).cast("array<int>")
+    there = at(ids.select("id", "lat", "lon", *_AXES), used).select(*keys, F.col("id").alias("dst"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    here = ids.where("leads").select(F.col("id").alias("place"), F.col("lat").alias("lat1"), F.col("lon").alias("lon1"))
+    km = haversine_km(F.col("lat1"), F.col("lon1"), F.col("lat2"), F.col("lon2"))
+    pairs = met.select("place", *keys).join(here, "place").join(there, keys).select("place", "lat1", "lon1", "dst", km.alias("km")).where(F.col("km") <= max_km)
+    ranked = pairs.withColumn("_rank", F.row_number().over(Window.partitionBy("place").orderBy("km", "dst"))).where(F.col("_rank") <= k + 1)
+    near = ranked.groupBy("place").agg(F.first("lat1").alias("lat"), F.first("lon1").alias("lon"), F.sort_array(F.collect_list(F.struct("km", "dst"))).alias("near"))
+    others = F.slice(F.filter("near", lambda n: n["dst"] != F.col("src")), 1, k)
+    each = p.withColumnRenamed("station_id", "src").join(near.drop("place"), ["lat", "lon"])
+    return each.select("src", F.explode(others).alias("n")).select("src", "n.dst", "n.km")
 
 
 def undirected(pairs: DataFrame) -> DataFrame:
@@ -107,14 +132,28 @@ def propagate(edges: DataFrame, nodes: DataFrame, value: str, hops: int = 1) ->
 
 
 def reach(edges: DataFrame, hops: int) -> DataFrame:
-    """``src, dst, hops``: nodes first reached in that many steps."""
-    found = edges.select("src", "dst").distinct().withColumn("hops", F.lit(1))
-    front = found
-    for step in range(2, hops + 1):
-        ahead = front.select("src", F.col("dst").alias("mid")).join(edges.select(F.col("src").alias("mid"), "dst"), "mid").where("src <> dst").select("src", "dst").distinct()
-        front = ahead.join(found, ["src", "dst"], "left_anti").withColumn("hops", F.lit(step))
-        found = found.unionByName(front)
-    return found
+    """``src, dst, hops``: nodes first reached in that many steps.
+
+    Each step goes on from the pairs of the step before alone, and is written, so
+    a step's plan is the same however many came before. The edges are written once.
+    Stops early where nothing new is reached. A graph that goes both ways needs no
+    look at all that was found: what lies one step on is new, or was reached by one
+    of the last two steps; any other is held against all steps.
+    """
+    known = cut(edges.select("src", "dst").distinct())
+    onward = known.select(F.col("src").alias("mid"), F.col("dst").alias("to"))
+    both_ways = not known.join(known.toDF("dst", "src"), ["src", "dst"], "left_anti").limit(1).count()
+    steps = [known.where("src <> dst")]
+    for _ in range(2, hops + 1):
+        ahead = steps[-1].withColumnRenamed("dst", "mid").join(onward, "mid").where("src <> to").select("src", F.col("to").alias("dst")).distinct()
+        for before in steps[-2:] if both_ways else steps:
+            ahead = ahead.join(before, ["src", "dst"], "left_anti")
+        front, held = observed_cut(ahead, n=F.count(F.lit(1)))
+        if not held["n"]:
+            break
+        steps.append(front)
+    each = [step.withColumn("hops", F.lit(n)) for n, step in enumerate(steps, 1)]
+    return reduce(DataFrame.unionByName, each)
 
 
 def neighbor_demand(edges: DataFrame, series: DataFrame, value: str, width: str = "1 day") -> DataFrame:

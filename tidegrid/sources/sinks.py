@@ -6,7 +6,7 @@ import hashlib
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def observed_cut(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
+    """As ``cut``, with aggregates of the frame that the writing job takes along, so that no second one is run for them."""
+    seen = Observation()
+    made = cut(df.observe(seen, *(c.alias(name) for name, c in measures.items())))
+    return made, seen.get
+
+
 def run_metadata(df: DataFrame, stage: str, parameters: dict) -> DataFrame:
     """One row on what a stage made: ``stage, parameters, n_rows, n_columns, columns``."""
     return df.agg(F.lit(stage).alias("stage"), F.lit(json.dumps(parameters, sort_keys=True)).alias("parameters"), F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.lit(",".join(df.columns)).alias("columns"))
