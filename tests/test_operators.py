@@ -306,3 +306,34 @@ def test_reach_equals_breadth_first_search(spark, both_ways):
     plans = [graph.reach(edges, hops)._jdf.queryExecution().optimizedPlan().toString().count("Join") for hops in (2, 6)]
     assert plans == [0, 0]
     assert graph.reach(edges.where("false"), 3).count() == 0
+
+
+def test_ranks_are_exact_without_large_buffers(spark, monkeypatch):
+    draw = np.random.default_rng(10)
+    nan, inf = float("nan"), float("inf")
+    columns = {
+        "normal": [float(x) for x in draw.normal(size=3001)], "ties": [float(x) for x in draw.integers(0, 2, 3001)], "steep": [float(x) for x in 10.0 ** draw.uniform(-300, 300, 3001)],
+        "one": [7.0] * 3001, "odd": [nan if i % 3 == 0 else inf if i % 3 == 1 else -inf for i in range(3001)], "nulls": [None if i % 2 else float(i) for i in range(3001)], "none": [None] * 3001,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns)).repartition(4)
+    for few, accuracy in ((10_000, 10_000), (20, 100), (0, 50)):
+        monkeypatch.setattr(metrics, "FEW", few)
+        monkeypatch.setattr(metrics, "ACCURACY", accuracy)
+        for c, values in columns.items():
+            if few == 0 and c not in ("normal", "ties", "one"):
+                continue
+            known = sorted((v for v in values if v is not None), key=lambda v: (v != v, v))
+            ranks = sorted({0, len(known) // 4, (len(known) - 1) // 2, len(known) // 2, max(0, len(known) - 1)}) if known else []
+            got = metrics.at_ranks(df, {c: ranks})[c]
+            assert str(got) == str([known[r] for r in ranks]), (c, few)
+    got = {r.column_name: r for r in metrics.describe(df, ["normal", "nulls", "none", "one"]).collect()}
+    assert got["normal"].median == sorted(columns["normal"])[1500] and got["nulls"].median == 1500.0 and got["none"].median is None and got["one"].std < 1e-12
+
+
+def test_sketches_merge_over_any_range(spark):
+    rows = spark.range(40_000).select((F.col("id") % 20).alias("slot"), (F.col("id") * 7 % 15_000).alias("user"))
+    sketches = metrics.slot_sketches(rows, F.col("slot"), "user")
+    assert abs(metrics.distinct_over(sketches).first().n - 15_000) < 5 * 1.04 / 2**7 * 15_000
+    some = rows.where("slot < 5").select("user").distinct().count()
+    assert abs(metrics.distinct_over(sketches.where("slot < 5")).first().n - some) < 5 * 1.04 / 2**7 * some
+    assert metrics.distinct_over(sketches.where("false")).first().n == 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -68,7 +70,89 @@ def null_profile(df: DataFrame) -> DataFrame:
     return one.unpivot(["_n"], df.columns, "column_name", "n_null").select("column_name", "n_null", F.round(100.0 * F.col("n_null") / F.col("_n"), 4).alias("pct_null"))
 
 
+#: Values of a column that the driver takes at most, to find a rank among them; accuracy of the quantiles that narrow them down.
+FEW, ACCURACY = 10_000, 10_000
+
+
+@dataclass
+class _Probe:
+    """A rank sought among the ``n`` values of a column that lie between two bounds; None is no bound."""
+
+    column: str
+    rank: int
+    n: int
+    low: float | None = None
+    high: float | None = None
+    value: float | None = None
+
+    def inside(self) -> Column:
+        v = F.col(self.column)
+        found = v.isNotNull() & ~F.isnan(v)
+        found = found if self.low is None else found & (v > self.low)
+        return found if self.high is None else found & (v < self.high)
+
+
+def at_ranks(df: DataFrame, ranks: dict[str, list[int]]) -> dict[str, list[float]]:
+    """The exact values at ranks (from 0) of double columns; nulls aren't counted, NaN comes last, a rank beyond the end gives NaN.
+
+    A pass finds quantiles on both sides of each rank, the next counts what lies
+    below, at and between them: a ten-thousandth or so of the values is left, until
+    the driver can take the rest. No buffer grows with the rows or their distinct
+    values, and equal values, however many, are settled by their count.
+    """
+    columns = list(ranks)
+    numbers = df.agg(*(F.count_if(_Probe(c, 0, 0).inside()).alias(c) for c in columns)).first()
+    probes = [_Probe(c, r, numbers[c], value=None if r < numbers[c] else float("nan")) for c in columns for r in ranks[c]]
+    while many := [p for p in probes if p.value is None and p.n > FEW]:
+        margin = lambda p: [max(0.0, p.rank / p.n - 2 / ACCURACY), min(1.0, p.rank / p.n + 2 / ACCURACY)]
+        ends = df.agg(*(F.percentile_approx(F.when(p.inside(), F.col(p.column)), margin(p), ACCURACY).alias(f"_{i}") for i, p in enumerate(many))).first()
+        counts = []
+        for i, p in enumerate(many):
+            v, (a, b) = F.col(p.column), ends[f"_{i}"]
+            counts += [F.count_if(p.inside() & c).alias(f"_{name}{i}") for name, c in (("lt", v < a), ("a", v == a), ("in", (v > a) & (v < b)), ("b", (v == b) & (v > a)))]
+        seen = df.agg(*counts).first()
+        for i, p in enumerate(many):
+            below, at_a, between, at_b = (seen[f"_{name}{i}"] for name in ("lt", "a", "in", "b"))
+            a, b = ends[f"_{i}"]
+            if p.rank < below:
+                p.n, p.high = below, a
+            elif p.rank < below + at_a:
+                p.value = a
+            elif p.rank < below + at_a + between:
+                p.rank, p.n, p.low, p.high = p.rank - below - at_a, between, a, b
+            elif p.rank < below + at_a + between + at_b:
+                p.value = b
+            else:
+                p.rank, p.n, p.low = p.rank - below - at_a - between - at_b, p.n - below - at_a - between - at_b, b
+    few = [p for p in probes if p.value is None]
+    if few:
+        each = F.array(*(F.when(p.inside(), F.struct(F.lit(i).alias("probe"), F.col(p.column).alias("v"))) for i, p in enumerate(few)))
+        held: dict[int, list[float]] = {}
+        for probe, v in df.select(F.explode(F.filter(each, lambda x: x.isNotNull())).alias("x")).select("x.*").collect():
+            held.setdefault(probe, []).append(v)
+        for i, p in enumerate(few):
+            p.value = sorted(held[i])[p.rank]
+    out: dict[str, list[float]] = {c: [] for c in columns}
+    for p in probes:
+        out[p.column].append(p.value)
+    return out
+
+
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``column_name, min, max, mean, median, std`` of each column, from one aggregation."""
-    of = lambda c: F.struct(F.lit(c).alias("column_name"), F.min(c).cast("double").alias("min"), F.max(c).cast("double").alias("max"), F.avg(c).cast("double").alias("mean"), F.median(c).cast("double").alias("median"), F.stddev_samp(c).alias("std"))
-    return df.agg(F.array(*map(of, columns)).alias("all")).select(F.inline("all"))
+    """``column_name, min, max, mean, median, std`` of each column; the medians exact, by ``at_ranks``. Columns without values have nulls."""
+    doubles = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
+    counts = doubles.agg(*(F.count(c).alias(c) for c in columns)).first()
+    found = at_ranks(doubles, {c: [(counts[c] - 1) // 2, counts[c] // 2] for c in columns if counts[c]})
+    median = {c: F.lit((a + b) / 2 if a != b else a) for c, (a, b) in found.items()}
+    of = lambda c: F.struct(F.lit(c).alias("column_name"), F.min(c).alias("min"), F.max(c).alias("max"), F.avg(c).alias("mean"), median.get(c, F.lit(None).cast("double")).alias("median"), F.stddev_samp(c).alias("std"))
+    return doubles.agg(F.array(*map(of, columns)).alias("all")).select(F.inline("all"))
+
+
+def slot_sketches(df: DataFrame, slot: Column, value: str, precision: int = 14) -> DataFrame:
+    """``slot, sketch``: what each slot needs to be counted with any others, a few kilobytes whatever it holds."""
+    return df.groupBy(slot.alias("slot")).agg(F.hll_sketch_agg(value, F.lit(precision)).alias("sketch"))
+
+
+def distinct_over(sketches: DataFrame, *by: Column) -> DataFrame:
+    """``n``: distinct values over the slots of each group, from the sketches alone; the standard error is about 1.04 / 2 ** (precision / 2)."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("n"))

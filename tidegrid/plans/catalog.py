@@ -509,6 +509,22 @@ query(
 )(
     lambda s, d: views.trips(s, d).agg(F.count_distinct("origin_station_id").alias("n"))
 )
+@query(
+    "distinct_sketch",
+    "SELECT week, n_exact, true AS within FROM (SELECT date_trunc('week', ts) AS week, count(DISTINCT user_id) AS n_exact FROM events GROUP BY 1 UNION ALL SELECT NULL, count(DISTINCT user_id) FROM events)",
+)
+def _distinct_sketch(s: SparkSession, d: str) -> DataFrame:
+    """Users of each week and of all time by merged sketches of slots, held against the exact counts: within five standard errors."""
+    events = table(s, d, "events")
+    sketches = sinks.cut(M.slot_sketches(events, E.slot("ts"), "user_id", 14))
+    week = lambda ts: F.date_trunc("week", ts).cast("timestamp_ntz")
+    rough = M.distinct_over(sketches, week("slot").alias("week")).unionByName(M.distinct_over(sketches).select(F.lit(None).cast("timestamp_ntz").alias("week"), "n"))
+    exact = events.groupBy(week("ts").alias("week")).agg(F.count_distinct("user_id").alias("n_exact"))
+    exact = exact.unionByName(events.agg(F.lit(None).cast("timestamp_ntz").alias("week"), F.count_distinct("user_id").alias("n_exact")))
+    off = F.abs(F.col("n") - F.col("n_exact")) <= 5 * 1.04 / 2**7 * F.col("n_exact") + 1
+    return exact.join(rough.withColumnRenamed("week", "_week"), F.col("week").eqNullSafe(F.col("_week"))).select("week", "n_exact", off.alias("within"))
+
+
 query(
     "zero_share",
     "SELECT round(avg(CAST(n = 0 AS INT)), 4) AS zero_share FROM v_dense",
