@@ -337,3 +337,87 @@ def test_sketches_merge_over_any_range(spark):
     some = rows.where("slot < 5").select("user").distinct().count()
     assert abs(metrics.distinct_over(sketches.where("slot < 5")).first().n - some) < 5 * 1.04 / 2**7 * some
     assert metrics.distinct_over(sketches.where("false")).first().n == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [10_000, 3])
+def test_samples_have_exactly_as_many_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(trips, "FEW", few)
+    df = spark.range(3_000).select((F.col("id") % 1_000).alias("k"), F.when(F.col("id") % 7 != 0, F.col("id") % 5).alias("v")).unionAll(spark.range(700).select(F.lit(5).alias("k"), F.lit(1).alias("v")))
+    hashed = trips.seeded_hash(1, F.col("k"))
+    for n in (0, 1, 10, 1_234, 3_699, 3_700, 9_999):
+        once, again = (sorted(map(str, trips.sample_exactly(d, n, hashed).collect())) for d in (df, df.repartition(7)))
+        assert len(once) == min(n, 3_700) and once == again
+    least = sorted((r.h, r.k) for r in df.select(hashed.alias("h"), "k").collect())
+    assert sorted(r.k for r in trips.sample_exactly(df, 1_000, hashed).collect()) == sorted(k for _, k in least[:1_000])
+    assert trips.sample_exactly(df, 50, trips.seeded_hash(2, F.col("k"))).exceptAll(trips.sample_exactly(df, 50, hashed)).count() > 0
+
+
+def test_skellam_far_out_stays_small(spark):
+    import tracemalloc
+
+    d = np.concatenate([[10**6, -(10**6), 0, 3], np.arange(9_996) % 50 - 25]).astype(float)
+    a, b = np.full(10_000, 40.0), np.full(10_000, 60.0)
+    tracemalloc.start()
+    got = E._skellam_log(d, a, b)
+    below = E._skellam_below(d, a, b)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    assert np.isfinite(got).all() and got[0] < -1e6 and below[0] > 1 - 1e-12 and below[1] == 0.0
+    span = np.arange(-400, 400.0)
+    mass = np.exp(E._skellam_log(span, np.full(800, 40.0), np.full(800, 60.0)))
+    mean = (mass * span).sum()
+    assert abs(mass.sum() - 1) < 1e-12 and abs(mean + 20) < 1e-9 and abs((mass * (span - mean) ** 2).sum() - 100) < 1e-8
+    assert np.abs(E._skellam_below(span, np.full(800, 40.0), np.full(800, 60.0)) - np.cumsum(mass)).max() < 1e-12
+    # one count without the other is Poisson; large means need no larger buffers
+    assert abs(E._skellam_log(np.array([4.0]), np.array([3.0]), np.array([1e-300]))[0] - (4 * np.log(3) - 3 - np.log(24))) < 1e-12
+    assert abs(np.exp(E._skellam_log(np.array([0.0]), np.array([1e5]), np.array([1e5]))[0]) * np.sqrt(2 * np.pi * 2e5) - 1) < 1e-5
+    assert abs(E._skellam_below(np.array([0.0]), np.array([1e5]), np.array([1e5]))[0] - 0.5) < 1e-3
+
+
+def test_sorted_tables_spare_shuffles_and_sorts(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [(f"c{i % 9}", t + dt.timedelta(minutes=30 * (i // 9)), i) for i in range(900)]
+    grid = sinks.sorted_table(spark.createDataFrame(rows, "cluster_id string, ts_start timestamp_ntz, n long").repartition(5), ["cluster_id"], ["ts_start"])
+    lagged = features.add_lags(grid, ["n"])
+    other = sinks.sorted_table(grid.select("cluster_id", "ts_start", (F.col("n") + 1).alias("m")), ["cluster_id"], ["ts_start"])
+    both = lagged.join(other.hint("merge"), ["cluster_id", "ts_start"])
+    for df in (lagged, both):
+        assert "Exchange" not in plan_of(df) and "Sort " not in plan_of(df)
+    got = {(r.cluster_id, r.ts_start): r for r in both.collect()}
+    assert len(got) == 900 and all(got[c, ts].n_lag_1 == (n - 9 if n >= 9 else 0) and got[c, ts].m == n + 1 for c, ts, n in rows)
+
+
+def test_centres_are_met_in_place(spark):
+    rng = np.random.default_rng(11)
+    xy, cxy = rng.normal(size=(200, 2)), rng.normal(size=(30, 2))
+    cxy[7] = cxy[3]
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)] + [(900, None, 1.0)], "station_id long, lat double, lon double")
+    centers = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(cxy)] + [(None, 0.0, 0.0)], "cluster_id int, lat double, lon double")
+    near = K.assign(points, centers)
+    assert "Exchange" not in plan_of(near)
+    d2 = ((xy[:, None] - cxy[None]) ** 2).sum(-1)
+    got = {r.station_id: r for r in near.collect()}
+    assert all(got[i].assigned == d2[i].argmin() and abs(got[i].d2 - d2[i].min()) < 1e-12 for i in range(200)) and got[900].assigned is None
+    assert K.assign(points, centers.where("false")).count() == 0
+
+
+def test_run_metadata_counts_as_it_writes(spark):
+    df = spark.range(50).selectExpr("id", "id * 2 AS v")
+    centers = spark.createDataFrame([(2, 1.5, 2.5, 3), (1, 0.5, 0.25, 4)], "cluster_id long, lat double, lon double, station_count long")
+    row = sinks.write_with_metadata(df, at := sinks.scratch(spark), "features", {"b": 1, "a": [2]}, centers).first()
+    assert (row.stage, row.parameters, row.n_rows, row.n_columns, row.columns) == ("features", '{"a": [2], "b": 1}', 50, 2, "id,v")
+    assert [tuple(c) for c in row.centroids] == [(1, 0.5, 0.25, 4), (2, 1.5, 2.5, 3)] and spark.read.parquet(f"{at}/data").count() == 50
+
+
+def test_crowded_places_are_searched_once(spark):
+    rng = np.random.default_rng(12)
+    spread = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(-0.2, 0.2, (20_000, 2)))], "station_id long, lat double, lon double")
+    one = spark.range(20_000, 40_000).select(F.col("id").alias("station_id"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"))
+    got = graph.knn_pairs(spread.unionByName(one), 5, 5.0)
+    counted = got.where("src >= 20000").groupBy("src").agg(F.collect_set("dst").alias("d"), F.max("km").alias("km")).collect()
+    assert got.count() == 200_000 and len(counted) == 20_000
+    assert all(r.km == 0.0 and set(r.d) == set(range(20_000, 20_006)) - {r.src} if r.src < 20_006 else set(r.d) == set(range(20_000, 20_005)) for r in counted)

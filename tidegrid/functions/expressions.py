@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -73,25 +75,64 @@ def sanitized(value: Column, least: float | None = None) -> Column:
     return clean if least is None else F.greatest(clean, F.lit(least))
 
 
+def _once(function, d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+    """The function of each distinct triple, once."""
+    rows = np.column_stack([d.to_numpy(float), a.to_numpy(float), b.to_numpy(float)])
+    each, at = np.unique(rows, axis=0, return_inverse=True)
+    return pd.Series(function(each[:, 0], each[:, 1], each[:, 2])[at.ravel()])
+
+
 def _skellam_log(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log mass of the difference d of two Poisson counts with means a and b, by summing their joint mass."""
-    most = int(np.ceil(max(60.0, (a + b).max(initial=0) + 12 * np.sqrt((a + b).max(initial=0)) + 60))) + int(np.abs(d).max(initial=0))
-    k = np.arange(most)
-    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 2 * most + 1)))])
-    up = k[None, :] + np.maximum(d, 0)[:, None]
-    down = k[None, :] + np.maximum(-d, 0)[:, None]
+    """Log mass of the difference d of two Poisson counts with means a and b.
+
+    The terms of the joint mass, beginning with the least counts that differ by d,
+    follow from one another by a ratio; a row holds the last one and their sum
+    alone, however large d is.
+    """
+    n, most = np.abs(d), np.where(d >= 0, a, b)
+    sizes, at = np.unique(n, return_inverse=True)
+    log_factorial = np.array([math.lgamma(x + 1) for x in sizes])[at.ravel()]
+    product, total, term, scale = a * b, np.ones(len(d)), np.ones(len(d)), np.zeros(len(d))
+    k = 0
+    while (term > 1e-18 * total).any():
+        k += 1
+        term = term * (product / (k * (n + k)))
+        total = total + term
+        if k % 16 == 0:  # before they overflow
+            high = np.maximum(total, 1.0)
+            term, total, scale = term / high, total / high, scale + np.log(high)
     with np.errstate(divide="ignore"):
-        terms = up * np.log(a)[:, None] - a[:, None] - log_factorial[up] + down * np.log(b)[:, None] - b[:, None] - log_factorial[down]
-    top = terms.max(axis=1)
-    return top + np.log(np.exp(terms - top[:, None]).sum(axis=1))
+        return n * np.log(most) - log_factorial - a - b + np.log(total) + scale
+
+
+def _poisson(mean: float) -> tuple[int, np.ndarray]:
+    """The least count that matters, and the masses from there on."""
+    spread = 12 * math.sqrt(mean)
+    low, high = max(0, int(mean - spread - 30)), int(mean + spread + 60)
+    k = np.arange(low, high + 1)
+    logs = k * math.log(mean) - mean - math.lgamma(low + 1) - np.concatenate([[0.0], np.cumsum(np.log(k[1:]))])
+    return low, np.exp(logs)
+
+
+def _skellam_below(d: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Mass at or below d: the two counts' masses are folded once for each pair of means."""
+    out = np.zeros(len(d))
+    pairs, at = np.unique(np.column_stack([a, b]), axis=0, return_inverse=True)
+    for i, (up, down) in enumerate(pairs):
+        (low_up, mass_up), (low_down, mass_down) = _poisson(up), _poisson(down)
+        below = np.cumsum(np.convolve(mass_up, mass_down[::-1]))
+        own = at.ravel() == i
+        place = d[own] - (low_up - low_down - len(mass_down) + 1)
+        out[own] = np.where(place < 0, 0.0, below[np.clip(place, 0, len(below) - 1).astype(np.int64)])
+    return np.minimum(1.0, out)
 
 
 def skellam_logpmf(d: Column, mean_up: Column, mean_down: Column) -> Column:
-    """Means are positive and, by the intensity guard, at most 100."""
+    """Means are positive."""
 
     @F.pandas_udf("double")
     def udf(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(_skellam_log(d.to_numpy(np.int64), a.to_numpy(float), b.to_numpy(float)))
+        return _once(_skellam_log, d, a, b)
 
     return udf(d, mean_up, mean_down)
 
@@ -99,12 +140,6 @@ def skellam_logpmf(d: Column, mean_up: Column, mean_down: Column) -> Column:
 def skellam_cdf(d: Column, mean_up: Column, mean_down: Column) -> Column:
     @F.pandas_udf("double")
     def udf(d: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
-        d, a, b = d.to_numpy(np.int64), a.to_numpy(float), b.to_numpy(float)
-        low = np.floor(np.minimum(a - b - 12 * np.sqrt(a + b) - 30, d)).astype(np.int64)
-        total = np.zeros(len(d))
-        for i, (lo, hi) in enumerate(zip(low, d)):
-            x = np.arange(lo, hi + 1)
-            total[i] = np.exp(_skellam_log(x, np.full(len(x), a[i]), np.full(len(x), b[i]))).sum()
-        return pd.Series(np.minimum(1.0, total))
+        return _once(_skellam_below, d, a, b)
 
     return udf(d, mean_up, mean_down)

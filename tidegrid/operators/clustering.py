@@ -26,12 +26,26 @@ def attach_centroids(df: DataFrame, centers: DataFrame) -> DataFrame:
     return df.join(centers.select("cluster_id", F.col("lat").alias("cluster_lat"), F.col("lon").alias("cluster_lon"), "station_count"), "cluster_id", "left")
 
 
+#: Centres that points are held against at most, as they are part of the expression.
+MOST_CENTERS = 1_000
+
+
 def assign(stations: DataFrame, centers: DataFrame) -> DataFrame:
-    """Nearest center by squared distance, ties to the smaller id. The centers are one row per cluster."""
-    c = centers.select(F.col("cluster_id").alias("c"), F.col("lat").alias("clat"), F.col("lon").alias("clon"))
-    d2 = F.pow(F.col("lat") - F.col("clat"), 2) + F.pow(F.col("lon") - F.col("clon"), 2)
-    near = stations.crossJoin(c).withColumn("d2", d2)
-    return near.groupBy("station_id").agg(F.min_by("c", F.struct("d2", "c")).alias("assigned"), F.min("d2").alias("d2"))
+    """``station_id, assigned, d2``: the nearest center by squared distance, ties to the smaller id. Narrow.
+
+    The centers, one row a cluster and MOST_CENTERS at most, become one array that
+    each point is held against where it lies. Without centers there are no rows;
+    points without a place are nearest to none.
+    """
+    held = centers.select("cluster_id", "lat", "lon").where("cluster_id IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").limit(MOST_CENTERS + 1).collect()
+    if len(held) > MOST_CENTERS:
+        raise ValueError(f"more than {MOST_CENTERS} centers")
+    if not held:
+        return stations.where("false").select("station_id", F.lit(0).alias("assigned"), F.lit(0.0).alias("d2"))
+    kind = dict(centers.dtypes)["cluster_id"]
+    each = ", ".join(f"struct(power(lat - {r.lat!r}D, 2) + power(lon - {r.lon!r}D, 2) AS d2, CAST({r.cluster_id} AS {kind}) AS c)" for r in held)
+    nearest = F.expr(f"CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN array_min(array({each})) END")
+    return stations.select("station_id", nearest.alias("_n")).select("station_id", F.col("_n.c").alias("assigned"), F.col("_n.d2").alias("d2"))
 
 
 def inertia(assigned: DataFrame) -> DataFrame:

@@ -67,6 +67,52 @@ def sample_rows(df: DataFrame, key: Column, per_cent: int, seed: int | None = No
     return df.where(hundredth(key, seed) < per_cent)
 
 
+#: Bands that a hash is counted in at once, and rows of a band that the driver takes the hashes of.
+BANDS, FEW = 4_096, 10_000
+
+
+def sample_exactly(df: DataFrame, n: int, hashed: Column) -> DataFrame:
+    """Exactly ``n`` rows (all, if there are fewer): those with the least ``hashed``, a long of 0 to 2**60; the same ones for any partitioning.
+
+    The hash of the last row is found by counting bands of hashes, finer ones each
+    time, so nothing is sorted. Of the rows that share it, the least by all columns
+    are taken, and rows that are equal in all columns stand for one another.
+    """
+    columns, h = df.columns, F.col("_hash")
+    marked = df.withColumn("_hash", hashed)
+    left, low, width, threshold = n, 0, 2**60, None
+    while threshold is None and n > 0:
+        inside = marked.where((h >= low) & (h < low + width)).select("_hash")
+        width = max(1, width // BANDS)
+        bands = sorted(inside.groupBy(F.floor((h - low) / width).cast("long").alias("band")).count().collect())
+        for band, count in bands:
+            if left <= count:
+                break
+            left -= count
+        else:
+            return df  # fewer than n rows
+        low += band * width
+        if width == 1:
+            threshold = low
+        elif count <= FEW:
+            found = sorted(r[0] for r in marked.where((h >= low) & (h < low + width)).select("_hash").collect())
+            threshold = found[left - 1]
+            left -= sum(x < threshold for x in found)
+    if threshold is None:
+        return df.where("false")
+    counted = marked.where(h == threshold).groupBy(*columns).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = counted.withColumn("_n", F.least("_n", F.lit(left) - before)).where("_n > 0")  # the different rows of one hash
+    last = taken.withColumn("_n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(*columns)
+    return marked.where(h < threshold).select(*columns).unionByName(last)
+
+
+def seeded_hash(seed: int, *keys: Column) -> Column:
+    """A long of 0 to 2**60 from the keys' text: the first fifteen hex digits of an MD5, which other engines agree on."""
+    text = F.concat_ws("|", F.lit(str(seed)), *(F.coalesce(k.cast("string"), F.lit("")) for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def guard_targets(df: DataFrame, entity: str, target: str, most: float = 10_000.0) -> DataFrame:
     """Which series hold a target beyond what is credible."""
     return df.groupBy(entity).agg((F.max(target) > most).alias("rejected"))

@@ -127,10 +127,13 @@ def _stage_resume(s: SparkSession, d: str) -> DataFrame:
 
 query(
     "sink_run_metadata",
-    """SELECT 'events' AS stage, '{"dt_minutes": 30}' AS parameters, count(*) AS n_rows, 2 AS n_columns, 'event_id,value' AS columns FROM events""",
+    """SELECT 'events' AS stage, '{"dt_minutes": 30, "n_clusters": 8}' AS parameters, (SELECT count(*) FROM events) AS n_rows, 2 AS n_columns, 'event_id,value' AS columns, CAST(cluster_id AS BIGINT) AS cluster_id,
+round(avg(lat), 4) AS lat, round(avg(lon), 4) AS lon, count(*) AS station_count FROM v_points GROUP BY cluster_id""",
 )(
-    lambda s, d: sinks.write_json(sinks.run_metadata(table(s, d, "events").select("event_id", "value"), "events", {"dt_minutes": 30}), scratch(s))
-        .select("stage", "parameters", "n_rows", "n_columns", "columns")
+    lambda s, d: sinks.write_with_metadata(
+            table(s, d, "events").select("event_id", "value"), scratch(s), "events", {"n_clusters": 8, "dt_minutes": 30}, K.centroids(views.points(s, d))
+        )
+        .select("stage", "parameters", "n_rows", "n_columns", "columns", F.inline("centroids"))
 )
 query("sink_metrics_csv", "SELECT event_type AS model, round(avg(value), 4) AS loss FROM events GROUP BY 1")(
     lambda s, d: sinks.write_csv(table(s, d, "events").groupBy(F.col("event_type").alias("model")).agg(F.avg("value").alias("loss")), scratch(s))
@@ -242,6 +245,13 @@ query(
     lambda s, d: T.sample_rows(table(s, d, "events"), F.col("event_id"), 20).select("event_id", "value")
 )
 
+query(
+    "sample_exactly",
+    "SELECT event_id, value FROM events ORDER BY CAST('0x' || substr(md5('42|' || event_id), 1, 15) AS BIGINT) LIMIT 500",
+)(
+    lambda s, d: T.sample_exactly(table(s, d, "events").select("event_id", "value"), 500, T.seeded_hash(42, F.col("event_id")))
+)
+
 # --- joins
 
 query(
@@ -556,6 +566,13 @@ query(
 )(
     lambda s, d: _lagged(s, d).select("event_type", "ts_start", *(f"n_lag_{k}" for k in W.LAGS))
 )
+query(
+    "sorted_lags",
+    "SELECT event_type, ts_start, n, " + ", ".join(f"lag(n, {k}, 0) {_W} AS n_lag_{k}" for k in W.LAGS) + " FROM v_dense",
+)(
+    lambda s, d: sinks.sorted_table(dense(s, d).select("event_type", "ts_start", "n"), ["event_type"], ["ts_start"])
+        .select("event_type", "ts_start", "n", *W.lag_columns(["n"], "event_type", "ts_start", 48, rolling=(), seasonal=()))
+)
 query(
     "rolling_mean",
     "SELECT event_type, ts_start, " + ", ".join(f"{_roll('avg', k)} AS n_rolling_mean_{k}" for k in W.ROLLING) + " FROM v_dense",
@@ -996,8 +1013,18 @@ query(
 )(
     lambda s, d: M.pit_gap(views.scores(s, d).select((F.col("doc_id") % 4).alias("fold"), F.col("score").alias("pit")), "fold", "pit")
 )
+query(
+    "skellam_cdf",
+    f"WITH x AS (SELECT DISTINCT delta, up, down FROM ({_SK})), j AS (SELECT unnest(range(80)) AS j), p AS (SELECT delta, up, down, i.j - k.j AS v, exp(i.j * ln(up) - up - lgamma(i.j + 1) + k.j * ln(down) - down - "
+    f"lgamma(k.j + 1)) AS m FROM x, j i, j k WHERE i.j - k.j <= delta), c AS (SELECT delta, up, down, sum(m) AS below FROM p GROUP BY 1, 2, 3) SELECT id, round(below, 4) AS below FROM ({_SK}) JOIN c USING (delta, up, down)",
+)(
+    lambda s, d: _sk(s, d).select("id", E.skellam_cdf(F.col("delta"), F.col("up"), F.col("down")).alias("below"))
+)
 query(
     "skellam_pit",
+    f"WITH x AS (SELECT DISTINCT delta, up, down FROM ({_SK})), j AS (SELECT unnest(range(80)) AS j), p AS (SELECT delta, up, down, i.j - k.j AS v, exp(i.j * ln(up) - up - lgamma(i.j + 1) + k.j * ln(down) - down - "
+    f"lgamma(k.j + 1)) AS m FROM x, j i, j k WHERE i.j - k.j <= delta), c AS (SELECT delta, up, down, sum(m) AS pit FROM p GROUP BY 1, 2, 3), t AS (SELECT id % 3 AS fold, pit FROM ({_SK}) JOIN c USING (delta, up, down)), "
+    f"r AS (SELECT fold, abs(pit - (row_number() OVER (PARTITION BY fold ORDER BY pit) - 1) / (count(*) OVER (PARTITION BY fold) - 1)::DOUBLE) AS gap FROM t) SELECT fold, round(max(gap), 4) AS max_gap FROM r GROUP BY 1",
 )(
     lambda s, d: M.pit_gap(
         _sk(s, d).withColumn("pit", E.skellam_cdf(F.col("delta"), F.col("up"), F.col("down"))).withColumn("fold", F.col("id") % 3), "fold", "pit"

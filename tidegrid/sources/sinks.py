@@ -29,9 +29,33 @@ def observed_cut(df: DataFrame, **measures: Column) -> tuple[DataFrame, dict]:
     return made, seen.get
 
 
-def run_metadata(df: DataFrame, stage: str, parameters: dict) -> DataFrame:
-    """One row on what a stage made: ``stage, parameters, n_rows, n_columns, columns``."""
-    return df.agg(F.lit(stage).alias("stage"), F.lit(json.dumps(parameters, sort_keys=True)).alias("parameters"), F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"), F.lit(",".join(df.columns)).alias("columns"))
+def write_with_metadata(df: DataFrame, path: str, stage: str, parameters: dict, centroids: DataFrame | None = None) -> DataFrame:
+    """Write a stage's rows to ``path/data`` and what it was to ``path/run``, and return the latter: ``stage, parameters, n_rows, n_columns, columns, centroids``.
+
+    The rows are counted by the job that writes them. Centroids (``cluster_id, lat,
+    lon, station_count``) are one row a cluster, and kept as an array.
+    """
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/data")
+    fixed = {"stage": stage, "parameters": json.dumps(parameters, sort_keys=True), "n_rows": seen.get["n"], "n_columns": len(df.columns), "columns": ",".join(df.columns)}
+    kinds = "cluster_id long, lat double, lon double, station_count long"
+    rows = [] if centroids is None else [tuple(r) for r in centroids.select("cluster_id", "lat", "lon", "station_count").orderBy("cluster_id").collect()]
+    made = df.sparkSession.createDataFrame([(*fixed.values(), rows)], f"stage string, parameters string, n_rows long, n_columns int, columns string, centroids array<struct<{kinds}>>")
+    return write_json(made, f"{path}/run")
+
+
+def sorted_table(df: DataFrame, by: list[str], order: list[str], buckets: int = 8) -> DataFrame:
+    """The frame as a table in ``buckets`` files by the hash of ``by``, each sorted by ``by`` and ``order``.
+
+    A window over ``by`` in that order, or a join on ``by`` with a table made alike,
+    then needs neither a shuffle nor a sort. The files lie in the shared folder.
+    """
+    spark, name = df.sparkSession, f"sorted_{uuid.uuid4().hex}"
+    # a bucket is one file, so its order may be relied on; a join on more columns than `by` may keep to the buckets
+    spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by, *order).option("path", scratch(spark)).saveAsTable(name)
+    return spark.table(name)
 
 
 def write_features(df: DataFrame, path: str, by: str = "split") -> DataFrame:
