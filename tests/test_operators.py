@@ -199,6 +199,11 @@ def test_clusters_of_blobs(spark, tmp_path):
     found = KMeansModel.load(path).transform(K._vectors(scaled, ["lat_z", "lon_z"])).select("station_id", "prediction").collect()
     assert len({(r.station_id % 3, r.prediction) for r in found}) == 3
     sweep = K.k_sweep(scaled, ["lat_z", "lon_z"], ks=(2, 3, 4, 5, 6, 1000))
+    by_k = {r.k: r for r in sweep.collect()}
+    assert by_k[2].inertia_norm == 1.0 and by_k[3].silhouette_norm == 1.0 and by_k[3].inertia < 0.1 * by_k[2].inertia
+    own = scaled.select("station_id", (F.col("station_id") % 3).alias("cluster_id"), "lat_z", "lon_z")
+    assert abs(K.silhouette(own, "lat_z", "lon_z").agg(F.avg("silhouette")).first()[0] - by_k[3].silhouette) < 1e-9
+    assert K.k_sweep(scaled.where("false"), ["lat_z", "lon_z"]).count() == 0
     assert sweep.count() == 5 and K.elbow(sweep).first()[0] == 3 and K.best_k(sweep).first()[:] == (3, None, None)
     unseen = K.standardize_by(points.where("station_id < 30"), points, ["lat", "lon"])
     assert abs(unseen.where("station_id < 30").agg(F.avg("lat_z")).first()[0]) < 1e-9 and abs(unseen.agg(F.avg("lat_z")).first()[0]) < 1

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import haversine_km
+from ..sources.sinks import cut
+from .trips import dense_index
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,29 +72,79 @@ def size_histogram(sizes: DataFrame, size: str) -> DataFrame:
     return sizes.groupBy(name.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-def silhouette(points: DataFrame, x: str, y: str, block: int = 10_000) -> DataFrame:
-    """Exact Euclidean silhouette of each point; singletons score 0.
+#: Points of a block at most, and sums that a task holds for a block: one for each point and cluster.
+BLOCK, SUMS = 2_000, 16_000_000
 
-    Up to ``block`` points one side is broadcast. Beyond, points are dealt to
-    blocks of about that many, and each pair of blocks is one key of a join.
-    All pairs are compared, so the time grows with the square of the points.
+
+def silhouettes(points: DataFrame, x: str, y: str, labels: str, sizes: list[int], block: int = BLOCK) -> DataFrame:
+    """``station_id, silhouettes``: the exact Euclidean silhouette of each point under several labellings, 0 for singletons and where there is one cluster.
+
+    ``labels`` is an array of cluster numbers, the i-th from 0 to ``sizes[i]`` - 1.
+    Points are dealt to blocks, and each block meets every block: their distances
+    are one matrix, whose columns are summed by cluster for each labelling. A task
+    holds one block's sums; no pair of points is ever a row. All pairs are
+    compared, so the time grows with the square of the points.
     """
-    own = points.select("station_id", "cluster_id", x, y)
-    other = points.select(F.col("station_id").alias("o"), F.col("cluster_id").alias("oc"), F.col(x).alias("ox"), F.col(y).alias("oy"))
-    d = F.sqrt(F.pow(F.col(x) - F.col("ox"), 2) + F.pow(F.col(y) - F.col("oy"), 2))
-    apart = F.col("station_id") != F.col("o")
-    if (n := points.count()) <= block:
-        pairs = own.join(F.broadcast(other), apart)
-    else:
-        blocks = -(-n // block)
-        of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-        every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-        left = own.withColumn("_u", of("station_id")).withColumn("_v", every)
-        right = other.withColumn("_v", of("o")).withColumn("_u", every)
-        pairs = left.join(right, ["_u", "_v"]).where(apart)
-    means = pairs.groupBy("station_id", "cluster_id", "oc").agg(F.avg(d).alias("d"))
-    both = means.groupBy("station_id").agg(F.min(F.when(F.col("cluster_id") == F.col("oc"), F.col("d"))).alias("a"), F.min(F.when(F.col("cluster_id") != F.col("oc"), F.col("d"))).alias("b"))
-    return both.select("station_id", F.coalesce((F.col("b") - F.col("a")) / F.greatest("a", "b"), F.lit(0.0)).alias("silhouette"))
+    ends = np.cumsum([0, *sizes])
+    per = max(1, min(block, SUMS // max(1, int(ends[-1]))))
+    blocks = max(1, -(-points.count() // per))
+    dealt = points.select(F.pmod(F.xxhash64("station_id"), F.lit(blocks)).cast("int").alias("b"), F.struct("station_id", F.col(x).alias("x"), F.col(y).alias("y"), F.col(labels).alias("l")).alias("p"))
+    held = cut(dealt.groupBy("b").agg(F.collect_list("p").alias("p")))
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left, right = held.select(F.col("b").alias("u"), F.col("p").alias("own"), every.alias("v")), held.select(F.col("b").alias("v"), F.col("p").alias("other"))
+    met = left.join(right, "v").repartition("u").sortWithinPartitions("u", "v").select("u", "own", "other")
+
+    def unpacked(points: pa.StructScalar) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        p = points.values
+        xy = np.column_stack([p.field("x").to_numpy(), p.field("y").to_numpy()])
+        return p.field("station_id").to_numpy(), xy, p.field("l").flatten().to_numpy().reshape(len(xy), len(sizes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = None
+
+        def done() -> pa.RecordBatch:
+            ids, xy, own = mine
+            out = np.zeros((len(ids), len(sizes)))
+            row = np.arange(len(ids))
+            for i, k in enumerate(sizes):
+                total, n = sums[:, ends[i] : ends[i + 1]].copy(), np.tile(counts[ends[i] : ends[i + 1]], (len(ids), 1))
+                n[row, own[:, i]] -= 1  # itself
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    mean = np.where(n > 0, total / n, np.inf)
+                a = mean[row, own[:, i]].copy()
+                mean[row, own[:, i]] = np.inf
+                b = mean.min(axis=1)
+                fine = np.isfinite(a) & np.isfinite(b) & (np.maximum(a, b) > 0)
+                out[fine, i] = ((b - a) / np.where(fine, np.maximum(a, b), 1))[fine]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * len(sizes), pa.int32()), pa.array(out.ravel()))
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), lists], ["station_id", "silhouettes"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (u := batch.column("u")[i].as_py()) != at:
+                    if at is not None:
+                        yield done()
+                    at, mine = u, unpacked(batch.column("own")[i])
+                    sums, counts = np.zeros((len(mine[0]), ends[-1])), np.zeros(ends[-1], np.int64)
+                _, xy, of = unpacked(batch.column("other")[i])
+                apart = np.sqrt(((mine[1][:, None] - xy[None]) ** 2).sum(-1))
+                for j, k in enumerate(sizes):
+                    order = np.argsort(of[:, j], kind="stable")
+                    clusters, first = np.unique(of[order, j], return_index=True)
+                    sums[:, ends[j] + clusters] += np.add.reduceat(apart[:, order], first, axis=1)
+                    counts[ends[j] : ends[j + 1]] += np.bincount(of[:, j], minlength=k)
+        if at is not None:
+            yield done()
+
+    return met.mapInArrow(run, "station_id long, silhouettes array<double>")
+
+
+def silhouette(points: DataFrame, x: str, y: str, block: int = BLOCK) -> DataFrame:
+    """``station_id, silhouette`` under ``cluster_id``; rows without a cluster are left out."""
+    numbers = cut(dense_index(points, "cluster_id"))
+    k = numbers.count()
+    numbered = points.select("station_id", "cluster_id", x, y).join(numbers, "cluster_id").withColumn("_l", F.array("idx"))
+    return silhouettes(numbered, x, y, "_l", [k], block).select("station_id", F.col("silhouettes")[0].alias("silhouette"))
 
 
 def coord_features(points: DataFrame, columns=("lat", "lon"), waves=(1, 2)) -> DataFrame:
@@ -121,19 +175,96 @@ def fit_kmeans(stations: DataFrame, k: int, columns: list[str], seeds: int = 10,
         data.unpersist()
 
 
-#: Numbers of clusters that a sweep tries: 2 to 250, coarser as they grow.
-SWEEP = (2, 5, 10, 20, 35, 50, 75, 93, 125, 175, 250)
+#: Points that the seeds of a sweep are drawn from, about.
+SEED_POINTS = 5_000
 
 
-def k_sweep(stations: DataFrame, columns: list[str], ks=SWEEP, seed: int = 42, max_iter: int = 300) -> DataFrame:
-    """``k, inertia, silhouette`` of a fit for each k below the number of points."""
-    data = _vectors(stations, columns).cache()
-    rows, n = [], data.count()
-    for k in (k for k in ks if k < n):
-        model = KMeans(k=k, seed=seed, maxIter=max_iter).fit(data)
-        rows.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator().evaluate(model.transform(data)))))
-    data.unpersist()
-    return stations.sparkSession.createDataFrame(rows, "k int, inertia double, silhouette double")
+def _seeds(points: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k points, each drawn by its squared distance from those before it; the first few are as good a start for fewer clusters."""
+    draw = np.random.default_rng(seed)
+    chosen = [points[draw.integers(len(points))]]
+    near = ((points - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and near.sum() > 0:
+        chosen.append(points[draw.choice(len(points), p=near / near.sum())])
+        near = np.minimum(near, ((points - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def k_sweep(stations: DataFrame, columns: list[str], ks=range(2, 251), seed: int = 42, max_iter: int = 25) -> DataFrame:
+    """``k, inertia, silhouette`` for each k below the number of different points, and both scaled to 0..1 over the sweep.
+
+    All numbers of clusters are fitted at once: each round is one pass over the
+    written points, in which a point is held against the centres of every k, and
+    tasks hand on a sum for each centre. Seeds come from a sample of SEED_POINTS
+    points, about. A k whose centres rest takes no further part. The silhouettes,
+    Euclidean ones of all points, come from one pass over pairs of blocks. A round's
+    centres, whose number ks set, are what the driver holds.
+    """
+    if len(columns) != 2:
+        raise ValueError("a sweep takes two coordinates")
+    spark = stations.sparkSession
+    written = cut(stations.select(F.col("station_id").cast("long").alias("station_id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("p")).repartition(spark.sparkContext.defaultParallelism, "station_id"))
+    n = written.count()
+    share = SEED_POINTS / max(1, n)
+    drawn = written.where(F.pmod(F.xxhash64("station_id"), F.lit(1_000_000)) < share * 1_000_000).orderBy("station_id").select("p").collect()
+    start = _seeds(np.array([r.p for r in drawn]), max(ks), seed) if drawn else np.zeros((0, len(columns)))
+    ks = [k for k in ks if k < n and k <= len(start)]
+    ends, centers = np.cumsum([0, *ks]), np.concatenate([start[:k] for k in ks]) if ks else start
+    active = list(range(len(ks)))
+
+    def nearest(xy: np.ndarray, i: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d2 = ((xy[:, None] - at[ends[i] : ends[i + 1]][None]) ** 2).sum(-1)
+        own = d2.argmin(axis=1)
+        return own, d2[np.arange(len(xy)), own]
+
+    def totals(shared, which: list[int]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((ends[-1], len(columns) + 2))
+            for batch in batches:
+                xy = batch.column("p").flatten().to_numpy().reshape(-1, len(columns))
+                for i in which:
+                    own, d2 = nearest(xy, i, shared.value)
+                    for c, weights in enumerate([None, d2, *xy.T]):
+                        sums[ends[i] : ends[i + 1], c] += np.bincount(own, weights, ends[i + 1] - ends[i])
+            hit = np.flatnonzero(sums[:, 0])
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(hit) + 1) * sums.shape[1], pa.int32()), pa.array(sums[hit].ravel()))
+            yield pa.RecordBatch.from_arrays([pa.array(hit, pa.int32()), lists], ["c", "s"])
+
+        parts = written.select("p").mapInArrow(run, "c int, s array<double>")
+        each = [F.sum(F.col("s")[c]).alias(f"s{c}") for c in range(len(columns) + 2)]
+        out = np.zeros((ends[-1], len(columns) + 2))
+        for row in parts.groupBy("c").agg(*each).collect():
+            out[row[0]] = row[1:]
+        return out
+
+    for _ in range(max_iter if ks else 0):
+        sums = totals(spark.sparkContext.broadcast(centers), active)
+        moved = centers.copy()
+        hit = sums[:, 0] > 0  # a centre without points stays
+        moved[hit] = sums[hit, 2:] / sums[hit, :1]
+        active = [i for i in active if np.abs(moved[ends[i] : ends[i + 1]] - centers[ends[i] : ends[i + 1]]).max() > 1e-6]
+        centers = moved
+        if not active:
+            break
+    if not ks:
+        return spark.createDataFrame([], "k int, inertia double, silhouette double, inertia_norm double, silhouette_norm double")
+    shared = spark.sparkContext.broadcast(centers)
+    inertia = totals(shared, list(range(len(ks))))[:, 1]
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            xy = batch.column("p").flatten().to_numpy().reshape(-1, len(columns))
+            own = np.column_stack([nearest(xy, i, shared.value)[0] for i in range(len(ks))]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(xy) + 1) * len(ks), pa.int32()), pa.array(own.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("station_id"), pa.array(xy[:, 0]), pa.array(xy[:, 1]), lists], ["station_id", "x", "y", "l"])
+
+    labelled = cut(written.mapInArrow(label, "station_id long, x double, y double, l array<int>"))
+    each = silhouettes(labelled, "x", "y", "l", ks).select(F.posexplode("silhouettes").alias("i", "s")).groupBy("i").agg(F.avg("s").alias("silhouette"))
+    fits = [(i, k, float(inertia[ends[i] : ends[i + 1]].sum())) for i, k in enumerate(ks)]
+    sweep = cut(spark.createDataFrame(fits, "i int, k int, inertia double").join(each, "i").drop("i"))
+    spans = sweep.agg(*(f(c).alias(f"_{name}_{c}") for c in ("inertia", "silhouette") for name, f in (("lo", F.min), ("hi", F.max))))
+    norm = lambda c: F.coalesce(F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}")), F.lit(0.0)).alias(f"{c}_norm")
+    return sweep.crossJoin(spans).select("k", "inertia", "silhouette", norm("inertia"), norm("silhouette"))
 
 
 def elbow(sweep: DataFrame) -> DataFrame:
