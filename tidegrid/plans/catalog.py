@@ -60,7 +60,7 @@ def dense(spark: SparkSession, sf: str) -> DataFrame:
 
 def cluster_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: departures and arrivals inside and across clusters on the dense cluster x day grid."""
-    lab = labelled(spark, sf)
+    lab = sinks.cut(labelled(spark, sf))  # read for the range, the departures and the arrivals
     known = views.station_cluster(spark, sf).select("cluster_id").distinct()
     grid = C.skeleton(known, lab, "dep_ts", DAY)
     return C.densify(grid, ["cluster_id", "ts_start"], C.cells(lab, "dep", DAY), C.cells(lab, "arr", DAY))
@@ -70,7 +70,8 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     """All features of clusters and days, with the weather of the trip's hour in the year that the weather table covers."""
     sky = views.weather(spark, sf).select(F.date_format("hour_ts", "dd HH").alias("_hour"), "temperature_2m", "precipitation", "weather_code", F.col("is_raining"))
     hourly = sky.groupBy("_hour").agg(F.avg("temperature_2m").alias("temperature_2m"), F.avg("precipitation").alias("precipitation"), F.max("weather_code").alias("weather_code"), F.max("is_raining").alias("is_raining"))
-    lab = labelled(spark, sf).withColumn("_hour", F.date_format("dep_ts", "dd HH")).join(F.broadcast(hourly), "_hour", "left").drop("_hour")
+    lab = labelled(spark, sf).withColumn("_hour", F.date_format("dep_ts", "dd HH")).join(hourly, "_hour", "left")
+    lab = sinks.cut(lab.select("dep_ts", "arr_ts", "origin_cluster", "dest_cluster", "is_internal", "is_external", "gender", "user_age", "bike_model", "duration_s", *(c for c in hourly.columns if c != "_hour")))
     stations = views.station_cluster(spark, sf)
     centers = stations.groupBy("cluster_id").agg(F.avg("station_id").alias("lat"), F.avg(-F.col("station_id")).alias("lon"), F.count("*").alias("station_count"))
     return W.cluster_features(lab, centers, minutes=24 * 60)
@@ -353,7 +354,7 @@ query(
 # --- aggregations
 
 
-def _cell_sql(side: str, inside: bool) -> str:
+def _cell_sql(side: str, inside: bool, digits: bool = True) -> str:
     cluster, ts, cond = ("origin_cluster", "dep_ts", "is_internal") if side == "dep" else ("dest_cluster", "coalesce(arr_ts, dep_ts)", "is_internal")
     cond, p = (cond if inside else f"NOT {cond}"), f"{side}_{'internal' if inside else 'external'}"
     f = lambda more: f"count(*) FILTER (WHERE {cond} AND {more})"
@@ -361,7 +362,8 @@ def _cell_sql(side: str, inside: bool) -> str:
     parts += [f"{f(f'user_age BETWEEN {a} AND {b}')} AS {p}_{n}" for n, (a, b) in E.AGE_BINS.items()]
     parts += [f"{f('user_age IS NOT NULL')} AS {p}_age_available", f"{f("bike_model = 'ICONIC'")} AS {p}_model_iconic"]
     if side == "dep":
-        parts += [f"round(coalesce(avg(duration_s) FILTER (WHERE {cond}), 0.0), 4) AS {p}_duration_mean", f"round(coalesce(stddev_samp(duration_s) FILTER (WHERE {cond}), 0.0), 4) AS {p}_duration_std"]
+        made = {"mean": f"coalesce(avg(duration_s) FILTER (WHERE {cond}), 0.0)", "std": f"coalesce(stddev_samp(duration_s) FILTER (WHERE {cond}), 0.0)"}
+        parts += [f"{f'round({x}, 4)' if digits else x} AS {p}_duration_{name}" for name, x in made.items()]
     return f"SELECT {cluster} AS cluster_id, time_bucket(INTERVAL 1 day, {ts}) AS ts_start, {', '.join(parts)} FROM v_lab GROUP BY 1, 2"
 
 
@@ -1147,32 +1149,68 @@ _CELLS = ", ".join(f"{p}_t AS ({_cell_sql(*which)})" for p, which in _SIDES.item
 query("cluster_grid", f"WITH {_CELLS} SELECT * FROM grid")(cluster_grid)
 
 
-def _history_sql(column: str) -> list[str]:
-    """The twelve history columns of a count; a grid of days has one slot a day."""
+def _history_sql(column: str, nudge: str = "") -> list[str]:
+    """The twelve history columns of a measure; a grid of days has one slot a day."""
     w, out = "OVER (PARTITION BY cluster_id ORDER BY ts_start)", []
     out += [f"lag({column}, {n}, 0) {w} AS {column}_lag_{n}" for n in W.LAGS]
     for n in W.ROLLING:
         frame = f"OVER (PARTITION BY cluster_id ORDER BY ts_start ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)"
-        out += [f"round(CASE WHEN count(*) {frame} = {n} THEN coalesce({f}({column}) {frame}, 0.0) ELSE 0.0 END, 4) AS {column}_rolling_{x}_{n}" for x, f in (("mean", "avg"), ("std", "stddev_samp"))]
-    return out + [f"lag({column}, {k}, 0) {w} AS {column}_same_hour_{x}" for x, k in (("yesterday", 1), ("last_week", 7))]
+        out += [f"round(CASE WHEN count(*) {frame} = {n} THEN coalesce({f}({column}) {frame}, 0.0) ELSE 0.0 END{nudge}, 4) AS {column}_rolling_{x}_{n}" for x, f in (("mean", "avg"), ("std", "stddev_samp"))]
+    out += [f"lag({column}, {k}, 0) {w} AS {column}_same_hour_{x}" for x, k in (("yesterday", 1), ("last_week", 7))]
+    return [f"round({x}{nudge}, 4) AS {y}" if nudge and "duration" in column and "rolling" not in y else f"{x} AS {y}" for x, y in (o.rsplit(" AS ", 1) for o in out)]
 
 
 _PRUNED = [c for c in W.LAGGED if "internal" not in c]
 _CALENDAR_SQL = "CAST(hour(ts_start) AS INT) AS hour_of_day, CAST(isodow(ts_start) AS INT) AS day_of_week, CAST(month(ts_start) AS INT) AS month, CAST(year(ts_start) AS INT) AS year, " + ", ".join(f"round({f}(2 * pi() * {x} / {p}), 4) + 0.0 AS {n}_{f}" for n, x, p in (("hour", "hour(ts_start)", 24), ("dow", "isodow(ts_start)", 7), ("month", "month(ts_start)", 12)) for f in ("sin", "cos"))
 _CALENDAR_SQL += ", CAST(isodow(ts_start) IN (6, 7) AS INT) AS is_weekend, CAST(hour(ts_start) BETWEEN 7 AND 9 AS INT) AS is_morning_rush, CAST(hour(ts_start) BETWEEN 17 AND 19 AS INT) AS is_evening_rush, CAST(hour(ts_start) BETWEEN 6 AND 22 AS INT) AS is_daytime, CAST(month(ts_start) IN (12, 1, 2) AS INT) AS is_summer, CAST(month(ts_start) BETWEEN 6 AND 8 AS INT) AS is_winter"
-query("feature_table")(feature_table)
+_SKIES = ("temperature_2m", "precipitation", "weather_code")
+_SKY_CTE = f"""hourly AS (SELECT strftime(hour_ts, '%d %H') AS _hour, avg(temperature_2m) AS temperature_2m, avg(precipitation) AS precipitation, max(weather_code) AS weather_code, max(is_raining) AS is_raining FROM v_weather GROUP BY 1),
+wl AS (SELECT l.*, h.* FROM v_lab l LEFT JOIN hourly h ON h._hour = strftime(dep_ts, '%d %H')),
+city AS (SELECT time_bucket(INTERVAL 1 day, dep_ts) AS ts_start, {", ".join(f"avg({c}) AS {c}" for c in _SKIES)}, CAST(round(avg(is_raining)) AS INT) AS is_raining, 1 AS there FROM wl GROUP BY 1),
+c AS (SELECT cluster_id, avg(station_id) AS cluster_centroid_lat, avg(-station_id) AS cluster_centroid_lon, count(*) AS cluster_station_count FROM v_map GROUP BY 1)"""
+_CITY = ", ".join(f"round(coalesce(city.{c}, 0.0), 4) AS {c}_mean" for c in _SKIES) + ", coalesce(city.is_raining, 0) AS is_raining"
+
+
+def _sky_sql(side: str) -> str:
+    """The weather of a cell's trips, inside and across clusters."""
+    cluster, ts = ("origin_cluster", "dep_ts") if side == "dep" else ("dest_cluster", "coalesce(arr_ts, dep_ts)")
+    parts = [f"avg({c}) FILTER (WHERE {w}) AS {side}_{k}_{c}_mean" for k, w in (("internal", "is_internal"), ("external", "NOT is_internal")) for c in _SKIES]
+    parts += [f"sum(is_raining) FILTER (WHERE {w}) AS {side}_{k}_is_raining_count" for k, w in (("internal", "is_internal"), ("external", "NOT is_internal"))]
+    return f"SELECT {cluster} AS cluster_id, time_bucket(INTERVAL 1 day, {ts}) AS ts_start, {', '.join(parts)} FROM wl GROUP BY 1, 2"
+
+
+_OWN_SKY = ", ".join([f"round(coalesce({p}_{c}_mean, 0.0), 4) AS {p}_{c}_mean" for p in _SIDES for c in _SKIES] + [f"CAST(coalesce({p}_is_raining_count, 0) AS BIGINT) AS {p}_is_raining_count" for p in _SIDES])
+_REACH_BACK = ", ".join(f"CAST(lag(dep_internal_count, {n}, 0) OVER (PARTITION BY cluster_id ORDER BY ts_start) > 0 AS INT) AS has_{x}_lags" for x, n in (("short_term", 1), ("daily", 1), ("weekly", 7)))
+
+
+def _even(df: DataFrame, nudge: float = 0.0) -> DataFrame:
+    """Doubles to four places without a negative 0; a nudge makes averages halfway between two places go up in every engine."""
+    return df.select(*((F.round(F.col(c) + nudge, 4) + 0.0).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes))
+
+
+_RAW = _CELLS
+for _p, _which in _SIDES.items():
+    _RAW = _RAW.replace(_cell_sql(*_which), _cell_sql(*_which, digits=False))
+_UP = " + 1e-7"
+_CENTER_UP = f"round(cluster_centroid_lat{_UP}, 4) AS cluster_centroid_lat, round(cluster_centroid_lon{_UP}, 4) AS cluster_centroid_lon, cluster_station_count"
+query(
+    "feature_table",
+    f"WITH {_RAW}, {_SKY_CTE}, dep_sky AS ({_sky_sql('dep')}), arr_sky AS ({_sky_sql('arr')}) SELECT cluster_id, ts_start, {', '.join(f'grid.{c}' for c in [*_ALL, *(f'has_{p}' for p in _SIDES)])}, "
+    f"{', '.join(f'round(grid.{c}{_UP}, 4) AS {c}' for c in _TIMES)}, {_OWN_SKY.replace(', 0.0), 4)', f', 0.0){_UP}, 4)')}, {_CENTER_UP}, "
+    f"{_CITY.replace(', 0.0), 4)', f', 0.0){_UP}, 4)')}, coalesce(city.there, 0) AS weather_data_available, "
+    f"{_CALENDAR_SQL.replace('), 4)', f'){_UP}, 4)')}, {', '.join(x for c in W.LAGGED for x in _history_sql(c, _UP))}, {_REACH_BACK} FROM grid JOIN c USING (cluster_id) "
+    f"LEFT JOIN city USING (ts_start) LEFT JOIN dep_sky USING (cluster_id, ts_start) LEFT JOIN arr_sky USING (cluster_id, ts_start)",
+    exact=True,
+)(
+    lambda s, d: _even(feature_table(s, d), 1e-7)
+)
 query(
     "prune_leakage",
-    f"WITH {_CELLS}, c AS (SELECT cluster_id, avg(station_id) AS cluster_centroid_lat, avg(-station_id) AS cluster_centroid_lon, count(*) AS "
-    f"cluster_station_count FROM v_map GROUP BY 1) SELECT cluster_id, ts_start, cluster_centroid_lat, cluster_centroid_lon, cluster_station_count, "
-    f"{_CALENDAR_SQL}, {', '.join(x for c in _PRUNED for x in _history_sql(c))} FROM grid JOIN c USING (cluster_id)",
+    f"WITH {_CELLS}, {_SKY_CTE} SELECT cluster_id, ts_start, {_CENTER_UP}, {_CITY.replace(', 0.0), 4)', f', 0.0){_UP}, 4)')}, {_CALENDAR_SQL.replace('), 4)', f'){_UP}, 4)')}, "
+    f"{', '.join(x for c in _PRUNED for x in _history_sql(c, _UP))} FROM grid JOIN c USING (cluster_id) LEFT JOIN city USING (ts_start)",
+    exact=True,
 )(
-    lambda s, d: (p := W.prune_leakage(feature_table(s, d)))
-        .select(
-            *(
-                (F.round(c, 4) + 0.0).alias(c) if c.endswith(("_sin", "_cos")) else F.col(c) for c in p.columns if c not in ("temperature_2m_mean", "precipitation_mean", "weather_code_mean", "is_raining")
-            )
-        )
+    lambda s, d: _even(W.prune_leakage(feature_table(s, d)), 1e-7)
 )
 query(
     "select_targets",
