@@ -7,9 +7,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
+from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import haversine_km
@@ -175,6 +175,19 @@ def fit_kmeans(stations: DataFrame, k: int, columns: list[str], seeds: int = 10,
         data.unpersist()
 
 
+def save_clusters(model: KMeansModel, stations: DataFrame, columns: list[str], path: str) -> None:
+    """Write a fitted model, the map of its stations, and the clusters' centroids and sizes, to ``path``."""
+    model.write().overwrite().save(f"{path}/model")
+    mapped = model.transform(_vectors(stations, columns)).select("station_id", F.col("prediction").alias("cluster_id"), "lat", "lon")
+    mapped.write.mode("overwrite").parquet(f"{path}/stations")
+    centroids(stations.sparkSession.read.parquet(f"{path}/stations")).write.mode("overwrite").parquet(f"{path}/centroids")
+
+
+def load_clusters(spark: SparkSession, path: str) -> tuple[KMeansModel, DataFrame, DataFrame]:
+    """The model, ``station_id, cluster_id, lat, lon``, and ``cluster_id, lat, lon, station_count``."""
+    return KMeansModel.load(f"{path}/model"), spark.read.parquet(f"{path}/stations"), spark.read.parquet(f"{path}/centroids")
+
+
 #: Points that the seeds of a sweep are drawn from, about.
 SEED_POINTS = 5_000
 

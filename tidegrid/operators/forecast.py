@@ -114,8 +114,8 @@ def guard_intensity(df: DataFrame, up: str, down: str, most: float = 100.0) -> D
 
 
 def gbt_forecast(train: DataFrame, test: DataFrame, features: list[str], target: str, trees: int = 20) -> tuple[DataFrame, DataFrame]:
-    """``test`` with ``prediction``, and the features by importance; a hashed tenth of the rows stops the training early."""
-    marked = train.withColumn("_validate", F.pmod(F.xxhash64(*features), F.lit(10)) == 0)
+    """``test`` with ``prediction``, and the features by importance; a tenth of the rows, by the hash of all their columns, stops the training early."""
+    marked = train.withColumn("_validate", F.pmod(F.xxhash64(*train.columns), F.lit(10)) == 0)
     model = GBTRegressor(labelCol=target, maxIter=trees, maxDepth=4, seed=42, validationIndicatorCol="_validate").fit(_assembled(marked, features))
     weights = [(f, float(w)) for f, w in zip(features, model.featureImportances.toArray())]
     ranked = test.sparkSession.createDataFrame(weights, "feature string, importance double").orderBy(F.desc("importance"), "feature").limit(10)

@@ -940,13 +940,18 @@ def _k_sweep(s: SparkSession, d: str) -> DataFrame:
     return sweep.crossJoin(K.elbow(sweep)).crossJoin(K.best_k(sweep))
 
 
-@query("cluster_model_io")
+@query("cluster_model_io", "SELECT count(*) AS n_stations, true AS same_clusters, true AS same_sizes FROM v_points")
 def _model_io(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.ml.clustering import KMeansModel
-
+    """A model written with its map and centroids, read again: whether it gives every station the cluster of the map, and the sizes of the centroids."""
     data = K.standardize(views.points(s, d), ["lat", "lon"])
-    K.fit_kmeans(data, 5, ["lat_z", "lon_z"], seeds=1, max_iter=20).write().overwrite().save(path := scratch(s))
-    return KMeansModel.load(path).transform(K._vectors(data, ["lat_z", "lon_z"])).groupBy(F.col("prediction").alias("cluster")).agg(F.count("*").alias("n"))
+    fitted = K.fit_kmeans(data, 5, ["lat_z", "lon_z"], seeds=1, max_iter=20)
+    K.save_clusters(fitted, data, ["lat_z", "lon_z"], path := scratch(s))
+    model, mapped, centers = K.load_clusters(s, path)
+    again = model.transform(K._vectors(data, ["lat_z", "lon_z"])).select("station_id", "prediction").join(mapped, "station_id")
+    sizes = centers.agg(F.sum("station_count").alias("total"), F.count("*").alias("k"))
+    return again.agg(F.count("*").alias("n_stations"), F.bool_and(F.col("prediction") == F.col("cluster_id")).alias("same_clusters"), F.count_distinct("cluster_id").alias("seen")).crossJoin(sizes).select(
+        "n_stations", "same_clusters", ((F.col("total") == F.col("n_stations")) & (F.col("k") == F.col("seen"))).alias("same_sizes")
+    )
 
 
 # --- graph
