@@ -58,9 +58,13 @@ def dense(spark: SparkSession, sf: str) -> DataFrame:
     return C.densify(grid, ["event_type", "ts_start"], slot_series(spark, sf)).select("event_type", "ts_start", "n", "v")
 
 
+#: What the cells of trips are counted from.
+_COUNTED = ("dep_ts", "arr_ts", "origin_cluster", "dest_cluster", "is_internal", "is_external", "gender", "user_age", "bike_model", "duration_s")
+
+
 def cluster_grid(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: departures and arrivals inside and across clusters on the dense cluster x day grid."""
-    lab = sinks.cut(labelled(spark, sf))  # read for the range, the departures and the arrivals
+    lab = sinks.cut(labelled(spark, sf).select(*_COUNTED))  # read for the range, the departures and the arrivals
     known = views.station_cluster(spark, sf).select("cluster_id").distinct()
     grid = C.skeleton(known, lab, "dep_ts", DAY)
     return C.densify(grid, ["cluster_id", "ts_start"], C.cells(lab, "dep", DAY), C.cells(lab, "arr", DAY))
@@ -71,7 +75,7 @@ def feature_table(spark: SparkSession, sf: str) -> DataFrame:
     sky = views.weather(spark, sf).select(F.date_format("hour_ts", "dd HH").alias("_hour"), "temperature_2m", "precipitation", "weather_code", F.col("is_raining"))
     hourly = sky.groupBy("_hour").agg(F.avg("temperature_2m").alias("temperature_2m"), F.avg("precipitation").alias("precipitation"), F.max("weather_code").alias("weather_code"), F.max("is_raining").alias("is_raining"))
     lab = labelled(spark, sf).withColumn("_hour", F.date_format("dep_ts", "dd HH")).join(hourly, "_hour", "left")
-    lab = sinks.cut(lab.select("dep_ts", "arr_ts", "origin_cluster", "dest_cluster", "is_internal", "is_external", "gender", "user_age", "bike_model", "duration_s", *(c for c in hourly.columns if c != "_hour")))
+    lab = sinks.cut(lab.select(*_COUNTED, *(c for c in hourly.columns if c != "_hour")))
     stations = views.station_cluster(spark, sf)
     centers = stations.groupBy("cluster_id").agg(F.avg("station_id").alias("lat"), F.avg(-F.col("station_id")).alias("lon"), F.count("*").alias("station_count"))
     return W.cluster_features(lab, centers, minutes=24 * 60)
