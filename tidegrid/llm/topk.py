@@ -1,14 +1,17 @@
 """Exact top-k search by tiled matrix products.
 
-Vectors come in tiles, queries in blocks of a bounded number. Each tile meets
+Vectors come in tiles, queries in blocks of a bounded size. Each tile meets
 each block once; their scores are one matrix product, of which only each query's
 k best are kept. Those meet in a tree: per tile, per task, per salted group, per
-query. Neither vectors nor queries pass through the driver.
+query. Blocks are broadcast; of more than one broadcast holds, each share is a
+pass of its own over the vectors, whose best are written before the next. So
+vectors are read, never shuffled. No vector is handled by the driver's program.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,8 +22,10 @@ from .common import materialize, table
 
 #: Queries of a block, about, and vectors of a tile at most.
 BLOCK, TILE = 4_096, 1_024
-#: Bytes of query blocks that are broadcast at most; more are joined by shuffle, each block sent to LANES shares of the tiles.
-BROADCAST_BYTES, LANES = 16_000_000, 64
+#: Bytes of a block, about, and of a tile at most, where vectors are long.
+BLOCK_BYTES = 8_000_000
+#: Bytes of query blocks that are broadcast in one pass, about.
+BROADCAST_BYTES = 64_000_000
 #: Blocks whose best lists a task holds; of more, the oldest is handed on and may come again.
 HELD = 16
 #: Groups into which a query's lists are dealt before the last merge.
@@ -28,7 +33,7 @@ FAN_IN = 32
 
 
 def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles ``lane, d, ids, vectors`` of ``vec_id, v``: at most TILE vectors of one length, as raw numbers."""
+    """Tiles ``d, ids, vectors`` of ``vec_id, v``: at most TILE vectors of one length, as raw numbers."""
     for batch in batches:
         lists = batch.column("v")
         ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
@@ -36,21 +41,22 @@ def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for d in np.unique(sizes):
             of_d = np.flatnonzero(sizes == d)
-            for begin in range(0, len(of_d), TILE):
-                at = of_d[begin : begin + TILE]
+            step = max(1, min(TILE, BLOCK_BYTES // (8 * max(1, int(d)))))
+            for begin in range(0, len(of_d), step):
+                at = of_d[begin : begin + step]
                 own = np.ascontiguousarray(ids[at], np.int64)
-                rows.append((int(own[0]) % LANES, int(d), own.tobytes(), flat[ends[at][:, None] + np.arange(d)].tobytes()))
-        kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["lane", "d", "ids", "vectors"])
+                rows.append((int(d), own.tobytes(), flat[ends[at][:, None] + np.arange(d)].tobytes()))
+        kinds = (pa.int32(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["d", "ids", "vectors"])
 
 
 def _products(queries: np.ndarray, tile: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles where no sum can pass 2**53, else with Python's integers."""
+    """Exact integer products: in doubles where no sum can pass 2**53, else with Python's integers, cut to a long's range."""
     most = np.abs(queries).max(initial=0) * np.abs(tile).max(initial=0) * max(1, tile.shape[1])
     if most < 2**53:
         return (queries @ tile.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m], object).reshape(m.shape)
-    return whole(queries) @ whole(tile).T
+    return np.clip(whole(queries) @ whole(tile).T, -(2**63), 2**63 - 1).astype(np.int64)
 
 
 def _best(query: np.ndarray, score: np.ndarray, vec_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -66,7 +72,7 @@ def _of_tile(names: np.ndarray, queries: np.ndarray, ids: np.ndarray, tile: np.n
     """Partial selection: what may be among each query's k best of one tile."""
     scores = _products(queries, tile)
     others = names[:, None] != ids[None, :]
-    if len(ids) > k and scores.dtype == np.int64:
+    if len(ids) > k:
         masked = np.where(others, scores, np.iinfo(np.int64).min)
         least = np.partition(masked, len(ids) - k, axis=1)[:, len(ids) - k]
         others &= masked >= least[:, None]
@@ -111,7 +117,8 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, block: int = BLOCK, broadca
     Candidates are all rows but those of the query's own id, of the same length;
     ties go to the smaller vec_id; fewer than k rows give all. A null id, and a
     vector that is null or has null or non-finite components, takes no part.
-    Rows that repeat a query's id are one query, with the least of their vectors
+    Components and scores beyond a long's range count as its nearest end. Rows
+    that repeat a query's id are one query, with the least of their vectors
     (component by component); other repeated ids are each a candidate. Other
     columns are left out. An empty table gives no rows.
     """
@@ -120,14 +127,20 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, block: int = BLOCK, broadca
     slim = slim.select("vec_id", F.transform("v", lambda x: F.floor(x * 1024).cast("double")).alias("v"))
     queries = materialize(slim.where(is_query(F.col("vec_id"))).groupBy("vec_id").agg(F.min("v").alias("v")))
     n, components = queries.agg(F.count("*"), F.coalesce(F.sum(F.size("v") + 1), F.lit(0))).first()
-    blocks = -(-max(1, n) // block)
+    passes = max(1, -(-8 * components // max(1, broadcast_bytes)))
+    blocks = max(passes, -(-n // block), -(-8 * components // BLOCK_BYTES))
     asked = queries.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.size("v").alias("d")).agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    tiles = slim.mapInArrow(_tiles, "lane long, d int, ids binary, vectors binary").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    if components * 8 <= broadcast_bytes:
-        met = tiles.join(F.broadcast(asked), ["block", "d"])
-    else:
-        met = tiles.join(asked.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(LANES - 1).cast("long")))), ["block", "d", "lane"])
-    found = met.select("block", "d", "q", "ids", "vectors").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    if passes == 1:
+        return _best_of(slim, asked, k)
+    asked = materialize(asked)
+    shares = (asked.where(F.col("block") % passes == i) for i in range(passes))
+    return reduce(DataFrame.unionAll, [materialize(_best_of(slim, share, k)) for share in shares])
+
+
+def _best_of(slim: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """The result for the queries of some blocks, which are broadcast: one pass over all vectors."""
+    tiles = slim.mapInArrow(_tiles, "d int, ids binary, vectors binary")
+    found = tiles.join(F.broadcast(asked), "d").select("block", "d", "q", "ids", "vectors").mapInArrow(_search(k), "query_id long, vec_id long, score long")
     best_first = [F.desc("score"), F.asc("vec_id")]
     salted = found.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(FAN_IN)))
     partly = salted.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy(*best_first))).where(F.col("rank") <= k)
