@@ -167,9 +167,10 @@ class Part:
     hashes that hold within a worker.
     """
 
-    def __init__(self, rows: list[tuple[int, int, bytes]]):
+    def __init__(self, rows: list[tuple[int, int, bytes, np.ndarray]]):
         self.ids, self.classes = (np.array([row[i] for row in rows], np.int64) for i in (0, 1))
-        own = [_find(text.lower()) for _, _, text in rows]
+        self.bands = np.stack([row[3] for row in rows])
+        own = [_find(row[2].lower()) for row in rows]
         sizes = np.array([len(x) for x in own], np.int64)
         flat = np.fromiter((hash(w) for x in own for w in x), np.int64, int(sizes.sum())).view(np.uint64)
         begins = np.concatenate([[0], np.cumsum(sizes)])
@@ -216,10 +217,18 @@ def _shared(a: Part, b: Part) -> np.ndarray:
 
 
 def _links(a: Part, b: Part, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids of linked texts of different classes, one pair for each pair of classes that has any."""
+    """Ids of linked texts of different classes, one pair for each pair of classes that has any.
+
+    Linked are texts that are similar and share a band key, whatever else the
+    block holds: a pair's link doesn't depend on how its group was cut.
+    """
     shared = _shared(a, b).astype(np.float64)
     near = shared / np.maximum(1, a.sizes[:, None] + b.sizes[None, :] - shared) >= similarity
     i, j = np.nonzero(near & (a.classes[:, None] != b.classes[None, :]))
+    met = np.zeros(len(i), bool)
+    for x, y in zip(a.bands.T, b.bands.T):
+        met |= x[i] == y[j]
+    i, j = i[met], j[met]
     if len(i):
         low, high = np.minimum(a.classes[i], b.classes[j]), np.maximum(a.classes[i], b.classes[j])
         _, one = np.unique(np.stack([low, high]), axis=1, return_index=True)
@@ -250,13 +259,14 @@ def _in_units(similarity: float):
         def take(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             nonlocal unit, side, words
             xs, ys, sides, ids, classes, sizes = (batch.column(c).to_pylist() for c in ("x", "y", "side", "id", "class", "n"))
-            for x, y, s, i, c, n, text in zip(xs, ys, sides, ids, classes, sizes, batch.column("text")):
+            keys = batch.column("bands").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for x, y, s, i, c, n, text, own in zip(xs, ys, sides, ids, classes, sizes, batch.column("text"), keys):
                 if (x, y) != unit or s != side or words >= PART:
                     yield from close()
                 if (x, y) != unit:
                     first.clear()
                 unit, side = (x, y), s
-                waiting.append((i, c, text.as_buffer().to_pybytes()))
+                waiting.append((i, c, text.as_buffer().to_pybytes(), own))
                 words += n + EXTRA
 
         def batch_of(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
@@ -272,7 +282,7 @@ def _in_units(similarity: float):
 
 def _verified(dealt: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Links ``u < v`` of the texts that ``x, y, side, id, class, n`` deals to units; each unit is one task's at most."""
-    held = texts.join(dealt, "id").select("x", "y", "side", "id", "class", "n", "text")
+    held = texts.join(dealt, "id").select("x", "y", "side", "id", "class", "n", "text", "bands")
     found = held.repartition("x", "y").sortWithinPartitions("x", "y", "side").mapInArrow(_in_units(similarity), "u long, v long")
     return materialize(found.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
@@ -354,7 +364,7 @@ def row_classes(texts: DataFrame, *carried: str, similarity: float = SIMILARITY)
     without words. Texts with the same words in the same order are joined first,
     by a digest, so copies cost one comparison. Every pair of different texts
     that shares a bucket is then compared exactly, or joined already through
-    others. Nothing is capped. What is shuffled are ids, and the texts that share
+    others; pairs that share none are no links, in groups of any size. Nothing is capped. What is shuffled are ids, and the texts that share
     a bucket, once for each block that theirs meets.
     """
     split = texts.select("id", *carried, words(F.col("text")).alias("w"))
@@ -366,7 +376,8 @@ def row_classes(texts: DataFrame, *carried: str, similarity: float = SIMILARITY)
     full = materialize(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
     crowded = materialize(rows.join(full, "key"))
     homes = materialize(_homes(crowded))
-    near = materialize(texts.select("id", "text").join(homes.select("id"), "id", "left_semi"))
+    keyed = reps.select("id", "bands").join(homes.select("id"), "id", "left_semi")
+    near = materialize(texts.select("id", "text").join(keyed, "id"))
     star = _star_links(homes, near, similarity)
     joined = components(star)
     more = _block_links(crowded, joined, near, similarity)
