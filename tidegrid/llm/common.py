@@ -81,7 +81,15 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN), "")
 
 
-def bounded_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast a written frame only if its counted bytes are at most ``most``; else Spark's joins decide."""
+def counted_bytes(df: DataFrame) -> int:
     width = sum((F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) + 16 for c in df.columns), F.lit(16))
-    return F.broadcast(df) if (df.agg(F.sum(width)).first()[0] or 0) <= most else df
+    return df.agg(F.sum(width)).first()[0] or 0
+
+
+def broadcast_parts(df: DataFrame, key: str, most: int = BROADCAST_BYTES) -> list[DataFrame]:
+    """A written frame as broadcasts of at most about ``most`` bytes each: one, or parts by a hash of ``key``, of whose values none has many rows."""
+    counted = counted_bytes(df)
+    if counted <= most:
+        return [F.broadcast(df)]
+    parts = -(-2 * counted // max(1, most))
+    return [F.broadcast(df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i)) for i in range(parts)]
