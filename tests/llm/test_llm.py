@@ -211,15 +211,39 @@ def test_decontamination_odd_rows(spark):
     assert decontaminate.contamination(docs_of(spark, []), items).count() == 0
 
 
-def test_proximity_in_any_order(spark):
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    docs = docs_of(spark, [(1, "gamma x beta y alpha"), (2, "alpha " + "x " * 9 + "beta gamma")])
-    cut = decontaminate.phrases(items)
-    terms = cut.select(F.explode("terms").alias("term")).distinct()
-    probe = decontaminate.probes(cut, terms.withColumn("n", F.lit(1)))
-    index = decontaminate.build_index(docs, decontaminate.indexed_terms(probe))
-    rows = {r.row for r in decontaminate.proximity_matches(index, probe, 4).collect()}
-    assert {r.doc_id for r in index.where(F.col("row").isin(list(rows))).collect()} == {1}
+def test_proximity_equals_brute_force(spark):
+    """Any order, repeated terms, and phrases of one and two terms, which have no context."""
+    draw = random.Random(5)
+    rows = [(i, " ".join(draw.choice("abcdefg") for _ in range(draw.randrange(60)))) for i in range(40)] + [(90, None), (91, "")]
+    items = [(1, "g f e d"), (2, "a b"), (3, "c"), (4, "d d"), (5, "a a b c"), (6, "zz a"), (7, None)]
+    docs, table = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
+    times = Counter(w for _, t in rows for w in (t or "").split())
+    for slop, most in ((0, 10**9), (2, 10**9), (9, 100)):
+        want = set()
+        for i, text in rows:
+            own = (text or "").split()
+            for item, phrase in items:
+                terms = (phrase or "").split()
+                rarest = min(terms, key=lambda t: (times[t], terms.index(t)), default=None)
+                if any(w == rarest and set(terms) <= set(own[max(0, at - slop) : at + slop + 1]) for at, w in enumerate(own)):
+                    want.add((i, item))
+        found = decontaminate.contamination(docs, table, slop=slop, most=most)
+        assert {(r.doc_id, item) for r in found.collect() for item in r.near_ids} == want and len(want) > 20
+    with pytest.raises(ValueError):
+        decontaminate.contamination(docs, table, slop=10).collect()
+
+
+def test_terms_in_several_passes_change_nothing(spark):
+    """Beyond one broadcast no words are shuffled, and results stay."""
+    docs, items = (spark.read.parquet(f"{SF}/{name}.parquet") for name in ("documents", "benchmark"))
+    whole = decontaminate.contamination(docs, items)
+    parts = decontaminate.contamination(docs, items, most=200_000)
+    assert sorted(map(str, whole.collect())) == sorted(map(str, parts.collect()))
+    used = docs.select(F.explode(decontaminate.words(F.col("text"))).alias("term")).distinct().withColumn("context", F.lit(True))
+    for part in decontaminate.broadcast_parts(used, "term", 500_000):
+        rows = docs.select("doc_id", F.posexplode(decontaminate.words(F.col("text"))).alias("pos", "term"))
+        plan = rows.join(part, "term")._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 # 6
@@ -321,13 +345,23 @@ def test_topk_blocks_ties_and_odd_vectors(spark):
         scored = sorted((-sum(a * b for a, b in zip(good[q], v)), i) for i, v in good.items() if i != q and len(v) == len(good[q]) and i != 304)[:4]
         want |= {(q, n, i, -s) for n, (s, i) in enumerate(scored, 1)}
     df = df.selectExpr("*", "1 AS d", "2 AS block", "3 AS rank", "4 AS score", "5 AS v")
-    for most in (10**9, 0):  # query blocks broadcast, and joined by shuffle
+    for most in (10**9, 200):  # all query blocks broadcast at once, and in several passes
         got = {tuple(r) for r in topk.top_k(df.where("vec_id IS NULL OR vec_id <> 304"), lambda c: c % 50 == 0, 4, block=2, broadcast_bytes=most).collect()}
         assert got == want
     again = df.unionAll(df.where("vec_id IN (0, 7)")).unionAll(df.where("vec_id = 50").withColumn("embedding", F.array_repeat(F.lit(9.0), 8)))
     found = topk.top_k(again.where("vec_id <> 304"), lambda c: c % 50 == 0, 4).collect()
     assert sorted({(r.query_id, r.rank) for r in found}) == sorted((r.query_id, r.rank) for r in found)  # a repeated id is one query
     assert topk.top_k(df.where("false"), lambda c: c % 50 == 0).count() == 0
+    huge = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 0.0]), (2, [-1e17, 0.0]), (3, [0.0, 2.0])], df.schema.fieldNames()[:2])
+    assert [tuple(r)[1:] for r in topk.top_k(huge, lambda c: c == 0).orderBy("rank").collect()] == [(1, 1, 2**63 - 1), (2, 3, 2 << 20), (3, 2, -(2**63))]
+
+
+def test_topk_never_shuffles_vectors(spark):
+    df = spark.range(500).selectExpr("id AS vec_id", "array(1.0D * id, 2.0D) AS embedding")
+    plan = topk.top_k(df, lambda c: c % 50 == 0)._jdf.queryExecution().executedPlan().toString()
+    shuffled = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert shuffled and all("query_id" in line or "_groupingexpression" in line for line in shuffled)  # of results, and of queries into blocks
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 # 9
@@ -418,6 +452,30 @@ def test_small_blocks_lose_no_link(spark, monkeypatch):
     assert len(set(got.values())) < 120
 
 
+def test_links_do_not_depend_on_the_size_of_a_group(spark, monkeypatch):
+    """With bands that miss many pairs: linked are similar texts that share a band, in small groups as in wide ones."""
+    draw, sign = random.Random(909), neardup.signature
+    monkeypatch.setattr(neardup, "signature", lambda hashes: sign(hashes, 2, 5))
+    rows = []
+    for g in range(3):
+        base = [f"g{g}w{draw.randrange(900)}" for _ in range(80)]
+        for i in range(50):
+            own = list(base)
+            for _ in range(draw.randrange(6)):
+                own[draw.randrange(len(own))] = f"n{draw.randrange(9999)}"
+            rows.append((g * 1000 + i, " ".join(own)))
+    docs = docs_of(spark, rows)
+    keys = {r.doc_id: set(r.bands) for r in docs.select("doc_id", sign(neardup.hashed(neardup.words(F.col("text"))), 2, 5).alias("bands")).collect()}
+    similar = [(a, b) for k, (a, s) in enumerate(rows) for b, t in rows[:k] if neardup.overlap(s, t) >= 0.8]
+    linked = [(a, b) for a, b in similar if keys[a] & keys[b]]
+    own = brute_components(linked)
+    assert len(linked) < len(similar)
+    for block, wide in ((neardup.BLOCK, 16), (1_000, 100), (1_000, 2)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        monkeypatch.setattr(neardup, "WIDE", wide)
+        assert {r.doc_id: r.class_id for r in neardup.near_duplicates(docs).collect()} == {i: own.get(i, i) for i, _ in rows}
+
+
 def test_long_texts_and_empty_tables(spark):
     """A hundred thousand words, beside a copy, a near copy and a text of one endless word."""
     draw = random.Random(91)
