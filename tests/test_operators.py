@@ -125,6 +125,26 @@ def test_silhouette_of_more_than_10_000_points(spark):
     assert (got.n, got.low) == (10_001, 1.0)
 
 
+def test_silhouettes_by_near_clusters_are_exact(spark):
+    draw = np.random.default_rng(5)
+    xy = np.concatenate([draw.normal(size=(150, 2)) * 0.2 + [i % 3 * 4, i // 3 * 4] for i in range(6)] + [np.full((60, 2), 7.0)])
+    of = [np.arange(960) % 3, np.minimum(np.arange(960) // 150, 6), np.arange(960) // 40]  # scattered, compact, and parts of compact ones
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(xy)]
+    made = K.tiles(spark.createDataFrame(rows, "station_id long, x double, y double"), "x", "y", 40)
+    assert made.count() >= 24 and made.agg(F.sum(F.size("ids"))).first()[0] == 960
+    label = F.udf(lambda ids: bytearray(np.column_stack([o[ids] for o in of]).astype(np.int32).tobytes()), "binary")
+    got = {r.station_id: r.silhouettes for r in K.silhouettes(sinks.cut(made.withColumn("l", label("ids"))), [3, 7, 24]).collect()}
+    d, at = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)), np.arange(960)
+    for j, o in enumerate(of):
+        sums = np.stack([d[:, o == c].sum(axis=1) for c in range(o.max() + 1)])
+        n = np.bincount(o)[:, None] - (o[None] == np.arange(o.max() + 1)[:, None])
+        mean = sums / n
+        a = mean[o, at].copy()
+        mean[o, at] = np.inf
+        b = mean.min(axis=0)
+        assert np.abs(np.array([got[i][j] for i in at]) - (b - a) / np.maximum(a, b)).max() < 1e-9, j
+
+
 def test_feature_table_has_all_columns(spark):
     t = dt.datetime(2024, 1, 1, 8, 10)
     lab = trip_rows(spark, [(1, 3, t, t, 60.0, None, None, "FIT"), (1, 2, t, t + dt.timedelta(hours=30), 90.0, "MALE", 25, "ICONIC")])
