@@ -229,6 +229,14 @@ def test_clusters_of_blobs(spark, tmp_path):
     assert abs(unseen.where("station_id < 30").agg(F.avg("lat_z")).first()[0]) < 1e-9 and abs(unseen.agg(F.avg("lat_z")).first()[0]) < 1
 
 
+def test_kmeans_fits_points_of_one_file_on_all_cores(spark, monkeypatch):
+    seen, fit = [], K.KMeans.fit
+    monkeypatch.setattr(K.KMeans, "fit", lambda self, data: seen.append(data.rdd.getNumPartitions()) or fit(self, data))
+    points = spark.range(0, 200, 1, 1).select((F.col("id") % 2 * 9.0).alias("a"), F.col("id").cast("double").alias("b"))
+    assert K.fit_kmeans(points, 2, ["a", "b"], seeds=2, max_iter=5).getK() == 2
+    assert seen == [spark.sparkContext.defaultParallelism] * 2
+
+
 def test_forecasts_of_known_series(spark):
     rng = np.random.default_rng(8)
     x, noise = rng.uniform(0, 1, 800), rng.uniform(0, 1, 800)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import TaskContext, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
@@ -349,10 +350,19 @@ def _vectors(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def fit_kmeans(stations: DataFrame, k: int, columns: list[str], seeds: int = 10, max_iter: int = 300):
-    """The best by training cost of several seeds."""
-    data = _vectors(stations, columns).cache()
+    """The best by training cost of several seeds, ties to the first.
+
+    The points are dealt evenly to all cores, as a table of few files would leave
+    most idle. Seeds are fitted at the same time, so that one's jobs run while
+    another's wait for the driver.
+    """
+    cores = stations.sparkSession.sparkContext.defaultParallelism
+    data = _vectors(stations, columns).select("features").repartition(cores).cache()
     try:
-        return min((KMeans(k=k, seed=s, maxIter=max_iter, initMode="k-means||").fit(data) for s in range(seeds)), key=lambda m: m.summary.trainingCost)
+        data.count()  # else each of the first fits computes it
+        fit = inheritable_thread_target(stations.sparkSession)(lambda s: KMeans(k=k, seed=s, maxIter=max_iter, initMode="k-means||").fit(data))
+        with ThreadPool(min(seeds, cores)) as pool:
+            return min(pool.map(fit, range(seeds)), key=lambda m: m.summary.trainingCost)
     finally:
         data.unpersist()
 
