@@ -20,7 +20,9 @@ from tidegrid.llm.common import WORD, materialize, table, unused, with_row
 
 MASK = "[secret]"
 #: Bytes of a memo's generation in the encoding stage, which shares its executors' memory with the stages before.
-MEMO_BYTES = 20_000_000
+MEMO_BYTES = 8_000_000
+#: Bytes of a batch that goes to a Python worker, in all stages: texts lie there several times over, outside the heap.
+BATCH_BYTES = 4_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +32,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, null ids and all columns included. Without any labelled row no language
     can be told, and all rows go.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     profiles = langid.learn_profiles(docs)
     return docs.where(langid.predict(docs["text"], profiles)["lang"] != "und")
 
@@ -42,6 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stays, unless the id is null. All columns stay, whatever their names; an
     empty table stays empty.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     row = unused("_row", docs)
     rows = with_row(docs, row)
     worded = F.coalesce(F.regexp_like("text", F.lit(WORD)), F.lit(False))
@@ -89,7 +93,8 @@ def secret_masks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256, ids`` of each row, repeated rows and null ids included; null texts have no tokens."""
-    made = bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, MEMO_BYTES)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    made = bpe.tokenize(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, MEMO_BYTES, keep=False)
     return bpe.digests(made, "ids")
 
 

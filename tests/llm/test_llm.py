@@ -731,3 +731,13 @@ def test_registered_bpe_query_equals_tiktoken(spark, tmp_path):
     assert got == sorted(str((i, len(own), sha(" ".join(map(str, own)).encode()), sha(t.encode()))) for i, own, t in ids)
     docs_of(spark, []).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert registry.QUERIES["op2_byte_bpe"](spark, f"{tmp_path}/none").count() == 0
+
+
+def test_a_codec_forgets_its_memos_and_encodes_alike():
+    codec = bpe.Codec([bytes([b]) for b in range(256)] + [b"ab"], r"\S+|\s+")
+    fixed, once = len(codec.pieces), codec.encode("abab cab abc").tolist()
+    assert len(codec.pieces) > fixed and codec.fits
+    codec.pieces.forget()
+    codec.fits.forget()
+    assert len(codec.pieces) == fixed and not codec.fits and not codec.pieces.older
+    assert codec.encode("abab cab abc").tolist() == once

@@ -68,6 +68,12 @@ class _Memo(dict):
             self.update(self.fixed)
             self.bytes = 0
 
+    def forget(self) -> None:
+        """Keep the fixed answers only."""
+        self.clear()
+        self.update(self.fixed)
+        self.older, self.bytes = {}, 0
+
 
 #: Characters that ``re`` and ``regex`` class differently: numbers that aren't decimal digits, and U+001C to U+001F.
 ODD = frozenset(map(chr, [*range(0x1C, 0x20), *(i for i in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(i)) in ("No", "Nl"))]))
@@ -247,29 +253,36 @@ def decode(ids: Column, shared) -> Column:
     return udf(F.coalesce(ids, F.array().cast("array<int>")))
 
 
-def _both(text: Column, shared) -> Column:
-    """``struct<ids array<int>, decoded binary>`` of whole texts in one pass: a worker then holds one codec, not one for each way."""
+def _both(text: Column, shared, keep: bool = True) -> Column:
+    """``struct<ids array<int>, decoded binary>`` of whole texts in one pass: a worker then holds one codec, not one for each way. Without ``keep`` its memos end with the task."""
 
     @F.arrow_udf("struct<ids:array<int>,decoded:binary>")
     def udf(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _worker_codec(shared)
-        for part in _parts(batches):
-            found = [codec.encode(x.as_py() or "") for x in part]
-            decoded = pa.array([codec.decode(own.tolist()) for own in found], pa.binary())
-            yield pa.StructArray.from_arrays([_as_lists(found), decoded], ["ids", "decoded"])
+        try:
+            for part in _parts(batches):
+                found = [codec.encode(x.as_py() or "") for x in part]
+                decoded = pa.array([codec.decode(own.tolist()) for own in found], pa.binary())
+                yield pa.StructArray.from_arrays([_as_lists(found), decoded], ["ids", "decoded"])
+        finally:
+            if not keep:
+                codec.pieces.forget()
+                codec.fits.forget()
+                pa.default_memory_pool().release_unused()
 
     return udf(text)
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str, memo_bytes: int = MEMO_BYTES) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, pattern: str, memo_bytes: int = MEMO_BYTES, keep: bool = True) -> DataFrame:
     """``doc_id, ids array<int>, decoded binary`` of each row of ``documents``.
 
     One row for each input row, repeated rows and repeated or null doc_ids
     included; null texts count as empty; other columns are left out. Narrow: no
-    shuffle, and memory is bounded by one Arrow batch and the memos.
+    shuffle, and memory is bounded by one Arrow batch and the memos, which a worker
+    keeps for its next task unless ``keep`` is false.
     """
     shared = vocabulary(docs.sparkSession, path, pattern, memo_bytes)
-    return docs.select("doc_id", _both(F.col("text"), shared).alias("_b")).select("doc_id", "_b.ids", "_b.decoded")
+    return docs.select("doc_id", _both(F.col("text"), shared, keep).alias("_b")).select("doc_id", "_b.ids", "_b.decoded")
 
 
 def digests(tokenized: DataFrame, *more: str) -> DataFrame:
